@@ -272,10 +272,15 @@ def _rows(docs: DataFrame, size: int, ranks) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that a smaller doc_id is linked to, directly or not; repeated rows of a kept id stay once."""
-    own = docs.dropDuplicates([doc_id])
-    keep = linked(own, size, percent, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return own.join(keep, own[doc_id].eqNullSafe(F.col("kept_id")), "left_semi")
+    """The documents without those that a smaller doc_id is linked to, directly or not.
+
+    Repeated rows of a kept id stay once for each text. Rows without an id have no place in a group
+    and stay as they are.
+    """
+    named = docs.where(docs[doc_id].isNotNull())
+    keep = linked(named, size, percent, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = named.join(keep, doc_id, "left_semi").dropDuplicates([doc_id, text])  # dealt by the join already
+    return kept.unionByName(docs.where(docs[doc_id].isNull()))
 
 
 def report(docs: DataFrame) -> DataFrame:
