@@ -108,12 +108,12 @@ def top_per_group(spark, sf_dir):
     return n.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))).where("r <= 3").drop("r")
 
 
-@query(on_graph("SELECT id FROM nodes WHERE kind = 'function' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'ROUTES_TO') UNION SELECT id FROM nodes WHERE kind = 'table' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'WRITES_TABLE')"))
+@query(on_graph("SELECT id FROM nodes WHERE kind = 'function' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'OVERRIDDEN_BY') UNION SELECT id FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'USES_TYPE')"))
 def unreached(spark, sf_dir):
-    """Functions that no route leads to, and tables that nothing writes."""
+    """Functions that override nothing, and classes that no route uses."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
     lost = lambda kind, by: n.where(F.col("kind") == kind).select("id").join(e.where(F.col("kind") == by).select(F.col("dst").alias("id")), "id", "left_anti")
-    return lost("function", "ROUTES_TO").unionByName(lost("table", "WRITES_TABLE"))
+    return lost("function", "OVERRIDDEN_BY").unionByName(lost("class", "USES_TYPE"))
 
 
 @query("""WITH k AS (SELECT e.event_id, e.event_type AS t, json_keys(e.props) AS keys FROM events e)
