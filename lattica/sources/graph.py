@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.model import FINDINGS, NON_PROPAGATING, PROPAGATING
 from lattica.streaming.refresh import publish
@@ -61,8 +62,15 @@ def subgraph(nodes: DataFrame, edges: DataFrame, depth: DataFrame, limit: int =
 
 
 def env_keys(spark: SparkSession, path: str) -> DataFrame:
-    """file, key, value of `.env` style files."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s*export\s+", "").alias("l"))
+    """file, key, value of an `.env` style file: small, and hidden from Spark's readers by its name, so the driver reads it."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    lines = spark.createDataFrame([(path, line) for line in text.splitlines()], "file string, l string").withColumn("l", F.regexp_replace("l", r"^\s*export\s+", ""))
     rx = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*\"?(.*?)\"?\s*$"
     return lines.where(F.col("l").rlike(rx)).select("file", F.regexp_extract("l", rx, 1).alias("key"), F.regexp_extract("l", rx, 2).alias("value"))
 
@@ -76,9 +84,7 @@ def properties(spark: SparkSession, path: str, prefix: str = "spring.datasource.
 
 def diff_ranges(diff: DataFrame) -> DataFrame:
     """path, lo, hi of the new side of each hunk of unified diffs (column text, one diff a row)."""
-    lines = diff.select(F.monotonically_increasing_id().alias("d"), F.posexplode(F.split("text", "\n")).alias("at", "l")).where(F.col("l").rlike(r"^(\+\+\+ |@@ )"))
-    from pyspark.sql.window import Window
-
+    lines = diff.select("text").distinct().select(F.xxhash64("text").alias("d"), F.posexplode(F.split("text", "\n")).alias("at", "l")).where(F.col("l").rlike(r"^(\+\+\+ |@@ )"))
     order = Window.partitionBy("d").orderBy("at")
     path = F.last(F.when(F.col("l").startswith("+++ "), F.regexp_replace("l", r"^\+\+\+ (b/)?", "")), ignorenulls=True).over(order)
     rx = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
