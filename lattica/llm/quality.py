@@ -109,8 +109,8 @@ def train(fitted_on: DataFrame, epochs: int = EPOCHS) -> tuple[float, np.ndarray
         yield pa.record_batch({"weights": pa.array([weights(np.arange(len(z))).astype(np.float32).tobytes()], pa.binary())})
 
     one = fitted_on.repartition(1).sortWithinPartitions("order", "label", "text").select("label", "text")  # bounded rows
-    (row,) = one.mapInArrow(follow, "weights binary").collect()
-    w = np.frombuffer(row["weights"], np.float32)
+    found = one.mapInArrow(follow, "weights binary").collect()
+    w = np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
     return float(w[-1]), w[:-1]
 
 

@@ -5,7 +5,8 @@ subdomains, and every path that starts with its path. For a url the candidate ke
 suffixes times its path's prefixes, of the shapes (labels, path length) that the list has. A
 candidate is tested in the blocked Bloom filter: its hash names one block of 512 bits, in which it
 must find its eight bits set. Only possible hits go on to the exact hash join with the list, which
-removes the false positives; of the rules that remain the longest decides.
+removes the false positives; of the rules that remain the longest decides, and of equally long ones
+one that blocks.
 
 The filter is a table of blocks. Up to `INLINE_BLOCKS` blocks (2 MB) it is sent as a literal, so
 urls without a possible hit never shuffle; beyond that size the candidates meet the blocks in a
@@ -96,6 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", inline_blo
             found = found & (F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")).bitwiseAND(bit) != 0)
         met = met.select("page_id", "host", "path", "n", F.when(found, F.col("key")).alias("key"))
         joined = met.join(listed.select("key", "rule", F.col("verdict").alias("said")), "key", "left")
-    decided = joined.groupBy("page_id", "host", "path", "n").agg(F.max_by("rule", F.length("rule")).alias("rule"), F.max_by("said", F.length("rule")).alias("said"), F.count(F.lit(1)).alias("rows"))
-    decided = decided.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"), F.explode(F.expr("array_repeat(1, cast(rows / n as int))")).alias("each")).drop("each")
+    best = F.max(F.struct(F.length("rule").alias("n"), (F.col("said") == "block").alias("blocks"), F.col("rule").alias("rule"), F.col("said").alias("said")))
+    decided = joined.groupBy("page_id", "host", "path", "n").agg(best.alias("best"), F.count(F.lit(1)).alias("rows"))
+    decided = decided.select("page_id", "host", "path", "best.rule", F.coalesce("best.said", F.lit(default)).alias("verdict"), F.explode(F.expr("array_repeat(1, cast(rows / n as int))")).alias("each")).drop("each")
     return without.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")).unionByName(decided)
