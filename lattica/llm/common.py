@@ -28,8 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the batches that Python workers get, where the session has left Spark's own, which suit short rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors where the launch environment doesn't."""
+    """Make this package importable on the executors where the launch environment doesn't, and batches fit long texts."""
+    for key, (usual, own) in BATCHES.items():
+        if spark.conf.get(key, usual) in (usual, "64MB", f"{usual}b"):
+            spark.conf.set(key, own)
     places = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     sc = spark.sparkContext
     if str(ROOT) in places or any(os.path.realpath(f"{p}/lattica") == str(ROOT / "lattica") for p in places):
@@ -90,7 +97,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Remove a table made by written() that nothing reads any more."""
     path = getattr(df, "_lattica_path", None)
     if path:

@@ -236,7 +236,7 @@ def without_spans(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
     A passage goes with the bytes between its first and last word. Rows without hits keep their text
     byte for byte, null stays null. Only the columns of `docs` are returned.
     """
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[f"`{text}`"].alias("text"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text)).alias("row"), docs[f"`{text}`"].alias("text"))
     h = hits(packed, items, window)
     hit = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
     schema = StructType([packed.schema["row"], packed.schema["text"]])

@@ -273,7 +273,7 @@ def deduplicated(docs: DataFrame, index: LineIndex | None = None, min_chars: int
     lists = lost.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("k0", "k1")).alias("gone"))
     counted = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
     least = index.min_chars
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), docs[f"`{text}`"].alias("text"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text)).alias("row"), docs["doc_id"].alias("id"), docs[f"`{text}`"].alias("text"))
     joined = packed.join(lists, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "text", "gone")
     schema = StructType([joined.schema["row"], StructField("text", StringType()), *counted])
     arrow = to_arrow_schema(schema)

@@ -138,9 +138,9 @@ def continuations(docs: DataFrame, vocabulary) -> DataFrame:
                 p = pairs(numbers(t, vocabulary.value))
                 held.append(p[(p & ((1 << BITS) - 1)) > 0])
                 n += len(p)
-                if n > 2_000_000:
+                if n > 1_000_000:
                     had, held, n = pd.unique(np.concatenate([had, *held])), [], 0
-                    if len(had) > 4_000_000:
+                    if len(had) > 1_500_000:
                         yield pa.record_batch([pa.array(had)], names=["pair"])
                         had = had[:0]
         yield pa.record_batch([pa.array(pd.unique(np.concatenate([had, *held])))], names=["pair"])
@@ -227,36 +227,43 @@ def curve(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return w
 
 
-def _measured(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Columns keep, and the three measures."""
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("mean", DoubleType()), StructField("most", DoubleType()), StructField("three", DoubleType())])
+def _measured(docs: DataFrame, model, keep: str) -> DataFrame:
+    """Column keep, and the three measures of column text; the text itself isn't returned."""
+    schema = StructType([docs.schema[keep], *(StructField(m, DoubleType()) for m in MEASURES)])
     arrow = to_arrow_schema(schema)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, models = model.value
         for b in batches:
-            x = [models.measure(numbers(t, vocabulary)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array([m[k] for m in x], pa.float64()) for k in range(3))], schema=arrow)
+            texts = b.column("text") if "text" in b.schema.names else b.column(keep).field("text")
+            x = [models.measure(numbers(t.as_py(), vocabulary)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(keep), *(pa.array([m[k] for m in x], pa.float64()) for k in range(3))], schema=arrow)
 
-    return docs.select(*(docs[f"`{c}`"] for c in dict.fromkeys([*keep, "text"]))).mapInArrow(take, schema)
+    return docs.mapInArrow(take, schema)
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents with score (likelihood of label 1) and predicted; see the module's docstring."""
+def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """row, the document, and score."""
     ship(docs.sparkSession)
     chosen = written(sample(docs, labels, label, folds, held_out, rows), "sample")
     fold = F.pmod("order", F.lit(5))
     model = fit(chosen.where(fold != 0), docs)
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("score", "predicted"))).alias("row"), docs["text"].alias("text"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
     if model is None:
         forget(chosen)
-        return packed.select("row.*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    seen = _measured(chosen.where(fold == 0), model, ["label"]).orderBy("label", *MEASURES).toPandas()
+        return packed.withColumn("score", F.lit(0.0))
+    seen = _measured(chosen.where(fold == 0).select("label", "text"), model, "label").orderBy("label", *MEASURES).toPandas()
     w = curve(seen["label"].to_numpy(float), seen[MEASURES].to_numpy()) if seen["label"].nunique() == 2 else np.array([1.0, 1.0, 1.0, -6.0])
     forget(chosen)
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(sum((F.col(m) * float(v) for m, v in zip(MEASURES, w, strict=False)), F.lit(float(w[-1]))))))
-    out = _measured(packed, model, ["row"]).select("row.*", score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    odds = sum((F.col(m) * float(v) for m, v in zip(MEASURES, w, strict=False)), F.lit(float(w[-1])))
+    return _measured(packed, model, "row").select("row", (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("score"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents with score (likelihood of label 1) and predicted; see the module's docstring."""
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    out = _scored(docs, labels, label, folds, held_out, rows)
+    return out.select(*(F.col(f"row.`{c}`") for c in keep), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,8 +273,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold, with their own columns alone."""
-    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].alias("text"), docs["doc_id"].alias("doc_id"))
-    return scored(own, labels).where(F.col("score") < threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    out = _scored(docs, labels, "toxic", 5, 0, SAMPLE_ROWS)
+    return out.where(F.col("score") < threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 __all__ = ["Lookup", "Models", "report", "scored", "without_toxic"]
