@@ -9,7 +9,7 @@ threshold are computed:
   (n-grams of one hash bucket), rare blocks first. For Jaccard t a row of n columns needs an overlap
   of ceil(t n) at least with any partner, so of its n - ceil(t n) + 1 first columns it shares one with
   every partner. Only these enter the first product.
-- The product runs over columns, and the overlap counts of pairs accumulate. With c of the first
+- The product runs over blocks of columns, and the overlap counts of pairs accumulate. With c of the first
   columns in common, the overlap is c + max(rest of either row) at most; a pair for which that is
   less than t / (1 + t) times both sizes, or whose sizes differ too much, is discarded.
 - The rows of surviving pairs are multiplied in full, which gives the exact overlap.
@@ -35,42 +35,84 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from lattica.llm.common import forget, raw, ship, written
 from lattica.llm.components import components
 
 #: Blocks of columns whose frequencies order the columns.
-BLOCK_BITS = 18
-STAR_ROUNDS = 4
-#: Rows of a component that meet those of another in one row of the blocked product.
-CHUNK = 256
+BLOCK_BITS = 20
+#: Parts in which the frequencies of a task's blocks are summed, and rows of one part that are summed at once.
+PARTS, SUMMED = 64, 1024
+#: Rounds of stars, and columns of a row that a round after the first draws from.
+STAR_ROUNDS, DRAWS = 6, 4
+SPAN_ROUNDS = 6
+#: Rows of a column that are multiplied by a join, and rows of a chunk where more are.
+FEW, CHUNK = 12, 512
 REMEMBERED = 400_000
+#: Most names whose texts are picked out by a broadcast of their ids; more of them meet the documents in a shuffled join.
+BROADCAST_NAMES = 1_000_000
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
-
-
-def ngrams(data: bytes, size: int, words: _Words) -> np.ndarray:
+_BASE = 0x5851F42D4C957F2D
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+_BYTE = np.random.default_rng(1729).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes hashed at once; longer texts are taken in pieces that end between words.
+_PIECE = 1 << 18
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, _PIECE + 1)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A polynomial hash of each word, from sums over the whole text: words between ASCII white space, A-Z lower-cased."""
+    data = data.lower()
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > _PIECE:
+            cut = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, _PIECE, at)])
+            if len(cut):
+                end = at + int(cut[-1]) + 1
+            else:
+                rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, -1, at)])
+                end = at + int(rest[0]) + 1 if len(rest) else end
+        a = np.frombuffer(data, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
+        up, down = _powers_of(len(a) + 1)
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
+        starts = edges[0::2]
+        h = (sums[edges[1::2]] - sums[starts]) * down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_MULTIPLIERS[0])
+        out.append(h ^ (h >> np.uint64(29)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def ngrams(data: bytes, size: int) -> np.ndarray:
     """Hashes of the distinct n-grams of a text, sorted."""
-    found = data.lower().split()  # of bytes: A-Z and ASCII white space alone
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = word_hashes(data)
+    if not len(h):
+        return h
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(_MULTIPLIERS[k % 8])
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_name(grams: np.ndarray) -> int:
@@ -78,18 +120,18 @@ def set_name(grams: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """id, name and n of each document, and rows without n that hold how many n-grams of the task's documents each block has."""
-    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("name", LongType()), StructField("n", IntegerType()), StructField("blocks", ArrayType(IntegerType()))])
+    """id, name and n of each document, and rows without n that hold how many n-grams of the task's documents each block has: name is the part."""
+    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("name", LongType()), StructField("n", IntegerType()), StructField("blocks", BinaryType())])
     arrow = to_arrow_schema(schema)
     mask = np.uint64((1 << BLOCK_BITS) - 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = _Words(), np.zeros(1 << BLOCK_BITS, np.int64)
+        held = np.zeros(1 << BLOCK_BITS, np.int64)
         blocks: list[np.ndarray] = []
         for b in batches:
             names, sizes = [], []
             for data in raw(b.column("text")):
-                g = ngrams(data, size, words)
+                g = ngrams(data, size)
                 names.append(set_name(g) if len(g) else None)
                 sizes.append(len(g))
                 blocks.append((g & mask).astype(np.int64))
@@ -99,24 +141,36 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(sizes), arrow.field("blocks").type)], schema=arrow)
         if blocks:
             held += np.bincount(np.concatenate(blocks), minlength=len(held))
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow.field("id").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([np.minimum(held, 2**31 - 1).astype(np.int32)], arrow.field("blocks").type)], schema=arrow)
+        if held.any():
+            parts = [x.astype(np.int64).tobytes() for x in np.split(held, PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, arrow.field("id").type), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int32()), pa.array(parts, arrow.field("blocks").type)], schema=arrow)
 
     return docs.mapInArrow(describe, schema)
 
 
 def block_ranks(found: DataFrame) -> np.ndarray:
     """Each block's place when blocks are ordered by how many n-grams they have."""
-    total = found.where("blocks is not null").select(F.posexplode("blocks").alias("block", "n")).groupBy("block").agg(F.sum("n").alias("n")).toPandas()  # a row per block
-    counts = np.zeros(1 << BLOCK_BITS, np.int64)
-    counts[total["block"].to_numpy()] = total["n"].to_numpy()
-    ranks = np.empty(len(counts), np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
+
+    def total(t: pa.Table) -> pa.Table:
+        held = np.zeros((1 << BLOCK_BITS) // PARTS, np.int64)
+        for x in t.column("blocks"):
+            held += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"part": t.column("part").slice(0, 1), "salt": t.column("salt").slice(0, 1), "blocks": pa.array([held.tobytes()], pa.binary())})
+
+    sums = found.where("blocks is not null").select(F.col("name").cast("int").alias("part"), F.spark_partition_id().alias("salt"), "blocks")
+    for salts in (SUMMED * SUMMED, SUMMED, 1):  # a group has as many rows as there are tasks to a salt
+        sums = sums.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("part", "salt").applyInArrow(total, "part int, salt int, blocks binary")
+    counts = np.zeros((PARTS, (1 << BLOCK_BITS) // PARTS), np.int64)
+    for r in sums.collect():  # PARTS rows
+        counts[r["part"]] = np.frombuffer(r["blocks"], np.int64)
+    ranks = np.empty(counts.size, np.uint32)
+    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size, dtype=np.uint32)
     return ranks
 
 
 def columns_of(grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Column numbers in the order of the product, one to one with the n-grams."""
-    return (ranks[(grams & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)] << np.uint64(63 - BLOCK_BITS)) | (grams >> np.uint64(BLOCK_BITS + 1))
+    return (ranks[(grams & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63 - BLOCK_BITS)) | (grams >> np.uint64(BLOCK_BITS + 1))
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -134,11 +188,11 @@ def postings(docs: DataFrame, size: int, percent: int, ranks) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order, had = _Words(), ranks.value, set()
+        order, had = ranks.value, set()
         for b in batches:
             columns, names, sizes, held = [], [], [], 0
             for data in raw(b.column("text")):
-                g = ngrams(data, size, words)
+                g = ngrams(data, size)
                 if not len(g):
                     continue
                 name = set_name(g)
@@ -162,23 +216,53 @@ def postings(docs: DataFrame, size: int, percent: int, ranks) -> DataFrame:
     return docs.select("text").mapInArrow(post, schema)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full rows reach the threshold."""
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    arrow = to_arrow_schema(schema)
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full rows reach the threshold; other columns stay."""
+    extra = [c for c in pairs.columns if c not in ("a", "b")]
+    schema = StructType([pairs.schema[c] for c in ["a", "b", *extra]])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit, pa.bool_())), batch.column("b").filter(pa.array(hit, pa.bool_()))], schema=arrow)
-
-    left = rows.select(F.col("name").alias("a"), F.col("columns").alias("x"))
-    right = rows.select(F.col("name").alias("b"), F.col("columns").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(multiply, schema)
+            hit, held = [], (None, None)
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw(batch.column("x")), raw(batch.column("y")), strict=True):
+                if held[0] != b:
+                    held = (b, ngrams(y, size))
+                x, y = ngrams(x, size), held[1]
+                both = np.concatenate([x, y])
+                both.sort()
+                n = int((both[1:] == both[:-1]).sum())
+                hit.append(100 * n >= percent * (len(x) + len(y) - n) and set_name(x) == a and set_name(y) == b)  # rows of one id may have other texts
+            hit = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ["a", "b", *extra]], names=["a", "b", *extra])
+
+    joined = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("y")), "b")
+    return joined.select("a", "b", *extra, "x", "y").mapInArrow(multiply, schema).distinct()
+
+
+class _Texts:
+    """Texts by name, picked out of the documents as pairs ask for them."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame) -> None:
+        self.docs, self.sets, self.parts = docs, sets, []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        for p in self.parts:
+            wanted = wanted.join(p.select("name"), "name", "left_anti")
+        wanted = written(wanted.join(self.sets.select("name", "id"), "name"), "wanted")
+        n = wanted.count()
+        if n:
+            holders = F.broadcast(wanted) if n <= BROADCAST_NAMES else wanted
+            self.parts.append(written(self.docs.join(holders, "id").select("name", "text"), "texts"))
+        forget(wanted)
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def forget(self) -> None:
+        for p in self.parts:
+            forget(p)
 
 
 def _merged(named: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -201,43 +285,40 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc
     shared = posted.groupBy("column").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("column")
     members = written(posted.join(shared, "column").groupBy("column", "name").agg(F.first("n").alias("n")), "members")
     forget(posted)
+    sizes = members.groupBy("column").agg(F.count(F.lit(1)).alias("rows"))
+    scores = members.join(sizes, "column").groupBy("name").agg(F.sum("rows").alias("score"))
+    bare, members = members, written(members.join(scores, "name"), "members")
+    forget(bare)
     described_docs = found.where("n is not null")
-    active = members.select("name").distinct()
-    holders = described_docs.where("n > 0").groupBy("name").agg(F.min("id").alias("id")).join(active, "name", "left_semi")
-    rows = written(_rows(base.join(holders, "id"), size, ranks), "rows")
+    sets = described_docs.where("n > 0").groupBy("name").agg(F.min("id").alias("id"))
+    texts = _Texts(base, sets)
 
     named = None
     for turn in range(star_rounds):
-        placed = members.withColumn("component", F.col("name")) if named is None else members.join(named, "name", "left").withColumn("component", F.coalesce("component", "name"))
-        lists = placed.groupBy("column").agg(F.min_by(F.struct("name", "n", "component"), F.xxhash64("name", F.lit(turn))).alias("centre"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("column", "centre")
-        stars = placed.join(lists, "column").where(F.col("component") != F.col("centre.component")).where(_near(F.col("n"), F.col("centre.n"), percent))
-        chosen = stars.groupBy("name", "component", F.col("centre.name").alias("b"), F.col("centre.component").alias("to")).agg(F.count(F.lit(1)).alias("c")).groupBy("name", "component").agg(F.max_by(F.struct("b", "to"), F.struct("c", "b")).alias("best"))
-        pairs = written(chosen.select(F.col("name").alias("a"), F.col("best.b").alias("b"), F.col("component").alias("ca"), F.col("best.to").alias("cb")), "stars")
-        links = written(_verified(pairs, rows, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        placed = _placed(members, named)
+        counted = _starred(placed, percent) if turn == 0 else _drawn(placed, members, turn, percent)
+        chosen = counted.groupBy("name", "component").agg(F.max_by("centre", F.struct("share", "centre.name")).alias("centre"))
+        pairs = written(chosen.select(F.col("name").alias("a"), F.col("centre.name").alias("b"), F.col("component").alias("ca"), F.col("centre.component").alias("cb")), "stars")
+        tried, found_links = pairs.count(), _links(pairs, texts, size, percent)
         forget(pairs)
-        if not links.limit(1).count():
+        if found_links is None:
+            break
+        merged = found_links.count()
+        named = _merged(named, found_links)
+        forget(found_links)
+        if turn and merged * 20 < tried:  # most of what is left isn't linked; the product will tell
             break
-        named = _merged(named, links)
-        forget(links)
 
-    placed = members.withColumn("component", F.col("name")) if named is None else members.join(named, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    placed = _placed(members, named)
     crossing = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("column")
-    placed = placed.join(crossing, "column")
-    chunks = placed.groupBy("column", "component").agg(F.count(F.lit(1)).alias("of"))
-    blocks = placed.join(chunks, ["column", "component"]).groupBy("column", "component", F.pmod(F.xxhash64("name"), F.ceil(F.col("of") / CHUNK)).alias("chunk")).agg(F.collect_list(F.struct("name", "n")).alias("rows"))
-    left = blocks.select("column", F.col("component").alias("ca"), F.col("rows").alias("ra"))
-    right = blocks.select("column", F.col("component").alias("cb"), F.col("rows").alias("rb"))
-    product = left.join(right, "column").where("ca < cb").select("ca", "cb", F.explode("ra").alias("x"), "rb").select("ca", "cb", "x", F.explode("rb").alias("y")).where(_near(F.col("x.n"), F.col("y.n"), percent))
-    counted = product.groupBy("ca", "cb", F.col("x.name").alias("a"), F.col("x.n").alias("na"), F.col("y.name").alias("b"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
-    rest = F.greatest(F.col("na") - first_columns(F.col("na"), percent), F.col("nb") - first_columns(F.col("nb"), percent))
-    survive = written(counted.where((F.col("c") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb"), "pairs")
-    links = written(_verified(survive, rows, percent).join(survive, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
-    if links.limit(1).count():
-        named = _merged(named, links)
-    for t in (members, rows, survive, links):
+    placed = written(placed.join(crossing, "column"), "crossing")
+    survive = written(_product(placed, percent), "pairs")
+    named = _spanned(survive, named, texts, size, percent)
+    for t in (members, placed, survive):
         forget(t)
+    texts.forget()
 
-    sets = described_docs.where("n > 0").groupBy("name").agg(F.min("id").alias("least"))
+    sets = sets.withColumnRenamed("id", "least")
     if named is not None:
         with_component = sets.join(named, "name", "left").select("name", "least", F.coalesce("component", "name").alias("component"))
         smallest = with_component.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -252,23 +333,173 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent
 
 
-def _rows(docs: DataFrame, size: int, ranks) -> DataFrame:
-    """name, columns: full rows of documents (name, text), once for each name."""
-    schema = StructType([StructField("name", LongType()), StructField("columns", BinaryType())])
-    arrow = to_arrow_schema(schema)
+def _possible(n: Column, m: Column, c: Column, percent: int) -> Column:
+    """Sizes of which c common first columns, and all later columns in common, would reach the threshold."""
+    rest = F.greatest(n - first_columns(n, percent), m - first_columns(m, percent))
+    return _near(n, m, percent) & ((c + rest) * (100 + percent) >= percent * (n.cast("long") + m))
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order = _Words(), ranks.value
-        for b in batches:
-            names, rows = [], []
-            for name, data in zip(b.column("name").to_pylist(), raw(b.column("text")), strict=True):
-                g = ngrams(data, size, words)
-                if len(g) and set_name(g) == name:  # rows of one id may have other texts
-                    names.append(name)
-                    rows.append(columns_of(g, order).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, arrow.field("columns").type)], schema=arrow)
-
-    return docs.select("name", "text").mapInArrow(full, schema).dropDuplicates(["name"])
+
+def _placed(members: DataFrame, named: DataFrame | None) -> DataFrame:
+    if named is None:
+        return members.withColumn("component", F.col("name"))
+    return members.join(named, "name", "left").withColumn("component", F.coalesce("component", "name"))
+
+
+def _crossed(placed: DataFrame, order: Column) -> DataFrame:
+    """Rows with a centre of each of their columns that components share: the row that comes last in the order."""
+    lists = placed.groupBy("column").agg(F.max_by(F.struct("name", "n", "component"), order).alias("centre"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("column", "centre")
+    return placed.join(lists, "column")
+
+
+def _starred(placed: DataFrame, percent: int) -> DataFrame:
+    """name, component, centre, share: possible partners that are their columns' most central rows, as an unedited original is: those that have most columns in common with most rows."""
+    stars = _crossed(placed, F.struct("score", "name")).where(F.col("component") != F.col("centre.component"))
+    counted = stars.groupBy("name", "component", "n", "centre").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where(_possible(F.col("n"), F.col("centre.n"), F.col("c"), percent)).withColumn("share", F.col("c") / (F.col("n") + F.col("centre.n")))
+
+
+def _drawn(placed: DataFrame, members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The same for partners drawn from DRAWS of each row's columns, with all columns in common counted."""
+    drawn = _crossed(placed, F.xxhash64("name", "column", F.lit(turn))).withColumn("draw", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("column", F.lit(turn)), "column")))
+    pairs = drawn.where((F.col("draw") <= DRAWS) & (F.col("component") != F.col("centre.component")) & _near(F.col("n"), F.col("centre.n"), percent)).select("name", "component", "n", "centre").distinct()
+    own = members.select("name", "column")
+    both = pairs.withColumn("other", F.col("centre.name")).join(own, "name").join(own.withColumnRenamed("name", "other"), ["other", "column"])
+    counted = both.groupBy("name", "component", "n", "centre").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where(_possible(F.col("n"), F.col("centre.n"), F.col("c"), percent)).withColumn("share", F.col("c") / (F.col("n") + F.col("centre.n")))
+
+
+def _product(placed: DataFrame, percent: int) -> DataFrame:
+    """a, b, ca, cb, share: the pairs of rows in different components that their overlap counts leave possible.
+
+    Columns of few rows are multiplied by a join. Columns of many rows are multiplied in blocks: those
+    with the same central row, as the columns of a group of near copies have, make a block, whose rows
+    are cut into chunks; a task takes two chunks, accumulates the counts of all the block's columns,
+    and discards the pairs that couldn't be possible if all other columns agreed. So a large group
+    costs few rows, whatever its number of columns. Counts of a pair in several blocks are added.
+    """
+    sizes = placed.groupBy("column").agg(F.count(F.lit(1)).alias("of"), F.max_by("name", F.struct("score", "name")).alias("block"))
+    sized = placed.join(sizes, "column").drop("score")
+    few, many = sized.where(F.col("of") <= FEW), sized.where(F.col("of") > FEW)
+    left, right = few.select("column", F.col("name").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), few.select("column", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    joined = left.join(right, "column").where("ca < cb").where(_near(F.col("na"), F.col("nb"), percent))
+    by_join = joined.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count(F.lit(1)).alias("c"))
+
+    held = many.groupBy("block", "name").agg(F.count(F.lit(1)).alias("inside"))
+    all_of = sized.groupBy("name").agg(F.count(F.lit(1)).alias("all"))
+    chunks = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    rows = many.join(held, ["block", "name"]).join(all_of, "name").join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")))
+    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "name", "n", "component", "column", (F.col("all") - F.col("inside")).alias("outside"))
+    dealt = paired.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "column", "name")
+    in_blocks = dealt.mapInArrow(_multiplied(percent), "a long, b long, na int, nb int, ca long, cb long, c long")
+    counted = by_join.unionByName(in_blocks).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.sum("c").alias("c"))
+    return counted.where(_possible(F.col("na"), F.col("nb"), F.col("c"), percent)).select("a", "b", "ca", "cb", (F.col("c") / (F.col("na") + F.col("nb"))).alias("share"))
+
+
+def _multiplied(percent: int):
+    """Pairs and their counts from rows sorted by block, its two chunks, and column."""
+
+    def pairs_of(i: int, j: int, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        names, first, at = np.unique(t["name"], return_index=True, return_inverse=True)
+        if i == j:
+            of_a = of_b = np.arange(len(names))
+            place_a = place_b = at
+            in_a = in_b = np.ones(len(at), bool)
+        else:
+            side = t["chunk"][first] == i
+            of_a, of_b = np.flatnonzero(side), np.flatnonzero(~side)
+            place = np.empty(len(names), np.int64)
+            place[of_a], place[of_b] = np.arange(len(of_a)), np.arange(len(of_b))
+            in_a = side[at]
+            in_b, place_a = ~in_a, place[at]
+            place_b = place_a
+        counts = np.zeros((len(of_a), len(of_b)), np.int32)
+        cuts = np.flatnonzero(np.diff(t["column"], prepend=t["column"][0] - 1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            a, b = place_a[lo:hi][in_a[lo:hi]], place_b[lo:hi][in_b[lo:hi]]
+            counts[np.ix_(a, b)] += 1
+        x, y = np.nonzero(counts)
+        c = counts[x, y]
+        x, y = first[of_a[x]], first[of_b[y]]
+        if i != j:
+            swap = t["component"][x] > t["component"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+        n, m = t["n"][x].astype(np.int64), t["n"][y].astype(np.int64)
+        rest = np.maximum(-(-percent * n // 100) - 1, -(-percent * m // 100) - 1)
+        most = c + np.minimum(t["outside"][x], t["outside"][y]) + rest
+        keep = (t["component"][x] < t["component"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most * (100 + percent) >= percent * (n + m))
+        x, y = x[keep], y[keep]
+        return {"a": t["name"][x], "b": t["name"][y], "na": t["n"][x], "nb": t["n"][y], "ca": t["component"][x], "cb": t["component"][y], "c": c[keep].astype(np.int64)}
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ("block", "i", "j", "chunk", "name", "n", "component", "column", "outside")
+        held: list[dict[str, np.ndarray]] = []
+
+        def done() -> pa.RecordBatch:
+            t = {f: np.concatenate([h[f] for h in held]) for f in fields}
+            return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in pairs_of(int(t["i"][0]), int(t["j"][0]), t).items()})
+
+        for batch in batches:
+            t = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
+            key = (t["block"], t["i"], t["j"])
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist(), len(t["block"])]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = {f: v[lo:hi] for f, v in t.items()}
+                if held and any(held[-1][f][-1] != part[f][0] for f in ("block", "i", "j")):
+                    yield done()
+                    held = []
+                held.append(part)
+        if held:
+            yield done()
+
+    return multiply
+
+
+def _spanned(pairs: DataFrame, named: DataFrame | None, texts: _Texts, size: int, percent: int) -> DataFrame | None:
+    """Components after all links among the pairs (a, b, ca, cb, share).
+
+    First each component's most promising pair is multiplied, again and again while that leaves many
+    fewer: pairs that come to lie within a component needn't be. Then all that are left are.
+    """
+    open_pairs, own = pairs, None
+    for turn in range(SPAN_ROUNDS + 1):
+        sides = open_pairs.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "a", "b", "ca", "cb", "share"), F.struct(F.col("cb").alias("c"), "a", "b", "ca", "cb", "share"))).alias("s")).select("s.*")
+        best = sides.groupBy("c").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("share", "a", "b")).alias("p")).select("p.*").distinct()
+        best = written(best, "best")
+        all_at_once = turn == SPAN_ROUNDS or open_pairs.count() <= 4 * best.count()
+        links = _links(open_pairs.select("a", "b", "ca", "cb") if all_at_once else best, texts, size, percent)
+        if links is not None:
+            named = _merged(named, links)
+            forget(links)
+        if all_at_once:
+            forget(best)
+            break
+        rest = open_pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "share")
+        if named is None:
+            rest = rest.withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
+        else:
+            side = lambda c: named.select(F.col("name").alias(c), F.col("component").alias(f"c{c}"))
+            rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+        new = written(rest.where("ca <> cb").select("a", "b", "ca", "cb", "share"), "open")
+        forget(best)
+        forget(own)
+        open_pairs = own = new
+        if new.isEmpty():
+            break
+    forget(own)
+    return named
+
+
+def _links(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame | None:
+    """Links between components (a, b), if there are any."""
+    if not pairs.limit(1).count():
+        return None
+    links = written(_verified(pairs, texts.of(pairs), size, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    if links.limit(1).count():
+        return links
+    forget(links)
+    return None
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
