@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.plans import aggregates, joins, registry, reports, scalars, traversal
+from lattica.plans import aggregates, joins, more, registry, reports, scalars, traversal
 
-FAMILIES = (traversal, aggregates, joins, scalars, reports)
+FAMILIES = (traversal, aggregates, joins, scalars, reports, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
