@@ -27,6 +27,7 @@ aren't read by `linked`; `one_of_each` returns them as they are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,7 +143,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
         if blocks:
             held += np.bincount(np.concatenate(blocks), minlength=len(held))
         if held.any():
-            parts = [x.astype(np.int64).tobytes() for x in np.split(held, PARTS)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(held, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, arrow.field("id").type), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int32()), pa.array(parts, arrow.field("blocks").type)], schema=arrow)
 
     return docs.mapInArrow(describe, schema)
@@ -154,15 +155,16 @@ def block_ranks(found: DataFrame) -> np.ndarray:
     def total(t: pa.Table) -> pa.Table:
         held = np.zeros((1 << BLOCK_BITS) // PARTS, np.int64)
         for x in t.column("blocks"):
-            held += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"part": t.column("part").slice(0, 1), "salt": t.column("salt").slice(0, 1), "blocks": pa.array([held.tobytes()], pa.binary())})
+            held += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"part": t.column("part").slice(0, 1), "salt": t.column("salt").slice(0, 1), "blocks": pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())})
 
     sums = found.where("blocks is not null").select(F.col("name").cast("int").alias("part"), F.spark_partition_id().alias("salt"), "blocks")
-    for salts in (SUMMED * SUMMED, SUMMED, 1):  # a group has as many rows as there are tasks to a salt
+    tasks = found.where("blocks is not null and name = 0").count()
+    for salts in [n for n in (SUMMED * SUMMED, SUMMED) if n < tasks] + [1]:  # a group has as many rows as there are tasks to a salt
         sums = sums.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("part", "salt").applyInArrow(total, "part int, salt int, blocks binary")
     counts = np.zeros((PARTS, (1 << BLOCK_BITS) // PARTS), np.int64)
     for r in sums.collect():  # PARTS rows
-        counts[r["part"]] = np.frombuffer(r["blocks"], np.int64)
+        counts[r["part"]] = np.frombuffer(zlib.decompress(r["blocks"]), np.int64)
     ranks = np.empty(counts.size, np.uint32)
     ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size, dtype=np.uint32)
     return ranks
