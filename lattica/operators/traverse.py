@@ -33,6 +33,7 @@ def _closure(steps: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int
     """keys and depth from seeds (keys) by steps (`at` to `to`); `node` is the key that moves."""
     frontier = cut(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "level")
     levels = [frontier]
+    steps = cut(steps, "steps")  # derived once, read at every level
     for depth in range(1, max_depth + 1):
         use = steps if first_steps is None or depth > 1 else steps.unionByName(first_steps)
         moved = frontier.join(use, F.col("node") == F.col("at")).withColumn("node", F.col("to")).select(*keys).distinct()
@@ -49,6 +50,7 @@ def _closure(steps: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int
             for t in levels[1:-1]:
                 merged = merged.unionByName(t)
             levels = [cut(merged, "levels"), new]
+    release(steps)
     out = levels[0]
     for t in levels[1:]:
         out = out.unionByName(t)
@@ -115,7 +117,7 @@ def path_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_d
 
     Walks forward until a level holds a target, then back along the best hops of those levels.
     """
-    steps = _forward(edges)
+    steps = cut(_forward(edges), "steps")
     seen = frontier = cut(sources.select("id").distinct().withColumn("depth", F.lit(0)), "level")
     goal = frontier.join(targets, "id", "left_semi")
     depth = 0
@@ -176,7 +178,7 @@ def downstream(edges: DataFrame, sources: DataFrame, sinks: Iterable[str], gate:
     flag = F.when(F.col("kind").isin(dispatch), 1).otherwise(0) + F.when(F.col("kind").isin(event), 2).otherwise(0)
     if gate:
         flag = flag + F.when(F.col("gate").eqNullSafe(F.lit(gate)), 4).otherwise(0)
-    steps = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", flag.alias("adds")).distinct()
+    steps = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", flag.alias("adds")).distinct(), "steps")
     frontier = cut(sources.select(F.col("id").alias("node"), F.lit(0).alias("flags"), F.lit(0).alias("depth")), "level")
     states = frontier
     calls = steps.where(~F.col("kind").isin(list(sinks))).select("at", "to", "adds").distinct()
