@@ -222,3 +222,76 @@ def only_by_dispatch(edges: DataFrame, targets: DataFrame, min_conf: str = "heur
     every = reverse_closure(walkable(edges, CALL_LIKE, min_conf), targets)
     direct = reverse_closure(walkable(edges, [k for k in CALL_LIKE if k not in ("OVERRIDDEN_BY", "IMPLEMENTED_BY")], min_conf), targets)
     return every.join(direct.select("id"), "id", "left_anti")
+
+
+def class_pairs(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, sub: each class (id) with all classes below it, itself included."""
+    up = group_closures(walkable(edges, ["EXTENDS", "IMPLEMENTS", "USES_TRAIT"]), classes.select("id", F.col("id").alias("grp")))
+    return up.select(F.col("grp").alias("cls"), F.col("id").alias("sub"))
+
+
+def receiver_walk(edges: DataFrame, starts: DataFrame, node_class: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """id, depth of what the starts reach when calls keep what is known of their receiver.
+
+    A state is a node and the class its receiver must be of, or none. A call on `this` keeps the class,
+    a call with one type in `recv` sets it, any other frees it. An override is entered only if its
+    class (node_class: id, cls) is at or below the required one (pairs: cls, sub), or if either is unknown.
+    """
+    dispatch = F.col("kind").isin("OVERRIDDEN_BY", "IMPLEMENTED_BY")
+    one = F.when(F.size("recv") == 1, F.element_at("recv", 1))
+    steps = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), dispatch.alias("dispatch"), F.coalesce("on_this", F.lit(False)).alias("keeps"), one.alias("sets")).distinct(), "steps")
+    owned = node_class.select(F.col("id").alias("to"), F.col("cls").alias("own"))
+    below = pairs.select(F.col("cls").alias("need"), F.col("sub").alias("own"), F.lit(True).alias("fits"))
+    frontier = cut(starts.select(F.col("id").alias("node"), F.lit("").alias("need"), F.lit(0).alias("depth")), "level")
+    states = frontier
+    for depth in range(1, max_depth + 1):
+        moved = frontier.join(steps, F.col("node") == F.col("at")).join(owned, "to", "left").join(below, ["need", "own"], "left")
+        allowed = ~F.col("dispatch") | (F.col("need") == "") | F.col("own").isNull() | F.coalesce("fits", F.lit(False))
+        need = F.when(F.col("dispatch") | F.col("keeps"), F.col("need")).otherwise(F.coalesce("sets", F.lit("")))
+        new = moved.where(allowed).select(F.col("to").alias("node"), need.alias("need")).distinct().join(states.select("node", "need"), ["node", "need"], "left_anti")
+        frontier = cut(new.withColumn("depth", F.lit(depth)), "level")
+        if frontier.isEmpty():
+            break
+        states = states.unionByName(frontier)
+    return states.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
+
+
+def platform_entries(edges: DataFrame, nodes: DataFrame, depth: DataFrame) -> DataFrame:
+    """node_id, entry_kind, entry_count, sample_entry within the nodes of a closure (id): entries walk inside it alone."""
+    inside = depth.select("id").distinct()
+    entries = nodes.where("entry_kind is not null").join(inside, "id", "left_semi").select("id", F.struct("entry_kind", F.col("id").alias("entry")).alias("grp"))
+    reach = group_closures(edges, entries, reverse=False, scope=inside)
+    return reach.groupBy(F.col("id").alias("node_id"), F.col("grp.entry_kind").alias("entry_kind")).agg(F.count(F.lit(1)).alias("entry_count"), F.min("grp.entry").alias("sample_entry"))
+
+
+def deepest(edges: DataFrame, starts: DataFrame, sinks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """id, sinks: the start that reaches most sinks, ties by id: a top-1 report."""
+    reach = group_closures(edges, starts.select("id", F.col("id").alias("grp")), max_depth, reverse=False)
+    hit = reach.join(sinks.select("id").distinct(), "id", "left_semi").groupBy(F.col("grp").alias("id")).agg(F.count(F.lit(1)).alias("sinks"))
+    return hit.orderBy(F.desc("sinks"), "id").limit(1)
+
+
+def within(spark, seconds: float, work):
+    """Run `work()` under a job group that is cancelled after so many seconds; its result, or None if it was cut off."""
+    import threading
+    import uuid
+
+    group = f"lattica-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, "within a deadline", True)
+    timer.start()
+    try:
+        return work()
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -114,3 +114,36 @@ def test_building_a_graph(spark):
     n, e = build.union_graphs({"l": left, "r": right})
     assert {r["id"] for r in n.collect()} == {"a", "b", "c", "r:a"}
     assert {(r["src"], r["dst"]) for r in e.collect()} == {("a", "b"), ("c", "r:a")}
+
+
+def test_receivers_narrow_overrides(spark):
+    schema = "src string, dst string, kind string, conf_rank int, gate string, on_this boolean, recv array<string>"
+    rows = [
+        ("main", "A.run", "CALLS", 3, None, False, ["B"]), ("A.run", "A.step", "CALLS", 3, None, True, None),
+        ("A.step", "B.step", "OVERRIDDEN_BY", 3, None, None, None), ("A.step", "C.step", "OVERRIDDEN_BY", 3, None, None, None),
+        ("B.step", "A.other", "CALLS", 3, None, False, None), ("A.other", "C.other", "OVERRIDDEN_BY", 3, None, None, None),
+        ("B", "A", "EXTENDS", 3, None, None, None), ("C", "A", "EXTENDS", 3, None, None, None),
+    ]
+    edges = spark.createDataFrame(rows, schema)
+    classes = spark.createDataFrame([("A",), ("B",), ("C",)], "id string")
+    pairs = G.class_pairs(edges, classes)
+    assert {(r["cls"], r["sub"]) for r in pairs.collect()} == {("A", "A"), ("A", "B"), ("A", "C"), ("B", "B"), ("C", "C")}
+    owned = spark.createDataFrame([(m, m[0]) for m in ("A.run", "A.step", "B.step", "C.step", "A.other", "C.other")], "id string, cls string")
+    calls = edges.where("kind <> 'EXTENDS'")
+    got = {r["id"]: r["depth"] for r in G.receiver_walk(calls, spark.createDataFrame([("main",)], "id string"), owned, pairs).collect()}
+    assert got == {"main": 0, "A.run": 1, "A.step": 2, "B.step": 3, "A.other": 4, "C.other": 5}
+
+
+def test_scoped_entries_deepest_and_deadline(spark):
+    import time
+
+    edges = frame(spark, [("r1", "f", "ROUTES_TO", None, None, "exact", 3, None), ("f", "table:1", "WRITES_TABLE", None, None, "exact", 3, None), ("r2", "g", "ROUTES_TO", None, None, "exact", 3, None)])
+    nodes = spark.createDataFrame([("r1", "http_route"), ("r2", "http_route"), ("f", None), ("g", None), ("table:1", None)], "id string, entry_kind string")
+    one = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    tags = G.platform_entries(edges, nodes, G.reverse_closure(edges, one("table:1"))).collect()
+    assert {(r["node_id"], r["entry_count"]) for r in tags} == {("r1", 1), ("f", 1), ("table:1", 1)}
+    assert G.deepest(edges, one("r1", "r2"), one("table:1")).first()["id"] == "r1"
+    assert G.within(spark, 60, lambda: edges.count()) == 3
+    slow = lambda: spark.range(4, numPartitions=4).rdd.map(lambda _: time.sleep(30)).count()
+    began = time.time()
+    assert G.within(spark, 1, slow) is None and time.time() - began < 25
