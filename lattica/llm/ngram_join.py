@@ -47,8 +47,8 @@ BLOCK_BITS = 20
 #: Parts in which the frequencies of a task's blocks are summed, and rows of one part that are summed at once.
 PARTS, SUMMED = 64, 1024
 #: Rounds of stars, and columns of a row that a round after the first draws from.
-STAR_ROUNDS, DRAWS = 6, 4
-SPAN_ROUNDS = 6
+STAR_ROUNDS, DRAWS = 4, 4
+SPAN_ROUNDS = 3
 #: Rows of a column that are multiplied by a join, and rows of a chunk where more are.
 FEW, CHUNK = 12, 512
 REMEMBERED = 400_000
@@ -462,15 +462,19 @@ def _spanned(pairs: DataFrame, named: DataFrame | None, texts: _Texts, size: int
     """Components after all links among the pairs (a, b, ca, cb, share).
 
     First each component's most promising pair is multiplied, again and again while that leaves many
-    fewer: pairs that come to lie within a component needn't be. Then all that are left are.
+    fewer: pairs that come to lie within a component needn't be. Then all that are left are, at once
+    where few of the promising ones are links.
     """
-    open_pairs, own = pairs, None
+    open_pairs, own, poor = pairs, None, False
     for turn in range(SPAN_ROUNDS + 1):
-        sides = open_pairs.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "a", "b", "ca", "cb", "share"), F.struct(F.col("cb").alias("c"), "a", "b", "ca", "cb", "share"))).alias("s")).select("s.*")
-        best = sides.groupBy("c").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("share", "a", "b")).alias("p")).select("p.*").distinct()
-        best = written(best, "best")
-        all_at_once = turn == SPAN_ROUNDS or open_pairs.count() <= 4 * best.count()
+        best, tried = None, 0
+        if not poor and turn < SPAN_ROUNDS:
+            sides = open_pairs.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "a", "b", "ca", "cb", "share"), F.struct(F.col("cb").alias("c"), "a", "b", "ca", "cb", "share"))).alias("s")).select("s.*")
+            best = written(sides.groupBy("c").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("share", "a", "b")).alias("p")).select("p.*").distinct(), "best")
+            tried = best.count()
+        all_at_once = best is None or open_pairs.count() <= 4 * tried
         links = _links(open_pairs.select("a", "b", "ca", "cb") if all_at_once else best, texts, size, percent)
+        poor = links is None or links.count() * 10 < tried
         if links is not None:
             named = _merged(named, links)
             forget(links)
