@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,20 +138,20 @@ def continuations(docs: DataFrame, vocabulary) -> DataFrame:
                 held.append(p[(p & ((1 << BITS) - 1)) > 0])
                 n += len(p)
                 if n > 1_000_000:
-                    had, held, n = pd.unique(np.concatenate([had, *held])), [], 0
+                    had, held, n = np.unique(np.concatenate([had, *held])), [], 0
                     if len(had) > 1_500_000:
                         yield pa.record_batch([pa.array(had)], names=["pair"])
                         had = had[:0]
-        yield pa.record_batch([pa.array(pd.unique(np.concatenate([had, *held])))], names=["pair"])
+        yield pa.record_batch([pa.array(np.unique(np.concatenate([had, *held])))], names=["pair"])
 
-    distinct = docs.select("text").mapInArrow(seen, StructType([StructField("pair", LongType())])).distinct()
+    distinct = docs.select("text").mapInArrow(seen, StructType([StructField("pair", LongType())])).repartition("pair").distinct()  # tasks gave each pair once: nothing to sum before the shuffle
     return distinct.groupBy(F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
 class Models:
     """Log ratios toxic to ordinary: of words, of contexts whose pair neither class has, and of pairs."""
 
-    def __init__(self, n: int, words: pd.DataFrame, pair_rows: pd.DataFrame, contexts: pd.DataFrame, following: pd.DataFrame) -> None:
+    def __init__(self, n: int, words, pair_rows, contexts, following) -> None:
         shared = np.full(n, 0.5)
         shared[following["w"].to_numpy()] = following["n"].to_numpy()
         shared /= shared.sum()
@@ -199,15 +198,15 @@ def fit(chosen: DataFrame, docs: DataFrame):
     if not rest["toxic"] or not rest["ordinary"]:
         forget(counts)
         return None
-    words = counts.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).orderBy("word").toPandas()
+    words = counts.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).orderBy("word").toArrow().to_pandas()
     vocabulary = spark.sparkContext.broadcast({bytes(w): i for i, w in enumerate(words["word"], 1)})
     both = written(pair_counts(chosen, vocabulary), "pairs")
     kept = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
-    contexts = both.groupBy(F.shiftright("pair", BITS).alias("v")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(kept(c).alias(f"{c}_kept") for c in ("toxic", "ordinary"))).toPandas()
+    contexts = both.groupBy(F.shiftright("pair", BITS).alias("v")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(kept(c).alias(f"{c}_kept") for c in ("toxic", "ordinary"))).toArrow().to_pandas()
     w = F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
-    continued = both.groupBy(w.alias("w")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary"))).toPandas()
-    rows = both.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).where(w > 0).orderBy("pair").toPandas()
-    following = continuations(docs, vocabulary).toPandas()
+    continued = both.groupBy(w.alias("w")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary"))).toArrow().to_pandas()
+    rows = both.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).where(w > 0).orderBy("pair").toArrow().to_pandas()
+    following = continuations(docs, vocabulary).toArrow().to_pandas()
     forget(counts)
     forget(both)
     return spark.sparkContext.broadcast((vocabulary.value, Models(len(words) + 1, continued, rows, contexts, following)))
@@ -252,7 +251,7 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out
     if model is None:
         forget(chosen)
         return packed.withColumn("score", F.lit(0.0))
-    seen = _measured(chosen.where(fold == 0).select("label", "text"), model, "label").orderBy("label", *MEASURES).toPandas()
+    seen = _measured(chosen.where(fold == 0).select("label", "text"), model, "label").orderBy("label", *MEASURES).toArrow().to_pandas()
     w = curve(seen["label"].to_numpy(float), seen[MEASURES].to_numpy()) if seen["label"].nunique() == 2 else np.array([1.0, 1.0, 1.0, -6.0])
     forget(chosen)
     odds = sum((F.col(m) * float(v) for m, v in zip(MEASURES, w, strict=False)), F.lit(float(w[-1])))
