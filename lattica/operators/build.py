@@ -18,19 +18,24 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 
 
 def with_edge_ids(edges: DataFrame) -> DataFrame:
-    """Dense ids in key order: the same at any number of partitions.
+    """Dense ids in key order: the same at any number of partitions."""
+    return number_rows(dedup_edges(edges), EDGE_KEY, "id")
+
+
+def number_rows(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Numbers from 1 in the order of the columns, whose values are distinct.
 
     Rows are range-partitioned, sorted and numbered within their partition, written once (a second
     run could draw other ranges), and moved on by the rows of the partitions before, so no single
-    task sees all edges.
+    task sees all rows.
     """
-    order = [F.col(c).asc_nulls_first() for c in EDGE_KEY]
-    placed = dedup_edges(edges).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    order = [F.col(c).asc_nulls_first() for c in by]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = cut(placed, "numbered").withColumn("_part", F.shiftright("_place", 33))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
     local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn("id", local + F.col("_before") + 1).drop("_part", "_place", "_before")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, local + F.col("_before") + 1).drop("_part", "_place", "_before")
 
 
 def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:

@@ -7,6 +7,7 @@ and gate once, before the loop. A loop ends when a level is empty or at the dept
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import CALL_LIKE, CONFIDENCE, DATA_USE, ENTRY_CLASSES, PROPAGATING
+from lattica.operators.build import number_rows
 from lattica.storage import cut, release
 
 MAX_DEPTH = 30
@@ -143,11 +145,63 @@ def classify(kinds: Column) -> Column:
     return out.otherwise("none")
 
 
-def tag_entries(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node_id, entry_kind, entry_count, sample_entry: the entries that reach each node, by kind."""
-    entries = nodes.where("entry_kind is not null").select("id", F.struct("entry_kind", F.col("id").alias("entry")).alias("grp"))
-    reach = group_closures(edges, entries, max_depth, reverse=False)
-    return reach.groupBy(F.col("id").alias("node_id"), F.col("grp.entry_kind").alias("entry_kind")).agg(F.count(F.lit(1)).alias("entry_count"), F.min("grp.entry").alias("sample_entry"))
+def _contracted(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps in which the strongly connected part around the busiest node is that node, and the part: id, knot.
+
+    All nodes of such a part are reached by the same sources, so a walk needs one of them.
+    """
+    into, out = steps.groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("into")), steps.groupBy(F.col("at").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    busiest = cut(into.join(out, "id").orderBy((F.col("into") * F.col("out")).desc(), "id").limit(1).select(F.col("id").alias("node")), "knot")
+    below = _closure(steps, busiest, ["node"], sys.maxsize)
+    above = _closure(steps.select(F.col("to").alias("at"), F.col("at").alias("to")), busiest, ["node"], sys.maxsize)
+    knot = cut(below.join(above.select("node"), "node").select(F.col("node").alias("id")).crossJoin(F.broadcast(busiest.withColumnRenamed("node", "knot"))), "knot")
+    for end in ("at", "to"):
+        steps = steps.join(knot.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("knot", end)).drop("knot")
+    return steps.where("at <> to").distinct(), knot
+
+
+#: Entries in one row of marks: so many words of 63 bits (the sign stays free, so that no mark overflows).
+WORDS, BITS = 16, 63
+
+
+def tag_entries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, entry_kind, entry_count, sample_entry: the entries that reach each node at any distance, by kind.
+
+    Entries are numbered by kind and id and walk as bits, about a thousand in a row of (node, kind, block);
+    a level passes on the bits that are new. The walk ends when none are.
+    """
+    words = [f"w{i}" for i in range(WORDS)]
+    steps = cut(_forward(edges).where("at <> to"), "steps")
+    short, knot = _contracted(steps)
+    short = cut(short, "steps")
+    numbered = cut(number_rows(nodes.where("entry_kind is not null").select("entry_kind", "id").distinct(), ["entry_kind", "id"], "n"), "entries")
+    first = numbered.groupBy("entry_kind").agg(F.min("n").alias("first"))
+    numbered = numbered.join(F.broadcast(first), "entry_kind").withColumn("n", F.col("n") - F.col("first")).drop("first")
+    bit = F.expr(f"shiftleft(1L, cast(n % {BITS} as int))")
+    word = F.expr(f"n div {BITS} % {WORDS}")
+    start = numbered.join(knot, "id", "left").select(F.coalesce("knot", "id").alias("node"), "entry_kind", F.expr(f"n div {BITS * WORDS}").alias("block"), *(F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)))
+    keys = ["node", "entry_kind", "block"]
+    either = [F.bit_or(w).alias(w) for w in words]
+    seen = frontier = cut(start.groupBy(*keys).agg(*either), "marks")
+    while True:
+        moved = frontier.join(short, F.col("node") == F.col("at")).groupBy(F.col("to").alias("node"), "entry_kind", "block").agg(*either)
+        known = seen.select(*keys, *(F.col(w).alias(f"s{w}") for w in words))
+        fresh = moved.join(known, keys, "left").select(*keys, *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(w) for w in words))
+        new = cut(fresh.where(F.greatest(*words) > 0), "marks")
+        if new.isEmpty():
+            release(new)
+            break
+        both = cut(seen.unionByName(new).groupBy(*keys).agg(*either), "marks")
+        if frontier is not seen:
+            release(frontier)
+        release(seen)
+        seen, frontier = both, new
+    least = F.coalesce(*(F.when(F.col(w) > 0, F.lit(i * BITS) + F.bit_count(F.col(w).bitwiseAND(-F.col(w)) - 1)) for i, w in enumerate(words)))
+    tags = seen.groupBy("node", "entry_kind").agg(F.sum(sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))).alias("entry_count"), F.min(F.col("block") * (BITS * WORDS) + least).alias("n"))
+    tags = tags.join(numbered.withColumnRenamed("id", "sample_entry"), ["entry_kind", "n"])
+    inside = tags.join(knot, F.col("node") == F.col("knot")).select("id", "entry_kind", "entry_count", "sample_entry")
+    outside = tags.join(knot, F.col("node") == F.col("id"), "left_anti").select(F.col("node").alias("id"), "entry_kind", "entry_count", "sample_entry")
+    return outside.unionByName(inside).select(F.col("id").alias("node_id"), "entry_kind", "entry_count", "sample_entry")
 
 
 def reaches(nodes: DataFrame, edges: DataFrame, targets: DataFrame, gate: str | None = None, min_conf: str = "heuristic", max_depth: int = MAX_DEPTH) -> DataFrame:

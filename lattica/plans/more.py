@@ -67,7 +67,7 @@ def one_connection(spark, sf_dir):
 @query(on_graph("SELECT e.dst AS id, count(DISTINCT e.src) AS entries, min(e.src) AS sample FROM edges e JOIN nodes n ON n.id = e.src AND n.entry_kind = 'http_route' WHERE e.kind = 'ROUTES_TO' AND e.dst IN ('function:1', 'function:2', 'function:3') GROUP BY e.dst"))
 def entry_info(spark, sf_dir):
     """Entries of given nodes out of the tagged table."""
-    tags = G.tag_entries(G.walkable(edges(spark, sf_dir), ["ROUTES_TO"]), nodes(spark, sf_dir), 1)
+    tags = G.tag_entries(G.walkable(edges(spark, sf_dir)), nodes(spark, sf_dir))
     return tags.where("entry_kind = 'http_route'").join(ids(spark, "function:1", "function:2", "function:3").withColumnRenamed("id", "node_id"), "node_id", "left_semi").select(F.col("node_id").alias("id"), F.col("entry_count").alias("entries"), F.col("sample_entry").alias("sample"))
 
 

@@ -114,9 +114,8 @@ def path_between(spark, sf_dir):
 walk(id, entry_kind, entry, depth) AS (SELECT id, entry_kind, id, 0 FROM nodes WHERE entry_kind IS NOT NULL
   UNION SELECT e.dst, entry_kind, entry, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('ROUTES_TO', 'USES_TYPE', 'REFERS_TO', 'READS_TABLE', 'WRITES_TABLE')) e ON e.src = walk.id WHERE depth < 1)"""))
 def entry_tags(spark, sf_dir):
-    """Entries that reach each node within one hop, counted by kind, with a sample."""
-    kinds = ["ROUTES_TO", "USES_TYPE", "REFERS_TO", "READS_TABLE", "WRITES_TABLE"]
-    return G.tag_entries(G.walkable(edges(spark, sf_dir), kinds), nodes(spark, sf_dir), 1)
+    """Entries that reach each node at any distance, counted by kind, with a sample."""
+    return G.tag_entries(G.walkable(edges(spark, sf_dir)), nodes(spark, sf_dir))
 
 
 @query(on_graph("SELECT src, dst, kind, depth FROM edges JOIN closure ON closure.id = dst WHERE gate = 'flag_open' AND kind IN ('CALLS', 'OVERRIDDEN_BY', 'ROUTES_TO', 'READS_TABLE', 'WRITES_TABLE', 'REFERS_TO', 'USES_TYPE') ORDER BY depth, dst, src, kind LIMIT 1", _closure_sql("SELECT 'table:3' AS id", PROPAGATES, 6)))
