@@ -41,7 +41,7 @@ CALLS = "kind IN ('CALLS', 'OVERRIDDEN_BY', 'ROUTES_TO')"
 @query(on_graph("SELECT id, depth FROM closure", _closure_sql("SELECT 'function:5' AS id", f"{PROPAGATES} AND conf_rank >= 2 AND {LIVE}", 8)))
 def reverse_closure(spark, sf_dir):
     """All that depends on a part, by edges of certain kinds, confidence and gate; least depth."""
-    return G.reverse_closure(G.walkable(edges(spark, sf_dir), None, "resolved", "flag_open"), ids(spark, "function:5"), 8)
+    return G.reverse_closure(G.walkable(edges(spark, sf_dir), None, "resolved", "flag_open"), ids(spark, "function:5"))
 
 
 HOPS = """
@@ -59,7 +59,7 @@ paths(id, depth, path, conf_rank) AS (
 def shortest_paths(spark, sf_dir):
     """One best evidence path from every dependent of a table, with its weakest confidence."""
     used = G.walkable(edges(spark, sf_dir), None, "resolved")
-    found = G.shortest_paths(used, G.reverse_closure(used, ids(spark, "table:1"), 8))
+    found = G.shortest_paths(used, G.reverse_closure(used, ids(spark, "table:1")))
     return found.select("id", "depth", G.path_text(F.col("path")).alias("path"), "conf_rank")
 
 
@@ -74,7 +74,7 @@ def group_closures(spark, sf_dir):
     """What depends on the tables of each nation, all nations in one walk; how many at each depth."""
     targets = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("table:"), "s_suppkey").alias("id"), F.concat(F.lit("module:"), "s_nationkey").alias("grp"))
     used = G.walkable(edges(spark, sf_dir), ["CALLS", "OVERRIDDEN_BY", "READS_TABLE", "WRITES_TABLE"], "resolved")
-    return G.group_closures(used, targets, 4).groupBy("grp", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return G.group_closures(used, targets).groupBy("grp", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(on_graph("SELECT paths.id, entry_kind, CASE entry_kind WHEN 'http_route' THEN 'runtime' WHEN 'queue_job' THEN 'runtime' WHEN 'cli_command' THEN 'operator' WHEN 'ui_page' THEN 'ui' ELSE 'dev' END AS class, paths.depth, CASE WHEN live.id IS NULL THEN 'gated' ELSE 'live' END AS status, path, conf_rank FROM paths JOIN nodes USING (id) LEFT JOIN live USING (id) WHERE entry_kind IS NOT NULL", f"used AS (SELECT * FROM edges WHERE {PROPAGATES}), " + _closure_sql("SELECT 'function:7' AS id", PROPAGATES, 3) + "," + HOPS + f""",
@@ -83,7 +83,7 @@ live AS (SELECT DISTINCT id FROM live_walk)"""))
 def reaches(spark, sf_dir):
     """Entry points that reach a part, with class, gate status and evidence path."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return G.reaches(n, e, ids(spark, "function:7"), "flag_open", max_depth=3).withColumn("path", G.path_text(F.col("path")))
+    return G.reaches(n, e, ids(spark, "function:7"), "flag_open").withColumn("path", G.path_text(F.col("path")))
 
 
 @query(on_graph("SELECT closure.id, kind, depth, entry_kind IS NOT NULL AS is_entry, sure.id IS NULL AS candidate FROM closure JOIN nodes ON nodes.id = closure.id LEFT JOIN sure ON sure.id = closure.id WHERE depth > 0", _closure_sql("SELECT 'function:11' AS id", CALLS) + f""",
@@ -99,7 +99,7 @@ flagged AS (SELECT DISTINCT src, dst, kind, CASE kind WHEN 'OVERRIDDEN_BY' THEN
 walk(id, flags, depth) AS (SELECT 'route:3', 0, 0 UNION SELECT e.dst, walk.flags | e.adds, walk.depth + 1 FROM walk JOIN flagged e ON e.src = walk.id WHERE e.kind NOT IN ('READS_TABLE', 'WRITES_TABLE') AND walk.depth < 4)"""))
 def downstream(spark, sf_dir):
     """Tables that an order reaches, by how: over overrides, over hops dead under the gate."""
-    return G.downstream(G.walkable(edges(spark, sf_dir), None, "exact"), ids(spark, "route:3"), ["READS_TABLE", "WRITES_TABLE"], "flag_open", 4)
+    return G.downstream(G.walkable(edges(spark, sf_dir), None, "exact"), ids(spark, "route:3"), ["READS_TABLE", "WRITES_TABLE"], "flag_open")
 
 
 @query(on_graph("SELECT count(*) AS found, min(depth)::INT AS depth FROM (SELECT min(depth) AS depth FROM walk WHERE id LIKE 'package:%' HAVING min(depth) IS NOT NULL)", f"walk(id, depth) AS (SELECT 'route:2', 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE {PROPAGATES}) e ON e.src = id WHERE depth < 5)"))

@@ -15,8 +15,8 @@ from lattica.sources.fixture import edges, nodes
 
 SF = "/root/testdata/sf0.001"
 PARTS = 24
-#: Orders, and the (part, supplier) of their lines: order 3 is one long chain of calls, 2, 4 and 5 enter at its far end.
-LINES = {1: [(1, 1), (7, 1), (499, 2)], 2: [(PARTS, 3)], 3: [(p, 1 + p % 3) for p in range(PARTS, 0, -1)], 4: [(PARTS - 1, 3)], 5: [(PARTS, 2)], 6: [(499, 4), (500, 5)]}
+#: Orders, and the (part, supplier) of their lines: order 1 is one long chain of calls, 2 to 5 enter at its far end.
+LINES = {1: [(p, 1 if p == 1 else 2 + p % 2) for p in range(PARTS, 0, -1)], 2: [(PARTS, 3)], 3: [(PARTS, 2)], 4: [(PARTS - 1, 3)], 5: [(PARTS, 2)], 6: [(1, 1), (7, 2), (499, 2)], 7: [(499, 4), (500, 5)]}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def deep(tmp_path_factory):
         "customer": f"SELECT * FROM {src('customer')} WHERE c_custkey <= 20",
         "supplier": f"SELECT * FROM {src('supplier')} WHERE s_suppkey <= 5",
         "part": f"SELECT * REPLACE (p_partkey + if(p_partkey > {PARTS}, {499 - PARTS - 1}, 0) AS p_partkey, p_name AS p_name, if(p_partkey > {PARTS}, 'one', 'b' || p_partkey) AS p_brand, 't' AS p_type, 5 AS p_size) FROM {src('part')} WHERE p_partkey <= {PARTS + 3}",
-        "orders": f"SELECT * REPLACE (1 + o_orderkey % 3 AS o_custkey, ['1-URGENT', '4-NOT SPECIFIED', '5-LOW'][1 + o_orderkey % 3] AS o_orderpriority) FROM {src('orders')} WHERE o_orderkey <= 6",
+        "orders": f"SELECT * REPLACE (1 + o_orderkey % 3 AS o_custkey, ['1-URGENT', '4-NOT SPECIFIED', '5-LOW'][1 + o_orderkey % 3] AS o_orderpriority) FROM {src('orders')} WHERE o_orderkey <= 7",
         "lineitem": f"SELECT l.* REPLACE (v.o AS l_orderkey, v.p AS l_partkey, v.s AS l_suppkey, v.k::INT AS l_linenumber, v.f AS l_returnflag, v.t AS l_linestatus) FROM (VALUES {lines}) v(o, p, s, k, f, t), (SELECT * FROM {src('lineitem')} LIMIT 1) l",
         "events": f"SELECT * REPLACE (if(event_id % 2 = 0, 'error', 'click') AS event_type) FROM {src('events')} WHERE event_id IN (1, 2, 3)",
     }
@@ -76,3 +76,38 @@ def test_tags_of_many_entries_over_a_long_chain_and_a_cycle(spark):
     assert tags(G.tag_entries(frame(spark, rows), n)) == tagged(rows, entries)
     tree = rows[:9]
     assert tags(G.tag_entries(frame(spark, tree), n.where("id in ('f4', 'alone')"))) == tagged(tree, {"f4": "test", "alone": "test"})
+
+
+def test_closures_and_paths_reach_any_depth(spark, deep, known):
+    rows, entries = known
+    run = lambda name: queries.queries()[name](spark, deep).collect()
+    near = search(rows, ["function:5"])
+    assert max(near.values()) > 8 and {r["id"]: r["depth"] for r in run("reverse_closure")} == near
+    near = search(rows, ["table:1"])
+    assert max(near.values()) > 8
+    paths = {r["id"]: (r["depth"], r["path"].count("-> ")) for r in run("shortest_paths")}
+    assert paths == {k: (d, d) for k, d in near.items()}
+    near = search(rows, ["function:7"])
+    assert max(near[k] for k in near if k in entries) > 3
+    assert {r["id"]: (r["depth"], r["status"], r["path"].count("-> ")) for r in run("reaches")} == {k: (d, "live", d) for k, d in near.items() if k in entries}
+
+
+def test_groups_and_downstream_reach_any_depth(spark, deep, known):
+    rows, _ = known
+    data = [e for e in rows if e[2] in ("READS_TABLE", "WRITES_TABLE")]
+    calls = [e for e in rows if e not in data and e[2] != "OVERRIDDEN_BY"]
+    got = {(r["grp"], r["depth"]): r["n"] for r in queries.queries()["group_closures"](spark, deep).collect()}
+    of = {e[0]: e[1] for e in rows if e[0].startswith("table:") and e[2] == "REFERS_TO"}
+    want = defaultdict(int)
+    for grp in set(of.values()):
+        used = [e for e in rows if e[2] in ("CALLS", "OVERRIDDEN_BY", "READS_TABLE", "WRITES_TABLE")]
+        for d in search(used, [t for t in of if of[t] == grp]).values():
+            want[grp, d] += 1
+    assert max(d for _, d in got) > 4 and got == dict(want)
+    far = search(calls, ["route:3"], back=False)
+    tables = defaultdict(list)
+    for e in data:
+        if e[0] in far:
+            tables[e[1], e[2]].append(far[e[0]] + 1)
+    got = {(r["id"], r["kind"]): r["depth"] for r in queries.queries()["downstream"](spark, deep).collect() if r["flags"] == 0}
+    assert max(got.values()) > 5 and got == {k: min(v) for k, v in tables.items()}
