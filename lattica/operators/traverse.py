@@ -246,6 +246,15 @@ def downstream(edges: DataFrame, sources: DataFrame, sinks: Iterable[str], gate:
     return hit.groupBy("id", "kind", "flags").agg(F.min("depth").alias("depth")).withColumn("live", F.col("flags").bitwiseAND(4) == 0)
 
 
+def affected(nodes: DataFrame, edges: DataFrame, touched: DataFrame, min_conf: str = "heuristic") -> DataFrame:
+    """id, entry_kind of the tests that cover the touched nodes (id), by calls, and of the other entries that reach them, at any distance."""
+    test = F.col("entry_kind") == "test"
+    tests = reverse_closure(walkable(edges, CALL_LIKE + ["TEST_CALLS", "TEST_USES", "TEST_HTTP", "TEST_VISITS"], min_conf), touched)
+    others = reverse_closure(walkable(edges, None, min_conf), touched)
+    entries = nodes.where("entry_kind is not null").select("id", "entry_kind")
+    return entries.where(test).join(tests, "id", "left_semi").unionByName(entries.where(~test).join(others, "id", "left_semi"))
+
+
 def nearest_gated(edges: DataFrame, targets: DataFrame, gate: str, max_depth: int = 6) -> DataFrame:
     """The gated edge nearest above the targets: src, dst, kind, depth of its lower end."""
     closure = reverse_closure(walkable(edges), targets, max_depth).select(F.col("id").alias("dst"), "depth")

@@ -51,12 +51,11 @@ def tests_covering(spark, sf_dir):
 @query(on_graph("SELECT n.entry_kind, count(DISTINCT n.id) AS n FROM changed JOIN edges e ON e.dst = changed.id AND e.kind = 'ROUTES_TO' JOIN nodes n ON n.id = e.src GROUP BY n.entry_kind", """changes AS (SELECT 'src/m' || (event_id % 40) || '.py' AS file, (event_id * 13) % 420 + 1 AS lo, (event_id * 13) % 420 + 1 + event_id % 5 AS hi FROM events WHERE event_type = 'error'),
 changed AS (SELECT DISTINCT id FROM changes JOIN nodes USING (file) WHERE kind = 'function' AND lo <= end_line AND line <= hi)"""))
 def affected(spark, sf_dir):
-    """Changed line ranges to symbols to the tests and entry points that call them."""
+    """Changed line ranges to symbols to the tests and entry points that reach them."""
     from lattica.plans.joins import changes, spans
 
-    touched = J.overlapping(changes(spark, sf_dir).join(read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id"), "event_id", "left_semi"), spans(spark, sf_dir), ["file"]).select(F.col("id").alias("dst")).distinct()
-    callers = edges(spark, sf_dir).where("kind = 'ROUTES_TO'").join(touched, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    return callers.join(nodes(spark, sf_dir).select("id", "entry_kind"), "id").groupBy("entry_kind").agg(F.count(F.lit(1)).alias("n"))
+    touched = J.overlapping(changes(spark, sf_dir), spans(spark, sf_dir), ["file"]).select("id").distinct()
+    return G.affected(nodes(spark, sf_dir), edges(spark, sf_dir), touched).groupBy("entry_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(on_graph("SELECT dst AS tbl, count(DISTINCT src) FILTER (kind = 'WRITES_TABLE') AS writers, count(DISTINCT src) FILTER (kind = 'READS_TABLE') AS readers, count(*) FILTER (gate IS NOT NULL) AS gated, min(file) AS first_at FROM edges WHERE kind IN ('READS_TABLE', 'WRITES_TABLE') GROUP BY dst"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -30,10 +30,10 @@ def deep(tmp_path_factory):
         "nation": f"SELECT * FROM {src('nation')}",
         "customer": f"SELECT * FROM {src('customer')} WHERE c_custkey <= 20",
         "supplier": f"SELECT * FROM {src('supplier')} WHERE s_suppkey <= 5",
-        "part": f"SELECT * REPLACE (p_partkey + if(p_partkey > {PARTS}, {499 - PARTS - 1}, 0) AS p_partkey, p_name AS p_name, if(p_partkey > {PARTS}, 'one', 'b' || p_partkey) AS p_brand, 't' AS p_type, 5 AS p_size) FROM {src('part')} WHERE p_partkey <= {PARTS + 3}",
+        "part": f"SELECT * REPLACE (p_partkey + if(p_partkey > {PARTS}, {499 - PARTS - 1}, 0) AS p_partkey, p_name AS p_name, if(p_partkey > {PARTS - 2}, 'one', 'b' || p_partkey) AS p_brand, 't' AS p_type, 5 AS p_size) FROM {src('part')} WHERE p_partkey <= {PARTS + 3}",
         "orders": f"SELECT * REPLACE (1 + o_orderkey % 3 AS o_custkey, ['1-URGENT', '4-NOT SPECIFIED', '5-LOW'][1 + o_orderkey % 3] AS o_orderpriority) FROM {src('orders')} WHERE o_orderkey <= 7",
         "lineitem": f"SELECT l.* REPLACE (v.o AS l_orderkey, v.p AS l_partkey, v.s AS l_suppkey, v.k::INT AS l_linenumber, v.f AS l_returnflag, v.t AS l_linestatus) FROM (VALUES {lines}) v(o, p, s, k, f, t), (SELECT * FROM {src('lineitem')} LIMIT 1) l",
-        "events": f"SELECT * REPLACE (if(event_id % 2 = 0, 'error', 'click') AS event_type) FROM {src('events')} WHERE event_id IN (1, 2, 3)",
+        "events": f"SELECT * REPLACE (if(event_id % 2 = 0, 'error', 'click') AS event_type) FROM {src('events')} WHERE event_id IN (163, 164, 327)",
     }
     for name, sql in tables.items():
         c.execute(f"COPY ({sql}) TO '{at}/{name}.parquet' (FORMAT parquet)")
@@ -111,3 +111,14 @@ def test_groups_and_downstream_reach_any_depth(spark, deep, known):
             tables[e[1], e[2]].append(far[e[0]] + 1)
     got = {(r["id"], r["kind"]): r["depth"] for r in queries.queries()["downstream"](spark, deep).collect() if r["flags"] == 0}
     assert max(got.values()) > 5 and got == {k: min(v) for k, v in tables.items()}
+
+
+def test_affected_takes_all_changes_and_any_distance(spark, deep, known):
+    rows, entries = known
+    lines = {r["id"]: (r["file"], r["line"], r["end_line"]) for r in nodes(spark, deep).where("kind = 'function'").collect()}
+    changed = [(f"src/m{i % 40}.py", i * 13 % 420 + 1, i * 13 % 420 + 1 + i % 5) for (i,) in duckdb.sql(f"SELECT event_id FROM '{deep}/events.parquet'").fetchall()]
+    touched = [k for k, (f, a, b) in lines.items() if any(f == g and lo <= b and a <= hi for g, lo, hi in changed)]
+    want = Counter(entries[k] for k in search(rows, touched) if k in entries)
+    assert touched and {r["entry_kind"]: r["n"] for r in queries.queries()["affected"](spark, deep).collect()} == dict(want)
+    near = {e[0] for e in rows if e[1] in touched}
+    assert any(k in entries and k not in near for k in search(rows, touched))
