@@ -287,6 +287,16 @@ def only_by_dispatch(edges: DataFrame, targets: DataFrame, min_conf: str = "heur
     return every.join(direct.select("id"), "id", "left_anti")
 
 
+def every_step_dispatch(edges: DataFrame, targets: DataFrame, min_conf: str = "heuristic") -> DataFrame:
+    """Nodes above the targets whose every step nearer to them is an override hop: id, depth. They don't call; their callers do."""
+    used = walkable(edges, CALL_LIKE, min_conf)
+    every = cut(reverse_closure(used, targets), "closure")
+    steps = used.where(~F.col("kind").isin("OVERRIDDEN_BY", "IMPLEMENTED_BY")).select(F.col("src").alias("id"), "dst").distinct()
+    near = every.select(F.col("id").alias("dst"), (F.col("depth") + 1).alias("depth"))
+    calls = steps.join(near, "dst").select("id", "depth")
+    return every.where("depth > 0").join(calls, ["id", "depth"], "left_anti")
+
+
 def class_pairs(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, sub: each class (id) with all classes below it, itself included."""
     up = group_closures(walkable(edges, ["EXTENDS", "IMPLEMENTS", "USES_TRAIT"]), classes.select("id", F.col("id").alias("grp")))

@@ -163,8 +163,8 @@ every AS (SELECT id, min(depth) AS depth FROM walk1 GROUP BY id),
 walk2(id, depth) AS (SELECT 'function:499', 0 UNION SELECT e.src, depth + 1 FROM walk2 JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'ROUTES_TO') e ON e.dst = id WHERE depth < 30),
 direct AS (SELECT DISTINCT id FROM walk2)"""))
 def dispatch_only(spark, sf_dir):
-    """What depends on a part through override hops alone, its calls apart."""
-    return G.only_by_dispatch(edges(spark, sf_dir).where("kind <> 'CALLS'"), ids(spark, "function:499"))
+    """What leads to a part by override hops alone, no call leading nearer."""
+    return G.every_step_dispatch(edges(spark, sf_dir), ids(spark, "function:499"))
 
 
 @query(on_graph("SELECT src, dst, kind, file, line, conf_rank, CASE WHEN src IN (SELECT id FROM both_sides) AND repo = 'right' THEN 'right:' || src ELSE src END AS linked FROM halves WHERE kind = 'USES_TYPE'", """

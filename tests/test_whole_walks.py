@@ -122,3 +122,14 @@ def test_affected_takes_all_changes_and_any_distance(spark, deep, known):
     assert touched and {r["entry_kind"]: r["n"] for r in queries.queries()["affected"](spark, deep).collect()} == dict(want)
     near = {e[0] for e in rows if e[1] in touched}
     assert any(k in entries and k not in near for k in search(rows, touched))
+
+
+def test_dispatch_only_looks_at_calls_too(spark, deep, known):
+    rows = [e for e in known[0] if e[2] in ("CALLS", "OVERRIDDEN_BY", "ROUTES_TO")]
+    far = search(rows, ["function:499"])
+    want = {k: d for k, d in far.items() if d and all(e[2] == "OVERRIDDEN_BY" for e in rows if e[0] == k and far.get(e[1]) == d - 1)}
+    assert want == {"function:24": 1, "function:23": 2}
+    assert {r["id"]: r["depth"] for r in queries.queries()["dispatch_only"](spark, deep).collect()} == want
+    edge = lambda a, b, kind: (a, b, kind, None, None, "exact", 3, None)
+    both = [edge("base", "t", "OVERRIDDEN_BY"), edge("both", "t", "OVERRIDDEN_BY"), edge("both", "t", "CALLS"), edge("user", "base", "CALLS"), edge("top", "user", "OVERRIDDEN_BY"), edge("t", "t", "CALLS")]
+    assert {(r["id"], r["depth"]) for r in G.every_step_dispatch(frame(spark, both), spark.createDataFrame([("t",)], "id string")).collect()} == {("base", 1), ("top", 3)}
