@@ -227,8 +227,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             hit, held = [], (None, None)
             for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw(batch.column("x")), raw(batch.column("y")), strict=True):
-                if held[0] != b:
-                    held = (b, ngrams(y, size))
+                if held[0] != y:
+                    held = (y, ngrams(y, size))
                 x, y = ngrams(x, size), held[1]
                 both = np.concatenate([x, y])
                 both.sort()

@@ -68,3 +68,13 @@ def test_components_of_chains_and_loops(spark):
     links = [(k, k + 1) for k in range(30)] + [(50, 41), (60, 50), (60, 41), (70, 70), (41, 50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(31)} | {41: 41, 50: 41, 60: 41, 70: 70}
+
+
+@pytest.mark.parametrize("other_first", [True, False])
+def test_a_name_with_two_texts_keeps_its_true_link(spark, other_first):
+    """Both orders of the two texts that one id has; one task sees them behind each other."""
+    right, other = "a b c d e f g h", "q r s t u v w x"
+    name = N.set_name(N.ngrams(right.encode(), 3))
+    texts = spark.createDataFrame([(name, x) for x in ([other, right] if other_first else [right, other])], "name bigint, text string").coalesce(1)
+    pairs = spark.createDataFrame([(name, name)], "a bigint, b bigint").coalesce(1)
+    assert [tuple(r) for r in N._verified(pairs, texts, 3, 80).collect()] == [(name, name)]
