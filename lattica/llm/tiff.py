@@ -30,7 +30,7 @@ from lattica.llm.common import raw, ship
 
 # Fixed values of the TIFF 6.0 format: tags, field types with their sizes, compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
+FILL_ORDER, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 266, 322, 323, 324, 325
 FIELD_TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NO_COMPRESSION, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -213,7 +213,7 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
     return bytes(out)
 
 
-def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
+def _fields(data: bytes, at: int, order: str) -> dict[int, list[int]]:
     (n,) = struct.unpack_from(order + "H", data, at)
     found = {}
     for k in range(n):
@@ -223,11 +223,11 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int
             if FIELD_SIZES[kind] * count > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
             found[tag] = list(struct.unpack_from(f"{order}{count}{FIELD_TYPES[kind]}", data, place))
-    return found, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return found
 
 
-def decode_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file with 8- or 16-bit samples side by side."""
+def _directories(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """Number, place and byte order of each image directory."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise ValueError("no TIFF header")
     order = "<" if data[:1] == b"I" else ">"
@@ -237,43 +237,77 @@ def decode_pages(data: bytes) -> Iterator[Page]:
         if at in seen:
             raise ValueError("image directories form a loop")
         seen.add(at)
-        f, at = _fields(data, at, order)
-        one = lambda tag, default, f=f: f.get(tag, [default])[0]
-        w, h, s, bits, packing = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1)
-        if bits not in (8, 16) or one(PLANAR, 1) != 1 and s > 1:
-            raise ValueError(f"{bits}-bit samples or separate planes aren't read")
-        kind = np.dtype(f"{order}u{bits // 8}")
-        if TILE_AT in f:
-            bw, bh, places, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), f[TILE_AT], f[TILE_BYTES]
+        yield number, at, order
+        (n,) = struct.unpack_from(order + "H", data, at)
+        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        number += 1
+
+
+def _page(data: bytes, number: int, at: int, order: str) -> Page:
+    f = _fields(data, at, order)
+    one = lambda tag, default: f.get(tag, [default])[0]
+    w, h, s, bits, packing = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1)
+    if bits not in (1, 4, 8, 16) or one(PLANAR, 1) != 1 and s > 1 or bits < 8 and one(FILL_ORDER, 1) != 1:
+        raise ValueError(f"{bits}-bit samples, separate planes or this order of bits aren't read")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    if TILE_AT in f:
+        bw, bh, places, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), f[TILE_AT], f[TILE_BYTES]
+    else:
+        bw, bh, places = w, min(one(ROWS, h), h), f[STRIP_AT]
+        sizes = f.get(STRIP_BYTES) or [len(data) - places[0]]
+    image = np.zeros((h, w * s), kind.newbyteorder("="))
+    across = -(-w // bw)
+    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+        y, x = k // across * bh, k % across * bw
+        rows = bh if TILE_AT in f else min(bh, h - y)
+        need = rows * (line := -(-bw * s * bits // 8))
+        part = data[place : place + size]
+        if packing == NO_COMPRESSION:
+            part = part[:need]
+        elif packing == PACKBITS:
+            part = unpack_bits(part, need)
+        elif packing == LZW:
+            part = lzw_decode(part, need)
+        elif packing in (DEFLATE, OLD_DEFLATE):
+            part = inflate(part, need)
+        else:
+            raise ValueError(f"compression {packing} isn't read")
+        if bits < 8:  # rows begin at a byte
+            cells = np.unpackbits(np.frombuffer(part, np.uint8).reshape(rows, line), axis=1)
+            block = (cells if bits == 1 else np.packbits(cells.reshape(rows, -1, 4), axis=2)[:, :, 0] >> 4)[:, : bw * s]
         else:
-            bw, bh, places = w, min(one(ROWS, h), h), f[STRIP_AT]
-            sizes = f.get(STRIP_BYTES) or [len(data) - places[0]]
-        image = np.zeros((h, w * s), kind.newbyteorder("="))
-        across = -(-w // bw)
-        for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
-            y, x = k // across * bh, k % across * bw
-            rows = bh if TILE_AT in f else min(bh, h - y)
-            need = rows * bw * s * bits // 8
-            part = data[place : place + size]
-            if packing == NO_COMPRESSION:
-                part = part[:need]
-            elif packing == PACKBITS:
-                part = unpack_bits(part, need)
-            elif packing == LZW:
-                part = lzw_decode(part, need)
-            elif packing in (DEFLATE, OLD_DEFLATE):
-                part = inflate(part, need)
-            else:
-                raise ValueError(f"compression {packing} isn't read")
             block = np.frombuffer(part, kind).astype(kind.newbyteorder("=")).reshape(rows, bw * s)
-            if one(PREDICTOR, 1) == 2:
-                block = np.cumsum(block.reshape(rows, bw, s), axis=1, dtype=block.dtype).reshape(rows, bw * s)
-            elif one(PREDICTOR, 1) != 1:
-                raise ValueError("this predictor isn't read")
-            high, wide = min(rows, h - y), min(bw, w - x) * s
-            image[y : y + high, x * s : x * s + wide] = block[:high, :wide]
-        yield Page(number, w, h, s, bits, packing, image.tobytes())
-        number += 1
+        if one(PREDICTOR, 1) == 2 and bits >= 8:
+            block = np.cumsum(block.reshape(rows, bw, s), axis=1, dtype=block.dtype).reshape(rows, bw * s)
+        elif one(PREDICTOR, 1) != 1:
+            raise ValueError("this predictor isn't read")
+        high, wide = min(rows, h - y), min(bw, w - x) * s
+        image[y : y + high, x * s : x * s + wide] = block[:high, :wide]
+    return Page(number, w, h, s, bits, packing, image.tobytes())
+
+
+def decode_pages(data: bytes) -> Iterator[Page]:
+    """The pages of a file with 1-, 4-, 8- or 16-bit samples side by side; 1- and 4-bit samples take a byte each."""
+    for place in _directories(data):
+        yield _page(data, *place)
+
+
+#: What a damaged file or one of a kind that isn't read raises.
+UNREAD = (ValueError, ArithmeticError, LookupError, MemoryError, struct.error, zlib.error)
+
+
+def _rows(data: bytes) -> Iterator[tuple]:
+    """A row per page; an error row for each page that isn't read, and one without number where the directories end badly."""
+    try:
+        for place in _directories(data):
+            try:
+                p = _page(data, *place)
+                row = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.data, None)
+            except UNREAD as e:
+                row = (place[0], *(None,) * 6, f"{type(e).__name__}: {e}")
+            yield row
+    except UNREAD as e:
+        yield (None,) * 7 + (f"{type(e).__name__}: {e}",)
 
 
 PAGE = [StructField("page", IntegerType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("samples", IntegerType()), StructField("bits", IntegerType()), StructField("compression", IntegerType()), StructField("pixels", BinaryType()), StructField("error", StringType())]
@@ -292,12 +326,9 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
             for k, data in enumerate(b.column(media).to_pylist()):
                 if data is None:
                     continue
-                try:
-                    rows = [(p.number, p.width, p.height, p.samples, p.bits, p.compression, p.data, None) for p in decode_pages(data)]
-                except (ValueError, struct.error, zlib.error, KeyError) as e:
-                    rows = [(None,) * 7 + (f"{type(e).__name__}: {e}",)]
-                own = [b.column(c).slice(k, 1).take(pa.array([0] * len(rows), pa.int32())) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), list(arrow)[len(keep) :], strict=True))], schema=arrow)
+                for row in _rows(data):
+                    own = [b.column(c).slice(k, 1) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array([x], t.type) for x, t in zip(row, list(arrow)[len(keep) :], strict=True))], schema=arrow)
 
     return files.select(*(files[f"`{c}`"] for c in [*keep, media])).mapInArrow(read, schema)
 

@@ -46,6 +46,38 @@ def test_pages_of_a_column_and_damaged_files(spark):
     assert 2 not in got and all(not got[k][-1][1] for k in (3, 4, 5, 6))
 
 
+def patched(data, page, **tags):
+    """The little-endian file with short or long values of a page's directory replaced."""
+    out = bytearray(data)
+    at = struct.unpack_from("<I", out, 4)[0]
+    for _ in range(page):
+        at = struct.unpack_from("<I", out, at + 2 + 12 * struct.unpack_from("<H", out, at)[0])[0]
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        tag, kind = struct.unpack_from("<HH", out, at + 2 + 12 * k)
+        for name, value in tags.items():
+            if tag == getattr(tiff, name):
+                struct.pack_into("<H" if kind == 3 else "<I", out, at + 10 + 12 * k, value)
+    return bytes(out)
+
+
+def test_a_page_that_is_not_read_leaves_the_others(spark):
+    three = tiff.encode([np.full((2, 3), k, np.uint8) for k in range(3)])
+    unread = patched(three, 1, COMPRESSION=7)
+    df = spark.createDataFrame([(1, bytearray(unread))], "id int, media binary")
+    got = [(r["page"], r["error"] is None, r["pixels"] and bytes(r["pixels"])) for r in tiff.pages(df).orderBy("page").collect()]
+    assert got == [(0, True, bytes(6)), (1, False, None), (2, True, bytes([2] * 6))]
+
+
+@pytest.mark.parametrize("compression", [tiff.PACKBITS, tiff.LZW, tiff.DEFLATE, tiff.NO_COMPRESSION])
+@pytest.mark.parametrize("bits", [1, 4])
+def test_samples_of_less_than_a_byte(compression, bits):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 11), np.uint8)
+    cells = np.unpackbits(image[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1)
+    packed = np.packbits(cells, axis=1)
+    (page,) = tiff.decode_pages(patched(tiff.encode([packed], compression), 0, WIDTH=11, BITS=bits))
+    assert (page.width, page.height, page.bits, page.data) == (11, 5, bits, image.tobytes())
+
+
 def test_texts_as_media(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
