@@ -1,21 +1,41 @@
 """Token counts by prefix dynamic programming.
 
-White space never crosses a token of the vocabularies served here, so a text is a row of runs
-between ASCII white space and the count at the end of run i is the count at the end of run i-1
-plus the tokens of run i. Runs repeat, so their counts are remembered; the library encodes a run
-once. Inside a run the count at a prefix is that of the runs before it plus the tokens of the
-run's own prefix. From the table of prefix counts any truncation or budget question is answered
-without encoding again.
-
-Null is the empty text and has no tokens; repeated rows are counted each; extra columns pass
-through `count_tokens` untouched, and a column whose name clashes with a result is replaced.
+The count of every prefix of a text is stored, and truncation and budget questions are read from
+the store. No text is encoded again for them, and none is encoded by the library at all: of the
+library only the normaliser and the pre-tokenizer of the given file are used, and the counts come
+from its vocabulary and merges.
+
+A piece is what the pre-tokenizer gives to byte-pair encoding. An encoding's beginning is the
+encoding of the piece's beginning, and a row of tokens is an encoding exactly when each two
+neighbours are one of their own; so the last token of a prefix is the only one that ends there, is
+whole by itself and goes with the last token of the prefix that it leaves:
+
+    tokens(piece[:i]) = tokens(piece[:i - len(t)]) + 1
+
+Tokens at a word's end differ from those within, so two columns are kept: `inner`, the prefix with
+more to come, and `end`, the prefix as a whole word, whose last token follows an inner prefix.
+
+Runs between white space add up, as white space is in no token. For a run the differences of the
+counts at each code point are remembered as two-byte numbers; a text's store is its runs' differences
+one after the other, and its running sum is the count at each prefix. Where a prefix reads otherwise
+than the run does up to there (composed characters, special strings, contractions), the part after the
+last piece that can't change is cut into pieces anew, and these are counted in the same way.
+
+The file must be a byte-pair model whose pieces hold no white space; others are refused. Special
+strings count one each, as the library's default has it. Null is the empty text and has no tokens;
+repeated rows are counted each; extra columns pass through `count_tokens`, and a column whose name
+clashes with a result is replaced.
 """
 
 from __future__ import annotations
 
-import os
-from bisect import bisect_right
+import json
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -25,92 +45,279 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 
 from lattica.llm.common import raw, ship
 
-#: Runs remembered by one Python worker; the memory is emptied when full, which costs time only.
-REMEMBERED = 400_000
+#: Runs, pieces and token pairs that a worker remembers: two generations of so many each.
+REMEMBERED = 250_000
+#: Longest run in code points that is remembered.
+SHORT = 64
+#: Code points that the pre-tokenizer looks ahead, and one more.
+AHEAD = 4
+
+_SIGNS = ".,;:!?"
+_WORD = re.compile(rf"([A-Za-z]+)([{_SIGNS}]?)\Z")
+
+
+class Remembered(dict):
+    """Answers by question; when full, those not asked for lately are forgotten."""
+
+    def __init__(self, answer, size: int = REMEMBERED, longest: int = SHORT) -> None:
+        super().__init__()
+        self.answer, self.size, self.longest, self.old = answer, size, longest, {}
+
+    def __missing__(self, question):
+        found = self.old.get(question)
+        if found is None:
+            found = self.answer(question)
+            if isinstance(question, str) and len(question) > self.longest:
+                return found
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[question] = found
+        return found
+
+
+class Merges:
+    """The vocabulary and merges of a byte-pair model with, or without, a suffix of words' ends."""
+
+    def __init__(self, model: dict) -> None:
+        if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
+            raise ValueError("not a plain byte-pair model")
+        self.suffix = model.get("end_of_word_suffix") or ""
+        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in reversed(list(enumerate(model["merges"])))}
+        made = {a + b: k for (a, b), k in self.rank.items()}
+        if any(made.get(part, -1) >= k for pair, k in self.rank.items() for part in pair):
+            raise ValueError("a merge comes before its parts")
+        n = len(self.suffix)
+        #: for each beginning of a token: 1 if it is a token itself, 2 if one with the suffix
+        self.begins: dict[str, int] = {}
+        for t in model["vocab"]:
+            text, flag = (t[:-n], 2) if n and t.endswith(self.suffix) else (t, 1 if n else 3)
+            self.begins[text] = self.begins.get(text, 0) | flag
+            for k in range(1, len(text)):
+                self.begins.setdefault(text[:k], 0)
+        self.edges = Remembered(self._edges)
+        self.goes = Remembered(self._goes)
+
+    def symbols(self, token: str) -> list[str]:
+        if self.suffix and token.endswith(self.suffix) and token != self.suffix:
+            inner = token[: -len(self.suffix)]
+            return [*inner[:-1], inner[-1] + self.suffix]
+        return list(token)
+
+    def _edges(self, token: str) -> tuple | None:
+        """A token's first and last symbol while it is joined, each with the rank of the merge that ends it; None if it isn't joined to one."""
+        parts = self.symbols(token)
+        first, last = [], []
+        while len(parts) > 1:
+            rank, k = min((self.rank.get(p, 1 << 60), k) for k, p in enumerate(pairwise(parts)))
+            if rank == 1 << 60:
+                return None
+            if k == 0:
+                first.append((parts[0], rank))
+            if k == len(parts) - 2:
+                last.append((parts[-1], rank))
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return ([*first, (token, 1 << 60)], [*last, (token, 1 << 60)]) if parts == [token] else None
+
+    def _goes(self, pair: tuple[str, str]) -> bool:
+        """Whether two tokens stay apart: nothing joins the symbols at their border before these are joined within."""
+        left, right = self.edges[pair[0]][1], self.edges[pair[1]][0]
+        i = j = 0
+        while True:
+            (x, until), (y, also) = left[i], right[j]
+            rank = self.rank.get((x, y), 1 << 60)
+            if rank < until and rank <= also and rank < 1 << 60:  # of equal ranks the leftmost is joined first
+                return False
+            if until == also == 1 << 60:
+                return True
+            if until <= also:
+                i += 1
+            else:
+                j += 1
 
+    def table(self, piece: str) -> list[int]:
+        """Tokens of piece[:i] as a whole word, for every i."""
+        size = len(piece)
+        count, last, end = [0] * (size + 1), [""] * (size + 1), [0] * (size + 1)
+        begins, edges, goes, suffix = self.begins, self.edges, self.goes, self.suffix
+        for k in range(size):
+            before, n = last[k], count[k] + 1
+            if not before and k:
+                raise ValueError(f"no token of the vocabulary ends {piece[:k]!r}")
+            for i in range(k + 1, size + 1):
+                part = piece[k:i]
+                flags = begins.get(part)
+                if flags is None:
+                    break
+                if flags & 1 and not last[i] and edges[part] and (not k or goes[before, part]):
+                    last[i], count[i] = part, n
+                if flags & 2 and not end[i] and edges[part + suffix] and (not k or goes[before, part + suffix]):
+                    end[i] = n
+        if not all(end[1:]):
+            raise ValueError(f"no token of the vocabulary ends {piece!r} or a beginning of it")
+        return end
 
-class RunCounter(dict):
-    """Tokens of each run of bytes without ASCII white space."""
+
+class RunCounter:
+    """Differences of the counts at each code point, by run between white space."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as f:
+            self.file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.merges = Merges(self.file["model"])
+        special = sorted((t["content"] for t in self.file.get("added_tokens", [])), key=len, reverse=True)
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in self.file.get("added_tokens", [])):
+            raise ValueError("special strings of this kind aren't counted")
+        if [p for p, _ in self._cut("a b c.  d")] != [p for x in ("a", "b", "c.", "d") for p, _ in self._cut(x)]:
+            raise ValueError("pieces of this file hold white space")
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.openings = tuple({s[0] for s in special})
+        letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
+        self.plain = self._normal(letters) == letters.lower() and all([p for p, _ in self._cut(letters.lower() + c)] == [letters.lower(), c] and self._normal(c) == c for c in _SIGNS) and not any(s[0] in _SIGNS or s[0].isalpha() for s in special)
+        self.simple = Remembered(self._simple)
+        self.mapped = Remembered(self._map)
+        self.pieces = Remembered(self._piece)
+        self.runs = Remembered(self._run)
+
+    def _cut(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.pre_tokenizer else [(text, (0, len(text)))]
+
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _simple(self, c: str) -> str | None:
+        """The normalised character, if it is one and doesn't depend on its neighbours."""
+        if unicodedata.category(c)[0] == "M" or "ᄀ" <= c <= "ᇿ":
+            return None
+        out = self._normal(c)
+        return out if len(out) == 1 else None
+
+    def _map(self, c: str) -> str:
+        """What byte-pair encoding gets for a character."""
+        return "".join(p for p, _ in self._cut(c))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Counts at each code point of a piece of the normalised text, from the first on."""
+        parts = [self.mapped[c] for c in piece]
+        end = self.merges.table("".join(parts))
+        counts = end[1:] if len(end) == len(piece) + 1 else [end[k] for k in accumulate(map(len, parts))]
+        if len(piece) > 1 and not piece.isalpha() and any(c.isalnum() for c in piece):  # a contraction, whose beginning reads otherwise
+            counts = [n if k == len(piece) or len(cut := self._cut(piece[:k])) == 1 else sum(self.merges.table(p)[-1] for p, _ in cut) for k, n in enumerate(counts, 1)]
+        return tuple(counts)
+
+    def _whole(self, text: str) -> int:
+        """Tokens of normalised text."""
+        return sum(self.pieces[text[a:b]][-1] if b - a else 0 for _, (a, b) in self._cut(text))
+
+    def _counts(self, run: str) -> list[int]:
+        """The count at each code point of a run, from the first on."""
+        if self.plain and (m := _WORD.match(run)):  # letters, and a sign behind them
+            out = [*self.pieces[m[1].lower()]]
+            return [*out, out[-1] + self.pieces[m[2]][0]] if m[2] else out
+        norm = [self.simple[c] for c in run]
+        if None in norm or self.special and self.special.search(run):
+            return self._uneven(run)
+        text, out, before = "".join(norm), [], 0
+        for _, (a, b) in self._cut(text):
+            out += [before] * (a - len(out))
+            counts = self.pieces[text[a:b]]
+            out += [before + n for n in counts]
+            before = out[-1]
+        return out + [before] * (len(text) - len(out))
 
-    def __missing__(self, run: bytes) -> int:
-        n = len(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids)
-        if len(run) < 200:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = n
-        return n
+    def total(self, text: str) -> int:
+        """Tokens of a text without white space at which it could be cut."""
+        n, at = 0, 0
+        for m in self.special.finditer(text) if self.special else ():
+            n += self._whole(self._normal(text[at : m.start()])) + 1
+            at = m.end()
+        return n + self._whole(self._normal(text[at:]))
+
+    def _uneven(self, run: str) -> list[int]:
+        """As _counts, where characters compose or special strings occur: each prefix from the last place that it leaves as it is."""
+        stable = [0]  # places where a piece of simple characters begins whatever follows AHEAD characters later
+        kinds = ["?" if self.simple[c] is None else "a" if c.isalpha() else "0" if c.isnumeric() else "." for c in run]
+        inside = np.zeros(len(run) + 1, bool)
+        for m in self.special.finditer(run) if self.special else ():
+            inside[m.start() : m.end()] = True
+        for k in range(1, len(run)):
+            if kinds[k - 1] == "a" and kinds[k] == "." and run[k] not in self.openings and not inside[k] and not inside[k - 1]:
+                stable.append(k)
+        base, place, out = 0, 0, []
+        for n in range(1, len(run) + 1):
+            while place + 1 < len(stable) and stable[place + 1] <= n - AHEAD:
+                base += self.total(run[stable[place] : stable[place + 1]])
+                place += 1
+            out.append(base + self.total(run[stable[place] : n]))
+        return out
+
+    def _run(self, run: str) -> bytes:
+        counts = self._counts(run)
+        return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
+
+    def differences(self, text: str) -> np.ndarray:
+        """What each code point of a text adds to the count."""
+        for c in "\t\n\v\f\r":
+            text = text.replace(c, " ")
+        return np.frombuffer(b"\0\0".join(map(self.runs.__getitem__, text.split(" "))), np.int16)
+
+
+_counters: dict[str, RunCounter] = {}
+
+
+def counter_of(path: str) -> RunCounter:
+    """The worker's counter, which later tasks find as earlier ones left it."""
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = RunCounter(path)
+    return _counters[path]
 
 
 class PrefixTable:
     """Exact token counts at every prefix of one text."""
 
     def __init__(self, text: str, counter: RunCounter) -> None:
-        self.data, self.counter = text.encode(), counter
-        self.runs = self.data.split()
-        self.starts: list[int] = []
-        at = 0
-        for run in self.runs:
-            at = self.data.index(run, at)
-            self.starts.append(at)
-            at += len(run)
-        self.counts = run_prefixes(self.runs, counter)
+        self.counts = np.concatenate([[0], np.cumsum(counter.differences(text), dtype=np.int64)])
 
     def at(self, chars: int) -> int:
         """Tokens of the first `chars` code points."""
-        end = len(self.data.decode()[:chars].encode())
-        k = bisect_right(self.starts, end - 1)
-        if not k:
-            return 0
-        run, before = self.runs[k - 1], int(self.counts[k - 2]) if k > 1 else 0
-        inside = end - self.starts[k - 1]
-        return before + self.counter[run[:inside]]
+        return int(self.counts[min(chars, len(self.counts) - 1)])
 
     def fit(self, limit: int) -> int:
-        """Code points of the longest prefix of at most `limit` tokens."""
-        text = self.data.decode()
-        k = int(np.searchsorted(self.counts, limit, side="right"))
-        if k == len(self.runs):
-            return len(text)
-        low = len(self.data[: self.starts[k]].decode())
-        high = low + len(self.runs[k].decode())
-        return next(n for n in range(high, -1, -1) if self.at(n) <= limit) if limit >= 0 else 0
-
+        """Code points of the longest prefix of at most `limit` tokens; none for a negative limit."""
+        found = np.flatnonzero(self.counts <= limit)
+        return int(found[-1]) if len(found) else 0
 
-def run_prefixes(runs: list[bytes], counter: RunCounter) -> np.ndarray:
-    """The table at run ends: entry i holds the tokens of runs 0 to i."""
-    return np.cumsum(np.fromiter(map(counter.__getitem__, runs), np.int64, len(runs)))
+    def between(self, start: int, end: int) -> int:
+        """Tokens of text[start:end] where both places are at white space."""
+        return self.at(end) - self.at(start)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_tokens, over_limit and fit_runs, the runs of the longest run-aligned prefix within the limit.
+    """Adds n_bytes, n_tokens, over_limit and fit_chars, the code points of the longest prefix within the limit.
 
     `text` isn't returned; the other columns are. `tokenizer_path` is read on the executors, so it
     must name the same file on each of them, as an installed vocabulary does.
     """
     ship(docs.sparkSession)
-    new = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType()), StructField("fit_runs", IntegerType())]
+    new = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType()), StructField("fit_chars", IntegerType())]
     names = {f.name.lower() for f in new}
     keep = [c for c in docs.columns if c != text and c.lower() not in names]
     schema = StructType([docs.schema[c] for c in keep] + new)
     arrow = to_arrow_schema(schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = RunCounter(tokenizer_path)
+        counter = counter_of(tokenizer_path)
         for b in batches:
             n_bytes, tokens, fits = [], [], []
             for data in raw(b.column(text)):
-                table = run_prefixes(data.split(), counter)
+                table = PrefixTable(data.decode(), counter)
                 n_bytes.append(len(data))
-                tokens.append(int(table[-1]) if len(table) else 0)
-                fits.append(int(np.searchsorted(table, limit, side="right")))
+                tokens.append(table.at(len(data)))
+                fits.append(table.fit(limit))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
 
     return docs.select(*(docs[f"`{c}`"] for c in keep), docs[f"`{text}`"]).mapInArrow(counted, schema)

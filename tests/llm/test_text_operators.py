@@ -84,6 +84,36 @@ def test_every_prefix_has_the_library_count():
         assert [table.at(k) for k in range(len(t) + 1)] == counts
         for limit in (0, 1, 5, 1000):
             assert table.fit(limit) == max(k for k, n in enumerate(counts) if n <= limit)
+        assert table.fit(-1) == 0
+
+
+def test_prefixes_of_random_texts_have_the_library_counts():
+    counter, r = C.RunCounter(public_tokenizers.path("word_bpe_49k.json")), random.Random(4)
+    signs = "abcdeé\u0301'’sreT<|>endoftext 0\u0661.,!-日\u0308İ"
+    for _ in range(1500):
+        t = "".join(r.choice(signs) for _ in range(r.randint(1, 14)))
+        if r.random() < 0.3:
+            at = r.randint(0, len(t))
+            t = t[:at] + r.choice(["<|endoftext|>", "<|startoftext|>", "'ll", "'RE"]) + t[at:]
+        table = C.PrefixTable(t, counter)
+        assert [table.at(k) for k in range(len(t) + 1)] == [len(counter.tokenizer.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], t
+
+
+def test_the_store_answers_without_the_library():
+    counter = C.RunCounter(public_tokenizers.path("word_bpe_49k.json"))
+    table = C.PrefixTable("one anthlyredhe two " * 50, counter)
+    counter.tokenizer = counter.merges = None
+    assert [table.fit(table.at(k)) >= k for k in range(1000)] == [True] * 1000
+
+
+def test_remembered_answers_stay_right_when_old_ones_go():
+    held = C.Remembered(lambda x: x * 2, size=3)
+    assert [held[k % 7] for k in range(100)] == [k % 7 * 2 for k in range(100)] and len(held) <= 3 and len(held.old) <= 3
+
+
+def test_files_that_are_counted_otherwise_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        C.RunCounter(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_chat_round_trip_and_examples(spark, folder):
