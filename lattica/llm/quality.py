@@ -5,7 +5,8 @@ word pairs, and pairs of word shapes (capitals, signs, digits and so on); a pair
 itself is one feature of its own. A text's vector holds each feature's share of the text, so a
 score is the mean of its features' weights: a sparse dot product.
 
-The model is fitted on at most `rows` labelled documents outside the held-out fold, streamed in the
+The model is fitted on at most `rows` labelled documents outside the held-out fold, whole and of
+bounded bytes together (see `labelled.sample`), streamed in the
 order of their id hashes through one task, which follows the regularised leader coordinate by
 coordinate. All documents are scored, each whole. Null and empty texts have no features and get the
 bias. Without any label the score is 0.5. Repeated rows are scored each; extra columns pass through

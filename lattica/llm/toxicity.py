@@ -2,25 +2,33 @@
 
 Two models of word pairs, one of toxic and one of ordinary labelled documents, over the vocabulary
 of words that at least `MIN_DOCS` of the sampled documents of a class hold; all other words are one
-unknown word. In both, a pair backs off to the class's own Kneser-Ney continuation counts, the
-number of different words that a word follows in it, and these back off to shared ones, gathered
-from all documents, labelled or not. Pairs count once for each document, as words repeat within a
-text, and near copies add no continuations. Each count loses `DISCOUNT` to the level below, so that
-an expression which a few texts of one class hold by chance is smoothed away.
-
-A document is compared by its log-likelihood ratio, normalised by its length, and by the ratios of
-its most toxic word and of its three most toxic ones, normalised alike; a logistic curve through
-labelled documents that the models haven't seen turns these into a score.
-
-The class models are fitted on at most `rows` labelled documents outside the held-out fold, a fifth
-of them kept for the curve. Continuation counts, and scores, cover all documents, each whole. Null
-and empty texts have the likelihood ratio 0. Without labels of both classes every score is 0.
-Repeated rows are scored each; extra columns pass through, those with a result's name are replaced.
+unknown word. In both, a pair backs off to its word in the class, a word to what both classes have
+of it together, and this to its continuation count, the number of different words that it follows in
+all documents, labelled or not. The last two are shared by the classes:
+
+    P(w | v, class) = kept(v w) / n(v) + (1 - kept(v) / n(v)) P(w | class)
+    P(w | class)    = kept(w) / n + (1 - kept / n) P(w)
+    P(w)            = (both(w) - DISCOUNT) / both + the discounts' share of continuation(w)
+
+The classes' counts are continuation counts, too: the documents that hold a word or pair, but once
+for all that have the same two words before it, so that neither repetition within a document nor
+copies and passages that many share are evidence. Of a count only that is kept which chance doesn't give: it is discounted by what the class would have of both
+classes' count together, and `DEVIATIONS` deviations from it. So expressions that are
+rare, or equally frequent in both classes, are left to the shared counts, and drop out of the ratio.
+
+A document's measure is its log-likelihood under the toxic model less that under the ordinary one,
+divided by its words. A logistic curve of this one number, through labelled documents that the
+models haven't seen, makes it a score.
+
+The class models are fitted on at most `rows` labelled documents (see `labelled.sample`) outside the
+held-out fold, a fifth of them kept for the curve. Continuation counts, and scores, cover all
+documents, each whole. Null and empty texts are measured as one unknown word. Without labels of both
+classes every score is 0. Repeated rows are scored each; extra columns pass through, those with a
+result's name are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,13 +41,20 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lattica.llm.common import forget, ship, written
 from lattica.llm.labelled import remainder, sample
+from lattica.llm.ngram_join import word_hashes
 
-DISCOUNT = 2.5
+#: Deviations from the expected count that chance is allowed.
+DEVIATIONS = 4.0
+DISCOUNT = 1.0
 MIN_DOCS = 3
 SAMPLE_ROWS = 12_000
-MEASURES = ["mean", "most", "three"]
+#: The curve's numbers for measures times 100: keeps its slope near 1.
+PERCENT = 100.0
+CLASSES = ("toxic", "ordinary")
 #: Word numbers take so many bits of a packed pair; 0 is the unknown word.
 BITS = 26
+#: Stands for any first word.
+ANY = (1 << BITS) - 1
 
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -111,20 +126,33 @@ def word_counts(fitted_on: DataFrame) -> DataFrame:
     return fitted_on.select("label", "text").mapInArrow(counted, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def pair_counts(fitted_on: DataFrame, vocabulary) -> DataFrame:
-    """pair, toxic, ordinary: labelled documents that hold it."""
+def contexts_of(text: str | None) -> np.ndarray:
+    """A hash of the two words before each word."""
+    h = word_hashes((text or "").lower().encode().translate(_FOLD))
+    before = np.concatenate([np.zeros(2, np.uint64), h])[: len(h) + 1]
+    return ((before[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ before[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def one_each(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a document, each with the least of its contexts."""
+    order = np.lexsort((contexts, keys))
+    keys, contexts = keys[order], contexts[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    return keys[first], contexts[first]
+
+
+def class_counts(fitted_on: DataFrame, vocabulary) -> DataFrame:
+    """pair, toxic, ordinary: of words (pairs whose first word is ANY) and pairs, the different contexts that they have in labelled documents, one for a document."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = (Counter(), Counter())
             for y, t in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found[y].update(np.unique(pairs(numbers(t, vocabulary.value))).tolist())
-            for y in (0, 1):
-                n = pa.array(found[y].values(), pa.int64())
-                zero = pa.array([0] * len(n), pa.int64())
-                yield pa.record_batch([pa.array(found[y].keys(), pa.int64()), *((n, zero) if y else (zero, n))], names=["pair", "toxic", "ordinary"])
+                ids, where = numbers(t, vocabulary.value), contexts_of(t)
+                found = one_each(np.concatenate([ids | ANY << BITS, pairs(ids)]), np.concatenate([where, where]))
+                yield pa.record_batch([pa.array(np.full(len(found[0]), y, np.int32)), *map(pa.array, found)], names=["label", "pair", "context"])
 
-    return fitted_on.select("label", "text").mapInArrow(counted, "pair long, toxic long, ordinary long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    different = fitted_on.select("label", "text").mapInArrow(seen, "label int, pair long, context long").distinct()
+    return different.groupBy("pair").agg(F.sum("label").cast("long").alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
 def continuations(docs: DataFrame, vocabulary) -> DataFrame:
@@ -145,49 +173,71 @@ def continuations(docs: DataFrame, vocabulary) -> DataFrame:
         yield pa.record_batch([pa.array(np.unique(np.concatenate([had, *held])))], names=["pair"])
 
     distinct = docs.select("text").mapInArrow(seen, StructType([StructField("pair", LongType())])).repartition("pair").distinct()  # tasks gave each pair once: nothing to sum before the shuffle
-    return distinct.groupBy(F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return distinct.groupBy(_last_of("pair").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept(n, expected, sqrt=np.sqrt, most=np.maximum):
+    """What a count is more than chance gives."""
+    return most(n - expected - DEVIATIONS * sqrt(expected + 1.0), 0.0)
 
 
 class Models:
-    """Log ratios toxic to ordinary: of words, of contexts whose pair neither class has, and of pairs."""
+    """Log ratios toxic to ordinary: of words, of contexts whose pair neither class keeps, and of kept pairs."""
 
-    def __init__(self, n: int, words, pair_rows, contexts, following) -> None:
+    def __init__(self, n: int, words, contexts, pair_rows, following) -> None:
+        """words: w and the classes' counts; contexts: v, n(v) and kept(v) by class; pair_rows: pair and what is kept by class; following: w, n."""
         shared = np.full(n, 0.5)
         shared[following["w"].to_numpy()] = following["n"].to_numpy()
         shared /= shared.sum()
-        chance, weight = {}, {}
-        for c in ("toxic", "ordinary"):
+        total = {c: max(float(words[c].sum()), 1.0) for c in CLASSES}
+        both = (words["toxic"] + words["ordinary"]).to_numpy() / sum(total.values())
+        less = np.zeros(n)
+        less[words["w"].to_numpy()] = np.maximum(both - DISCOUNT / sum(total.values()), 0)
+        shared = less + (1 - less.sum()) * shared
+        chance, weight, seen = {}, {}, {}
+        for c in CLASSES:
             own = np.zeros(n)
-            own[words["w"].to_numpy()] = np.maximum(words[c].to_numpy() - DISCOUNT, 0)
+            own[words["w"].to_numpy()] = kept(words[c].to_numpy(), both * total[c])
             own[0] = 0
-            total = max(float(words[c].sum()), 1.0)
-            chance[c] = (own + (total - own.sum()) * shared) / total
-            seen = np.zeros(n)
-            seen[contexts["v"].to_numpy()] = contexts[c].to_numpy()
-            used = np.zeros(n)
+            chance[c] = (own + (total[c] - own.sum()) * shared) / total[c]
+            seen[c], used = np.zeros(n), np.zeros(n)
+            seen[c][contexts["v"].to_numpy()] = contexts[c].to_numpy()
             used[contexts["v"].to_numpy()] = contexts[f"{c}_kept"].to_numpy()
-            weight[c] = np.where(seen > 0, (seen - used) / np.maximum(seen, 1), 1.0)
-            chance[c + " total"] = seen
+            weight[c] = 1 - used / np.maximum(seen[c], 1)
         self.word = np.log(chance["toxic"] / chance["ordinary"])
-        self.context = np.log(np.maximum(weight["toxic"], 1e-3) / np.maximum(weight["ordinary"], 1e-3))
-        key = pair_rows["pair"].to_numpy()
+        self.context = np.log(weight["toxic"] / weight["ordinary"])
+        key = pair_rows["pair"].to_numpy().astype(np.int64)
         v, w = key >> BITS, key & ((1 << BITS) - 1)
-        p = {c: np.maximum(pair_rows[c].to_numpy() - DISCOUNT, 0) / np.maximum(chance[c + " total"][v], 1) + np.maximum(weight[c][v], 1e-3) * chance[c][w] for c in ("toxic", "ordinary")}
+        p = {c: pair_rows[c].to_numpy() / np.maximum(seen[c][v], 1) + weight[c][v] * chance[c][w] for c in CLASSES}
         self.pair = Lookup(key, np.log(p["toxic"] / p["ordinary"]))
 
-    def measure(self, ids: np.ndarray) -> tuple[float, float, float]:
-        """The text's log ratio a word; by the words' own ratios, that of its most toxic word and the mean of its three most toxic."""
+    def measure(self, ids: np.ndarray) -> float:
+        """The text's log ratio a word."""
         if not len(ids):
-            return 0.0, 0.0, 0.0
-        own = self.word[ids]
-        r = own.copy()
+            return float(self.word[0])
+        r = self.word[ids]
         r[1:] += self.context[ids[:-1]]
-        known = np.flatnonzero(ids)
-        of_pair = self.pair.get(pairs(ids)[known])
+        r[0] += self.context[0]
+        of_pair = self.pair.get(pairs(ids))
         has = ~np.isnan(of_pair)
-        r[known[has]] = of_pair[has]
-        top = np.maximum(np.partition(own, len(own) - 3)[-3:] if len(own) > 3 else own, 0)
-        return float(r.mean()), float(top.max()), float(top.sum() / 3)
+        r[has] = of_pair[has]
+        return float(r.mean())
+
+
+def _first_of(pair: str):
+    return F.shiftright(pair, BITS)
+
+
+def _last_of(pair: str):
+    return F.col(pair).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+
+
+def _kept_pairs(both: DataFrame, contexts: DataFrame) -> DataFrame:
+    """v, and pair with what each class keeps of it, of the pairs of which a class keeps any."""
+    joined = both.withColumn("v", _first_of("pair")).join(contexts.select("v", *(F.col(c).alias(f"{c}_all") for c in CLASSES)), "v")
+    share = (F.col("toxic") + F.col("ordinary")) / (F.col("toxic_all") + F.col("ordinary_all"))
+    rest = [kept(F.col(c), share * F.col(f"{c}_all"), F.sqrt, lambda x, least: F.greatest(x, F.lit(least))).alias(c) for c in CLASSES]
+    return joined.where(_last_of("pair") > 0).select("v", "pair", *rest).where("toxic > 0 OR ordinary > 0")
 
 
 def fit(chosen: DataFrame, docs: DataFrame):
@@ -198,37 +248,39 @@ def fit(chosen: DataFrame, docs: DataFrame):
     if not rest["toxic"] or not rest["ordinary"]:
         forget(counts)
         return None
-    words = counts.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).orderBy("word").toArrow().to_pandas()
-    vocabulary = spark.sparkContext.broadcast({bytes(w): i for i, w in enumerate(words["word"], 1)})
-    both = written(pair_counts(chosen, vocabulary), "pairs")
-    kept = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
-    contexts = both.groupBy(F.shiftright("pair", BITS).alias("v")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(kept(c).alias(f"{c}_kept") for c in ("toxic", "ordinary"))).toArrow().to_pandas()
-    w = F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
-    continued = both.groupBy(w.alias("w")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary"))).toArrow().to_pandas()
-    rows = both.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).where(w > 0).orderBy("pair").toArrow().to_pandas()
+    known = counts.where((F.col("toxic") >= MIN_DOCS) | (F.col("ordinary") >= MIN_DOCS)).select("word").orderBy("word").toArrow().to_pandas()
+    vocabulary = spark.sparkContext.broadcast({bytes(w): i for i, w in enumerate(known["word"], 1)})
+    found = written(class_counts(chosen, vocabulary), "pairs")
+    words = found.where(_first_of("pair") == ANY).select(_last_of("pair").alias("w"), *CLASSES).orderBy("w").toArrow().to_pandas()  # a row for each word at most
+    both = found.where(_first_of("pair") != ANY)
+    of_context = both.groupBy(_first_of("pair").alias("v")).agg(*(F.sum(c).alias(c) for c in CLASSES))
+    over = written(_kept_pairs(both, of_context), "over")
+    used = over.groupBy("v").agg(*(F.sum(c).alias(f"{c}_kept") for c in CLASSES))
+    contexts = of_context.join(used, "v", "left").na.fill(0.0).toArrow().to_pandas()  # a row for each word at most
+    rows = over.orderBy("pair").toArrow().to_pandas()  # of the sample's pairs those that a class has beyond chance
     following = continuations(docs, vocabulary).toArrow().to_pandas()
-    forget(counts)
-    forget(both)
-    return spark.sparkContext.broadcast((vocabulary.value, Models(len(words) + 1, continued, rows, contexts, following)))
+    for t in (counts, found, over):
+        forget(t)
+    return spark.sparkContext.broadcast((vocabulary.value, Models(len(known) + 1, words, contexts, rows, following)))
 
 
-def curve(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, lightly regularised."""
+def curve(y: np.ndarray, x: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton steps, lightly regularised."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    keep = np.array([1e-2] * (x.shape[1] - 1) + [1e-4])
-    for _ in range(50):
+    w = np.zeros(2)
+    keep = np.array([1e-2, 1e-4])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9), x.T @ (p - y) + keep * w)
-        w -= np.clip(step, -5, 5)
+        w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0]), float(w[1])
 
 
 def _measured(docs: DataFrame, model, keep: str) -> DataFrame:
-    """Column keep, and the three measures of column text; the text itself isn't returned."""
-    schema = StructType([docs.schema[keep], *(StructField(m, DoubleType()) for m in MEASURES)])
+    """Column keep, and the measure of column text; the text itself isn't returned."""
+    schema = StructType([docs.schema[keep], StructField("measure", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +288,7 @@ def _measured(docs: DataFrame, model, keep: str) -> DataFrame:
         for b in batches:
             texts = b.column("text") if "text" in b.schema.names else b.column(keep).field("text")
             x = [models.measure(numbers(t.as_py(), vocabulary)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(keep), *(pa.array([m[k] for m in x], pa.float64()) for k in range(3))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(x, pa.float64())], schema=arrow)
 
     return docs.mapInArrow(take, schema)
 
@@ -251,10 +303,10 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out
     if model is None:
         forget(chosen)
         return packed.withColumn("score", F.lit(0.0))
-    seen = _measured(chosen.where(fold == 0).select("label", "text"), model, "label").orderBy("label", *MEASURES).toArrow().to_pandas()
-    w = curve(seen["label"].to_numpy(float), seen[MEASURES].to_numpy()) if seen["label"].nunique() == 2 else np.array([1.0, 1.0, 1.0, -6.0])
+    seen = _measured(chosen.where(fold == 0).select("label", "text"), model, "label").orderBy("label", "measure").toArrow().to_pandas()
+    slope, offset = curve(seen["label"].to_numpy(float), seen["measure"].to_numpy() * PERCENT) if seen["label"].nunique() == 2 else (1.0, -1.0)
     forget(chosen)
-    odds = sum((F.col(m) * float(v) for m, v in zip(MEASURES, w, strict=False)), F.lit(float(w[-1])))
+    odds = F.col("measure") * (slope * PERCENT) + offset
     return _measured(packed, model, "row").select("row", (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("score"))
 
 
