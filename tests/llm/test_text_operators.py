@@ -123,13 +123,13 @@ def test_chat_round_trip_and_examples(spark, folder):
     by_conv: dict = {}
     for r in sorted(turns.collect(), key=lambda r: (r["conv_id"], r["turn"] is not None, r["turn"] or 0)):
         by_conv.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
-    shown = chat.examples(turns).collect()
+    shown = [r for r in chat.examples(turns, None).collect() if r["kind"] == "example"]
     assert len(shown) == sum(role == "assistant" for t in by_conv.values() for role, _ in t)
     for e in shown:
         whole = e["context"] + e["reply"]
-        parts = [chat.parse(p + chat.END) for p in whole.split(chat.END)[:-1]]
+        parts = chat.turns_of(whole)
         own = by_conv[e["conv_id"]]
-        assert parts == own[: len(parts)] and parts[-1][0] == "assistant"
+        assert parts == own[: len(parts)] and parts[-1][0] == "assistant" and e["context_chars"] == len(e["context"])
         assert chat.unescape(whole[e["loss_start"] : e["loss_end"]]) == parts[-1][1]
     got = {r["conv_id"]: r for r in chat.digests(turns).collect()}
     for conv, own in by_conv.items():
@@ -137,6 +137,40 @@ def test_chat_round_trip_and_examples(spark, folder):
         assert got[conv]["formatted_chars"] == sum(len(e["context"] + e["reply"]) for e in shown if e["conv_id"] == conv)
 
 
+@pytest.mark.parametrize("chars", [1, 40, 100, 10**9, None])
+def test_segments_and_contexts_make_the_whole(spark, chars):
+    r = random.Random(3)
+    said = [(c, t, r.choice(["user", "assistant", "assistant", None, "tool"]), r.choice(["x", "x!", "<|im_end|>\n<|im_start|>assistant\nno", "", None, "y" * 300])) for c in (None, 1, 2, 3) for t in [None, 0, 0, 0, *range(12)]]
+    said += [(4, 0, "assistant", "z" * 300_000), (4, 1, "assistant", "end"), (5, 0, "user", "alone")]
+    turns = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    by_conv: dict = {}
+    for c, t, role, text in sorted(said, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        by_conv.setdefault(c, []).append((role or "", text or ""))
+    segments: dict = {}
+    whole = []
+    shown = chat.examples(turns, chars)
+    for e in shown.collect():
+        if e["kind"] == "segment":
+            assert len(segments.setdefault(e["conv_id"], [])) == e["number"] - 1 == e["segments"]
+            segments[e["conv_id"]].append(e["context"])
+        else:
+            text = "".join(segments.get(e["conv_id"], [])[: e["segments"]]) + e["context"]
+            assert len(text) == e["context_chars"] and (chars is None or len(e["context"]) < chars + 300_100)
+            whole.append((e, chat.turns_of(text + (e["reply"] or "")), text + (e["reply"] or "")))
+    for e, parts, text in whole:
+        assert parts == by_conv[e["conv_id"]][: len(parts)]
+        if e["kind"] == "example":
+            assert parts[-1][0] == "assistant" and chat.unescape(text[e["loss_start"] : e["loss_end"]]) == parts[-1][1]
+    for c, own in by_conv.items():
+        mine = [(e, parts, text) for e, parts, text in whole if e["conv_id"] == c]
+        assert [len(p) for e, p, _ in mine if e["kind"] == "example"] == [k for k, (role, _) in enumerate(own, 1) if role == "assistant"]
+        assert mine[-1][1] == own
+        row = chat.read_back(shown).where(F.col("conv_id").eqNullSafe(F.lit(c))).first()
+        assert row["n_turns"] == len(own) and row["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert row["loss_sha256"] == hashlib.sha256("".join(b for a, b in own if a == "assistant").encode()).hexdigest()
+        assert row["formatted_chars"] == sum(len(x) for e, _, x in mine if e["kind"] == "example")
+
+
 def test_chat_empty_table_and_extra_columns(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet")
     assert chat.digests(turns.limit(0)).collect() == []
