@@ -16,6 +16,7 @@ each. Extra columns pass through, and those whose names clash with a result are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,12 @@ class ItemAutomaton:
             last = 0
             for w in t:
                 last = self._extend(last, w)
+        #: for each state that holds a window's length, the shortest state of its suffixes that still does
+        self.holder = list(range(len(self.next)))
+        for s in sorted(range(len(self.next)), key=self.length.__getitem__):
+            up = self.link[s]
+            if up > 0 and self.length[up] >= window:
+                self.holder[s] = self.holder[up]
         #: items whose window of the full length is the state's sequence of that length; those that are the state's as a whole
         self.full: dict[int, set[str]] = {}
         self.short: dict[int, dict[int, set[str]]] = {}
@@ -97,7 +104,10 @@ class ItemAutomaton:
         state = 0
         for i, w in enumerate(t):
             state = self.next[state][w]
-            if i + 1 >= size:
+            if size == self.window:
+                if i + 1 >= size:
+                    yield self.holder[state], size
+            elif i + 1 == size:  # a short item as a whole
                 at = state
                 while self.length[self.link[at]] >= size:
                     at = self.link[at]
@@ -123,6 +133,7 @@ class ItemAutomaton:
         items: set[str] = set()
         size, nxt, link, length, shorts = self.window, self.next, self.link, self.length, bool(self.short)
         state = matched = 0
+        named = -1
         for i, w in enumerate(map(self.vocabulary.get, words)):
             if w is None:
                 state = matched = 0
@@ -138,12 +149,12 @@ class ItemAutomaton:
             state, matched = to, matched + 1
             best = 0
             if matched >= size:
-                at = state
-                while length[link[at]] >= size:
-                    at = link[at]
+                at = self.holder[state]
                 if at in self.full:
                     best = size
-                    items |= self.full[at]
+                    if at != named:  # a passage that repeats itself names its items once
+                        items |= self.full[at]
+                        named = at
             if shorts:
                 for n, names in self._shorts(state):
                     if n <= matched:
@@ -180,13 +191,25 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
     ship(spark)
     out = None
     for block in blocks_of(items, block_words=block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         before = out is not None
         frame = out if before else docs
         out = _pass(frame, shared, window, text, before)
     return out
 
 
+_built: dict[tuple[str, int], ItemAutomaton] = {}
+
+
+def automaton_of(shared, window: int) -> ItemAutomaton:
+    """The worker's automaton of a block, built by the first task that needs it."""
+    key = (shared.value[0], window)
+    if key not in _built:
+        _built.clear()  # blocks follow one another
+        _built[key] = ItemAutomaton(shared.value[1], window)
+    return _built[key]
+
+
 def _pass(docs: DataFrame, shared, window: int, text: str, before: bool) -> DataFrame:
     new = [StructField("n_words", LongType()), StructField("span_starts", ArrayType(IntegerType())), StructField("span_ends", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
     names = {f.name.lower() for f in new}
@@ -195,7 +218,7 @@ def _pass(docs: DataFrame, shared, window: int, text: str, before: bool) -> Data
     arrow = to_arrow_schema(schema)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton(shared.value, window)
+        automaton = automaton_of(shared, window)
         for b in batches:
             n, starts, ends, found = [], [], [], []
             for k, data in enumerate(raw(b.column(text))):
