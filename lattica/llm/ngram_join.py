@@ -20,9 +20,13 @@ other of its columns, so a column costs as many pairs as it has rows, until most
 component. The product then takes the pairs across components, and all of them: no link is lost.
 
 Documents without words have no n-gram and no link; those of fewer words than n have their whole
-sequence as one. Null is empty. Repeated rows are linked as copies. A row's hash has 64 bits, as has
-an n-gram's: two different ones of 10 million meet with a chance of one in 100 thousand. Extra columns
-aren't read by `linked`; `one_of_each` returns them as they are.
+sequence as one. Null is empty. Repeated rows are linked as copies. Extra columns aren't read by
+`linked`; `one_of_each` returns them as they are.
+
+A set's name has 64 bits, and 64 more tell whether two sets have one name; where they do, each set
+gets a name from both, and names are compared anew until every one belongs to one set, so sets are
+told apart by 128 bits. An n-gram is 64 bits: a pair of documents of a million n-grams each has one in
+common by chance once in ten million pairs.
 """
 
 from __future__ import annotations
@@ -116,13 +120,56 @@ def ngrams(data: bytes, size: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def set_name(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+def set_name(grams: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """First name and mark of a set, as signed numbers."""
+    h = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return _signed(h & ((1 << bits) - 1)), _signed(h >> 64)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Names:
+    """Names of sets: the first one, or where different sets share it, the first that they don't share."""
 
+    def __init__(self, bits: int = 64) -> None:
+        self.bits, self.shared = bits, set()
 
-def described(docs: DataFrame, size: int) -> DataFrame:
-    """id, name and n of each document, and rows without n that hold how many n-grams of the task's documents each block has: name is the part."""
-    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("name", LongType()), StructField("n", IntegerType()), StructField("blocks", BinaryType())])
+    def settled(self, name: int, mark: int) -> int:
+        k, out = 0, name
+        while out in self.shared:
+            k += 1
+            out = _signed((mark ^ (name << k)) & ((1 << self.bits) - 1))
+        return out
+
+    def of(self, grams: np.ndarray) -> int:
+        return self.settled(*set_name(grams, self.bits))
+
+
+def named_sets(found: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
+    """The documents (id, name, n) and the sets (name, id: the least of its documents) under names that no two sets share."""
+    first = found.where("n is not null").select("id", "name", "mark", "n")
+    while True:
+        docs = first
+        if names.shared:
+            def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    new = [None if x is None else names.settled(x, m) for x, m in zip(b.column("name").to_pylist(), b.column("mark").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(new, pa.int64()), b.column("mark"), b.column("n")], schema=b.schema)
+
+            docs = first.mapInArrow(settle, first.schema)
+        sets = written(docs.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.min("mark").alias("lo"), F.max("mark").alias("hi")), "sets")
+        again = [r["name"] for r in sets.where("lo <> hi").select("name").toLocalIterator()]  # of 10^11 sets some hundreds
+        if not again:
+            return docs.select("id", "name", "n"), sets.select("name", "id")
+        names.shared.update(again)
+        forget(sets)
+
+
+def described(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """id, first name, mark and n of each document, and rows without n that hold how many n-grams of the task's documents each block has: name is the part."""
+    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("name", LongType()), StructField("mark", LongType()), StructField("n", IntegerType()), StructField("blocks", BinaryType())])
     arrow = to_arrow_schema(schema)
     mask = np.uint64((1 << BLOCK_BITS) - 1)
 
@@ -130,21 +177,23 @@ def described(docs: DataFrame, size: int) -> DataFrame:
         held = np.zeros(1 << BLOCK_BITS, np.int64)
         blocks: list[np.ndarray] = []
         for b in batches:
-            names, sizes = [], []
+            names, marks, sizes = [], [], []
             for data in raw(b.column("text")):
                 g = ngrams(data, size)
-                names.append(set_name(g) if len(g) else None)
+                name, mark = set_name(g, bits) if len(g) else (None, None)
+                names.append(name)
+                marks.append(mark)
                 sizes.append(len(g))
                 blocks.append((g & mask).astype(np.int64))
                 if len(blocks) >= 500:
                     held += np.bincount(np.concatenate(blocks), minlength=len(held))
                     blocks = []
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(sizes), arrow.field("blocks").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(sizes), arrow.field("blocks").type)], schema=arrow)
         if blocks:
             held += np.bincount(np.concatenate(blocks), minlength=len(held))
         if held.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(held, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, arrow.field("id").type), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int32()), pa.array(parts, arrow.field("blocks").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, arrow.field("id").type), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int32()), pa.array(parts, arrow.field("blocks").type)], schema=arrow)
 
     return docs.mapInArrow(describe, schema)
 
@@ -184,7 +233,7 @@ def first_columns(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
-def postings(docs: DataFrame, size: int, percent: int, ranks) -> DataFrame:
+def postings(docs: DataFrame, size: int, percent: int, ranks, names: Names) -> DataFrame:
     """column, name, n: the first columns of every row; a task's copies give them once."""
     schema = StructType([StructField("column", LongType()), StructField("name", LongType()), StructField("n", IntegerType())])
     arrow = to_arrow_schema(schema)
@@ -192,12 +241,12 @@ def postings(docs: DataFrame, size: int, percent: int, ranks) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, had = ranks.value, set()
         for b in batches:
-            columns, names, sizes, held = [], [], [], 0
+            columns, own, sizes, held = [], [], [], 0
             for data in raw(b.column("text")):
                 g = ngrams(data, size)
                 if not len(g):
                     continue
-                name = set_name(g)
+                name = names.of(g)
                 if name in had:
                     continue
                 if len(had) >= REMEMBERED:
@@ -206,22 +255,23 @@ def postings(docs: DataFrame, size: int, percent: int, ranks) -> DataFrame:
                 p = len(g) - least_overlap(len(g), percent) + 1
                 c = columns_of(g, order)
                 columns.append(np.partition(c, p - 1)[:p].astype(np.int64))
-                names.append(np.full(p, name, np.int64))
+                own.append(np.full(p, name, np.int64))
                 sizes.append(np.full(p, len(g), np.int32))
                 held += p
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (columns, names, sizes)], schema=arrow)
-                    columns, names, sizes, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (columns, own, sizes)], schema=arrow)
+                    columns, own, sizes, held = [], [], [], 0
             if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (columns, names, sizes)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (columns, own, sizes)], schema=arrow)
 
     return docs.select("text").mapInArrow(post, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full rows reach the threshold; other columns stay."""
     extra = [c for c in pairs.columns if c not in ("a", "b")]
     schema = StructType([pairs.schema[c] for c in ["a", "b", *extra]])
+    names, held_texts = texts.names, texts.of(pairs)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,19 +283,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 both = np.concatenate([x, y])
                 both.sort()
                 n = int((both[1:] == both[:-1]).sum())
-                hit.append(100 * n >= percent * (len(x) + len(y) - n) and set_name(x) == a and set_name(y) == b)  # rows of one id may have other texts
+                hit.append(100 * n >= percent * (len(x) + len(y) - n) and names.of(x) == a and names.of(y) == b)  # rows of one id may have other texts
             hit = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ["a", "b", *extra]], names=["a", "b", *extra])
 
-    joined = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("y")), "b")
+    joined = pairs.join(held_texts.select(F.col("name").alias("a"), F.col("text").alias("x")), "a").join(held_texts.select(F.col("name").alias("b"), F.col("text").alias("y")), "b")
     return joined.select("a", "b", *extra, "x", "y").mapInArrow(multiply, schema).distinct()
 
 
 class _Texts:
     """Texts by name, picked out of the documents as pairs ask for them."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame) -> None:
-        self.docs, self.sets, self.parts = docs, sets, []
+    def __init__(self, docs: DataFrame, sets: DataFrame, names: Names) -> None:
+        self.docs, self.sets, self.names, self.parts = docs, sets, names, []
 
     def of(self, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
@@ -276,14 +326,15 @@ def _merged(named: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(joined.unionByName(new.join(named.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("name"), "component")), "components")
 
 
-def linked(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def linked(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links of Jaccard percent / 100 or more."""
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = written(described(base, size), "described")
+    found, names = written(described(base, size, name_bits), "described"), Names(name_bits)
+    described_docs, sets = named_sets(found, names)
     ranks = spark.sparkContext.broadcast(block_ranks(found))  # 2 MB
-    posted = written(postings(base, size, percent, ranks), "postings")
+    posted = written(postings(base, size, percent, ranks, names), "postings")
     shared = posted.groupBy("column").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("column")
     members = written(posted.join(shared, "column").groupBy("column", "name").agg(F.first("n").alias("n")), "members")
     forget(posted)
@@ -291,9 +342,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc
     scores = members.join(sizes, "column").groupBy("name").agg(F.sum("rows").alias("score"))
     bare, members = members, written(members.join(scores, "name"), "members")
     forget(bare)
-    described_docs = found.where("n is not null")
-    sets = described_docs.where("n > 0").groupBy("name").agg(F.min("id").alias("id"))
-    texts = _Texts(base, sets)
+    texts = _Texts(base, sets, names)
 
     named = None
     for turn in range(star_rounds):
@@ -397,67 +446,101 @@ def _product(placed: DataFrame, percent: int) -> DataFrame:
     return counted.where(_possible(F.col("na"), F.col("nb"), F.col("c"), percent)).select("a", "b", "ca", "cb", (F.col("c") / (F.col("na") + F.col("nb"))).alias("share"))
 
 
-def _multiplied(percent: int):
-    """Pairs and their counts from rows sorted by block, its two chunks, and column."""
+class _Block:
+    """Overlap counts of the rows of two chunks of a block, added up column by column."""
+
+    def __init__(self, i: int, j: int) -> None:
+        self.same = i == j
+        self.i = i
+        self.places: tuple[dict[int, int], ...] = ({}, {})
+        self.rows: tuple[list[tuple], ...] = ([], [])
+        self.counts = np.zeros((64, 64), np.int32)
 
-    def pairs_of(i: int, j: int, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def add(self, t: dict[str, np.ndarray]) -> None:
+        """Rows of whole columns, sorted by column."""
         names, first, at = np.unique(t["name"], return_index=True, return_inverse=True)
-        if i == j:
-            of_a = of_b = np.arange(len(names))
-            place_a = place_b = at
-            in_a = in_b = np.ones(len(at), bool)
-        else:
-            side = t["chunk"][first] == i
-            of_a, of_b = np.flatnonzero(side), np.flatnonzero(~side)
-            place = np.empty(len(names), np.int64)
-            place[of_a], place[of_b] = np.arange(len(of_a)), np.arange(len(of_b))
-            in_a = side[at]
-            in_b, place_a = ~in_a, place[at]
-            place_b = place_a
-        counts = np.zeros((len(of_a), len(of_b)), np.int32)
+        sides = np.zeros(len(names), np.int8) if self.same else (t["chunk"][first] != self.i).astype(np.int8)
+        place = np.empty(len(names), np.int64)
+        for k, (name, f, side) in enumerate(zip(names.tolist(), first.tolist(), sides.tolist(), strict=True)):
+            own = self.places[side]
+            if name not in own:
+                own[name] = len(own)
+                self.rows[side].append(tuple(int(t[c][f]) for c in ("name", "n", "component", "outside")))
+            place[k] = own[name]
+        most = max(map(len, self.rows))
+        if most > len(self.counts):
+            bigger = np.zeros((max(most, 2 * len(self.counts)),) * 2, np.int32)
+            bigger[: len(self.counts), : len(self.counts)] = self.counts
+            self.counts = bigger
+        place, side = place[at], sides[at]
         cuts = np.flatnonzero(np.diff(t["column"], prepend=t["column"][0] - 1))
         for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
-            a, b = place_a[lo:hi][in_a[lo:hi]], place_b[lo:hi][in_b[lo:hi]]
-            counts[np.ix_(a, b)] += 1
-        x, y = np.nonzero(counts)
-        c = counts[x, y]
-        x, y = first[of_a[x]], first[of_b[y]]
-        if i != j:
-            swap = t["component"][x] > t["component"][y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-        n, m = t["n"][x].astype(np.int64), t["n"][y].astype(np.int64)
+            if self.same:
+                self.counts[np.ix_(place[lo:hi], place[lo:hi])] += 1
+            else:
+                of = side[lo:hi] == 0
+                self.counts[np.ix_(place[lo:hi][of], place[lo:hi][~of])] += 1
+
+    def pairs(self, percent: int) -> pa.RecordBatch:
+        """The pairs that could be possible if all columns outside the block agreed."""
+        left = np.array(self.rows[0], np.int64).reshape(-1, 4)
+        right = left if self.same else np.array(self.rows[1], np.int64).reshape(-1, 4)
+        x, y = np.nonzero(self.counts[: len(left), : len(right)])
+        c = self.counts[x, y].astype(np.int64)
+        a, b = left[x], right[y]
+        if not self.same:
+            swap = (a[:, 2] > b[:, 2])[:, None]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+        n, m = a[:, 1], b[:, 1]
         rest = np.maximum(-(-percent * n // 100) - 1, -(-percent * m // 100) - 1)
-        most = c + np.minimum(t["outside"][x], t["outside"][y]) + rest
-        keep = (t["component"][x] < t["component"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most * (100 + percent) >= percent * (n + m))
-        x, y = x[keep], y[keep]
-        return {"a": t["name"][x], "b": t["name"][y], "na": t["n"][x], "nb": t["n"][y], "ca": t["component"][x], "cb": t["component"][y], "c": c[keep].astype(np.int64)}
+        most = c + np.minimum(a[:, 3], b[:, 3]) + rest
+        keep = (a[:, 2] < b[:, 2]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most * (100 + percent) >= percent * (n + m))
+        a, b, c = a[keep], b[keep], c[keep]
+        return pa.RecordBatch.from_pydict({"a": a[:, 0], "b": b[:, 0], "na": a[:, 1].astype(np.int32), "nb": b[:, 1].astype(np.int32), "ca": a[:, 2], "cb": b[:, 2], "c": c})
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("block", "i", "j", "chunk", "name", "n", "component", "column", "outside")
-        held: list[dict[str, np.ndarray]] = []
 
-        def done() -> pa.RecordBatch:
-            t = {f: np.concatenate([h[f] for h in held]) for f in fields}
-            return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in pairs_of(int(t["i"][0]), int(t["j"][0]), t).items()})
+def _multiplied(percent: int):
+    """Pairs and their counts from rows sorted by block, its two chunks, and column; a column's rows and one block's counts are held."""
+    fields = ("block", "i", "j", "chunk", "name", "n", "component", "column", "outside")
 
-        for batch in batches:
-            t = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
-            key = (t["block"], t["i"], t["j"])
-            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist(), len(t["block"])]
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, open_rows = None, None, None
+        for batch in _and_none(batches):
+            if batch is None:
+                t = open_rows
+            else:
+                t = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
+                if open_rows is not None:
+                    t = {f: np.concatenate([open_rows[f], t[f]]) for f in fields}
+            if t is None or not len(t["block"]):
+                continue
+            moved = np.flatnonzero(np.any([t[f][1:] != t[f][:-1] for f in ("block", "i", "j")], axis=0)) + 1
+            end = len(t["block"])
+            if batch is not None:  # the last column may go on in the next batch
+                other = np.flatnonzero(t["column"] != t["column"][-1])
+                end = max([0, *(other[-1:] + 1).tolist(), *moved[-1:].tolist()])
+                open_rows = {f: v[end:] for f, v in t.items()}
+            cuts = [0, *moved[moved < end].tolist(), end]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                part = {f: v[lo:hi] for f, v in t.items()}
-                if held and any(held[-1][f][-1] != part[f][0] for f in ("block", "i", "j")):
-                    yield done()
-                    held = []
-                held.append(part)
-        if held:
-            yield done()
+                own = tuple(int(t[f][lo]) for f in ("block", "i", "j"))
+                if own != key:
+                    if block is not None:
+                        yield block.pairs(percent)
+                    key, block = own, _Block(*own[1:])
+                block.add({f: v[lo:hi] for f, v in t.items()})
+        if block is not None:
+            yield block.pairs(percent)
 
     return multiply
 
 
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _spanned(pairs: DataFrame, named: DataFrame | None, texts: _Texts, size: int, percent: int) -> DataFrame | None:
     """Components after all links among the pairs (a, b, ca, cb, share).
 
@@ -501,7 +584,7 @@ def _links(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFram
     """Links between components (a, b), if there are any."""
     if not pairs.limit(1).count():
         return None
-    links = written(_verified(pairs, texts.of(pairs), size, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    links = written(_verified(pairs, texts, size, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
     if links.limit(1).count():
         return links
     forget(links)

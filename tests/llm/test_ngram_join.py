@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from lattica.llm import ngram_join as N
@@ -74,7 +76,46 @@ def test_components_of_chains_and_loops(spark):
 def test_a_name_with_two_texts_keeps_its_true_link(spark, other_first):
     """Both orders of the two texts that one id has; one task sees them behind each other."""
     right, other = "a b c d e f g h", "q r s t u v w x"
-    name = N.set_name(N.ngrams(right.encode(), 3))
-    texts = spark.createDataFrame([(name, x) for x in ([other, right] if other_first else [right, other])], "name bigint, text string").coalesce(1)
+    names = N.Names()
+    name = names.of(N.ngrams(right.encode(), 3))
+    held = spark.createDataFrame([(name, x) for x in ([other, right] if other_first else [right, other])], "name bigint, text string").coalesce(1)
     pairs = spark.createDataFrame([(name, name)], "a bigint, b bigint").coalesce(1)
+    texts = SimpleNamespace(names=names, of=lambda _: held)
     assert [tuple(r) for r in N._verified(pairs, texts, 3, 80).collect()] == [(name, name)]
+
+
+@pytest.mark.parametrize("bits", [6, 7])
+def test_sets_that_share_a_name_stay_apart(spark, bits):
+    docs = groups(6)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    first = {N.set_name(g, bits)[0] for _, t in docs if len(g := N.ngrams((t or "").encode(), 4))}
+    assert len(first) < len({N.set_name(g) for _, t in docs if len(g := N.ngrams((t or "").encode(), 4))})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.linked(df, 4, 85, name_bits=bits).collect()}
+    assert got == exact(docs, 4, 85)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_a_block_adds_up_over_batches(rows):
+    """Counts of all pairs of a block, however its rows are cut into batches."""
+    r = random.Random(rows)
+    held = sorted({(k % 2, min(c, d), max(c, d), column, name) for k in range(2) for name in range(90) for c in (0, 1) if name % 2 == c for d in (0, 1) for column in r.sample(range(12), 4)})
+    table = pa.table({"block": [h[0] for h in held], "i": [h[1] for h in held], "j": [h[2] for h in held], "chunk": [h[4] % 2 for h in held], "name": [h[4] for h in held], "n": pa.array([4] * len(held), pa.int32()), "component": [h[4] for h in held], "column": [h[3] for h in held], "outside": [0] * len(held)})
+    want: dict = {}
+    for block, i, j in {h[:3] for h in held}:
+        columns: dict = {}
+        for h in held:
+            if h[:3] == (block, i, j):
+                columns.setdefault(h[3], []).append(h[4])
+        for names in columns.values():
+            for x in names:
+                for y in names:
+                    if x < y and (i == j or x % 2 != y % 2):
+                        want[x, y, block] = want.get((x, y, block), 0) + 1
+    got: dict = {}
+    for b in N._multiplied(1)(iter(table.to_batches(max_chunksize=rows))):
+        for x, y, c in zip(*(b.column(k).to_pylist() for k in ("a", "b", "c")), strict=True):
+            got[x, y] = got.get((x, y), 0) + c
+    total: dict = {}
+    for (x, y, _), c in want.items():
+        total[x, y] = total.get((x, y), 0) + c
+    assert got == total
