@@ -28,6 +28,11 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.texts_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the documents' images, one row each."""
+    return tiff.text_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_best_fit_packing, op4_tiff_media, op5_ngram_join, op6_chat_format, op7_quality, op8_toxicity, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_best_fit_packing, op4_tiff_media, op5_ngram_join, op6_chat_format, op7_quality, op8_toxicity, op9_decontamination, op10_token_counts, media_pages)}
 
 
 ORACLE = {

@@ -1,19 +1,27 @@
 """Media columns: TIFF files in a binary column, one row per page.
 
-`decode_pages` walks a file's image directories, decodes PackBits, LZW or deflate strips and
-tiles, undoes the horizontal predictor and gives one row per page. `encode` writes the same kinds.
-Text can be kept as media, too: `text_payload` pads its UTF-8 bytes to a multiple of the row width,
-and an image of 8-bit samples stores them without loss.
-
-A null file gives no page. A damaged file gives one row whose `error` says what is wrong and whose
-other fields are null, so that one file doesn't end a job. An empty text is one row of zeros.
-Repeated rows are decoded each; extra columns pass through, except those whose names clash with a
-result, which are replaced.
+`pages` walks a file's image directories, decodes PackBits, LZW or deflate strips and tiles, undoes
+the horizontal and the floating-point predictor and gives one row per page. Samples of 1, 2, 4, 8,
+16 or 32 bits are read, side by side or in planes, in either byte order and order of bits; less than
+eight bits take a byte each, others come in the machine's byte order. `encode` writes such files.
+
+Text is kept as media, too: `text_image` pads its UTF-8 bytes to a multiple of the row width, cuts
+them into pages of `PAGE_ROWS` rows of 8-bit samples and writes these in turn by the kinds of `KINDS`,
+so that all codecs, predictors, strips and tiles store text. A page's description says how many bytes
+of text it holds, so texts that end in zeros come back whole.
+
+A null file gives no page. A damaged page, or one of a kind that isn't read, gives a row whose `error`
+says what is wrong and whose other fields are null; the other pages stay, and a damaged chain of
+directories ends in such a row without a number. Sizes that the file's data could not unpack to are
+refused before anything is allocated, as is a page of more than `LARGEST` bytes. An empty text is one
+row of zeros. Repeated rows are decoded each; extra columns pass through, except those whose names
+clash with a result, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,19 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from lattica.llm.common import raw, ship
 
 # Fixed values of the TIFF 6.0 format: tags, field types with their sizes, compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-FILL_ORDER, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 266, 322, 323, 324, 325
-FIELD_TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+FILL_ORDER, DESCRIPTION, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 266, 270, 322, 323, 324, 325
+FIELD_TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NO_COMPRESSION, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-#: Samples in a row of a text's image, and the payload's unit.
-ROW = 64
+#: Bytes that one byte of a codec's data can unpack to, at most.
+EXPANDS = {NO_COMPRESSION: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100}
+#: Most bytes of a page's pixels.
+LARGEST = 1 << 30
+
+#: Samples in a row of a text's image, and the payload's unit; rows of a page.
+ROW, PAGE_ROWS = 64, 256
+#: How a text's pages are written, in turn: compression, predictor, tile (or strips).
+KINDS = [(DEFLATE, 2, None), (LZW, 1, (32, 64)), (PACKBITS, 1, None), (NO_COMPRESSION, 2, (64, 32)), (DEFLATE, 1, (128, 64)), (LZW, 2, None)]
 
 
 @dataclass
@@ -48,23 +63,26 @@ class Page:
     bits: int
     compression: int
     data: bytes
+    predictor: int = 1
+    description: str | None = None
+
+
+_RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 2:
-            out += bytes((257 - (j - i), data[i]))
-            i = j
-            continue
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three and more as a count and a byte, what is between them as it is."""
+    out, at = bytearray(), 0
+    for m in (*_RUNS.finditer(data), None):
+        end = m.start() if m else len(data)
+        while at < end:
+            part = data[at : min(end, at + 128)]
+            out.append(len(part) - 1)
+            out += part
+            at += len(part)
+        if m:
+            out += bytes((257 - (m.end() - m.start()), data[m.start()]))
+            at = m.end()
     return bytes(out)
 
 
@@ -85,41 +103,39 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-            held &= (1 << bits) - 1
-
-    fresh = {bytes((i,)): i for i in range(256)}
-    codes, width, word = dict(fresh), 9, b""
-    put(256, width)
+    """Codes of 9 to 12 bits, the table cleared when it is full."""
+    codes, widths = [256], [9]
+    known: dict[int, int] = {}
+    n, width, word = 258, 9, -1
     for b in data:
-        longer = word + bytes((b,))
-        if longer in codes:
+        if word < 0:
+            word = b
+            continue
+        longer = known.get(word << 8 | b)
+        if longer is not None:
             word = longer
             continue
-        put(codes[word], width)
-        codes[longer] = len(codes) + 2
-        top = len(codes) + 1
-        if top == 4093:
-            put(256, width)
-            codes, width = dict(fresh), 9
-        else:
-            width = 9 + (top >= 511) + (top >= 1023) + (top >= 2047)
-        word = bytes((b,))
-    if word:
-        put(codes[word], width)
-        top = len(codes) + 2
-        width = 9 + (top >= 511) + (top >= 1023) + (top >= 2047)
-    put(257, width)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+        codes.append(word)
+        widths.append(width)
+        known[word << 8 | b] = n
+        n += 1
+        if n == 4094:
+            codes.append(256)
+            widths.append(width)
+            known, n, width = {}, 258, 9
+        elif n in (512, 1024, 2048):  # the reader's table is one entry behind
+            width += 1
+        word = b
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
+        if n + 1 in (512, 1024, 2048):
+            width += 1
+    codes.append(257)
+    widths.append(width)
+    bits = "".join([f"{c:0{w}b}" for c, w in zip(codes, widths, strict=True)])
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -174,30 +190,48 @@ def _differences(block: np.ndarray, samples: int) -> np.ndarray:
     return out
 
 
-def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, order: str = "<", level: int = 1) -> bytes:
-    """A TIFF file of 8- or 16-bit images of shape (height, width) or (height, width, samples)."""
+def _byte_planes(block: np.ndarray, samples: int) -> np.ndarray:
+    """Floating-point predictor: a row's bytes by significance, highest first, and their differences."""
+    wide = block.dtype.itemsize
+    planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(len(block), -1, wide).transpose(0, 2, 1).reshape(len(block), -1)
+    return _differences(np.ascontiguousarray(planes), samples)
+
+
+def encode(pages: list[np.ndarray], compression: int | list[int] = DEFLATE, predictor: int | list[int] = 1, rows_per_strip: int = 128, tile: tuple[int, int] | list | None = None, order: str = "<", level: int = 1, descriptions: list[str] | None = None, planes: bool = False) -> bytes:
+    """A TIFF file of 8-, 16- or 32-bit images of shape (height, width) or (height, width, samples).
+
+    Lists of compressions, predictors and tiles have an entry for each page.
+    """
     out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0))
     patch = 4
-    for image in pages:
+    of = lambda option, k: option[k] if isinstance(option, list) else option
+    for number, image in enumerate(pages):
+        packing, predicted, cut = of(compression, number), of(predictor, number), of(tile, number)
         image = image[:, :, None] if image.ndim == 2 else image
         h, w, s = image.shape
         kind = np.dtype(image.dtype).newbyteorder(order)
-        flat = np.ascontiguousarray(image).reshape(h, w * s)
-        if tile:
-            th, tw = tile
-            padded = np.zeros((-(-h // th) * th, -(-w // tw) * tw * s), image.dtype)
-            padded[:h, : w * s] = flat
-            blocks = [padded[y : y + th, x * s : (x + tw) * s] for y in range(0, padded.shape[0], th) for x in range(0, padded.shape[1] // s, tw)]
-        else:
-            blocks = [flat[y : y + rows_per_strip] for y in range(0, h, rows_per_strip)]
+        blocks = []
+        for plane in np.split(image, s, axis=2) if planes else [image]:
+            together = plane.shape[2]
+            flat = np.ascontiguousarray(plane).reshape(h, w * together)
+            if cut:
+                th, tw = cut
+                padded = np.zeros((-(-h // th) * th, -(-w // tw) * tw * together), image.dtype)
+                padded[:h, : w * together] = flat
+                blocks += [padded[y : y + th, x * together : (x + tw) * together] for y in range(0, padded.shape[0], th) for x in range(0, padded.shape[1] // together, tw)]
+            else:
+                blocks += [flat[y : y + rows_per_strip] for y in range(0, h, rows_per_strip)]
         at, sizes = [], []
         for b in blocks:
-            data = _packed((_differences(b, s) if predictor == 2 else b).astype(kind), compression, level)
+            stored = _differences(b, together).astype(kind) if predicted == 2 else _byte_planes(b, together) if predicted == 3 else b.astype(kind)
+            data = _packed(stored, packing, level)
             at.append(len(out))
             sizes.append(len(data))
             out += data + b"\0" * (len(data) % 2)
-        fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [image.dtype.itemsize * 8] * s), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if s == 3 else 1]), (SAMPLES, 3, [s]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor])]
-        fields += [(TILE_WIDTH, 4, [tile[1]]), (TILE_HEIGHT, 4, [tile[0]]), (TILE_AT, 4, at), (TILE_BYTES, 4, sizes)] if tile else [(STRIP_AT, 4, at), (ROWS, 4, [rows_per_strip]), (STRIP_BYTES, 4, sizes)]
+        fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [image.dtype.itemsize * 8] * s), (COMPRESSION, 3, [packing]), (PHOTOMETRIC, 3, [2 if s == 3 else 1]), (SAMPLES, 3, [s]), (PLANAR, 3, [2 if planes else 1]), (PREDICTOR, 3, [predicted])]
+        fields += [(TILE_WIDTH, 4, [cut[1]]), (TILE_HEIGHT, 4, [cut[0]]), (TILE_AT, 4, at), (TILE_BYTES, 4, sizes)] if cut else [(STRIP_AT, 4, at), (ROWS, 4, [rows_per_strip]), (STRIP_BYTES, 4, sizes)]
+        if descriptions:
+            fields.append((DESCRIPTION, 2, list(descriptions[number].encode() + b"\0")))
         entries = []
         for tag, t, values in sorted(fields):
             data = struct.pack(f"{order}{len(values)}{FIELD_TYPES[t]}", *values)
@@ -243,51 +277,73 @@ def _directories(data: bytes) -> Iterator[tuple[int, int, str]]:
         number += 1
 
 
+_TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def _unpacked(part: bytes, packing: int, need: int) -> bytes:
+    if packing == NO_COMPRESSION:
+        return part[:need]
+    return {PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}[packing](part, need)
+
+
+def _samples(part: bytes, rows: int, wide: int, together: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """Rows of wide * together values of a block's unpacked bytes."""
+    n = wide * together
+    if bits < 8:  # rows begin at a byte
+        cells = np.unpackbits(np.frombuffer(part, np.uint8).reshape(rows, -1), axis=1)[:, : n * bits].reshape(rows, n, bits)
+        return (cells * (1 << np.arange(bits - 1, -1, -1, dtype=np.uint8))).sum(axis=2, dtype=np.uint8)
+    size = bits // 8
+    if predictor == 3:
+        planes = np.cumsum(np.frombuffer(part, np.uint8).reshape(rows, n * size // together, together), axis=1, dtype=np.uint8).reshape(rows, size, n)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").reshape(rows, n).astype(f"=u{size}")
+    block = np.frombuffer(part, f"{order}u{size}").astype(f"=u{size}").reshape(rows, n)
+    if predictor == 2:
+        block = np.cumsum(block.reshape(rows, wide, together), axis=1, dtype=block.dtype).reshape(rows, n)
+    return block
+
+
 def _page(data: bytes, number: int, at: int, order: str) -> Page:
     f = _fields(data, at, order)
     one = lambda tag, default: f.get(tag, [default])[0]
-    w, h, s, bits, packing = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1)
-    if bits not in (1, 4, 8, 16) or one(PLANAR, 1) != 1 and s > 1 or bits < 8 and one(FILL_ORDER, 1) != 1:
-        raise ValueError(f"{bits}-bit samples, separate planes or this order of bits aren't read")
-    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
-    if TILE_AT in f:
-        bw, bh, places, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), f[TILE_AT], f[TILE_BYTES]
-    else:
-        bw, bh, places = w, min(one(ROWS, h), h), f[STRIP_AT]
-        sizes = f.get(STRIP_BYTES) or [len(data) - places[0]]
-    image = np.zeros((h, w * s), kind.newbyteorder("="))
-    across = -(-w // bw)
+    w, h, s, bits, packing, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if min(w, h, s) < 1:
+        raise ValueError(f"{w} by {h} pixels of {s} samples")
+    if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in f.get(BITS, [])):
+        raise ValueError(f"samples of {f.get(BITS, [1])} bits aren't read")
+    if packing not in EXPANDS:
+        raise ValueError(f"compression {packing} isn't read")
+    if predictor not in (1, 2, 3) or predictor > 1 and bits < 8 or predictor == 3 and bits < 16:
+        raise ValueError(f"predictor {predictor} of {bits}-bit samples isn't read")
+    tiled, planes = TILE_AT in f, s if one(PLANAR, 1) == 2 else 1
+    together = s // planes
+    bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (w, min(one(ROWS, h), h))
+    if min(bw, bh) < 1:
+        raise ValueError(f"blocks of {bw} by {bh} pixels")
+    places = f[TILE_AT if tiled else STRIP_AT]
+    sizes = f.get(TILE_BYTES if tiled else STRIP_BYTES) or [len(data) - place for place in places]
+    across, down = -(-w // bw), -(-h // bh)
+    if len(places) != across * down * planes or len(sizes) != len(places):
+        raise ValueError(f"{len(places)} blocks of {len(sizes)} sizes where {across * down * planes} make the image")
+    held = sum(max(0, min(size, len(data) - place)) for place, size in zip(places, sizes, strict=True))
+    line = -(-bw * together * bits // 8)
+    if h * w * s * max(1, bits // 8) > LARGEST or bh * line > LARGEST or h * (-(-w * s * bits // 8)) > held * EXPANDS[packing] + 64:
+        raise ValueError(f"{w} by {h} pixels are more than {held} bytes hold")
+    image = np.zeros((h, w, s), f"=u{max(1, bits // 8)}")
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+        plane, k = divmod(k, across * down)
         y, x = k // across * bh, k % across * bw
-        rows = bh if TILE_AT in f else min(bh, h - y)
-        need = rows * (line := -(-bw * s * bits // 8))
+        rows = bh if tiled else min(bh, h - y)
         part = data[place : place + size]
-        if packing == NO_COMPRESSION:
-            part = part[:need]
-        elif packing == PACKBITS:
-            part = unpack_bits(part, need)
-        elif packing == LZW:
-            part = lzw_decode(part, need)
-        elif packing in (DEFLATE, OLD_DEFLATE):
-            part = inflate(part, need)
-        else:
-            raise ValueError(f"compression {packing} isn't read")
-        if bits < 8:  # rows begin at a byte
-            cells = np.unpackbits(np.frombuffer(part, np.uint8).reshape(rows, line), axis=1)
-            block = (cells if bits == 1 else np.packbits(cells.reshape(rows, -1, 4), axis=2)[:, :, 0] >> 4)[:, : bw * s]
-        else:
-            block = np.frombuffer(part, kind).astype(kind.newbyteorder("=")).reshape(rows, bw * s)
-        if one(PREDICTOR, 1) == 2 and bits >= 8:
-            block = np.cumsum(block.reshape(rows, bw, s), axis=1, dtype=block.dtype).reshape(rows, bw * s)
-        elif one(PREDICTOR, 1) != 1:
-            raise ValueError("this predictor isn't read")
-        high, wide = min(rows, h - y), min(bw, w - x) * s
-        image[y : y + high, x * s : x * s + wide] = block[:high, :wide]
-    return Page(number, w, h, s, bits, packing, image.tobytes())
+        part = _unpacked(part.translate(_TURNED) if one(FILL_ORDER, 1) == 2 else part, packing, rows * line)
+        block = _samples(part, rows, bw, together, bits, order, predictor).reshape(rows, bw, together)
+        high, wide = min(rows, h - y), min(bw, w - x)
+        image[y : y + high, x : x + wide, plane * together : (plane + 1) * together] = block[:high, :wide]
+    said = bytes(f[DESCRIPTION]).split(b"\0")[0].decode("utf-8", "replace") if DESCRIPTION in f else None
+    return Page(number, w, h, s, bits, packing, image.tobytes(), predictor, said)
 
 
 def decode_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file with 1-, 4-, 8- or 16-bit samples side by side; 1- and 4-bit samples take a byte each."""
+    """The pages of a file; samples of less than a byte take a byte each."""
     for place in _directories(data):
         yield _page(data, *place)
 
@@ -302,19 +358,19 @@ def _rows(data: bytes) -> Iterator[tuple]:
         for place in _directories(data):
             try:
                 p = _page(data, *place)
-                row = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.data, None)
+                row = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.data, p.description, None)
             except UNREAD as e:
-                row = (place[0], *(None,) * 6, f"{type(e).__name__}: {e}")
+                row = (place[0], *(None,) * 8, f"{type(e).__name__}: {e}")
             yield row
     except UNREAD as e:
-        yield (None,) * 7 + (f"{type(e).__name__}: {e}",)
+        yield (None,) * 9 + (f"{type(e).__name__}: {e}",)
 
 
-PAGE = [StructField("page", IntegerType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("samples", IntegerType()), StructField("bits", IntegerType()), StructField("compression", IntegerType()), StructField("pixels", BinaryType()), StructField("error", StringType())]
+PAGE = [StructField("page", IntegerType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("samples", IntegerType()), StructField("bits", IntegerType()), StructField("compression", IntegerType()), StructField("predictor", IntegerType()), StructField("pixels", BinaryType()), StructField("description", StringType()), StructField("error", StringType())]
 
 
 def pages(files: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page of the files in column `media`, which isn't returned; pixels in the machine's byte order."""
+    """One row per page of the files in column `media`, which isn't returned."""
     ship(files.sparkSession)
     names = {f.name for f in PAGE}
     keep = [c for c in files.columns if c != media and c.lower() not in names]
@@ -333,13 +389,32 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
     return files.select(*(files[f"`{c}`"] for c in [*keep, media])).mapInArrow(read, schema)
 
 
+TEXT_BYTES = "bytes of text: "
+
+
 def text_payload(data: bytes) -> bytes:
     """The bytes, and zeros up to a positive multiple of ROW."""
     return data + b"\0" * (ROW - len(data) if not data else -len(data) % ROW)
 
 
 def text_image(data: bytes) -> bytes:
-    return encode([np.frombuffer(text_payload(data), np.uint8).reshape(-1, ROW)], DEFLATE, predictor=2, rows_per_strip=1024)
+    payload = text_payload(data)
+    rows, size = np.frombuffer(payload, np.uint8).reshape(-1, ROW), PAGE_ROWS * ROW
+    images = [rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)]
+    first = zlib.crc32(payload)
+    kinds = [KINDS[(first + k) % len(KINDS)] for k in range(len(images))]
+    said = [f"{TEXT_BYTES}{max(0, min(size, len(data) - k * size))}" for k in range(len(images))]
+    return encode(images, [k[0] for k in kinds], [k[1] for k in kinds], tile=[k[2] for k in kinds], descriptions=said)
+
+
+def image_text(media: bytes) -> bytes:
+    """The text that text_image() stored."""
+    out = []
+    for p in decode_pages(media):
+        if not (p.description or "").startswith(TEXT_BYTES):
+            raise ValueError("not a text's image")
+        out.append(p.data[: int(p.description[len(TEXT_BYTES) :])])
+    return b"".join(out)
 
 
 def features(pixels: bytes, width: int, height: int) -> str:
@@ -352,7 +427,7 @@ def features(pixels: bytes, width: int, height: int) -> str:
     return f"{height}x{width};{total // n};{(squares * n - total * total) // (n * n)};{bits}"
 
 
-STORED = [StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType())]
+STORED = [StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("page_compressions", ArrayType(IntegerType()))]
 
 
 def texts_as_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -371,8 +446,9 @@ def texts_as_media(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for data in raw(b.column(text)):
                 media = text_image(data)
-                (page,) = decode_pages(media)
-                rows.append((len(data), len(page.data), hashlib.sha256(page.data).hexdigest(), zlib.crc32(page.data[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(page.data, page.width, page.height)))
+                found = list(decode_pages(media))
+                read = b"".join(p.data for p in found)
+                rows.append((len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(read, ROW, len(read) // ROW), [p.compression for p in found]))
             columns = list(zip(*rows, strict=True)) or [()] * len(STORED)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, t.type) for x, t in zip(columns, list(arrow)[len(keep) :], strict=True))], schema=arrow)
 
@@ -393,6 +469,21 @@ def text_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     return docs.select(*(docs[f"`{c}`"] for c in keep)).mapInArrow(made, schema)
 
 
-def media_text(image: DataFrame) -> DataFrame:
-    """pages() of text images back to text: trailing zero bytes of the padding go."""
-    return image.withColumn("text", F.regexp_replace(F.col("pixels").cast("string"), "\\x00+$", ""))
+def media_text(files: DataFrame, media: str = "media", text: str = "text") -> DataFrame:
+    """The texts of column `media` back in column `text`; null stays null. The media aren't returned."""
+    ship(files.sparkSession)
+    keep = [c for c in files.columns if c not in (media, text)]
+    schema = StructType([files.schema[c] for c in keep] + [StructField(text, StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([None if x is None else image_text(x).decode() for x in b.column(media).to_pylist()], arrow.field(text).type)], schema=arrow)
+
+    return files.select(*(files[f"`{c}`"] for c in [*keep, media])).mapInArrow(read, schema)
+
+
+def text_pages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per page of the images of the texts, with the digest of its pixels in place of these."""
+    out = pages(text_media(docs, text, "media").drop(text), "media")
+    return out.withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")

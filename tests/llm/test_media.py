@@ -78,6 +78,72 @@ def test_samples_of_less_than_a_byte(compression, bits):
     assert (page.width, page.height, page.bits, page.data) == (11, 5, bits, image.tobytes())
 
 
+@pytest.mark.parametrize("compression", [tiff.NO_COMPRESSION, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("planes", [False, True])
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_wide_samples_planes_and_predictors(compression, planes, predictor, order):
+    rng = np.random.default_rng(7)
+    images = [rng.integers(0, 2**32, (21, 18, 3), np.uint32), rng.random((9, 40), np.float32).view(np.uint32), rng.integers(0, 2**16, (7, 5, 2)).astype(np.uint16)]
+    for tile in (None, (16, 16)):
+        found = list(tiff.decode_pages(tiff.encode(images, compression, predictor, 5, tile, order, planes=planes)))
+        assert [p.data for p in found] == [i.tobytes() for i in images]
+
+
+def test_bits_in_the_other_order():
+    image = np.random.default_rng(1).integers(0, 2, (6, 16), np.uint8)
+    file = bytearray(patched(tiff.encode([np.packbits(image, axis=1)], tiff.NO_COMPRESSION), 0, WIDTH=16, BITS=1))
+    at = struct.unpack_from("<I", file, 4)[0]
+    place = at + 2 + 12 * [struct.unpack_from("<H", file, at + 2 + 12 * k)[0] for k in range(struct.unpack_from("<H", file, at)[0])].index(tiff.PREDICTOR)
+    struct.pack_into("<HHIH", file, place, tiff.FILL_ORDER, 3, 1, 2)
+    (page,) = tiff.decode_pages(bytes(file))
+    assert page.data == image.reshape(6, 2, 8)[:, :, ::-1].tobytes()
+
+
+@pytest.mark.parametrize("tags", [{"WIDTH": 0}, {"WIDTH": 4_000_000, "HEIGHT": 4_000_000}, {"HEIGHT": 0}, {"ROWS": 0}, {"BITS": 7}, {"COMPRESSION": 7}, {"PREDICTOR": 9}, {"SAMPLES": 0}, {"SAMPLES": 60_000}, {"STRIP_AT": 2**31}, {"STRIP_BYTES": 0}])
+def test_damaged_headers_give_an_error_row(tags):
+    for compression in (tiff.DEFLATE, tiff.LZW, tiff.PACKBITS, tiff.NO_COMPRESSION):
+        file = patched(tiff.encode([np.arange(30, dtype=np.uint8).reshape(5, 6)], compression), 0, **tags)
+        (row,) = tiff._rows(file)
+        assert row[0] == 0 and row[-1] and row[1] is None
+
+
+def test_a_field_without_values_gives_an_error_row():
+    file = bytearray(tiff.encode([np.zeros((2, 2), np.uint8)]))
+    at = struct.unpack_from("<I", file, 4)[0]
+    for k in range(struct.unpack_from("<H", file, at)[0]):
+        struct.pack_into("<I", file, at + 2 + 12 * k + 4, 0)
+    assert [r[-1] is None for r in tiff._rows(bytes(file))] == [False]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_damage_never_ends_a_job(seed):
+    r = random.Random(seed)
+    good = tiff.text_image(bytes(r.randrange(256) for _ in range(40_000)))
+    for _ in range(40):
+        file = bytearray(good)
+        for _ in range(r.randint(1, 6)):
+            file[r.choice([r.randrange(len(file)), r.randrange(len(file) - 600, len(file))])] = r.randrange(256)
+        assert all(len(row) == len(tiff.PAGE) for row in tiff._rows(bytes(file[: r.choice([len(file), r.randrange(len(file))])])))
+
+
+def test_texts_take_every_kind_and_come_back(spark):
+    r = random.Random(5)
+    texts = ["a\0", "\0", "", "\0" * 64, "é" * 30_000, "ab" * 60_000] + ["".join(r.choice("abc é\n") for _ in range(r.choice([10, 17_000, 50_000]))) for _ in range(20)]
+    assert all(tiff.image_text(tiff.text_image(t.encode())) == t.encode() for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    found = tiff.text_pages(docs).collect()
+    assert {(p["compression"], p["predictor"]) for p in found} == {k[:2] for k in tiff.KINDS}
+    by_doc: dict = {}
+    for p in sorted(found, key=lambda p: p["page"]):
+        by_doc.setdefault(p["doc_id"], []).append(p)
+    for k, t in enumerate(texts):
+        payload = tiff.text_payload(t.encode())
+        size = tiff.ROW * tiff.PAGE_ROWS
+        assert [p["pixels_sha256"] for p in by_doc[k]] == [hashlib.sha256(payload[y : y + size]).hexdigest() for y in range(0, len(payload), size)]
+        assert [p["page"] for p in by_doc[k]] == list(range(len(by_doc[k]))) and not any(p["error"] for p in by_doc[k])
+
+
 def test_texts_as_media(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
@@ -93,6 +159,6 @@ def test_texts_as_media(spark, folder):
         media = tiff.text_image(data)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         assert by_text.setdefault(data, r["feature"]) == r["feature"]
-    back = tiff.media_text(tiff.pages(tiff.text_media(docs.select("doc_id", "text")).drop("text")))
+    back = tiff.media_text(tiff.text_media(docs.select("doc_id", "text")).drop("text"))
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {k: t.decode() for k, t in texts.items()}
     assert tiff.texts_as_media(docs.limit(0)).collect() == []

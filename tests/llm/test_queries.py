@@ -13,4 +13,4 @@ def test_query_equals_oracle(spark, folder, oracle, rows, name):
 
 
 def test_ten_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries() if q.startswith("op")) == list(range(1, 11))
