@@ -45,8 +45,8 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 
 from lattica.llm.common import raw, ship
 
-#: Runs, pieces and token pairs that a worker remembers: two generations of so many each.
-REMEMBERED = 250_000
+#: Runs and pieces that a worker remembers: two generations of so many each, some 400 bytes a pair.
+REMEMBERED = 300_000
 #: Longest run in code points that is remembered.
 SHORT = 64
 #: Code points that the pre-tokenizer looks ahead, and one more.
@@ -56,6 +56,12 @@ _SIGNS = ".,;:!?"
 _WORD = re.compile(rf"([A-Za-z]+)([{_SIGNS}]?)\Z")
 
 
+def _split(text: str) -> list[str]:
+    for c in "\t\n\v\f\r":
+        text = text.replace(c, " ")
+    return text.split(" ")
+
+
 class Remembered(dict):
     """Answers by question; when full, those not asked for lately are forgotten."""
 
@@ -88,15 +94,21 @@ class Merges:
         if any(made.get(part, -1) >= k for pair, k in self.rank.items() for part in pair):
             raise ValueError("a merge comes before its parts")
         n = len(self.suffix)
-        #: for each beginning of a token: 1 if it is a token itself, 2 if one with the suffix
+        #: for each beginning of a token that can come out whole: 1 if it is one itself, 2 if one with the suffix
         self.begins: dict[str, int] = {}
         for t in model["vocab"]:
+            if self._edges(t) is None:
+                continue
             text, flag = (t[:-n], 2) if n and t.endswith(self.suffix) else (t, 1 if n else 3)
             self.begins[text] = self.begins.get(text, 0) | flag
             for k in range(1, len(text)):
                 self.begins.setdefault(text[:k], 0)
         self.edges = Remembered(self._edges)
-        self.goes = Remembered(self._goes)
+        #: by token, whether another one may follow it
+        self.goes: dict[str, dict[str, bool]] = {}
+        self.known = 0
+        #: the last piece and its columns, of which the next piece takes the common beginning
+        self.held = ("", [0], [""], [0])
 
     def symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -119,9 +131,9 @@ class Merges:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return ([*first, (token, 1 << 60)], [*last, (token, 1 << 60)]) if parts == [token] else None
 
-    def _goes(self, pair: tuple[str, str]) -> bool:
+    def _goes(self, token: str, after: str) -> bool:
         """Whether two tokens stay apart: nothing joins the symbols at their border before these are joined within."""
-        left, right = self.edges[pair[0]][1], self.edges[pair[1]][0]
+        left, right = self.edges[token][1], self.edges[after][0]
         i = j = 0
         while True:
             (x, until), (y, also) = left[i], right[j]
@@ -135,26 +147,58 @@ class Merges:
             else:
                 j += 1
 
+    def _follows(self, token: str, after: str) -> bool:
+        if self.known >= 4 * REMEMBERED:
+            self.goes.clear()
+            self.known = 0
+        self.known += 1
+        found = self.goes.setdefault(token, {})[after] = self._goes(token, after)
+        return found
+
     def table(self, piece: str) -> list[int]:
         """Tokens of piece[:i] as a whole word, for every i."""
-        size = len(piece)
-        count, last, end = [0] * (size + 1), [""] * (size + 1), [0] * (size + 1)
-        begins, edges, goes, suffix = self.begins, self.edges, self.goes, self.suffix
+        size, (had, count, last, end) = len(piece), self.held
+        same = 0
+        for x, y in zip(piece, had, strict=False):
+            if x != y:
+                break
+            same += 1
+        rest = size - same
+        count, last, end = count[: same + 1] + [0] * rest, last[: same + 1] + [""] * rest, end[: same + 1] + [0] * rest
+        begins, goes, suffix = self.begins, self.goes, self.suffix
         for k in range(size):
+            if k < same:
+                if piece[k : same + 1] not in begins or not rest:
+                    continue
+                i = same
+            else:
+                i = k
             before, n = last[k], count[k] + 1
             if not before and k:
                 raise ValueError(f"no token of the vocabulary ends {piece[:k]!r}")
-            for i in range(k + 1, size + 1):
+            after = goes.get(before) or {}
+            while i < size:
+                i += 1
                 part = piece[k:i]
                 flags = begins.get(part)
                 if flags is None:
                     break
-                if flags & 1 and not last[i] and edges[part] and (not k or goes[before, part]):
-                    last[i], count[i] = part, n
-                if flags & 2 and not end[i] and edges[part + suffix] and (not k or goes[before, part + suffix]):
-                    end[i] = n
+                if flags & 1 and not last[i]:
+                    may = True if not k else after.get(part)
+                    if may is None:
+                        may = self._follows(before, part)
+                    if may:
+                        last[i], count[i] = part, n
+                if flags & 2 and not end[i]:
+                    whole = part + suffix
+                    may = True if not k else after.get(whole)
+                    if may is None:
+                        may = self._follows(before, whole)
+                    if may:
+                        end[i] = n
         if not all(end[1:]):
             raise ValueError(f"no token of the vocabulary ends {piece!r} or a beginning of it")
+        self.held = (piece, count, last, end)
         return end
 
 
@@ -199,14 +243,14 @@ class RunCounter:
         """What byte-pair encoding gets for a character."""
         return "".join(p for p, _ in self._cut(c))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes | tuple[int, ...]:
         """Counts at each code point of a piece of the normalised text, from the first on."""
         parts = [self.mapped[c] for c in piece]
         end = self.merges.table("".join(parts))
         counts = end[1:] if len(end) == len(piece) + 1 else [end[k] for k in accumulate(map(len, parts))]
         if len(piece) > 1 and not piece.isalpha() and any(c.isalnum() for c in piece):  # a contraction, whose beginning reads otherwise
             counts = [n if k == len(piece) or len(cut := self._cut(piece[:k])) == 1 else sum(self.merges.table(p)[-1] for p, _ in cut) for k, n in enumerate(counts, 1)]
-        return tuple(counts)
+        return bytes(counts) if max(counts, default=0) < 256 else tuple(counts)
 
     def _whole(self, text: str) -> int:
         """Tokens of normalised text."""
@@ -258,11 +302,15 @@ class RunCounter:
         counts = self._counts(run)
         return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
+    def prepare(self, texts: list[str]) -> None:
+        """Answers for the short runs of many texts, in an order in which one piece's columns begin like the last one's."""
+        new = {run for t in texts for run in set(_split(t)) if run not in self.runs and len(run) <= SHORT}
+        for run in sorted(new, key=str.lower):
+            self.runs[run]  # noqa: B018
+
     def differences(self, text: str) -> np.ndarray:
         """What each code point of a text adds to the count."""
-        for c in "\t\n\v\f\r":
-            text = text.replace(c, " ")
-        return np.frombuffer(b"\0\0".join(map(self.runs.__getitem__, text.split(" "))), np.int16)
+        return np.frombuffer(b"\0\0".join(map(self.runs.__getitem__, _split(text))), np.int16)
 
 
 _counters: dict[str, RunCounter] = {}
@@ -313,7 +361,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text:
         counter = counter_of(tokenizer_path)
         for b in batches:
             n_bytes, tokens, fits = [], [], []
-            for data in raw(b.column(text)):
+            texts = raw(b.column(text))
+            counter.prepare([x.decode() for x in texts])
+            for data in texts:
                 table = PrefixTable(data.decode(), counter)
                 n_bytes.append(len(data))
                 tokens.append(table.at(len(data)))
