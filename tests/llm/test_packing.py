@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +64,54 @@ def test_items_fill_their_bins_without_overlap(spark, monkeypatch, shard_rows):
     assert len(bins) == packing.Plan(rest, (16, 64), 2).bins + sum((n or 0) // 64 for _, n, _ in rows)
 
 
-def test_query_packs_all_words(spark, folder):
+@pytest.mark.parametrize("seed", range(30))
+def test_places_equal_item_by_item(seed):
+    r = random.Random(seed)
+    sizes = r.choice([(8, 16), (5, 12, 30), (64,)])
+    lengths = [r.randint(0, max(sizes) * 3) if r.random() < 0.4 else r.randint(0, max(sizes) // 3) for _ in range(r.randint(0, 120))]
+    item, start, length, bins, capacity, at = packing.place(np.array(lengths, np.int64), sizes, 3)
+    top = max(sizes)
+    held: dict = {}
+    for b, c, p, n in zip(bins.tolist(), capacity.tolist(), at.tolist(), length.tolist(), strict=True):
+        assert held.get(b, (c, 0)) == (c, p)
+        held[b] = (c, p + n)
+    assert sorted(held.values()) == sorted(one_by_one([n % top for n in lengths if n % top], sizes, 3) + [(top, top)] * sum(n // top for n in lengths))
+    parts: dict = {}
+    for i, s, n in sorted(zip(item.tolist(), start.tolist(), length.tolist(), strict=True)):
+        assert parts.get(i, 0) == s
+        parts[i] = s + n
+    assert parts == {i: n for i, n in enumerate(lengths) if n}
+
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.mark.parametrize("shard_bytes", [3_000, 10**8])
+def test_sequences_hold_every_document_s_tokens(spark, folder, shard_bytes):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a null id"), (None, "another"), (7000, " " * 100_000), (7001, "x" * 100_000), (7002, "copied text " * 30), (7002, "<|endoftext|>")] + [(9, "copied text " * 30)] * 40, "doc_id bigint, text string"))
+    encode, sizes = packing.encoding(PATH), (64, 256)
+    want = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    found = packing.sequences(docs, PATH, sizes, 4, shard_bytes).collect()
+    assert len({s["bin"] for s in found if s["bin"] is not None}) == sum(s["bin"] is not None for s in found)
+    pieces: dict = {}
+    for s in found:
+        assert s["n_tokens"] == len(s["tokens"]) == sum(s["lengths"]) and len(s["doc_ids"]) == len(s["starts"]) == len(s["lengths"])
+        if s["bin"] is None:
+            assert s["n_tokens"] == 0 and len(s["doc_ids"]) == 1
+        else:
+            assert s["bin_capacity"] == min(c for c in sizes if c >= s["n_tokens"]) and all(s["lengths"])
+        at = 0
+        for d, start, n in zip(s["doc_ids"], s["starts"], s["lengths"], strict=True):
+            pieces.setdefault(d, []).append((start, tuple(s["tokens"][at : at + n])))
+            at += n
+    for d, text in want:
+        texts = [encode.encode_ordinary(t) for (i, t), k in want.items() if i == d for _ in range(k)]
+        every = Counter((start, tuple(t[start : start + 256])) for t in texts for start in range(0, max(len(t), 1), 256))
+        assert Counter(pieces[d]) == every, (d, text)
+
+
+def test_sequences_of_an_empty_table_and_of_extra_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    want = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
-    got = packing.pack_documents(docs).groupBy("doc_id").agg(F.max("n_words").alias("n"), F.sum("piece_length").alias("s")).collect()
-    assert {r["doc_id"]: r["n"] for r in got} == want == {r["doc_id"]: r["s"] for r in got}
-    assert packing.pack_documents(docs.limit(0)).collect() == []
+    assert packing.sequences(docs.limit(0), PATH).collect() == []
+    more = docs.withColumn("shard", F.lit("x")).withColumn("h", F.lit(1)).withColumn("bin", F.lit(2))
+    assert sorted(map(repr, packing.sequences(more, PATH).collect())) == sorted(map(repr, packing.sequences(docs, PATH).collect()))
