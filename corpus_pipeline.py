@@ -18,6 +18,8 @@ from lattica.llm.common import forget, table, written
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Words of a benchmark passage, and the share of hit words beyond which a document goes as a whole.
 WINDOW, COVERAGE = 10, 0.5
+#: The vocabulary whose tokens are packed.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -45,8 +47,10 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' pieces in training sequences."""
-    return packing.pack_documents(docs)
+    """Training sequences of the documents' tokens."""
+    import public_tokenizers
+
+    return packing.sequences(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard", drop_near_copies), ("decontamination", cut_benchmark), ("packing", pack)]
