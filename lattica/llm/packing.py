@@ -233,11 +233,12 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...]
     dealt = _sharded(docs, shard_bytes)
     counted = T.StructType([dealt.schema[c] for c in ("shard", "h", "doc_id")] + [T.StructField("ids", T.BinaryType())])
     arrow = to_arrow_schema(counted)
+    width = "<u2" if encoding(tokenizer_path).n_vocab <= 1 << 16 else "<u4"  # what moves is the tokens
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(tokenizer_path).encode_ordinary
         for b in batches:
-            ids = [np.array(encode(x), "<u4").tobytes() for x in b.column("text").to_pylist()]
+            ids = [np.array(encode(x), width).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "h", "doc_id")), pa.array(ids, pa.binary())], schema=arrow)
 
     schema = T.StructType([T.StructField(f.name, T.ArrayType(id_type)) if f.name == "doc_ids" else f for f in SEQUENCE])
@@ -246,13 +247,13 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...]
     def pack(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("h", "ascending"), ("ids", "ascending")]))
         shard = table.column("shard")[0].as_py()
-        ids = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
+        ids = [np.frombuffer(x, width) for x in table.column("ids").to_pylist()]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         item, start, length, bins, capacity, _ = place(lengths, capacities, sequence_cost)
         empty = np.flatnonzero(lengths == 0)
         firsts = np.flatnonzero(np.diff(bins, prepend=-1))
         ends = np.concatenate([firsts[1:], [len(bins)]]).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
-        tokens = np.concatenate([ids[i][s : s + n] for i, s, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)] or [np.zeros(0, "<u4")]).astype(np.int32)
+        tokens = np.concatenate([ids[i][s : s + n] for i, s, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)] or [np.zeros(0, width)]).astype(np.int32)
         token_ends = np.cumsum(length)[ends - 1] if len(bins) else ends
         members = pa.array(np.concatenate([item, empty]))
         pieces_at = np.concatenate([[0], ends, len(bins) + 1 + np.arange(len(empty))]).astype(np.int32)
