@@ -123,8 +123,36 @@ def is_loopback(host: Column) -> Column:
 
 
 def world_writable(mode: Column) -> Column:
-    """Of an octal mode as text."""
-    return F.conv(F.regexp_replace(mode, "^0o?", ""), 8, 10).cast("int").bitwiseAND(2) > 0
+    """Of a mode as text, octal (0o777, 0666) or symbolic (a+rw)."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit(""))))
+    octal = F.conv(F.regexp_replace(m, "^0o", ""), 8, 10).cast("int").bitwiseAND(2) > 0
+    return F.when(m.rlike("^(0o)?[0-7]{3,4}$"), octal).otherwise(m.rlike("^[ugoa]*[ao][ugoa]*[+=][rwxst]*w"))
+
+
+def declared_kind(kind: Column, enums: list[str] | None = None) -> Column:
+    """Kind and nullability of a declared type such as `List<int>?`: a known one, an enum, an object if it is capitalised, or none."""
+    t = F.trim(kind)
+    base = F.element_at(F.split(F.regexp_replace(F.regexp_replace(t, r"\?+$", ""), "<.*", ""), r"\."), -1)
+    out = F.when(base.isin(enums or [""]), "enum")
+    for name, what in DECLARED.items():
+        out = out.when(base == name, what)
+    out = out.when(base.rlike("^[A-Z]"), "object")
+    return F.struct(out.alias("kind"), F.coalesce(t.endswith("?") | (t == "dynamic"), F.lit(False)).alias("nullable"))
+
+
+def origin_text(attrs: Column) -> Column:
+    """What is known of a call's origin: a literal base address, else the name of the variable that holds it; from JSON."""
+    pick = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(attrs, f"$.{n}"), F.lit("")) for n in names))
+    return pick("base_url", "origin", "base", "base_env", "env")
+
+
+GENERIC = ["api", "app", "base", "url", "host", "server", "backend", "service", "endpoint", "origin", "http", "https", "www", "com", "env", "public", "next", "vite"]
+
+
+def origin_fits(text: Column, repo: Column) -> Column:
+    """Whether an origin's words name a repository: all words of its name that say something are in it."""
+    own = F.array_except(words(repo), F.array(*(F.lit(w) for w in GENERIC)))
+    return (F.size(own) > 0) & (F.size(F.array_except(own, words(text))) == 0)
 
 
 def dsn(url: Column) -> Column:
@@ -153,18 +181,37 @@ def redaction_marker(value: Column, salt: bytes) -> Column:
     return F.concat(F.lit("redacted:hmac:"), F.substring(hmac_sha256(value, salt), 1, 8))
 
 
+# What declared types are on the wire.
+DECLARED = {"String": "str", "int": "int", "double": "float", "num": "number", "bool": "bool", "DateTime": "datetime", "List": "list", "Iterable": "list", "Set": "list", "Map": "object", "dynamic": "any", "Object": "any"}
+# Words that name a credential at a key's end, words before a bare `key` or `token` that make it none, and beginnings of references.
+SECRET_LAST = ["password", "passwd", "pwd", "pass", "passphrase", "secret", "dsn", "apikey"]
+SECRET_TWO = ["api key", "access key", "secret key", "private key", "signing key", "encryption key", "client secret", "webhook secret", "auth token", "api token", "access token", "refresh token", "bearer token"]
+SECRET_BARE = ["key", "token"]
+NOT_SECRET_BEFORE = ["primary", "foreign", "sort", "partition", "route", "cache", "idempotency", "remember", "csrf", "xsrf", "public", "i18n", "translation", "lookup", "unique", "index", "storage", "prefix"]
+REFERENCE_BEGINS = ["${", "{{", "%(", "<", "$"]
+NO_VALUE = ["null", "none", "false", "true", "changeme?"]
+
+
+def key_words(key: Column) -> Column:
+    """Words of a key: letters and digits, cut where a capital follows a small letter."""
+    return F.filter(F.split(F.lower(F.regexp_replace(key, "([a-z])([A-Z])", "$1_$2")), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def secret_key(key: Column) -> Column:
-    """A key whose words end in those of a credential."""
-    w = words(key)
-    last = F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit(""))
-    two = F.concat_ws(" ", F.try_element_at(w, F.lit(-2)), last)
-    return last.isin("password", "passwd", "secret", "token", "apikey", "credential", "credentials", "passphrase", "pwd") | two.isin("api key", "private key", "access key", "secret key", "auth key", "signing key")
+    """Whether a key's name is a credential's: by the last words of its last dotted part, a bare `key` or `token` unless the word before says otherwise, and the application's key."""
+    every, own = key_words(key), key_words(F.element_at(F.split(key, r"\."), -1))
+    word = lambda w, n: F.coalesce(F.try_element_at(w, F.lit(-n)), F.lit(""))
+    bare = word(own, 1).isin(SECRET_BARE) & ~word(every, 2).isin(NOT_SECRET_BEFORE)
+    return (F.array_join(every, " ") == "app key") | word(own, 1).isin(SECRET_LAST) | F.concat_ws(" ", word(own, 2), word(own, 1)).isin(SECRET_TWO) | bare
 
 
 def placeholder(value: Column) -> Column:
-    """Empty, null-like, or a reference to the environment."""
-    v = F.lower(F.trim(value))
-    return v.isin("", "null", "none", "nil", "undefined", "changeme", "xxx") | v.rlike(r"^(env\(|\$\{|process\.env|os\.environ|\{\{)")
+    """No value, a reference to one, or one that was redacted."""
+    v = F.trim(value)
+    begins = F.lit(False)
+    for sign in REFERENCE_BEGINS:
+        begins = begins | v.startswith(sign)
+    return F.coalesce((v == "") | begins | F.lower(v).isin(NO_VALUE) | v.startswith("redacted:hmac:") | v.startswith("redacted:sha256:"), F.lit(True))
 
 
 def redact_url(url: Column, salt: bytes) -> Column:

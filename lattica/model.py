@@ -52,7 +52,7 @@ coap udp path; ssdp udp exact fanout; llm_tool local exact; mcp_tool tcp mcp; mc
     for flags in [" ".join(rest)]
 }
 FINDINGS = {
-    "hardcoded": ("high", "outbound"), "plaintext": ("medium", "outbound"), "unverified": ("high", "inbound"), "unguarded": ("high", "inbound"),
+    "hardcoded": ("high", "outbound"), "plaintext": ("medium", "outbound"), "unverified": ("high", "inbound"), "unguarded": ("medium", "inbound"),
     "exposed-listener": ("medium", "inbound"), "tls-off": ("high", "outbound"), "ipc-exposed": ("medium", "inbound"), "ssrf": ("high", "outbound"),
 }
 

@@ -14,15 +14,15 @@ def users_by_target(edges: DataFrame, kinds: list[str], limit: int | None = None
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """what, key, n: nodes by kind; edges by kind and by confidence; entries by kind; gated edges."""
-    count = lambda df, what, key: df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "key", "n")
-    return (
-        count(nodes, "node kind", F.col("kind"))
-        .unionByName(count(edges, "edge kind", F.col("kind")))
-        .unionByName(count(edges, "confidence", F.col("confidence")))
-        .unionByName(count(edges, "gated", F.col("gate").isNotNull()))
-        .unionByName(count(nodes.where("entry_kind is not null"), "entry kind", F.col("entry_kind")))
-    )
+    """what, key, n: nodes by kind; edges by kind and by confidence; entries by kind; gated edges. One pass over each table."""
+
+    def count(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+        grouped = rows.groupBy(*(key.cast("string").alias(what) for what, key in keys.items())).agg(F.count(F.lit(1)).alias("n"))  # few combinations, summed before they move
+        each = F.explode(F.array(*(F.struct(F.lit(what).alias("what"), F.col(f"`{what}`").alias("key")) for what in keys))).alias("k")
+        return grouped.select(each, "n").groupBy("k.what", "k.key").agg(F.sum("n").alias("n")).where("key is not null")
+
+    of_nodes = count(nodes, {"node kind": F.col("kind"), "entry kind": F.col("entry_kind")})
+    return of_nodes.unionByName(count(edges, {"edge kind": F.col("kind"), "confidence": F.col("confidence"), "gated": F.col("gate").isNotNull()})).select("what", "key", "n")
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:

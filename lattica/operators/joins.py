@@ -102,12 +102,17 @@ def _path_blocks(s: DataFrame, r: DataFrame) -> DataFrame:
     key = lambda c: F.when(first(c).isNull() | held(first(c)), F.lit("*")).otherwise(first(c))
     n = lambda c: F.size(M.segments(F.col(c)))
     open_end = F.coalesce(F.try_element_at(M.segments(F.col("r_name")), F.lit(-1)).rlike(r"\*\??\}$|\?\}$"), F.lit(False))
-    left = s.withColumn("_n", n("s_name")).withColumn("_k", F.explode(F.when(key("s_name") == "*", F.array(F.lit("*"))).otherwise(F.array(key("s_name"), F.lit("*"))))).withColumn("_lit", key("s_name") != "*")
-    right = r.withColumn("_m", n("r_name")).withColumn("_open", open_end).withColumn("_rk", key("r_name"))
+    left, right = s.withColumn("_n", n("s_name")).withColumn("_k", key("s_name")), r.withColumn("_m", n("r_name")).withColumn("_open", open_end).withColumn("_rk", key("r_name"))
     fits = (F.col("_n") == F.col("_m")) | F.col("_open")
-    literal = left.where("_lit").join(right, F.col("_k") == F.col("_rk")).where(fits)
-    loose = left.where(~F.col("_lit")).join(right, fits & (F.col("_n") <= F.col("_m") + F.when(F.col("_open"), 1000).otherwise(0)))
-    return literal.unionByName(loose).drop("_n", "_k", "_lit", "_m", "_open", "_rk")
+    either = F.explode(F.array(F.col("_k"), F.lit("*")))
+    literal = left.where("_k <> '*'").withColumn("_k", either).join(right, F.col("_k") == F.col("_rk")).where(fits)
+    loose = left.where("_k = '*'")
+    longest = loose.agg(F.max("_n")).first()[0]  # one number: how far an open end can reach
+    if longest is None:
+        return literal.drop("_n", "_k", "_m", "_open", "_rk")
+    lengths = F.when(F.col("_open"), F.sequence(F.greatest(F.col("_m") - 1, F.lit(0)), F.greatest(F.col("_m"), F.lit(longest)))).otherwise(F.array("_m"))
+    by_length = loose.join(right.withColumn("_l", F.explode(lengths)), F.col("_n") == F.col("_l")).drop("_l")
+    return literal.unionByName(by_length).drop("_n", "_k", "_m", "_open", "_rk")
 
 
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:

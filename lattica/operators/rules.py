@@ -10,9 +10,24 @@ from pyspark.sql import functions as F
 from lattica.functions.matchers import PARAM, match_path, segments
 from lattica.functions.text import words
 
-# What fits what in a payload, per client kind.
-COMPATIBLE = {"string": ["string", "enum", "date", "uuid"], "int": ["int", "number"], "number": ["number", "int", "decimal"], "bool": ["bool"], "list": ["list"], "object": ["object"], "enum": ["enum", "string"], "date": ["date", "string"]}
-PUBLIC = [("login", r"(?i)/(log|sign)-?in(/|$)"), ("registration", r"(?i)/(register|sign-?up)(/|$)"), ("password reset", r"(?i)/(forgot|reset)-?password(/|$)"), ("health check", r"(?i)/(health|healthz|ping|up|status)$"), ("webhook", r"(?i)/webhooks?(/|$)")]
+# Which kinds of a server fit a client's kind, beside an equal one.
+COMPATIBLE = {"number": ["int", "float", "decimal"], "float": ["int", "number", "decimal"], "int": ["number"], "str": ["decimal", "enum"], "datetime": ["str", "decimal", "enum"], "enum": ["str", "decimal"], "object": ["dict"]}
+# Whole path segments by which a route is public by design.
+PUBLIC = {
+    "sign-in / sign-up / password reset": "login logout signin sign-in signout sign-out signup sign-up register registration forgot-password forgot_password forgot password-reset reset-password password_reset reset_password verify-email verify_email confirm-email csrf csrf-token",
+    "health check": "health healthz healthcheck health-check health_check ready readyz readiness live livez liveness ping status up alive",
+    "robots / sitemap / favicon / manifest": "robots.txt sitemap.xml favicon.ico opensearch.xml manifest.json manifest.webmanifest security.txt humans.txt ads.txt browserconfig.xml",
+    "static assets": "static assets public media _next locales fonts images img css js dist",
+    "jwks / .well-known": ".well-known jwks jwks.json",
+    "OAuth / OIDC callback or token endpoint": "oauth oauth2 oidc openid openid-configuration callback callbacks authorize sso saml nextauth",
+    "media / thumbnails": "thumbnail thumbnails image avatar avatars favicon favicons emoji logo",
+    "API schema / documentation": "swagger swagger-ui redoc openapi openapi.json openapi.yaml openapi.yml api-docs apidocs",
+    "utility endpoint (version / client IP / geolocation)": "version ip geolocation whoami-public",
+    "scheduled job endpoint (cron key)": "cron",
+    "embed pages": "embeds",
+}
+#: Reported, but at low severity.
+LOW = {"metrics endpoint": "metrics prometheus stats"}
 NEVER_AUTH = ["throttle", "cors", "csrf", "locale", "trim", "cache"]
 
 
@@ -43,19 +58,22 @@ def is_auth_guard(name: Column, patterns: Iterable[str] = ()) -> Column:
     return (own | F.arrays_overlap(w, F.array(*(F.lit(x) for x in ("auth", "authenticate", "jwt", "session", "permission", "role", "admin", "token", "login"))))) & ~F.arrays_overlap(w, F.array(*(F.lit(x) for x in NEVER_AUTH)))
 
 
-def public_reason(path: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for reason, pattern in PUBLIC:
-        out = out.when(path.rlike(pattern), reason)
+def public_reason(path: Column, of: dict[str, str] | None = None) -> Column:
+    """Why a route is public by design: the first reason that one of its path's segments, or one before a dot, names."""
+    found = F.array_distinct(F.flatten(F.transform(segments(F.lower(path)), lambda s: F.array(s, F.regexp_replace(s, r"\.[^.]*$", "")))))
+    out = F.when(F.lower(path) == "/", "site root")
+    for reason, names in (of or PUBLIC).items():
+        out = out.when(F.arrays_overlap(found, F.array(*(F.lit(n) for n in names.split()))), reason)
     return out
 
 
-def compatible(client: Column, server: Column) -> Column:
-    """Whether a client's kind fits a server's; null where either isn't known."""
-    out = F.when(client.isNull() | server.isNull(), F.lit(None).cast("boolean"))
+def compatible(client: Column, server: Column, cast: Column | None = None) -> Column:
+    """Whether a client's kind fits a server's; what isn't known fits. A whole number read `as double` fails on the client."""
+    out = F.when(client.isNull() | server.isNull() | (client == "any") | server.isin("any", "null") | (client == server), True)
+    strict = F.coalesce(F.regexp_replace(cast, r"\?$", "") == "double", F.lit(False)) if cast is not None else F.lit(False)
     for kind, fits in COMPATIBLE.items():
-        out = out.when(client == kind, server.isin(fits))
-    return out
+        out = out.when(client == kind, server.isin(fits) & (~strict if kind == "float" else F.lit(True)))
+    return out.otherwise(False)
 
 
 def ignored(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,3 +122,29 @@ def isolate_tests(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     tests = nodes.where(F.col("entry_kind") == "test").select(F.col("id").alias("src"), F.lit(True).alias("_t"))
     kind = F.when(F.col("kind").isin("CALLS", "ROUTES_TO"), "TEST_CALLS").when(F.col("kind") == "HTTP_CALLS", "TEST_HTTP").otherwise("TEST_USES")
     return edges.join(tests, "src", "left").withColumn("kind", F.when(F.col("_t"), kind).otherwise(F.col("kind"))).drop("_t")
+
+
+def in_repo(nodes: DataFrame, repo: str) -> DataFrame:
+    """Nodes of one linked repository, by their attributes."""
+    return nodes.where(F.get_json_object("attrs", "$.repo") == repo)
+
+
+#: Kinds of nodes that stand for a class.
+CLASS_KINDS = ["class", "interface", "trait", "enum", "struct", "protocol", "mixin", "extension", "object"]
+
+
+def has_class_target(targets: DataFrame) -> DataFrame:
+    """One row, has_class: whether any target (id) is like a class."""
+    return targets.agg(F.coalesce(F.bool_or(F.substring_index("id", ":", 1).isin(CLASS_KINDS)), F.lit(False)).alias("has_class"))
+
+
+def registered_callbacks(edges: DataFrame, routes: DataFrame) -> DataFrame:
+    """src, route: who registers a route's address somewhere outside."""
+    return edges.where("kind = 'REGISTERS_CALLBACK'").join(routes.select(F.col("id").alias("dst")), "dst").select("src", F.col("dst").alias("route")).distinct()
+
+
+def table_columns(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """id: the targets, and the columns that target tables contain: who uses a column uses its table."""
+    tables = targets.where(F.col("id").startswith("table:")).select(F.col("id").alias("src"))
+    columns = edges.where((F.col("kind") == "CONTAINS") & F.col("dst").startswith("column:")).join(tables, "src", "left_semi").select(F.col("dst").alias("id"))
+    return targets.select("id").unionByName(columns).distinct()

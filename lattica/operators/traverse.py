@@ -108,6 +108,39 @@ def shortest_paths(edges: DataFrame, depth: DataFrame, hop_limit: int = 60) -> D
     return out
 
 
+def group_paths(edges: DataFrame, closure: DataFrame, wanted: DataFrame, hop_limit: int = 60) -> DataFrame:
+    """id, grp, depth, path of wanted (id, grp) pairs of a group closure (id, grp, depth): one best path to the group each.
+
+    A step goes to a node that the group's closure holds one step nearer, by the edge that shortest_paths
+    would take: certain first, then ungated, then kind, target, place.
+    """
+    at = wanted.join(closure, ["id", "grp"]).select("id", "grp", "depth", F.col("id").alias("here"), F.col("depth").alias("left"))
+    order = F.struct((-F.col("conf_rank")).alias("r"), F.col("gate").isNotNull().alias("g"), "kind", "dst", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(-1)).alias("line"), F.coalesce("gate", F.lit("")).alias("gate"), "confidence")
+    steps = cut(edges.select("src", "dst", "kind", "file", "line", "gate", "conf_rank", "confidence"), "steps")
+    near = closure.select(F.col("id").alias("dst"), "grp", F.col("depth").alias("near"))
+    empty = F.array().cast("array<struct<from:string,kind:string,to:string,at:string,confidence:string,gated:string>>")
+    level = cut(at.withColumn("path", empty), "group-paths")
+    done = level.where("left = 0")
+    for _ in range(hop_limit):
+        open_rows = level.where("left > 0")
+        if open_rows.isEmpty():
+            break
+        found = open_rows.join(steps, F.col("here") == F.col("src")).join(near, ["dst", "grp"]).where("near = left - 1")
+        best = found.groupBy("id", "grp", "depth", "here", "left", "path").agg(F.min(order).alias("hop"))
+        place = F.when(F.col("hop.file") != "", F.concat_ws(":", "hop.file", F.when(F.col("hop.line") >= 0, F.col("hop.line").cast("string"))))
+        hop = F.struct(F.col("here").alias("from"), F.col("hop.kind").alias("kind"), F.col("hop.dst").alias("to"), place.alias("at"), F.col("hop.confidence").alias("confidence"), F.nullif("hop.gate", F.lit("")).alias("gated"))
+        level = cut(best.select("id", "grp", "depth", F.col("hop.dst").alias("here"), (F.col("left") - 1).alias("left"), F.concat("path", F.array(hop)).alias("path")), "group-paths")
+        done = done.unionByName(level.where("left = 0"))
+    release(steps)
+    return done.select("id", "grp", "depth", "path")
+
+
+def routes_reaching(edges: DataFrame, functions: DataFrame, max_depth: int = 12) -> DataFrame:
+    """id, grp, depth: routes that call their way to each function (id) within so many hops."""
+    found = group_closures(walkable(edges, CALL_LIKE), functions.select("id", F.col("id").alias("grp")), max_depth)
+    return found.where(F.col("id").startswith("route:"))
+
+
 def path_text(path: Column) -> Column:
     """A path as text: nodes with the kind of each hop between them."""
     hops = F.transform(path, lambda h: F.concat(h["from"], F.lit(" -"), h["kind"], F.lit("-> ")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions import text as X
 from lattica.operators import joins as J
 from lattica.operators import rules as R
 from lattica.operators import traverse as G
 from lattica.plans.registry import on_graph, query
-from lattica.plans.traversal import ids
+from lattica.plans.traversal import PROPAGATES, ids, up, walk_sql
 from lattica.sources.fixture import edges, nodes, read
 
 
@@ -26,22 +27,31 @@ def route_spec(spark, sf_dir):
     return R.route_spec(nodes(spark, sf_dir), "post", "/orders/42").select("id", "entry_kind")
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(p, '(?i)/(health|healthz|ping|up|status)$') THEN 'health check' WHEN regexp_matches(p, '(?i)/(log|sign)-?in(/|$)') THEN 'login' END AS reason FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '/ping' WHEN page_id % 3 = 1 THEN '/sign-in' ELSE '' END AS p FROM pages)""")
+PUBLIC_SQL = " ".join(f"WHEN list_has_any(s, {names.split()}) THEN '{reason}'" for reason, names in R.PUBLIC.items())
+
+
+@query(f"""SELECT page_id, CASE WHEN p = '/' THEN 'site root' {PUBLIC_SQL} END AS reason FROM (SELECT *, list_concat(parts, list_transform(parts, lambda x: regexp_replace(x, '\\.[^.]*$', ''))) AS s FROM (
+SELECT *, list_filter(string_split(lower(p), '/'), lambda x: x <> '') AS parts FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || CASE page_id % 4 WHEN 0 THEN '/ping' WHEN 1 THEN '/sign-in' WHEN 2 THEN '/openapi.json' ELSE '' END AS p FROM pages)))""")
 def public_routes(spark, sf_dir):
     """Routes that are public by design, and why."""
-    p = F.concat(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.when(F.col("page_id") % 3 == 0, "/ping").when(F.col("page_id") % 3 == 1, "/sign-in").otherwise(""))
+    p = F.concat(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.when(F.col("page_id") % 4 == 0, "/ping").when(F.col("page_id") % 4 == 1, "/sign-in").when(F.col("page_id") % 4 == 2, "/openapi.json").otherwise(""))
     return read(spark, sf_dir, "pages").select("page_id", R.public_reason(p).alias("reason"))
 
 
-@query("""SELECT a.event_type AS client, b.event_type AS server, CASE a.event_type WHEN 'click' THEN b.event_type IN ('click', 'view', 'error') WHEN 'view' THEN b.event_type = 'view' ELSE NULL END AS fits FROM (SELECT DISTINCT event_type FROM events) a JOIN (SELECT DISTINCT event_type FROM events) b ON a.event_type <= b.event_type""")
+KINDS = ["String", "int", "double?", "num", "bool", "DateTime", "List<int>", "Map<String, int>", "dynamic", "Order", "x"]
+SERVER_KINDS = ["str", "int", "float", "number", "decimal", "enum", "list", "object", "dict", "any", "null", "datetime"]
+FITS_SQL = " ".join(f"WHEN client = '{c}' THEN server IN ({', '.join(repr(x) for x in fits)})" for c, fits in R.COMPATIBLE.items())
+DECLARED_SQL = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in X.DECLARED.items())
+
+
+@query(f"""SELECT declared, client, nullable, server, CASE WHEN client IS NULL OR client = 'any' OR server IN ('any', 'null') OR client = server THEN true {FITS_SQL} ELSE false END AS fits FROM (
+SELECT declared, CASE regexp_replace(rtrim(declared, '?'), '<.*', '') {DECLARED_SQL} WHEN 'Order' THEN 'object' END AS client, ends_with(declared, '?') OR declared = 'dynamic' AS nullable, server
+FROM (SELECT unnest({KINDS}) AS declared) JOIN (SELECT unnest({SERVER_KINDS}) AS server) ON true)""")
 def payload_types(spark, sf_dir):
-    """Which kinds fit which."""
-    kinds = read(spark, sf_dir, "events").select("event_type").distinct()
-    named = F.create_map(*(F.lit(x) for p in {"click": "number", "view": "int", "error": "decimal"}.items() for x in p))
-    pairs = kinds.select(F.col("event_type").alias("client"), F.lit(1).alias("k")).join(kinds.select(F.col("event_type").alias("server"), F.lit(1).alias("k")), "k").where("client <= server")
-    client = F.when(F.col("client").isin("click", "view"), named[F.col("client")])
-    fits = F.when(client.isNull(), F.lit(None).cast("boolean")).when(F.col("client") == "view", F.col("server") == "view").otherwise(R.compatible(client, F.coalesce(named[F.col("server")], F.lit("object"))))
-    return pairs.select("client", "server", fits.alias("fits"))
+    """Which declared types of a client fit which kinds of a server."""
+    declared = spark.createDataFrame([(k,) for k in KINDS], "declared string").withColumn("kind", X.declared_kind(F.col("declared")))
+    pairs = declared.select("declared", F.col("kind.kind").alias("client"), "kind.nullable", F.explode(F.array(*(F.lit(k) for k in SERVER_KINDS))).alias("server"))
+    return pairs.withColumn("fits", R.compatible(F.col("client"), F.col("server")))
 
 
 @query(on_graph("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN t.id IS NULL THEN e.kind WHEN e.kind IN ('CALLS', 'ROUTES_TO') THEN 'TEST_CALLS' ELSE 'TEST_USES' END AS kind FROM edges e LEFT JOIN (SELECT id FROM nodes WHERE entry_kind = 'test') t ON t.id = e.src) GROUP BY kind"))
@@ -64,7 +74,7 @@ def one_connection(spark, sf_dir):
     return edges(spark, sf_dir).where(F.col("kind").isin("READS_TABLE", "WRITES_TABLE") & (F.coalesce("file", F.lit("")) == "1995-03")).select("src", "dst", "kind", "gate")
 
 
-@query(on_graph("SELECT e.dst AS id, count(DISTINCT e.src) AS entries, min(e.src) AS sample FROM edges e JOIN nodes n ON n.id = e.src AND n.entry_kind = 'http_route' WHERE e.kind = 'ROUTES_TO' AND e.dst IN ('function:1', 'function:2', 'function:3') GROUP BY e.dst"))
+@query(on_graph("SELECT grp AS id, count(*) AS entries, min(id) AS sample FROM walk JOIN nodes USING (id) WHERE entry_kind = 'http_route' GROUP BY grp", walk_sql("walk", "SELECT id, id AS grp FROM nodes WHERE id IN ('function:1', 'function:2', 'function:3')", up(PROPAGATES), "id, grp", 1_000_000)))
 def entry_info(spark, sf_dir):
     """Entries of given nodes out of the tagged table."""
     tags = G.tag_entries(G.walkable(edges(spark, sf_dir)), nodes(spark, sf_dir))

@@ -8,7 +8,7 @@ from lattica.functions import text as X
 from lattica.operators import joins as J
 from lattica.operators import traverse as G
 from lattica.plans.registry import on_graph, query
-from lattica.plans.traversal import CALLS, PROPAGATES
+from lattica.plans.traversal import CALLS, PROPAGATES, up, walk_sql
 from lattica.sources.fixture import edges, nodes, read
 from lattica.streaming import refresh
 
@@ -48,8 +48,9 @@ def tests_covering(spark, sf_dir):
     return found.select("id", F.when(F.col("depth") <= 1, "direct").when(F.col("depth") <= 3, "near").otherwise("deeper").alias("how"), "depth")
 
 
-@query(on_graph("SELECT n.entry_kind, count(DISTINCT n.id) AS n FROM changed JOIN edges e ON e.dst = changed.id AND e.kind = 'ROUTES_TO' JOIN nodes n ON n.id = e.src GROUP BY n.entry_kind", """changes AS (SELECT 'src/m' || (event_id % 40) || '.py' AS file, (event_id * 13) % 420 + 1 AS lo, (event_id * 13) % 420 + 1 + event_id % 5 AS hi FROM events WHERE event_type = 'error'),
-changed AS (SELECT DISTINCT id FROM changes JOIN nodes USING (file) WHERE kind = 'function' AND lo <= end_line AND line <= hi)"""))
+@query(on_graph("SELECT entry_kind, count(*) AS n FROM (SELECT n.entry_kind, n.id FROM tests JOIN nodes n USING (id) WHERE n.entry_kind = 'test' UNION ALL SELECT n.entry_kind, n.id FROM others JOIN nodes n USING (id) WHERE n.entry_kind <> 'test') GROUP BY entry_kind", f"""changes AS (SELECT 'src/m' || (event_id % 40) || '.py' AS file, (event_id * 13) % 420 + 1 AS lo, (event_id * 13) % 420 + 1 + event_id % 5 AS hi FROM events),
+changed AS (SELECT DISTINCT id FROM changes JOIN nodes USING (file) WHERE kind = 'function' AND lo <= end_line AND line <= hi),
+{walk_sql("tests", "SELECT id FROM changed", up(CALLS))}, {walk_sql("others", "SELECT id FROM changed", up(PROPAGATES))}"""))
 def affected(spark, sf_dir):
     """Changed line ranges to symbols to the tests and entry points that reach them."""
     from lattica.plans.joins import changes, spans

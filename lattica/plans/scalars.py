@@ -51,8 +51,15 @@ def address_scan(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("found").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id, line, key, value FROM (SELECT doc_id, line, regexp_extract(l, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 1) AS key, regexp_extract(l, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 2) AS value
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents)) WHERE lower(key) IN ('token', 'password', 'secret') AND value <> ''""")
+def _one_of(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(rf"""SELECT doc_id, line, key, value FROM (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(key, '([a-z])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (
+SELECT doc_id, line, regexp_extract(l, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 1) AS key, regexp_extract(l, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 2) AS value
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents)) WHERE key <> '')
+WHERE (w = ['app', 'key'] OR w[-1] IN ({_one_of(X.SECRET_LAST)}) OR w[-2] || ' ' || w[-1] IN ({_one_of(X.SECRET_TWO)}) OR (w[-1] IN ('key', 'token') AND coalesce(w[-2], '') NOT IN ({_one_of(X.NOT_SECRET_BEFORE)})))
+AND trim(value) <> '' AND NOT regexp_matches(trim(value), '^(\$|<|\{{\{{|%\()') AND lower(trim(value)) NOT IN ({_one_of(X.NO_VALUE)}) AND NOT starts_with(trim(value), 'redacted:')""")
 def secret_scan(spark, sf_dir):
     """X35, X36, B5, SP1: assignments of credentials in texts with their lines, placeholders left out."""
     found = S.line_matches(read(spark, sf_dir, "documents"), "doc_id", "text", r'([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', ["key", "value"])
@@ -102,14 +109,14 @@ def three_valued(spark, sf_dir):
     return e.select("event_id", P.all_of(F.array(known, F.lit(True))).alias("both_known"), P.any_of(either).alias("either"))
 
 
-@query("""SELECT t.target, e.event_type, CASE t.target WHEN 'windows' THEN false ELSE NULL END AS on_other, (e.event_type = 'click' AND t.target IN ('linux', 'macos', 'android', 'ios')) AS on_unix FROM (VALUES ('linux'), ('macos'), ('windows'), ('android'), ('ios'), ('web')) t(target), (SELECT DISTINCT event_type FROM events) e""")
+@query("""SELECT t.target, e.event_type, NULL::BOOLEAN AS on_other, (e.event_type = 'click' AND t.target IN ('linux', 'macos', 'android', 'ios')) AS on_unix FROM (VALUES ('linux'), ('macos'), ('windows'), ('android'), ('ios'), ('web')) t(target), (SELECT DISTINCT event_type FROM events) e""")
 def platform_atoms(spark, sf_dir):
     """Which targets a condition holds on."""
     kinds = read(spark, sf_dir, "events").select("event_type").distinct()
     rows = None
     for target in P.TARGETS:
         unix = P.atom(F.lit("os"), F.when(F.col("event_type") == "click", "unix").otherwise("none"), target)
-        other = F.lit(False) if target == "windows" else P.atom(F.lit("feature"), F.lit("x"), target)
+        other = P.atom(F.lit("feature"), F.lit("x"), target)
         out = kinds.select(F.lit(target).alias("target"), "event_type", other.alias("on_other"), unix.alias("on_unix"))
         rows = out if rows is None else rows.unionByName(out)
     return rows

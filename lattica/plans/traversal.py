@@ -28,17 +28,29 @@ def graph_nodes(spark, sf_dir):
     return nodes(spark, sf_dir)
 
 
+def walk_sql(name: str, seed: str, steps: str, keys: str = "id", max_depth: int = 30) -> str:
+    """A walk that visits each key once, at its least depth; `steps` has at, to."""
+    others = [k for k in keys.split(", ") if k != "id"]
+    carried = "".join(f", {name}.{k}" for k in others)
+    same = "".join(f" AND seen.{k} = {name}.{k}" for k in others)
+    return f"""{name}({keys}, depth) USING KEY ({keys}) AS (
+  SELECT {keys}, 0 FROM ({seed}) UNION SELECT s.goes{carried}, min({name}.depth) + 1 FROM {name} JOIN ({steps}) s ON s.comes = {name}.id LEFT JOIN recurring.{name} seen ON seen.id = s.goes{same}
+  WHERE seen.id IS NULL AND {name}.depth < {max_depth} GROUP BY s.goes{carried})"""
+
+
+def up(edge_filter: str) -> str:
+    return f"SELECT DISTINCT dst AS comes, src AS goes FROM edges WHERE {edge_filter}"
+
+
 def _closure_sql(seed: str, edge_filter: str, max_depth: int = 30) -> str:
-    return f"""walk(id, depth) AS (
-  SELECT id, 0 FROM ({seed}) UNION SELECT e.src, walk.depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE {edge_filter}) e ON e.dst = walk.id WHERE walk.depth < {max_depth}),
-closure AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+    return walk_sql("closure", seed, up(edge_filter), max_depth=max_depth)
 
 
 PROPAGATES = "kind IN ('CALLS', 'OVERRIDDEN_BY', 'ROUTES_TO', 'READS_TABLE', 'WRITES_TABLE', 'REFERS_TO', 'USES_TYPE')"
 CALLS = "kind IN ('CALLS', 'OVERRIDDEN_BY', 'ROUTES_TO')"
 
 
-@query(on_graph("SELECT id, depth FROM closure", _closure_sql("SELECT 'function:5' AS id", f"{PROPAGATES} AND conf_rank >= 2 AND {LIVE}", 8)))
+@query(on_graph("SELECT id, depth FROM closure", _closure_sql("SELECT 'function:5' AS id", f"{PROPAGATES} AND conf_rank >= 2 AND {LIVE}")))
 def reverse_closure(spark, sf_dir):
     """All that depends on a part, by edges of certain kinds, confidence and gate; least depth."""
     return G.reverse_closure(G.walkable(edges(spark, sf_dir), None, "resolved", "flag_open"), ids(spark, "function:5"))
@@ -55,7 +67,7 @@ paths(id, depth, path, conf_rank) AS (
   FROM paths JOIN hops ON hops.dst = paths.id AND hops.depth = paths.depth + 1)"""
 
 
-@query(on_graph("SELECT id, depth, path, conf_rank FROM paths", f"used AS (SELECT * FROM edges WHERE {PROPAGATES} AND conf_rank >= 2), " + _closure_sql("SELECT 'table:1' AS id", f"{PROPAGATES} AND conf_rank >= 2", 8) + "," + HOPS))
+@query(on_graph("SELECT id, depth, path, conf_rank FROM paths", f"used AS (SELECT * FROM edges WHERE {PROPAGATES} AND conf_rank >= 2), " + _closure_sql("SELECT 'table:1' AS id", f"{PROPAGATES} AND conf_rank >= 2") + "," + HOPS))
 def shortest_paths(spark, sf_dir):
     """One best evidence path from every dependent of a table, with its weakest confidence."""
     used = G.walkable(edges(spark, sf_dir), None, "resolved")
@@ -63,32 +75,33 @@ def shortest_paths(spark, sf_dir):
     return found.select("id", "depth", G.path_text(F.col("path")).alias("path"), "conf_rank")
 
 
-GROUPS = """
-targets AS (SELECT 'table:' || s_suppkey AS id, 'module:' || s_nationkey AS grp FROM supplier),
-walk(id, grp, depth) AS (
-  SELECT id, grp, 0 FROM targets UNION SELECT e.src, walk.grp, walk.depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('CALLS', 'OVERRIDDEN_BY', 'READS_TABLE', 'WRITES_TABLE') AND conf_rank >= 2) e ON e.dst = walk.id WHERE walk.depth < 4)"""
+TABLES_OF_NATIONS = "SELECT 'table:' || s_suppkey AS id, 'module:' || s_nationkey AS grp FROM supplier"
+DATA_STEPS = "kind IN ('CALLS', 'OVERRIDDEN_BY', 'READS_TABLE', 'WRITES_TABLE') AND conf_rank >= 2"
+GROUPS = walk_sql("walk", TABLES_OF_NATIONS, up(DATA_STEPS), "id, grp")
+
+
+def _data_edges(spark, sf_dir):
+    return G.walkable(edges(spark, sf_dir), ["CALLS", "OVERRIDDEN_BY", "READS_TABLE", "WRITES_TABLE"], "resolved")
+
 
+def _tables_of_nations(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("table:"), "s_suppkey").alias("id"), F.concat(F.lit("module:"), "s_nationkey").alias("grp"))
 
-@query(on_graph("SELECT grp, depth, count(*) AS n FROM (SELECT id, grp, min(depth) AS depth FROM walk GROUP BY id, grp) GROUP BY grp, depth", GROUPS))
+
+@query(on_graph("SELECT grp, depth, count(*) AS n FROM walk GROUP BY grp, depth", GROUPS))
 def group_closures(spark, sf_dir):
     """What depends on the tables of each nation, all nations in one walk; how many at each depth."""
-    targets = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("table:"), "s_suppkey").alias("id"), F.concat(F.lit("module:"), "s_nationkey").alias("grp"))
-    used = G.walkable(edges(spark, sf_dir), ["CALLS", "OVERRIDDEN_BY", "READS_TABLE", "WRITES_TABLE"], "resolved")
-    return G.group_closures(used, targets).groupBy("grp", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return G.group_closures(_data_edges(spark, sf_dir), _tables_of_nations(spark, sf_dir)).groupBy("grp", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(on_graph("SELECT paths.id, entry_kind, CASE entry_kind WHEN 'http_route' THEN 'runtime' WHEN 'queue_job' THEN 'runtime' WHEN 'cli_command' THEN 'operator' WHEN 'ui_page' THEN 'ui' ELSE 'dev' END AS class, paths.depth, CASE WHEN live.id IS NULL THEN 'gated' ELSE 'live' END AS status, path, conf_rank FROM paths JOIN nodes USING (id) LEFT JOIN live USING (id) WHERE entry_kind IS NOT NULL", f"used AS (SELECT * FROM edges WHERE {PROPAGATES}), " + _closure_sql("SELECT 'function:7' AS id", PROPAGATES, 3) + "," + HOPS + f""",
-live_walk(id, depth) AS (SELECT 'function:7', 0 UNION SELECT e.src, depth + 1 FROM live_walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE {PROPAGATES} AND {LIVE}) e ON e.dst = id WHERE depth < 3),
-live AS (SELECT DISTINCT id FROM live_walk)"""))
+@query(on_graph("SELECT paths.id, entry_kind, CASE entry_kind WHEN 'http_route' THEN 'runtime' WHEN 'queue_job' THEN 'runtime' WHEN 'cli_command' THEN 'operator' WHEN 'ui_page' THEN 'ui' ELSE 'dev' END AS class, paths.depth, CASE WHEN live.id IS NULL THEN 'gated' ELSE 'live' END AS status, path, conf_rank FROM paths JOIN nodes USING (id) LEFT JOIN live USING (id) WHERE entry_kind IS NOT NULL", f"used AS (SELECT * FROM edges WHERE {PROPAGATES}), " + _closure_sql("SELECT 'function:7' AS id", PROPAGATES) + "," + HOPS + "," + walk_sql("live", "SELECT 'function:7' AS id", up(f"{PROPAGATES} AND {LIVE}"))))
 def reaches(spark, sf_dir):
     """Entry points that reach a part, with class, gate status and evidence path."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
     return G.reaches(n, e, ids(spark, "function:7"), "flag_open").withColumn("path", G.path_text(F.col("path")))
 
 
-@query(on_graph("SELECT closure.id, kind, depth, entry_kind IS NOT NULL AS is_entry, sure.id IS NULL AS candidate FROM closure JOIN nodes ON nodes.id = closure.id LEFT JOIN sure ON sure.id = closure.id WHERE depth > 0", _closure_sql("SELECT 'function:11' AS id", CALLS) + f""",
-sure_walk(id, depth) AS (SELECT 'function:11', 0 UNION SELECT e.src, depth + 1 FROM sure_walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE {CALLS} AND conf_rank >= 2) e ON e.dst = id WHERE depth < 30),
-sure AS (SELECT DISTINCT id FROM sure_walk)"""))
+@query(on_graph("SELECT closure.id, kind, closure.depth, entry_kind IS NOT NULL AS is_entry, sure.id IS NULL AS candidate FROM closure JOIN nodes ON nodes.id = closure.id LEFT JOIN sure ON sure.id = closure.id WHERE closure.depth > 0", _closure_sql("SELECT 'function:11' AS id", CALLS) + "," + walk_sql("sure", "SELECT 'function:11' AS id", up(f"{CALLS} AND conf_rank >= 2"))))
 def impact(spark, sf_dir):
     """Callers of a part up to the entry points, those by heuristic edges alone marked."""
     return G.impact(nodes(spark, sf_dir), edges(spark, sf_dir), ids(spark, "function:11"))
@@ -96,7 +109,7 @@ def impact(spark, sf_dir):
 
 @query(on_graph("SELECT id, kind, flags, min(depth) AS depth, (flags & 4) = 0 AS live FROM (SELECT e.dst AS id, e.kind, walk.flags | e.adds AS flags, walk.depth + 1 AS depth FROM walk JOIN flagged e ON e.src = walk.id WHERE e.kind IN ('READS_TABLE', 'WRITES_TABLE')) GROUP BY id, kind, flags", f"""
 flagged AS (SELECT DISTINCT src, dst, kind, CASE kind WHEN 'OVERRIDDEN_BY' THEN 1 ELSE 0 END + CASE WHEN gate = 'flag_open' THEN 4 ELSE 0 END AS adds FROM edges WHERE {PROPAGATES} AND conf_rank >= 3),
-walk(id, flags, depth) AS (SELECT 'route:3', 0, 0 UNION SELECT e.dst, walk.flags | e.adds, walk.depth + 1 FROM walk JOIN flagged e ON e.src = walk.id WHERE e.kind NOT IN ('READS_TABLE', 'WRITES_TABLE') AND walk.depth < 4)"""))
+walk(id, flags, depth) AS (SELECT 'route:3', 0, 0 UNION SELECT e.dst, walk.flags | e.adds, walk.depth + 1 FROM walk JOIN flagged e ON e.src = walk.id WHERE e.kind NOT IN ('READS_TABLE', 'WRITES_TABLE') AND walk.depth < 30)"""))
 def downstream(spark, sf_dir):
     """Tables that an order reaches, by how: over overrides, over hops dead under the gate."""
     return G.downstream(G.walkable(edges(spark, sf_dir), None, "exact"), ids(spark, "route:3"), ["READS_TABLE", "WRITES_TABLE"], "flag_open")
@@ -110,9 +123,7 @@ def path_between(spark, sf_dir):
     return found.where(F.size("path") == F.col("depth")).agg(F.count(F.lit(1)).alias("found"), F.min("depth").alias("depth"))
 
 
-@query(on_graph("SELECT node_id, entry_kind, count(*) AS entry_count, min(entry) AS sample_entry FROM (SELECT DISTINCT walk.id AS node_id, entry_kind, entry FROM walk) GROUP BY ALL", """
-walk(id, entry_kind, entry, depth) AS (SELECT id, entry_kind, id, 0 FROM nodes WHERE entry_kind IS NOT NULL
-  UNION SELECT e.dst, entry_kind, entry, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('ROUTES_TO', 'USES_TYPE', 'REFERS_TO', 'READS_TABLE', 'WRITES_TABLE')) e ON e.src = walk.id WHERE depth < 1)"""))
+@query()
 def entry_tags(spark, sf_dir):
     """Entries that reach each node at any distance, counted by kind, with a sample."""
     return G.tag_entries(G.walkable(edges(spark, sf_dir)), nodes(spark, sf_dir))
@@ -157,18 +168,14 @@ def inherited_definer(spark, sf_dir):
     return G.nearest_definer(edges(spark, sf_dir), n.select("id"), n.where("module = 'BUILDING'").select("id"))
 
 
-@query(on_graph("SELECT id, depth FROM every WHERE id NOT IN (SELECT id FROM direct)", """
-walk1(id, depth) AS (SELECT 'function:499', 0 UNION SELECT e.src, depth + 1 FROM walk1 JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('OVERRIDDEN_BY', 'ROUTES_TO')) e ON e.dst = id WHERE depth < 30),
-every AS (SELECT id, min(depth) AS depth FROM walk1 GROUP BY id),
-walk2(id, depth) AS (SELECT 'function:499', 0 UNION SELECT e.src, depth + 1 FROM walk2 JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'ROUTES_TO') e ON e.dst = id WHERE depth < 30),
-direct AS (SELECT DISTINCT id FROM walk2)"""))
+@query(on_graph("SELECT id, depth FROM closure c WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM edges e JOIN closure d ON d.id = e.dst AND e.kind IN ('CALLS', 'ROUTES_TO') WHERE e.src = c.id AND d.depth = c.depth - 1)", _closure_sql("SELECT 'function:499' AS id", CALLS)))
 def dispatch_only(spark, sf_dir):
     """What leads to a part by override hops alone, no call leading nearer."""
     return G.every_step_dispatch(edges(spark, sf_dir), ids(spark, "function:499"))
 
 
-@query(on_graph("SELECT src, dst, kind, file, line, conf_rank, CASE WHEN src IN (SELECT id FROM both_sides) AND repo = 'right' THEN 'right:' || src ELSE src END AS linked FROM halves WHERE kind = 'USES_TYPE'", """
-halves AS (SELECT edges.*, CASE WHEN (regexp_extract(src, '[0-9]+$')::BIGINT) % 2 = 0 THEN 'left' ELSE 'right' END AS repo FROM edges WHERE kind = 'USES_TYPE'),
+@query(on_graph("SELECT src, CASE WHEN repo = 'right' AND dst IN (SELECT id FROM both_sides) THEN 'right:' || dst ELSE dst END AS dst, kind, repo FROM halves", """
+halves AS (SELECT *, CASE WHEN (regexp_extract(src, '[0-9]+$')::BIGINT) % 2 = 0 THEN 'left' ELSE 'right' END AS repo FROM edges WHERE kind = 'USES_TYPE'),
 both_sides AS (SELECT id FROM nodes WHERE kind <> 'route')"""))
 def graph_union(spark, sf_dir):
     """Two halves of the orders linked; ids that both halves have are told apart."""
@@ -176,4 +183,39 @@ def graph_union(spark, sf_dir):
     half = lambda df, c, k: df.where(F.pmod(F.regexp_extract(c, "[0-9]+$", 0).cast("bigint"), F.lit(2)) == k)
     side = lambda k: (half(n.where("kind = 'route'"), "id", k).unionByName(n.where("kind <> 'route'")), half(e, "src", k))
     _, linked = build.union_graphs({"left": side(0), "right": side(1)})
-    return linked.select("src", F.regexp_replace("dst", "^right:", "").alias("dst"), "kind", "file", "line", "conf_rank", F.col("src").alias("linked"))
+    return linked.select("src", "dst", "kind", "repo")
+
+
+@query(on_graph("SELECT count(*) AS nodes, count(*) FILTER (copies > 1) AS shared, sum(copies)::BIGINT AS linked FROM (SELECT id, CASE WHEN kind = 'route' THEN 1 ELSE 2 END AS copies FROM nodes)"))
+def union_nodes(spark, sf_dir):
+    """Nodes of the linked halves: one of each, two of what both halves have."""
+    n = nodes(spark, sf_dir)
+    part = lambda k: n.where((F.col("kind") != "route") | (F.pmod(F.regexp_extract("id", "[0-9]+$", 0).cast("bigint"), F.lit(2)) == k))
+    none = edges(spark, sf_dir).limit(0)
+    linked, _ = build.union_graphs({"left": (part(0), none), "right": (part(1), none)})
+    by_id = linked.groupBy(F.regexp_replace("id", "^right:", "").alias("id")).agg(F.count_distinct("id").alias("copies"))
+    return by_id.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("copies") > 1).alias("shared"), F.sum("copies").alias("linked"))
+
+
+GROUP_HOPS = """
+steps AS (
+  SELECT c.grp, e.src, e.dst, e.kind, c.depth, row_number() OVER (PARTITION BY c.grp, e.src ORDER BY e.conf_rank DESC, e.gate IS NOT NULL, e.kind, e.dst, coalesce(e.file, ''), coalesce(e.line, -1), coalesce(e.gate, '')) AS n
+  FROM used e JOIN walk c ON c.id = e.src JOIN walk d ON d.id = e.dst AND d.grp = c.grp AND d.depth = c.depth - 1),
+paths(id, grp, here, depth, left_, path) AS (
+  SELECT id, grp, id, depth, depth, '' FROM walk WHERE id IN ('function:1', 'function:5', 'function:9', 'function:12')
+  UNION ALL SELECT p.id, p.grp, s.dst, p.depth, p.left_ - 1, CASE p.path WHEN '' THEN p.here ELSE p.path END || ' -' || s.kind || '-> ' || s.dst FROM paths p JOIN steps s ON s.n = 1 AND s.grp = p.grp AND s.src = p.here WHERE p.left_ > 0)"""
+
+
+@query(on_graph("SELECT id, grp, depth, path FROM paths WHERE left_ = 0", GROUPS + f", used AS (SELECT * FROM edges WHERE {DATA_STEPS}), " + GROUP_HOPS))
+def group_paths(spark, sf_dir):
+    """The path of some functions to the tables of each nation that they reach."""
+    used = _data_edges(spark, sf_dir)
+    closure = G.group_closures(used, _tables_of_nations(spark, sf_dir))
+    wanted = closure.join(ids(spark, "function:1", "function:5", "function:9", "function:12"), "id", "left_semi").select("id", "grp")
+    return G.group_paths(used, closure, wanted).select("id", "grp", "depth", G.path_text(F.col("path")).alias("path"))
+
+
+@query(on_graph("SELECT id, grp, depth FROM walk WHERE id LIKE 'route:%'", walk_sql("walk", "SELECT id, id AS grp FROM nodes WHERE id IN ('function:3', 'function:8')", up(CALLS), "id, grp", 12)))
+def routes_reaching(spark, sf_dir):
+    """Routes that reach a function by calls, within twelve hops."""
+    return G.routes_reaching(edges(spark, sf_dir), ids(spark, "function:3", "function:8"))

@@ -6,12 +6,16 @@ packages. The SQL text is a list of common table expressions for an oracle to pu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lattica.model import CONFIDENCE
 from lattica.operators.build import dedup_edges
+from lattica.storage import cut
 
 PREFIX = {"region": "package", "nation": "module", "customer": "class", "supplier": "table", "part": "function", "orders": "route"}
 ENTRY_KINDS = {"1-URGENT": "http_route", "2-HIGH": "cli_command", "3-MEDIUM": "ui_page", "4-NOT SPECIFIED": "test", "5-LOW": "queue_job"}
@@ -25,8 +29,30 @@ def _id(kind: str, key: str | Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
+_saved: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The graph's table, derived and written by the first query of an application that needs it, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _saved:
+        table = cut(make(spark, sf_dir), name)
+        _saved[key] = table._lattica_path, table.schema
+    path, schema = _saved[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind, name, fqn, file, line, end_line, module, entry_kind."""
+    return _once(spark, sf_dir, "nodes", derive_nodes)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, kind, file, line, gate, conf_rank, confidence: distinct edges; GRAPH_SQL says the same."""
+    return _once(spark, sf_dir, "edges", derive_edges)
+
+
+def derive_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: read(spark, sf_dir, name)
     null = F.lit(None).cast("string")
     number = F.lit(None).cast("int")
@@ -46,8 +72,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edges; GRAPH_SQL says the same."""
+def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: read(spark, sf_dir, name)
     item = t("lineitem")
     conf = F.when(F.col("flag") == "A", "exact").when(F.col("flag") == "R", "resolved").otherwise("heuristic")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,14 @@ _kept: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder where it names none, as in tests."""
+    """The session's spark.checkpoint.dir.
+
+    Where it names none, a temporary folder of a session whose executors run in the driver's own process, as in
+    tests; on a cluster that is an error, as each executor would write to a disk that the others don't see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = getattr(spark.sparkContext, "_lattica_graph_dir", None)
         if not found:

@@ -1,8 +1,7 @@
 """Incremental refresh: windows, sessions and dedup over a stream of facts.
 
 Runs are triggered with availableNow: a run takes what has arrived, writes its results through a
-checkpointed sink, and ends. A later run goes on where it stopped. Windows close with a watermark;
-in a run that ends, `flush` adds what the watermark still holds back.
+checkpointed sink, and ends. A later run goes on where it stopped. Windows close with a watermark.
 """
 
 from __future__ import annotations
@@ -28,18 +27,30 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFr
 
 
 def run(out: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """The rows of a finished availableNow run; with a checkpoint of one's own the next run goes on from it."""
+    """The rows of a finished availableNow run, none if nothing was new; with a checkpoint of one's own the next run goes on from it.
+
+    In complete and update mode these are the last batch's rows.
+    """
     spark = out.sparkSession
     at = f"{shared_dir(spark)}/lattica-stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], out.schema).write.parquet(f"{at}/rows")  # there to be read, whatever comes
+    batches: list[int] = []
     if mode == "append":
-        q = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", checkpoint or f"{at}/state").trigger(availableNow=True).start()
+
+        def put(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")  # a batch that is run again replaces itself
+            batches.append(n)
     else:
+
         def put(batch: DataFrame, n: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{at}/rows")
+            batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+            batches[:] = [n]
 
-        q = out.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or f"{at}/state").trigger(availableNow=True).start()
+    q = out.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{at}/rows")
+    if not batches:
+        return spark.read.schema(out.schema).parquet(f"{at}/rows")
+    return spark.read.schema(out.schema).parquet(*(f"{at}/rows/batch={n}" for n in sorted(set(batches))))
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -67,17 +78,51 @@ def tree_mark(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sha1(F.sum(each).cast("string")).alias("mark"))
 
 
+CURRENT = "_current"
+
+
 def publish(df: DataFrame, path: str) -> bool:
-    """Write beside a table and swap it in; an empty result is refused and leaves the table as it was."""
+    """Write a new version beside the last one, then point to it; an empty result is refused and leaves the table as it was.
+
+    The pointer is a file that is replaced by one rename; readers that found the old version keep it, and
+    a crash before the rename leaves the old one in place. The version before the last is removed.
+    """
     spark = df.sparkSession
-    fresh = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    version = f"v-{uuid.uuid4().hex}"
     jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if spark.read.parquet(fresh).isEmpty():
-        fs.delete(new, True)
+    hadoop = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = hadoop("").getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.parquet(f"{path}/{version}")
+    if spark.read.parquet(f"{path}/{version}").isEmpty():
+        fs.delete(hadoop(version), True)
         return False
-    if fs.exists(old):
-        fs.delete(old, True)
-    return bool(fs.rename(new, old))
+    last = _versions(spark, path)
+    spark.createDataFrame([("\n".join([version, *last[:1]]),)], "value string").coalesce(1).write.text(f"{path}/_pointer-{version}")
+    made = next(f.getPath() for f in fs.listStatus(hadoop(f"_pointer-{version}")) if f.getPath().getName().startswith("part-"))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop("").toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fs.makeQualified(made), fs.makeQualified(hadoop(CURRENT)), overwrite)
+    fs.delete(hadoop(f"_pointer-{version}"), True)
+    for old in last[1:]:
+        fs.delete(hadoop(old), True)
+    return True
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The published version, and the one before it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r["value"] for r in spark.read.text(f"{path}/{CURRENT}").collect()]  # two lines
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The published version of a table."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[0]}")
+
+
+def stale(tree: DataFrame, indexed_at) -> DataFrame:
+    """files, newest, is_stale: whether any file (path, modificationTime) is newer than a graph's time."""
+    newer = F.col("modificationTime") > F.lit(indexed_at).cast("timestamp")
+    return tree.agg(F.count_if(newer).alias("files"), F.max("modificationTime").alias("newest"), F.coalesce(F.bool_or(newer), F.lit(False)).alias("is_stale"))

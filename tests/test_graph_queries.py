@@ -23,7 +23,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_oracle(spark, con, name):
     df = queries.queries()[name](spark, SF)
     got = sorted(repr(sorted((k, plain(v)) for k, v in r.asDict().items())) for r in df.collect())
@@ -32,5 +32,9 @@ def test_equals_oracle(spark, con, name):
     assert got == sorted(repr(sorted((k, plain(v)) for k, v in zip(names, r, strict=True))) for r in found.fetchall())
 
 
-def test_every_query_has_an_oracle():
-    assert set(queries.queries()) == set(queries.oracle_sql())
+#: Too slow in SQL over whole tables; tests/test_whole_walks.py holds it against a plain search.
+BY_BRUTE_FORCE = {"entry_tags"}
+
+
+def test_every_other_query_has_an_oracle():
+    assert set(queries.queries()) - BY_BRUTE_FORCE == set(queries.oracle_sql())
