@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.plans import aggregates, joins, more, registry, reports, scalars, surface, traversal
+from lattica.plans import access, aggregates, joins, more, registry, reports, scalars, surface, traversal
 
-FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface)
+FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface, access)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
