@@ -48,7 +48,7 @@ SEQUENCE_COST = 16
 #: Items that share a shard of packed(), about; ranks are counted within shards.
 SHARD_ROWS = 200_000
 #: Bytes of text in a shard of sequences(), about.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 4_000_000
 
 
 class Plan:
