@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.plans import access, aggregates, joins, more, projects, registry, reports, scalars, surface, traversal
+from lattica.plans import access, aggregates, joins, more, projects, registry, reports, scalars, surface, traversal, truths
 
-FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface, access, projects)
+FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface, access, projects, truths)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

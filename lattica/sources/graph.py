@@ -9,33 +9,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import FINDINGS, NON_PROPAGATING, PROPAGATING
-from lattica.streaming.refresh import publish
+from lattica.streaming.refresh import publish, published
 
 
 def save(nodes: DataFrame, edges: DataFrame, path: str, meta: dict | None = None) -> None:
-    """Nodes sorted by id, edges twice: sorted by source and by target, so that lookups from either end prune files."""
+    """Publishes a version of the graph: nodes sorted by id, edges twice, sorted by source and by target, so that lookups from either end prune files."""
     spark = nodes.sparkSession
-    if not publish(nodes.repartitionByRange("id").sortWithinPartitions("id"), f"{path}/nodes"):
-        raise ValueError("a graph without nodes isn't saved")
-    for end in ("src", "dst"):
-        edges.repartitionByRange(end).sortWithinPartitions(end, "kind").write.mode("overwrite").parquet(f"{path}/edges_by_{end}")
     kinds = [(k, True) for k in PROPAGATING] + [(k, False) for k in NON_PROPAGATING]
-    spark.createDataFrame(kinds, "kind string, propagates boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/edge_kinds")
     rows = [(k, json.dumps(v, default=str, sort_keys=True)) for k, v in (meta or {}).items()]
-    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    tables = {"nodes": nodes.repartitionByRange("id").sortWithinPartitions("id")}
+    tables |= {f"edges_by_{end}": edges.repartitionByRange(end).sortWithinPartitions(end, "kind") for end in ("src", "dst")}
+    tables |= {"edge_kinds": spark.createDataFrame(kinds, "kind string, propagates boolean").coalesce(1), "meta": spark.createDataFrame(rows, "key string, value string").coalesce(1)}
+    if not publish(tables, path):
+        raise ValueError("a graph without nodes isn't saved")
 
 
 def load(spark: SparkSession, path: str, by: str = "src") -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges_by_{by}")
+    return published(spark, path, "nodes"), published(spark, path, f"edges_by_{by}")
 
 
 def meta(spark: SparkSession, path: str) -> dict:
-    return {r["key"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/meta").collect()}
+    return {r["key"]: json.loads(r["value"]) for r in published(spark, path, "meta").collect()}
 
 
 def node(spark: SparkSession, path: str, node_id: str) -> DataFrame:
     """Point lookup, pushed down to the sorted files."""
-    return spark.read.parquet(f"{path}/nodes").where(F.col("id") == node_id)
+    return published(spark, path, "nodes").where(F.col("id") == node_id)
+
+
+def sql(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """Any SQL over a saved graph: its tables are nodes, edges, edge_kinds and meta."""
+    for name, table in {"nodes": "nodes", "edges": "edges_by_src", "edge_kinds": "edge_kinds", "meta": "meta"}.items():
+        published(spark, path, table).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+class Registry:
+    """Saved graphs by name, and by the folder that a place lies in."""
+
+    def __init__(self, spark: SparkSession, graphs: dict[str, str], roots: dict[str, str] | None = None, default: str | None = None) -> None:
+        """graphs: name to path; roots: name to the folder of its sources; default: the graph of places in no folder."""
+        if default is not None and default not in graphs:
+            raise ValueError(f"no graph is named {default}")
+        self.spark, self.graphs, self.roots, self.default = spark, dict(graphs), dict(roots or {}), default
+
+    def name_of(self, place: str | None = None) -> str:
+        """The graph of the longest folder that holds a place; the default; the only one."""
+        fits = [(len(root), name) for name, root in self.roots.items() if place and (place == root or place.startswith(root.rstrip("/") + "/"))]
+        if fits:
+            return max(fits)[1]
+        if self.default is not None:
+            return self.default
+        if len(self.graphs) == 1:
+            return next(iter(self.graphs))
+        raise ValueError("several graphs: name one")
+
+    def open(self, name: str | None = None, place: str | None = None, by: str = "src") -> tuple[DataFrame, DataFrame]:
+        chosen = name or self.name_of(place)
+        if chosen not in self.graphs:
+            raise ValueError(f"no graph is named {chosen}")
+        return load(self.spark, self.graphs[chosen], by)
+
+
+def listed_changes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, lo, hi of files that are taken as changed as a whole."""
+    return spark.createDataFrame([(p, 1, 2**31 - 1) for p in paths], "path string, lo int, hi int")
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

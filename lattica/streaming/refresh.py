@@ -78,28 +78,32 @@ def tree_mark(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sha1(F.sum(each).cast("string")).alias("mark"))
 
 
-CURRENT = "_current"
+CURRENT = "current"
 
 
-def publish(df: DataFrame, path: str) -> bool:
-    """Write a new version beside the last one, then point to it; an empty result is refused and leaves the table as it was.
+def publish(tables: DataFrame | dict[str, DataFrame], path: str) -> bool:
+    """Write a new version of a table, or of several that belong together, beside the last one, then point to it.
 
-    The pointer is a file that is replaced by one rename; readers that found the old version keep it, and
-    a crash before the rename leaves the old one in place. The version before the last is removed.
+    The pointer is a file that is replaced by one rename: readers see all of the old version or all of the
+    new one, and a crash before the rename leaves the old one. If the (first) table is empty, nothing is
+    published. The version before the last is removed.
     """
-    spark = df.sparkSession
+    tables = {"rows": tables} if isinstance(tables, DataFrame) else tables
+    first = next(iter(tables))
+    spark = tables[first].sparkSession
     version = f"v-{uuid.uuid4().hex}"
     jvm = spark._jvm
     hadoop = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs = hadoop("").getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.parquet(f"{path}/{version}")
-    if spark.read.parquet(f"{path}/{version}").isEmpty():
-        fs.delete(hadoop(version), True)
-        return False
+    fs = hadoop(version).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{version}/{name}")
+        if name == first and spark.read.parquet(f"{path}/{version}/{name}").isEmpty():
+            fs.delete(hadoop(version), True)
+            return False
     last = _versions(spark, path)
     spark.createDataFrame([("\n".join([version, *last[:1]]),)], "value string").coalesce(1).write.text(f"{path}/_pointer-{version}")
     made = next(f.getPath() for f in fs.listStatus(hadoop(f"_pointer-{version}")) if f.getPath().getName().startswith("part-"))
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop("").toUri(), spark._jsc.hadoopConfiguration())
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop(version).toUri(), spark._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     files.rename(fs.makeQualified(made), fs.makeQualified(hadoop(CURRENT)), overwrite)
@@ -117,9 +121,9 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(f"{path}/{CURRENT}").collect()]  # two lines
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """The published version of a table."""
-    return spark.read.parquet(f"{path}/{_versions(spark, path)[0]}")
+def published(spark: SparkSession, path: str, name: str = "rows") -> DataFrame:
+    """The published version of a table, or of one of several."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[0]}/{name}")
 
 
 def stale(tree: DataFrame, indexed_at) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import joins as J
@@ -22,9 +23,27 @@ def test_graph_round_trip_and_refused_publish(spark, tmp_path):
     n, e = graph.load(spark, at, "dst")
     assert n.count() == 2 and e.collect() == edges.collect() and graph.meta(spark, at) == {"salt": "x", "n": 2}
     assert graph.node(spark, at, "b").count() == 1
-    assert not refresh.publish(nodes.limit(0), f"{at}/nodes") and spark.read.parquet(f"{at}/nodes").count() == 2
+    assert not refresh.publish({"nodes": nodes.limit(0), "meta": nodes}, at) and graph.load(spark, at)[0].count() == 2
+    old = graph.load(spark, at)[0]
     graph.save(nodes.limit(1), edges, at)
-    assert graph.load(spark, at)[0].count() == 1
+    assert graph.load(spark, at)[0].count() == 1 and old.count() == 2  # who read the version before goes on reading it
+    assert graph.sql(spark, at, "SELECT count(*) AS n FROM edges JOIN edge_kinds USING (kind) WHERE propagates").first()["n"] == 1
+
+
+def test_registry_goes_by_the_longest_folder(spark):
+    r = graph.Registry(spark, {"a": "x", "b": "y"}, {"a": "/w", "b": "/w/b"}, "a")
+    assert [r.name_of(p) for p in ("/w/c.py", "/w/b/c.py", "/w/bc.py", "/z", None)] == ["a", "b", "a", "a", "a"]
+    with pytest.raises(ValueError, match="several"):
+        graph.Registry(spark, {"a": "x", "b": "y"}).name_of("/z")
+
+
+def test_files_listed_as_changed(spark):
+    assert [tuple(r) for r in graph.listed_changes(spark, ["a.py"]).collect()] == [("a.py", 1, 2**31 - 1)]
+
+
+def test_a_stale_graph(spark):
+    tree = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-02-01 00:00:00")], "path string, t string").withColumn("modificationTime", F.col("t").cast("timestamp"))
+    assert [refresh.stale(tree, at).first()["is_stale"] for at in ("2024-01-15 00:00:00", "2024-03-01 00:00:00")] == [True, False]
 
 
 def test_sinks(spark):
