@@ -18,6 +18,8 @@ repeated rows. Columns other than the page's id and url aren't read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +70,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", inline_blo
     base = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not shapes:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    parts = F.split("host", r"\.")
-    candidate = lambda labels, chars: F.when((F.size(parts) >= labels) & (F.length("path") >= chars) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
-    tried = base.withColumn("tried", F.array_compact(F.array(*(candidate(*s) for s in shapes))))
+    fits = lambda s: (F.size(F.split("host", r"\.")) >= s["labels"]) & (F.length("path") >= s["chars"]) & (F.col("host") != "")
+    key = lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substr(F.col("path"), F.lit(1), s["chars"]))
+    known = F.from_json(F.lit(json.dumps([{"labels": n, "chars": c} for n, c in shapes])), "array<struct<labels:int,chars:int>>")  # one constant, however many shapes
+    tried = base.withColumn("tried", F.transform(F.filter(known, fits), key))
     filled = blocks(listed, n_blocks)
     if n_blocks <= inline_blocks:
         words = {r["block"]: [r[f"w{i}"] for i in range(WORDS)] for r in filled.collect()}
