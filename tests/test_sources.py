@@ -49,7 +49,7 @@ def test_a_stale_graph(spark):
 def test_sinks(spark):
     found = spark.createDataFrame([("unguarded", "n", "f.py", 3, "no guard"), ("plaintext", "m", None, None, "http")], "finding string, node string, file string, line int, detail string")
     log = json.loads(graph.sarif_log(found))
-    assert log["version"] == "2.1.0" and [r["level"] for r in log["runs"][0]["results"]] == ["warning", "error"]
+    assert log["version"] == "2.1.0" and [r["level"] for r in log["runs"][0]["results"]] == ["warning", "warning"]
     assert log["runs"][0]["results"][1]["locations"][0]["physicalLocation"]["region"]["startLine"] == 3
     assert json.loads(graph.to_json_rows(found).first()["json"])["node"] == "n"
 
