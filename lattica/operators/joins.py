@@ -141,3 +141,31 @@ def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Colum
         left = left.join(found.select(F.col("a").alias("id")), "id", "left_anti")
         right = right.join(found.select(F.col("b").alias("id")), "id", "left_anti")
     return out
+
+
+def visited_pages(visits: DataFrame, pages: DataFrame) -> DataFrame:
+    """src, page, confidence: pages (id, name: the pattern) that a test's visit (src, url) opens, the most literal of them; ties are guesses."""
+    url = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*|^\{[^{}/]*\}(?=/)", ""), r"[?#].*$", "")
+    path = F.when(url == "", "/").when(url.startswith("/"), url).otherwise(F.concat(F.lit("/"), url))
+    asked = visits.select("src", path.alias("path")).distinct()
+    calls = asked.select(F.struct("src", "path").alias("id"), F.col("path").alias("name"))
+    found = match_endpoints(calls.where("name <> '/'"), pages, "path").select("sender.src", F.col("receiver").alias("page"), "confidence")
+    roots = pages.where("name = '/'").select(F.col("id").alias("page"), F.col("name").alias("path"))
+    ties = roots.agg(F.count(F.lit(1)).alias("n"))  # one row
+    home = asked.where("path = '/'").join(roots, "path").join(F.broadcast(ties)).select("src", "page", F.when(F.col("n") == 1, "exact").otherwise("heuristic").alias("confidence"))
+    exact = F.when(F.col("confidence") == "heuristic", "heuristic").otherwise("exact")
+    return found.withColumn("confidence", exact).unionByName(home).distinct()
+
+
+def by_import_path(jobs: DataFrame, functions: DataFrame) -> DataFrame:
+    """job, function: jobs (id, name: a dotted path, with `{x}` for one part) that nothing receives, and the functions (id, name: its dotted path) of that path.
+
+    Templates meet functions of the module before their first hole; private functions don't count.
+    """
+    plain = jobs.where(~F.col("name").contains("{")).select(F.col("id").alias("job"), "name").join(functions.select(F.col("id").alias("function"), "name"), "name").select("job", "function")
+    module = lambda x: F.regexp_replace(x, r"\.[^.]*$", "")
+    holed = jobs.where(F.col("name").contains("{") & ~module(F.col("name")).contains("{")).select(F.col("id").alias("job"), F.col("name").alias("template"), module(F.col("name")).alias("m"))
+    own = functions.select(F.col("id").alias("function"), "name", module(F.col("name")).alias("m"), F.element_at(F.split("name", r"\."), -1).alias("last")).where(~F.col("last").startswith("_"))
+    hole = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.element_at(F.split("template", r"\."), -1), r"([\[\]()+*?^$|\\])", r"\\$1"), r"\{[^{}]*\}", "[^.]+"), F.lit("$"))
+    fits = holed.join(own, "m").where(F.regexp_like("last", hole)).select("job", "function")
+    return plain.unionByName(fits)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions import matchers as M
+from lattica.functions import platforms as P
 from lattica.functions import text as X
+from lattica.operators import joins as J
 from lattica.operators import rules, scan
 from lattica.operators import traverse as G
 from lattica.plans.registry import on_graph, query
@@ -132,3 +134,54 @@ def generated_dropped(spark, sf_dir):
     made = spark.createDataFrame([("src/m5.py",), ("1996-05",)], "path string")
     _, e = scan.without_generated(nodes(spark, sf_dir), edges(spark, sf_dir), made)
     return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: condition, and on which targets it holds, doesn't, or may.
+CONDITIONS = [
+    ("defined(_WIN32)", "windows", "linux android macos ios web"), ("!defined(_WIN32) && defined(__APPLE__)", "macos ios", "windows linux android web"), ("defined __linux__ || defined(__APPLE__)", "linux android macos ios", "windows web"),
+    ("TARGET_OS_IPHONE == 1", "ios", "windows linux android macos web"), ("defined(FEATURE)", "", ""), ("defined(FEATURE) && defined(_WIN32)", "", "linux android macos ios web"), ("defined(__FreeBSD__)", "", "windows linux android macos ios web"),
+    ("(defined(__unix__) && !defined(__ANDROID__)) || TARGET_OS_OSX", "linux macos web", "windows android ios"), ("_MSC_VER >= 1900", "", "linux android macos ios web"), ("defined(", "", ""), ("A ? B : C", "", ""),
+]
+
+
+@query(f"SELECT given, target, CASE WHEN list_contains(string_split(yes, ' '), target) THEN true WHEN list_contains(string_split(no, ' '), target) THEN false END AS holds FROM (VALUES {_values(CONDITIONS)}) v(given, yes, no), (SELECT unnest(['windows', 'linux', 'android', 'macos', 'ios', 'web']) AS target)")
+def condition_truths(spark, sf_dir):
+    """Preprocessor conditions on each target: true, false or unknown."""
+    rows = spark.createDataFrame([r[:1] for r in CONDITIONS], "given string")
+    out = None
+    for target in P.MACROS:
+        one = rows.select("given", F.lit(target).alias("target"), P.condition(F.col("given"), target).alias("holds"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id % 9 AS k FROM events), v AS (SELECT DISTINCT event_id % 60 AS t, user_id % 12 AS k, event_type FROM events)
+SELECT DISTINCT 'test:' || t AS src, CASE WHEN event_type = 'view' THEN 'page:home' WHEN event_type = 'click' THEN 'page:new' ELSE 'page:shop' || k END AS page, 'exact' AS confidence FROM v WHERE event_type IN ('view', 'click') OR k < 9""")
+def test_visits(spark, sf_dir):
+    """Pages that the visits of tests open: the most literal pattern that fits."""
+    e = read(spark, sf_dir, "events")
+    pages = e.select(F.concat(F.lit("page:shop"), F.col("user_id") % 9).alias("id"), F.concat(F.lit("/shop"), F.col("user_id") % 9, F.lit("/{id}")).alias("name")).distinct()
+    pages = pages.unionByName(spark.createDataFrame([("page:home", "/"), ("page:new", "/orders/new"), ("page:order", "/orders/{id}")], "id string, name string"))
+    url = F.when(F.col("event_type") == "view", "https://example.org?x=1").when(F.col("event_type") == "click", "orders/new#top").otherwise(F.concat(F.lit("{BASE}/shop"), F.col("user_id") % 12, F.lit("/7?tab=2")))
+    return J.visited_pages(e.select(F.concat(F.lit("test:"), F.col("event_id") % 60).alias("src"), url.alias("url")), pages)
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, 'shop.m' || (p_partkey % 7) || '.' || CASE WHEN p_partkey % 5 = 0 THEN '_' ELSE '' END || 'run' || p_partkey AS name FROM part), j AS (SELECT DISTINCT user_id AS k FROM events)
+SELECT 'job:' || j.k AS job, 'function:' || f.k AS function FROM j JOIN f ON f.name = 'shop.m' || (j.k % 7) || '.run' || j.k UNION ALL SELECT 'job:t' || t.k, 'function:' || f.k FROM (SELECT DISTINCT event_id % 7 AS k FROM events) t JOIN f ON f.k % 7 = t.k AND f.k % 5 <> 0""")
+def jobs_by_import_path(spark, sf_dir):
+    """Jobs that nothing receives, by the dotted path of the function they name."""
+    p = F.col("p_partkey")
+    functions = read(spark, sf_dir, "part").select(F.concat(F.lit("function:"), p).alias("id"), F.concat(F.lit("shop.m"), p % 7, F.lit("."), F.when(p % 5 == 0, "_").otherwise(""), F.lit("run"), p).alias("name"))
+    e, u = read(spark, sf_dir, "events"), F.col("user_id")
+    jobs = e.select(F.concat(F.lit("job:"), u).alias("id"), F.concat(F.lit("shop.m"), u % 7, F.lit(".run"), u).alias("name")).distinct()
+    templates = e.select(F.concat(F.lit("job:t"), F.col("event_id") % 7).alias("id"), F.concat(F.lit("shop.m"), F.col("event_id") % 7, F.lit(".run{n}")).alias("name")).distinct()
+    return J.by_import_path(jobs.unionByName(templates), functions)
+
+
+@query("SELECT 'app' || n_regionkey || '/compose.yml' AS file, 'svc' || n_nationkey AS service, CASE WHEN n_nationkey % 2 = 0 THEN 'shop/' || lower(replace(n_name, ' ', '-')) || ':1' END AS image, [(8000 + n_nationkey) || ':80'] AS ports, list_sort(['MODE: fast', 'TOKEN_' || n_nationkey || ': x']) AS environment FROM nation")
+def compose_services(spark, sf_dir):
+    """SC20: services of compose files with image, ports and environment."""
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("  svc"), k, F.lit(":\n"), F.when(k % 2 == 0, F.concat(F.lit('    image: "shop/'), F.lower(F.regexp_replace("n_name", " ", "-")), F.lit(':1"\n'))).otherwise("    # built here\n    build: .\n"), F.lit('    ports:\n      - "'), k + 8000, F.lit(':80"\n    environment:\n      MODE: fast\n      TOKEN_'), k, F.lit(": x\n"))
+    files = read(spark, sf_dir, "nation").groupBy(F.concat(F.lit("app"), "n_regionkey", F.lit("/compose.yml")).alias("path")).agg(F.concat(F.lit("version: '3'\nservices:\n"), F.array_join(F.array_sort(F.collect_list(text)), ""), F.lit("volumes:\n  data:\n    x: y\n")).alias("text"))
+    return graph.compose_services(files)

@@ -136,3 +136,28 @@ def snippet(nodes: DataFrame, sources: DataFrame, node_ids: DataFrame, context:
     spans = nodes.join(node_ids.select("id").distinct(), "id", "left_semi").where("file is not null and line is not null")
     rows = spans.join(sources, "file").select("id", F.greatest(F.col("line") - context, F.lit(1)).alias("first"), (F.coalesce("end_line", "line") + context).alias("last"), F.split("text", "\n", -1).alias("lines"))
     return rows.select("id", "first", F.posexplode(F.expr("slice(lines, first, last - first + 1)")).alias("at", "text")).select("id", (F.col("first") + F.col("at")).alias("line"), "text")
+
+
+def match_report(matches: DataFrame, limit: int = 200) -> tuple[str, str]:
+    """A link's report as JSON and as Markdown: counts by confidence, and the first matches (sender, receiver, confidence)."""
+    counts = {r["confidence"]: r["n"] for r in matches.groupBy("confidence").agg(F.count(F.lit(1)).alias("n")).orderBy("confidence").collect()}
+    first = [r.asDict() for r in matches.select("sender", "receiver", "confidence").orderBy("sender", "receiver").limit(limit).collect()]
+    lines = ["# Matches", "", *(f"- {k}: {n}" for k, n in counts.items()), "", "| sender | receiver | confidence |", "|---|---|---|", *(f"| {r['sender']} | {r['receiver']} | {r['confidence']} |" for r in first)]
+    return json.dumps({"counts": counts, "matches": first}, indent=1), "\n".join(lines) + "\n"
+
+
+def compose_services(files: DataFrame) -> DataFrame:
+    """file, service, image, ports, env of compose files (path, text): keys by their depth under `services`, lists and maps of one line each."""
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("at", "l")).where(~F.col("l").rlike(r"^\s*(#|$)"))
+    order = Window.partitionBy("file").orderBy("at")
+    depth = F.length(F.regexp_extract("l", "^( *)", 1))
+    seen = lines.withColumn("d", depth).withColumn("top", F.last(F.when(depth == 0, F.regexp_extract("l", r"^([\w\-]+):", 1)), ignorenulls=True).over(order)).where("top = 'services' and d > 0")
+    least = Window.partitionBy("file")
+    seen = seen.withColumn("step", F.min("d").over(least))
+    own = seen.withColumn("service", F.last(F.when(F.col("d") == F.col("step"), F.regexp_extract("l", r"^\s*([\w.\-]+):", 1)), ignorenulls=True).over(order)).where(F.col("d") > F.col("step"))
+    own = own.withColumn("key", F.last(F.when((F.col("d") <= 2 * F.col("step")) & ~F.ltrim("l").startswith("-"), F.regexp_extract("l", r"^\s*([\w.\-]+):", 1)), ignorenulls=True).over(Window.partitionBy("file", "service").orderBy("at")))
+    value = F.regexp_replace(F.trim(F.regexp_replace("l", r"^\s*(?:-\s*)?", "")), r"^[\"']|[\"']$", "")
+    item = F.col("d") > F.col("step") * 2 - F.when(F.ltrim("l").startswith("-"), 1).otherwise(0)
+    image = F.max(F.when((F.col("key") == "image") & F.ltrim("l").startswith("image:"), F.regexp_replace(F.trim(F.regexp_extract("l", r"image:\s*(.*)$", 1)), r"^[\"']|[\"']$", ""))).alias("image")
+    pick = lambda key: F.array_sort(F.collect_set(F.when((F.col("key") == key) & item, value))).alias(key)
+    return own.groupBy("file", "service").agg(image, pick("ports"), pick("environment"))
