@@ -117,11 +117,12 @@ def word_counts(fitted_on: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[bytes, list[int]] = {}
-            for y, t in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for w in set(words_of(t)):
-                    found.setdefault(w, [0, 0])[y] += 1
-            yield pa.record_batch([pa.array(found, pa.binary()), pa.array([n[1] for n in found.values()], pa.int64()), pa.array([n[0] for n in found.values()], pa.int64())], names=["word", "toxic", "ordinary"])
+            for at in range(0, b.num_rows, 100):  # a worker holds the words of so many texts
+                part, found = b.slice(at, 100), {}
+                for y, t in zip(part.column("label").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    for w in set(words_of(t)):
+                        found.setdefault(w, [0, 0])[y] += 1
+                yield pa.record_batch([pa.array(found, pa.binary()), pa.array([n[1] for n in found.values()], pa.int64()), pa.array([n[0] for n in found.values()], pa.int64())], names=["word", "toxic", "ordinary"])
 
     return fitted_on.select("label", "text").mapInArrow(counted, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
@@ -155,6 +156,13 @@ def class_counts(fitted_on: DataFrame, vocabulary) -> DataFrame:
     return different.groupBy("pair").agg(F.sum("label").cast("long").alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
+def different(had: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+    """The different numbers of all arrays, sorted in place."""
+    every = np.concatenate([had, *more])
+    every.sort()
+    return every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+
+
 def continuations(docs: DataFrame, vocabulary) -> DataFrame:
     """w, n: the different words that a vocabulary word follows, in all documents."""
 
@@ -165,12 +173,12 @@ def continuations(docs: DataFrame, vocabulary) -> DataFrame:
                 p = pairs(numbers(t, vocabulary.value))
                 held.append(p[(p & ((1 << BITS) - 1)) > 0])
                 n += len(p)
-                if n > 1_000_000:
-                    had, held, n = np.unique(np.concatenate([had, *held])), [], 0
+                if n > 700_000:
+                    had, held, n = different(had, held), [], 0
                     if len(had) > 1_500_000:
                         yield pa.record_batch([pa.array(had)], names=["pair"])
-                        had = had[:0]
-        yield pa.record_batch([pa.array(np.unique(np.concatenate([had, *held])))], names=["pair"])
+                        had = np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(different(had, held))], names=["pair"])
 
     distinct = docs.select("text").mapInArrow(seen, StructType([StructField("pair", LongType())])).repartition("pair").distinct()  # tasks gave each pair once: nothing to sum before the shuffle
     return distinct.groupBy(_last_of("pair").alias("w")).agg(F.count(F.lit(1)).alias("n"))
