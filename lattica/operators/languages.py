@@ -271,6 +271,44 @@ def index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged.unionByName(missing), edges
 
 
+def _lines(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("lang", language(F.col("path"))).where("lang is not null").select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("at", "l")).select("path", (F.col("at") + 1).alias("line"), "l")
+
+
+#: An early refusal, a check after which a late answer is dropped, and a write of an object's or component's state.
+CHECK = r"(\b(?:abort|forbid|deny)\w*\(|\b40[13]\b|PermissionDenied|Unauthori[sz]ed|Forbidden|authori[sz]e\w*\(|\b(?:check|require|ensure)_?(?:auth|perm|role|admin|login)\w*)"
+GUARD = r"\bif\b.*(?:mounted|cancel|disposed|aborted|gone|stale|current|token|version)"
+STATE = r"(?:\b(?:self|this)\.[\w.]+\s*=[^=]|\bset[A-Z]\w*\()"
+
+
+def early_checks(sources: DataFrame, defs: DataFrame, within: int = 12) -> DataFrame:
+    """src, file, line, said: refusals and permission checks in the first lines of definitions."""
+    held = as_of(_lines(sources).where(F.col("l").rlike(CHECK)), defs.select("path", "start", "id"), "path", "line", "start", ["id"]).join(defs.select("id", "start"), "id")
+    return held.where(F.col("line") - F.col("start") <= within).select(F.col("id").alias("src"), F.col("path").alias("file"), "line", F.regexp_extract("l", CHECK, 1).alias("said"))
+
+
+def stale_writes(sources: DataFrame, defs: DataFrame) -> DataFrame:
+    """src, file, line, waited: writes of state after an await of the same function, with no check between that the answer is still wanted."""
+    marked = _lines(sources).select("path", "line", F.col("l").rlike(r"\bawait\b").alias("waits"), F.col("l").rlike(GUARD).alias("guards"), F.col("l").rlike(STATE).alias("writes")).where("waits or guards or writes")
+    held = as_of(marked, defs.where("kind = 'function'").select("path", "start", "id"), "path", "line", "start", ["id"]).where("id is not null")
+    before = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.max(F.when(F.col(c), F.col("line"))).over(before)
+    seen = held.withColumn("waited", last("waits")).withColumn("checked", last("guards"))
+    return seen.where("writes and waited is not null and (checked is null or checked < waited)").select(F.col("id").alias("src"), F.col("path").alias("file"), "line", "waited")
+
+
+def mentions(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """name, file, line: lines whose text holds a name (name) as a word: never an edge, only where to look."""
+    said = _lines(sources).select(F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit(r"([A-Za-z_$][\w$]*)")))).alias("name"))
+    return said.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def precedents(sources: DataFrame, defs: DataFrame, pattern: str) -> DataFrame:
+    """src, line: lines within definitions that fit a pattern: how it was done before."""
+    found = as_of(_lines(sources).where(F.col("l").rlike(pattern)), defs.select("path", "start", "id"), "path", "line", "start", ["id"])
+    return found.where("id is not null").select(F.col("id").alias("src"), "line")
+
+
 #: Marker files and what their text says of a project.
 MARKERS = {
     "laravel": ("composer.json", "laravel/framework"), "php": ("composer.json", ""), "nestjs": ("package.json", "@nestjs/core"), "nextjs": ("package.json", '"next"'), "nuxt": ("package.json", '"nuxt"'), "express": ("package.json", '"express"'), "astro": ("package.json", '"astro"'),

@@ -51,7 +51,10 @@ def _closure(steps: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int
             merged = levels[0]
             for t in levels[1:-1]:
                 merged = merged.unionByName(t)
-            levels = [cut(merged, "levels"), new]
+            merged = cut(merged, "levels")
+            for t in levels[:-1]:
+                release(t)
+            levels = [merged, new]
     release(steps)
     out = levels[0]
     for t in levels[1:]:

@@ -22,6 +22,10 @@ def sources(spark, sf_dir):
         F.when(p % 4 == 0, text('    os.environ.get("KEY_', p % 6, '")')),
         F.when(p % 6 == 0, text("    Order", p % 8, ".objects.create(x)")),
         F.when(p % 25 == 0, F.lit("    requests.get(url, verify=False)")),
+        F.when(p % 8 == 0, F.lit("    if not x.user: abort(403)")),
+        F.when(p % 14 == 0, F.lit("    await x.load()")),
+        F.when(p % 21 == 0, F.lit("    if self.gone: return")),
+        F.when(p % 7 == 0, F.lit("    self.value = 1")),
         F.lit(""),
     ))
     own = read(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), (p % 40).cast("string"), F.lit(".py")).alias("path"), p.alias("k"), F.array_join(lines, "\n").alias("t"))
@@ -51,3 +55,34 @@ def project_facts(spark, sf_dir):
     """SP19, SP24: facts of insecure transport by file."""
     found = L.facts(sources(spark, sf_dir), L.FACTS).where("what = 'fact'")
     return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _definitions(spark, sf_dir):
+    tree = sources(spark, sf_dir)
+    return tree, L.spans(L.facts(tree, L.DEFINITIONS))
+
+
+@query("SELECT 'function:src/m' || (p_partkey % 40) || '.py#f_' || p_partkey AS src, 'abort(' AS said FROM part WHERE p_partkey % 8 = 0")
+def early_checks(spark, sf_dir):
+    """Refusals in the first lines of handlers."""
+    return L.early_checks(*_definitions(spark, sf_dir)).select("src", "said")
+
+
+@query("SELECT 'function:src/m' || (p_partkey % 40) || '.py#f_' || p_partkey AS src, 1 AS waits FROM part WHERE p_partkey % 14 = 0 AND p_partkey % 21 <> 0")
+def stale_async(spark, sf_dir):
+    """State written after an await without a check between."""
+    return L.stale_writes(*_definitions(spark, sf_dir)).select("src", F.when(F.col("waited") < F.col("line"), 1).otherwise(0).alias("waits"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT 'KEY_' || (p_partkey % 6) AS name FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'Order' || (p_partkey % 8) FROM part WHERE p_partkey % 6 = 0) WHERE name IN ('KEY_2', 'KEY_4', 'Order4') GROUP BY name")
+def text_mentions(spark, sf_dir):
+    """Lines that hold a name."""
+    names = spark.createDataFrame([("KEY_2",), ("KEY_4",), ("Order4",), ("nowhere",)], "name string")
+    return L.mentions(sources(spark, sf_dir), names).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'function:src/m' || (p_partkey % 40) || '.py#f_' || p_partkey AS src FROM part WHERE p_partkey % 3 = 0")
+def precedents(spark, sf_dir):
+    """Functions that publish, as precedents of a plan."""
+    tree, defs = _definitions(spark, sf_dir)
+    return L.precedents(tree, defs, r"client\.publish\(").select("src")
