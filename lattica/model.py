@@ -31,25 +31,69 @@ ENTRY_CLASSES = {
     "dev": "test bench example build_script".split(),
     "other": "observer".split(),
 }
-#: Protocol: transport, matcher, flags.
+# Protocols with their transport, matcher and flags.
 PROTOCOLS = {
-    name: (transport, matcher, flags.split())
-    for line in """
-http tcp path guards; ws tcp path guards; sse tcp path guards; graphql tcp exact guards; pusher tcp dotted fanout; nest-rpc tcp exact guards
-nest-event tcp exact fanout guards; nest-ws tcp exact guards; grpc tcp exact guards; thrift tcp exact guards; trpc tcp exact guards; jsonrpc tcp exact guards
-bull tcp exact; laravel-queue tcp exact; celery tcp exact; job tcp template; queue tcp exact fanout no-entry; laravel-event local exact fanout no-entry
-nest-event-emitter local exact fanout no-entry; django-signal local exact fanout no-entry; capacitor row exact no-entry; react-native row exact no-entry
-flutter row exact no-entry; flutter-event row exact no-entry; pigeon row exact no-entry; electron-ipc row exact no-entry; electron-preload row exact no-entry
-tauri row exact no-entry; mqtt tcp mqtt fanout; nats tcp nats fanout; amqp tcp amqp fanout; kafka tcp glob fanout; redis-pubsub tcp glob fanout
-redis-stream tcp exact fanout; socketio tcp template guards directional; webhook tcp webhook fanout guards; worker local exact no-entry
-broadcastchannel local exact fanout no-entry; postmessage local glob fanout guards; extension local extension fanout guards; native-messaging ipc exact
-unix ipc template; pipe ipc template; dbus ipc exact; intent ipc exact guards; intent-action ipc exact fanout guards; aidl ipc exact; xpc ipc exact
-darwin-notification ipc exact fanout; isolate local exact; process ipc exact; tcp tcp exact; udp udp exact fanout; mdns udp exact fanout; osc udp glob fanout
-coap udp path; ssdp udp exact fanout; llm_tool local exact; mcp_tool tcp mcp; mcp_resource tcp mcp; mcp_prompt tcp mcp
-""".strip().splitlines()
-    for entry in line.split("; ")
-    for name, transport, matcher, *rest in [entry.split(" ")]
-    for flags in [" ".join(rest)]
+    "http": ("tcp", "path", ["guards"]),
+    "ws": ("tcp", "path", ["guards"]),
+    "sse": ("tcp", "path", ["guards"]),
+    "graphql": ("tcp", "exact", ["guards"]),
+    "pusher": ("tcp", "dotted", ["fanout"]),
+    "nest-rpc": ("tcp", "exact", ["guards"]),
+    "nest-event": ("tcp", "exact", ["fanout", "guards"]),
+    "nest-ws": ("tcp", "exact", ["guards"]),
+    "grpc": ("tcp", "exact", ["guards"]),
+    "thrift": ("tcp", "exact", ["guards"]),
+    "trpc": ("tcp", "exact", ["guards"]),
+    "jsonrpc": ("tcp", "exact", ["guards"]),
+    "bull": ("tcp", "exact", []),
+    "laravel-queue": ("tcp", "exact", []),
+    "celery": ("tcp", "exact", []),
+    "job": ("tcp", "template", []),
+    "queue": ("tcp", "exact", ["fanout", "no-entry"]),
+    "laravel-event": ("local", "exact", ["fanout", "no-entry"]),
+    "nest-event-emitter": ("local", "exact", ["fanout", "no-entry"]),
+    "django-signal": ("local", "exact", ["fanout", "no-entry"]),
+    "capacitor": ("row", "exact", ["no-entry"]),
+    "react-native": ("row", "exact", ["no-entry"]),
+    "flutter": ("row", "exact", ["no-entry"]),
+    "flutter-event": ("row", "exact", ["no-entry"]),
+    "pigeon": ("row", "exact", ["no-entry"]),
+    "electron-ipc": ("row", "exact", ["no-entry"]),
+    "electron-preload": ("row", "exact", ["no-entry"]),
+    "tauri": ("row", "exact", ["no-entry"]),
+    "mqtt": ("tcp", "mqtt", ["fanout"]),
+    "nats": ("tcp", "nats", ["fanout"]),
+    "amqp": ("tcp", "amqp", ["fanout"]),
+    "kafka": ("tcp", "glob", ["fanout"]),
+    "redis-pubsub": ("tcp", "glob", ["fanout"]),
+    "redis-stream": ("tcp", "exact", ["fanout"]),
+    "socketio": ("tcp", "template", ["guards", "directional"]),
+    "webhook": ("tcp", "webhook", ["fanout", "guards"]),
+    "worker": ("local", "exact", ["no-entry"]),
+    "broadcastchannel": ("local", "exact", ["fanout", "no-entry"]),
+    "postmessage": ("local", "glob", ["fanout", "guards"]),
+    "extension": ("local", "extension", ["fanout", "guards"]),
+    "native-messaging": ("ipc", "exact", []),
+    "unix": ("ipc", "template", []),
+    "pipe": ("ipc", "template", []),
+    "dbus": ("ipc", "exact", []),
+    "intent": ("ipc", "exact", ["guards"]),
+    "intent-action": ("ipc", "exact", ["fanout", "guards"]),
+    "aidl": ("ipc", "exact", []),
+    "xpc": ("ipc", "exact", []),
+    "darwin-notification": ("ipc", "exact", ["fanout"]),
+    "isolate": ("local", "exact", []),
+    "process": ("ipc", "exact", []),
+    "tcp": ("tcp", "exact", []),
+    "udp": ("udp", "exact", ["fanout"]),
+    "mdns": ("udp", "exact", ["fanout"]),
+    "osc": ("udp", "glob", ["fanout"]),
+    "coap": ("udp", "path", []),
+    "ssdp": ("udp", "exact", ["fanout"]),
+    "llm_tool": ("local", "exact", []),
+    "mcp_tool": ("tcp", "mcp", []),
+    "mcp_resource": ("tcp", "mcp", []),
+    "mcp_prompt": ("tcp", "mcp", []),
 }
 FINDINGS = {
     "hardcoded": ("high", "outbound"), "plaintext": ("medium", "outbound"), "unverified": ("high", "inbound"), "unguarded": ("medium", "inbound"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.model import CONFIDENCE, PROPAGATING
+from lattica.operators.rules import is_auth_guard, public_reason
 from lattica.operators.traverse import forward_closure, group_closures, walkable
 
 
@@ -217,3 +218,21 @@ def tests_order(found: DataFrame) -> DataFrame:
 def routes_order(found: DataFrame) -> DataFrame:
     """Routes without a guard first, then those without a checked secret, by place and name."""
     return found.orderBy("has_auth", "secret_checked", "at", "name")
+
+
+def routes(nodes: DataFrame, edges: DataFrame, guards: DataFrame) -> DataFrame:
+    """id, entry_kind, at, guards, has_auth, public, tables, reaches_write, state of every route.
+
+    guards: route, name. Tables are those that a walk from the route writes, at any depth over propagating edges, all
+    routes in one walk; `state` is guarded, public, unguarded (a write is reached) or quiet.
+    """
+    own = nodes.where("kind = 'route'").select("id", "entry_kind", F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"), F.element_at(F.split("name", " "), -1).alias("path"))
+    named = guards.groupBy(F.col("route").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("guards"), F.max(is_auth_guard(F.col("name"))).alias("has_auth"))
+    used = walkable(edges)
+    writes = edges.where(F.col("kind").isin("WRITES_TABLE", "WRITES_COLUMN")).select("src", F.when(F.col("kind") == "WRITES_COLUMN", F.concat(F.lit("table:"), F.regexp_extract("dst", r"^column:(.*)\.[^.]*$", 1))).otherwise(F.col("dst")).alias("tbl")).distinct()
+    written = group_closures(used, writes.select(F.col("src").alias("id"), F.col("tbl").alias("grp")).distinct())
+    reached = written.where(F.col("id").startswith("route:")).groupBy("id").agg(F.count_distinct("grp").alias("tables"))
+    found = own.join(named, "id", "left").join(reached, "id", "left")
+    found = found.withColumns({"has_auth": F.coalesce("has_auth", F.lit(False)), "tables": F.coalesce("tables", F.lit(0)), "public": public_reason(F.col("path"))})
+    state = F.when(F.col("has_auth"), "guarded").when(F.col("public").isNotNull(), "public").when(F.col("tables") > 0, "unguarded").otherwise("quiet")
+    return found.select("id", "entry_kind", "at", "guards", "has_auth", "public", "tables", (F.col("tables") > 0).alias("reaches_write"), state.alias("state"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.matchers import PARAM, match_path, segments
-from lattica.functions.text import words
+from lattica.functions.text import canonical_key, words
 
 # Which kinds of a server fit a client's kind, beside an equal one.
 COMPATIBLE = {"number": ["int", "float", "decimal"], "float": ["int", "number", "decimal"], "int": ["number"], "str": ["decimal", "enum"], "datetime": ["str", "decimal", "enum"], "enum": ["str", "decimal"], "object": ["dict"]}
@@ -148,3 +148,26 @@ def table_columns(edges: DataFrame, targets: DataFrame) -> DataFrame:
     tables = targets.where(F.col("id").startswith("table:")).select(F.col("id").alias("src"))
     columns = edges.where((F.col("kind") == "CONTAINS") & F.col("dst").startswith("column:")).join(tables, "src", "left_semi").select(F.col("dst").alias("id"))
     return targets.select("id").unionByName(columns).distinct()
+
+
+def payload_issues(sent: DataFrame, declared: DataFrame) -> DataFrame:
+    """endpoint, key, issue, severity: keys that one side gives (endpoint, key, kind) against those that the other declares (endpoint, key, kind, required).
+
+    `missing`: required and not given; `unknown`: given and not declared; `case`: declared in another spelling; `type`:
+    a kind that doesn't fit. Keys are compared by their parts, an index being any. A request gives what the
+    client sends, a response what the server answers.
+    """
+    parts = lambda c: F.array_join(canonical_key(F.col(c)), ".")
+    a = sent.groupBy("endpoint", "key").agg(F.min("kind").alias("a_kind")).withColumn("c", parts("key")).withColumnRenamed("key", "a_key")
+    b = declared.groupBy("endpoint", "key").agg(F.min("kind").alias("b_kind"), F.max("required").alias("required")).withColumn("c", parts("key")).withColumnRenamed("key", "b_key")
+    exact = a.join(b.drop("c"), (a["endpoint"] == b["endpoint"]) & (F.regexp_replace("a_key", r"\[\d*\]", "[*]") == F.regexp_replace("b_key", r"\[\d*\]", "[*]")), "left").select(a["endpoint"], "a_key", "a_kind", "c", "b_key", "b_kind")
+    known = exact.where("b_key is not null")
+    wrong = known.where(~compatible(F.col("a_kind"), F.col("b_kind"))).select("endpoint", F.col("a_key").alias("key"), F.lit("type").alias("issue"))
+    rest = exact.where("b_key is null").select("endpoint", "a_key", "c")
+    folded = b.select("endpoint", "c", F.lit(True).alias("folds")).distinct()
+    other = rest.join(folded, ["endpoint", "c"], "left").select("endpoint", F.col("a_key").alias("key"), F.when(F.col("folds"), "case").otherwise("unknown").alias("issue"))
+    given = a.select("endpoint", "c").distinct()
+    missing = b.where("required").join(given, ["endpoint", "c"], "left_anti").select("endpoint", F.col("b_key").alias("key"), F.lit("missing").alias("issue"))
+    found = wrong.unionByName(other).unionByName(missing)
+    severity = F.when(F.col("issue").isin("missing", "type"), "high").when(F.col("issue") == "case", "medium").otherwise("low")
+    return found.withColumn("severity", severity)

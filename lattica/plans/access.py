@@ -185,3 +185,32 @@ def plan_tables(spark, sf_dir):
     """Users of planned tables that the plan neither lists nor goes through."""
     listed = nodes(spark, sf_dir).where("module = 'Brand#12'").select("id")
     return R.plan_coverage(edges(spark, sf_dir), ids(spark, "table:1", "table:2", "table:3"), listed, ids(spark, "module:7", "module:8"))
+
+
+@query(on_graph("""SELECT r.id, r.entry_kind, coalesce(g.has_auth, false) AS has_auth, coalesce(t.tables, 0) AS tables, CASE WHEN g.has_auth THEN 'guarded' WHEN t.tables > 0 THEN 'unguarded' ELSE 'quiet' END AS state FROM nodes r
+LEFT JOIN (SELECT e.src AS id, bool_or(c.module = 'BUILDING') AS has_auth FROM edges e JOIN nodes c ON c.id = e.dst WHERE e.kind = 'USES_TYPE' GROUP BY e.src) g USING (id)
+LEFT JOIN (SELECT id, count(DISTINCT grp) AS tables FROM walk WHERE id LIKE 'route:%' GROUP BY id) t USING (id) WHERE r.kind = 'route'""", walk_sql("walk", "SELECT DISTINCT src AS id, dst AS grp FROM edges WHERE kind = 'WRITES_TABLE' AND conf_rank = 3 AND dst IN ('table:1', 'table:2', 'table:3')", f"SELECT DISTINCT dst AS comes, src AS goes FROM edges WHERE {PROPAGATES} AND conf_rank = 3 AND (kind <> 'WRITES_TABLE' OR dst IN ('table:1', 'table:2', 'table:3'))", "id, grp")))
+def guarded_routes(spark, sf_dir):
+    """Routes with their guards and the tables that a walk from them writes, over certain edges to three tables."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir).where("conf_rank = 3 and (kind <> 'WRITES_TABLE' or dst in ('table:1', 'table:2', 'table:3'))")
+    classes = n.where("kind = 'class'").select(F.col("id").alias("dst"), F.when(F.col("module") == "BUILDING", "JwtGuard").otherwise("ThrottlerGuard").alias("name"))
+    guards = edges(spark, sf_dir).where("kind = 'USES_TYPE'").join(classes, "dst").select(F.col("src").alias("route"), "name")
+    return R.routes(n, e, guards).select("id", "entry_kind", "has_auth", "tables", "state")
+
+
+@query("""WITH s AS (SELECT event_type AS endpoint, ['id', 'userId', 'items[0].name', 'extra' || (user_id % 3)][(event_id % 4 + 1)::INT] AS key, ['int', 'str', 'str', 'str'][(event_id % 4 + 1)::INT] AS kind FROM events),
+sent AS (SELECT endpoint, key, min(kind) AS kind FROM s GROUP BY ALL),
+declared AS (SELECT DISTINCT event_type AS endpoint, d.key, d.kind, d.required FROM events, (VALUES ('id', 'str', true), ('user_id', 'str', true), ('items[*].name', 'str', false), ('total', 'number', true), ('extra1', 'str', false)) d(key, kind, required))
+SELECT endpoint, key, issue, severity FROM (SELECT endpoint, 'id' AS key, 'type' AS issue, 'high' AS severity FROM sent WHERE key = 'id' UNION ALL SELECT endpoint, 'userId', 'case', 'medium' FROM sent WHERE key = 'userId'
+UNION ALL SELECT endpoint, key, 'unknown', 'low' FROM sent WHERE key LIKE 'extra%' AND key <> 'extra1' UNION ALL SELECT DISTINCT endpoint, 'total', 'missing', 'high' FROM declared)""")
+def payload_issues(spark, sf_dir):
+    """Keys of requests against a declared schema: missing, unknown, in another spelling, of another kind."""
+    from lattica.operators import rules
+
+    e = read(spark, sf_dir, "events")
+    at = (F.col("event_id") % 4 + 1).cast("int")
+    keys = F.array(F.lit("id"), F.lit("userId"), F.lit("items[0].name"), F.concat(F.lit("extra"), F.col("user_id") % 3))
+    sent = e.select(F.col("event_type").alias("endpoint"), F.element_at(keys, at).alias("key"), F.element_at(F.array(*(F.lit(k) for k in ("int", "str", "str", "str"))), at).alias("kind"))
+    schema = spark.createDataFrame([("id", "str", True), ("user_id", "str", True), ("items[*].name", "str", False), ("total", "number", True), ("extra1", "str", False)], "key string, kind string, required boolean")
+    declared = e.select(F.col("event_type").alias("endpoint")).distinct().join(F.broadcast(schema))
+    return rules.payload_issues(sent, declared)
