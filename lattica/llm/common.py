@@ -93,9 +93,18 @@ def _drop_all() -> None:
             drop(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+#: Rows of one file of a table whose rows were bounded by a count before it was written.
+FILE_ROWS = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    `rows`: at most so many, by a count; they need no more tasks and files than that.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_exit(spark, path)

@@ -350,7 +350,8 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc
         counted = _starred(placed, percent) if turn == 0 else _drawn(placed, members, turn, percent)
         chosen = counted.groupBy("name", "component").agg(F.max_by("centre", F.struct("share", "centre.name")).alias("centre"))
         pairs = written(chosen.select(F.col("name").alias("a"), F.col("centre.name").alias("b"), F.col("component").alias("ca"), F.col("centre.component").alias("cb")), "stars")
-        tried, found_links = pairs.count(), _links(pairs, texts, size, percent)
+        tried = pairs.count()
+        found_links = _links(pairs, tried, texts, size, percent)
         forget(pairs)
         if found_links is None:
             break
@@ -555,8 +556,9 @@ def _spanned(pairs: DataFrame, named: DataFrame | None, texts: _Texts, size: int
             sides = open_pairs.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "a", "b", "ca", "cb", "share"), F.struct(F.col("cb").alias("c"), "a", "b", "ca", "cb", "share"))).alias("s")).select("s.*")
             best = written(sides.groupBy("c").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("share", "a", "b")).alias("p")).select("p.*").distinct(), "best")
             tried = best.count()
-        all_at_once = best is None or open_pairs.count() <= 4 * tried
-        links = _links(open_pairs.select("a", "b", "ca", "cb") if all_at_once else best, texts, size, percent)
+        n_open = open_pairs.count()
+        all_at_once = best is None or n_open <= 4 * tried
+        links = _links(open_pairs.select("a", "b", "ca", "cb"), n_open, texts, size, percent) if all_at_once else _links(best, tried, texts, size, percent)
         poor = links is None or links.count() * 10 < tried
         if links is not None:
             named = _merged(named, links)
@@ -580,11 +582,11 @@ def _spanned(pairs: DataFrame, named: DataFrame | None, texts: _Texts, size: int
     return named
 
 
-def _links(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame | None:
-    """Links between components (a, b), if there are any."""
-    if not pairs.limit(1).count():
+def _links(pairs: DataFrame, n_pairs: int, texts: _Texts, size: int, percent: int) -> DataFrame | None:
+    """Links between components (a, b) of so many pairs, if there are any."""
+    if not n_pairs:
         return None
-    links = written(_verified(pairs, texts, size, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    links = written(_verified(pairs, texts, size, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links", n_pairs)
     if links.limit(1).count():
         return links
     forget(links)

@@ -80,7 +80,7 @@ def test_a_name_with_two_texts_keeps_its_true_link(spark, other_first):
     name = names.of(N.ngrams(right.encode(), 3))
     held = spark.createDataFrame([(name, x) for x in ([other, right] if other_first else [right, other])], "name bigint, text string").coalesce(1)
     pairs = spark.createDataFrame([(name, name)], "a bigint, b bigint").coalesce(1)
-    texts = SimpleNamespace(names=names, of=lambda _: held)
+    texts = SimpleNamespace(names=names, of=lambda *_: held)
     assert [tuple(r) for r in N._verified(pairs, texts, 3, 80).collect()] == [(name, name)]
 
 
