@@ -344,6 +344,19 @@ class PrefixTable:
         return self.at(end) - self.at(start)
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of so many bytes, or one batch."""
+    group, held = [], 0
+    for b in batches:
+        group.append(b)
+        held += b.nbytes
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens, over_limit and fit_chars, the code points of the longest prefix within the limit.
 
@@ -359,15 +372,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(tokenizer_path)
-        for b in batches:
-            n_bytes, tokens, fits = [], [], []
-            texts = raw(b.column(text))
-            counter.prepare([x.decode() for x in texts])
-            for data in texts:
-                table = PrefixTable(data.decode(), counter)
-                n_bytes.append(len(data))
-                tokens.append(table.at(len(data)))
-                fits.append(table.fit(limit))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
+        for group in _together(batches):
+            counter.prepare([x.decode() for b in group for x in raw(b.column(text))])
+            for b in group:
+                n_bytes, tokens, fits = [], [], []
+                for data in raw(b.column(text)):
+                    table = PrefixTable(data.decode(), counter)
+                    n_bytes.append(len(data))
+                    tokens.append(table.at(len(data)))
+                    fits.append(table.fit(limit))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
 
     return docs.select(*(docs[f"`{c}`"] for c in keep), docs[f"`{text}`"]).mapInArrow(counted, schema)
