@@ -155,10 +155,14 @@ def origin_fits(text: Column, repo: Column) -> Column:
     return (F.size(own) > 0) & (F.size(F.array_except(own, words(text))) == 0)
 
 
+# Schemes that are encrypted.
+TLS_SCHEMES = ["https", "wss", "rediss", "amqps", "mqtts", "ldaps", "ftps", "smtps", "imaps", "pop3s", "grpcs", "tls"]
+
+
 def dsn(url: Column) -> Column:
     """Protocol, host, port, user and database of a connection url; nulls where it has none."""
     part = lambda g: F.nullif(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^:@/]*)(?::([^@/]*))?@)?([^:/?#]*)(?::(\d+))?(?:/([^?#]*))?", g), F.lit(""))
-    return F.struct(F.lower(part(1)).alias("protocol"), part(4).alias("host"), part(5).cast("int").alias("port"), part(2).alias("user"), part(6).alias("database"), F.coalesce(part(1).rlike("(?i)(s|\\+tls|\\+ssl)$") | url.rlike("(?i)(ssl|tls)(mode)?=(true|1|require|verify)"), F.lit(False)).alias("tls"))
+    return F.struct(F.lower(part(1)).alias("protocol"), part(4).alias("host"), part(5).cast("int").alias("port"), part(2).alias("user"), part(6).alias("database"), F.coalesce(F.lower(part(1)).isin(TLS_SCHEMES) | part(1).rlike(r"(?i)\+(tls|ssl)$") | url.rlike("(?i)(ssl|tls)(mode)?=(true|1|require|verify)"), F.lit(False)).alias("tls"))
 
 
 def line_of(text: Column, offset: Column) -> Column:

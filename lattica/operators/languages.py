@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.functions.text import dsn, placeholder
 from lattica.operators import build
 from lattica.operators.joins import as_of
 from lattica.storage import cut
@@ -309,6 +310,25 @@ def precedents(sources: DataFrame, defs: DataFrame, pattern: str) -> DataFrame:
     return found.where("id is not null").select(F.col("id").alias("src"), "line")
 
 
+#: Schemes that say that nothing is encrypted; others without a sign of it are unknown.
+BARE_SCHEMES = ["http", "ws", "redis", "amqp", "mqtt", "ldap", "ftp", "smtp", "memcached", "nats", "telnet"]
+ADDRESS = r"""(\b[a-z][a-z0-9+.\-]*://[^\s"'`<>)\]]+)"""
+
+
+def externals(sources: DataFrame) -> DataFrame:
+    """id, protocol, host, port, tls, scheme, literal, in_url, file, line, confidence: systems that source text addresses by a URL, once a place.
+
+    tls is null where the address doesn't say; a password in the address counts unless it is a reference.
+    """
+    found = _lines(sources).where(F.col("l").contains("://")).select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit(ADDRESS)))).alias("url"))
+    d = dsn(F.col("url"))
+    password = F.regexp_extract("url", r"://[^:@/\s]*:([^@/\s]+)@", 1)
+    rows = found.withColumn("d", d).where("d.host is not null and d.protocol not in ('file', 'data')").withColumn("scheme", F.col("d.protocol")).withColumn("protocol", F.regexp_replace(F.regexp_replace("d.protocol", r"\+.*$", ""), r"(?<=http|ws|redis|amqp|mqtt|ldap|ftp|smtp)s$", ""))
+    tls = F.when(F.col("d.tls"), True).when(F.col("scheme").isin(BARE_SCHEMES), False)
+    port = F.col("d.port")
+    return rows.select(F.concat_ws(":", F.lit("external"), "protocol", "d.host", port.cast("string")).alias("id"), "protocol", F.lower("d.host").alias("host"), port.alias("port"), tls.alias("tls"), "scheme", F.lit(False).alias("literal"), (~placeholder(password)).alias("in_url"), F.col("path").alias("file"), "line", F.lit("exact").alias("confidence"))
+
+
 #: Marker files and what their text says of a project.
 MARKERS = {
     "laravel": ("composer.json", "laravel/framework"), "php": ("composer.json", ""), "nestjs": ("package.json", "@nestjs/core"), "nextjs": ("package.json", '"next"'), "nuxt": ("package.json", '"nuxt"'), "express": ("package.json", '"express"'), "astro": ("package.json", '"astro"'),

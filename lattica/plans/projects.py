@@ -22,6 +22,8 @@ def sources(spark, sf_dir):
         F.when(p % 4 == 0, text('    os.environ.get("KEY_', p % 6, '")')),
         F.when(p % 6 == 0, text("    Order", p % 8, ".objects.create(x)")),
         F.when(p % 25 == 0, F.lit("    requests.get(url, verify=False)")),
+        F.when(p % 30 == 0, text('    DB = "postgres://shop:', F.when(p % 60 == 0, "$SECRET").otherwise(F.concat(F.lit("pw"), p.cast("string"))), "@db", p % 4, ':5432/shop"')),
+        F.when(p % 45 == 0, text('    CACHE = "redis://cache', p % 4, ':6379"')),
         F.when(p % 8 == 0, F.lit("    if not x.user: abort(403)")),
         F.when(p % 14 == 0, F.lit("    await x.load()")),
         F.when(p % 21 == 0, F.lit("    if self.gone: return")),
@@ -57,6 +59,16 @@ def project_facts(spark, sf_dir):
     return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT id, finding, count(*) AS n FROM (SELECT DISTINCT id, finding, m FROM (SELECT 'external:postgres:db' || (p_partkey % 4) || ':5432' AS id, 'hardcoded' AS finding, p_partkey % 40 AS m FROM part WHERE p_partkey % 30 = 0 AND p_partkey % 60 <> 0
+UNION ALL SELECT 'external:redis:cache' || (p_partkey % 4) || ':6379', 'plaintext', p_partkey % 40 FROM part WHERE p_partkey % 45 = 0)) GROUP BY id, finding""")
+def project_externals(spark, sf_dir):
+    """SP1, R12, B5, B6, B15: systems that source text addresses, with their findings by file."""
+    from lattica.operators import surface
+
+    found = surface.findings(surface.Facts(externals=L.externals(sources(spark, sf_dir))))
+    return found.groupBy(F.col("node").alias("id"), "finding").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _definitions(spark, sf_dir):
     tree = sources(spark, sf_dir)
     return tree, L.spans(L.facts(tree, L.DEFINITIONS))

@@ -46,7 +46,7 @@ def redaction_markers(spark, sf_dir):
 
 @query(r"""SELECT doc_id, count(*) AS n, count(DISTINCT m) AS n_distinct FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS m FROM documents) GROUP BY doc_id""")
 def address_scan(spark, sf_dir):
-    """SP5, X40: IP addresses found in texts, by document."""
+    """IP addresses found in texts, by document."""
     found = S.matches(read(spark, sf_dir, "documents"), "doc_id", "text", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("found").alias("n_distinct"))
 
@@ -61,7 +61,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscrip
 WHERE (w = ['app', 'key'] OR w[-1] IN ({_one_of(X.SECRET_LAST)}) OR w[-2] || ' ' || w[-1] IN ({_one_of(X.SECRET_TWO)}) OR (w[-1] IN ('key', 'token') AND coalesce(w[-2], '') NOT IN ({_one_of(X.NOT_SECRET_BEFORE)})))
 AND trim(value) <> '' AND NOT regexp_matches(trim(value), '^(\$|<|\{{\{{|%\()') AND lower(trim(value)) NOT IN ({_one_of(X.NO_VALUE)}) AND NOT starts_with(trim(value), 'redacted:')""")
 def secret_scan(spark, sf_dir):
-    """X35, X36, B5, SP1: assignments of credentials in texts with their lines, placeholders left out."""
+    """Assignments of credentials in texts with their lines, placeholders left out."""
     found = S.line_matches(read(spark, sf_dir, "documents"), "doc_id", "text", r'([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', ["key", "value"])
     return found.where(X.secret_key(F.col("key")) & ~X.placeholder(F.col("value")))
 

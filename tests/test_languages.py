@@ -69,3 +69,9 @@ def test_a_tree_s_graph(spark):
 def test_an_empty_tree(spark):
     nodes, edges = L.index(spark.createDataFrame([], "path string, text string"))
     assert nodes.collect() == [] == edges.collect()
+
+
+def test_addresses_of_outside_systems(spark):
+    text = 'A = "rediss://:secret@cache:6380/0"\nB = "postgres://u:${PW}@db/x"\nC = "http://api.example.com/x?y=1"\nD = "file:///tmp/x"\nE = "postgres+psycopg://u:p@db:5432/x?sslmode=require"'
+    found = {r["scheme"]: (r["protocol"], r["host"], r["port"], r["tls"], r["in_url"]) for r in L.externals(spark.createDataFrame([("a.py", text)], "path string, text string")).collect()}
+    assert found == {"rediss": ("redis", "cache", 6380, True, True), "postgres": ("postgres", "db", None, None, False), "http": ("http", "api.example.com", None, False, False), "postgres+psycopg": ("postgres", "db", 5432, True, True)}

@@ -41,6 +41,13 @@ def test_files_listed_as_changed(spark):
     assert [tuple(r) for r in graph.listed_changes(spark, ["a.py"]).collect()] == [("a.py", 1, 2**31 - 1)]
 
 
+def test_match_report(spark):
+    found = spark.createDataFrame([("b", "y", "exact"), ("a", "x", "heuristic"), ("a", "y", "exact")], "sender string, receiver string, confidence string")
+    as_json, as_text = graph.match_report(found, 2)
+    assert json.loads(as_json)["counts"] == {"exact": 2, "heuristic": 1} and [m["receiver"] for m in json.loads(as_json)["matches"]] == ["x", "y"]
+    assert "- exact: 2" in as_text and "| a | x | heuristic |" in as_text
+
+
 def test_a_stale_graph(spark):
     tree = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-02-01 00:00:00")], "path string, t string").withColumn("modificationTime", F.col("t").cast("timestamp"))
     assert [refresh.stale(tree, at).first()["is_stale"] for at in ("2024-01-15 00:00:00", "2024-03-01 00:00:00")] == [True, False]
