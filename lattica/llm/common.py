@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows and bytes of the batches that Python workers get, where the session has left Spark's own, which suit short rows.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
+#: Rows and bytes of the batches that Python workers get, and rows that a file is decoded by, where the session has left Spark's own, which suit short rows.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
 
 
 def ship(spark: SparkSession) -> None:
@@ -127,6 +129,25 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system; where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over batches, by a worker that holds no freed memory while it waits for another task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def batches_of(schema: pa.Schema, rows: Iterable[dict[str, list]]) -> Iterator[pa.RecordBatch]:
     for columns in rows:
         yield pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in schema}, schema=schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lattica.llm.common import raw, ship
+from lattica.llm.common import lean, raw, ship
 
 #: Item words in one automaton: about 200 bytes each, so at most some 100 MB in a worker.
 BLOCK_WORDS = 500_000
@@ -233,7 +233,7 @@ def _pass(docs: DataFrame, shared, window: int, text: str, before: bool) -> Data
                 found.append(sorted(items))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), *(pa.array(x, t.type) for x, t in zip((starts, ends, found), list(arrow)[-3:], strict=True))], schema=arrow)
 
-    return docs.mapInArrow(matched, schema)
+    return docs.mapInArrow(lean(matched), schema)
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def without_spans(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
                     texts[k] = cut_words(texts[k].encode(), s, e).decode()
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, arrow.field("text").type)], schema=arrow)
 
-    done = h.where(hit <= F.col("n_words") * coverage).mapInArrow(cut, schema)
+    done = h.where(hit <= F.col("n_words") * coverage).mapInArrow(lean(cut), schema)
     return done.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 

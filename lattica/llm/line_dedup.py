@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import forget, raw, ship, written
+from lattica.llm.common import forget, lean, raw, ship, written
 
 #: Keys of one shard's filter, about.
 SHARD_KEYS = 200_000
@@ -169,7 +169,7 @@ def postings_of(docs: DataFrame, min_chars: int = 20, doc_id: str = "doc_id", te
                 at += [k] * len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), b.column("doc_id").take(pa.array(at, pa.int32()))], schema=arrow)
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("text", "doc_id").mapInArrow(keyed, schema)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("text", "doc_id").mapInArrow(lean(keyed), schema)
 
 
 def _counted(postings: DataFrame, min_docs: int) -> DataFrame:
@@ -295,7 +295,7 @@ def deduplicated(docs: DataFrame, index: LineIndex | None = None, min_chars: int
                 n_dropped.append(len(had) - len(kept))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, arrow.field("text").type), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=arrow)
 
-    done = joined.mapInArrow(cut, schema)
+    done = joined.mapInArrow(lean(cut), schema)
     names = {"n_lines", "n_dropped"} if lines else set()
     return done.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names), *sorted(names, reverse=True))
 

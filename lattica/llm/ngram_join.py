@@ -43,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lattica.llm.common import forget, raw, ship, written
+from lattica.llm.common import forget, lean, raw, ship, written
 from lattica.llm.components import components
 
 #: Blocks of columns whose frequencies order the columns.
@@ -158,7 +158,7 @@ def named_sets(found: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
                     new = [None if x is None else names.settled(x, m) for x, m in zip(b.column("name").to_pylist(), b.column("mark").to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(new, pa.int64()), b.column("mark"), b.column("n")], schema=b.schema)
 
-            docs = first.mapInArrow(settle, first.schema)
+            docs = first.mapInArrow(lean(settle), first.schema)
         sets = written(docs.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.min("mark").alias("lo"), F.max("mark").alias("hi")), "sets")
         again = [r["name"] for r in sets.where("lo <> hi").select("name").toLocalIterator()]  # of 10^11 sets some hundreds
         if not again:
@@ -195,7 +195,7 @@ def described(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(held, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, arrow.field("id").type), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int32()), pa.array(parts, arrow.field("blocks").type)], schema=arrow)
 
-    return docs.mapInArrow(describe, schema)
+    return docs.mapInArrow(lean(describe), schema)
 
 
 def block_ranks(found: DataFrame) -> np.ndarray:
@@ -264,7 +264,7 @@ def postings(docs: DataFrame, size: int, percent: int, ranks, names: Names) -> D
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (columns, own, sizes)], schema=arrow)
 
-    return docs.select("text").mapInArrow(post, schema)
+    return docs.select("text").mapInArrow(lean(post), schema)
 
 
 def _verified(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _verified(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ["a", "b", *extra]], names=["a", "b", *extra])
 
     joined = pairs.join(held_texts.select(F.col("name").alias("a"), F.col("text").alias("x")), "a").join(held_texts.select(F.col("name").alias("b"), F.col("text").alias("y")), "b")
-    return joined.select("a", "b", *extra, "x", "y").mapInArrow(multiply, schema).distinct()
+    return joined.select("a", "b", *extra, "x", "y").mapInArrow(lean(multiply), schema).distinct()
 
 
 class _Texts:
@@ -442,7 +442,7 @@ def _product(placed: DataFrame, percent: int) -> DataFrame:
     rows = many.join(held, ["block", "name"]).join(all_of, "name").join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")))
     paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "name", "n", "component", "column", (F.col("all") - F.col("inside")).alias("outside"))
     dealt = paired.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "column", "name")
-    in_blocks = dealt.mapInArrow(_multiplied(percent), "a long, b long, na int, nb int, ca long, cb long, c long")
+    in_blocks = dealt.mapInArrow(lean(_multiplied(percent)), "a long, b long, na int, nb int, ca long, cb long, c long")
     counted = by_join.unionByName(in_blocks).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.sum("c").alias("c"))
     return counted.where(_possible(F.col("na"), F.col("nb"), F.col("c"), percent)).select("a", "b", "ca", "cb", (F.col("c") / (F.col("na") + F.col("nb"))).alias("share"))
 

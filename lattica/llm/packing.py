@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from lattica.llm.common import ship, written
+from lattica.llm.common import lean, ship, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs beside its tokens, in tokens.
@@ -164,7 +164,7 @@ def packed(items: DataFrame, length: str | Column, capacities: tuple[int, ...] =
             run = runs[np.searchsorted(runs[:, 0], bins, side="right") - 1]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((n // top).astype(np.int32)), pa.array(n - rest), pa.array(rest), pa.array(bins), pa.array(run[:, 2].astype(np.int32)), pa.array((s[:, 5] + at % s[:, 4] * rest).astype(np.int32))], schema=arrow)
 
-    out = ranked.mapInArrow(assign, schema).unionByName(filled).unionByName(empty)
+    out = ranked.mapInArrow(lean(assign), schema).unionByName(filled).unionByName(empty)
     return out.select(*(F.col(f"row.`{c}`") for c in own), *(f.name for f in RESULT))
 
 
@@ -272,4 +272,4 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...]
         ]
         return pa.Table.from_arrays(columns, schema=out)
 
-    return dealt.select("text", "shard", "h", "doc_id").mapInArrow(tokenize, counted).groupBy("shard").applyInArrow(pack, schema)
+    return dealt.select("text", "shard", "h", "doc_id").mapInArrow(lean(tokenize), counted).groupBy("shard").applyInArrow(pack, schema)

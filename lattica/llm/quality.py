@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lattica.llm.common import raw, ship
+from lattica.llm.common import lean, raw, ship
 from lattica.llm.labelled import remainder, sample
 
 BITS = 18
@@ -110,7 +110,7 @@ def train(fitted_on: DataFrame, epochs: int = EPOCHS) -> tuple[float, np.ndarray
         yield pa.record_batch({"weights": pa.array([weights(np.arange(len(z))).astype(np.float32).tobytes()], pa.binary())})
 
     one = fitted_on.repartition(1).sortWithinPartitions("order", "label", "text").select("label", "text")  # bounded rows
-    found = one.mapInArrow(follow, "weights binary").collect()
+    found = one.mapInArrow(lean(follow), "weights binary").collect()
     w = np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
     return float(w[-1]), w[:-1]
 
@@ -135,7 +135,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=arrow)
 
-    return docs.select(*(docs[f"`{c}`"] for c in [*keep, "text"])).mapInArrow(score, schema)
+    return docs.select(*(docs[f"`{c}`"] for c in [*keep, "text"])).mapInArrow(lean(score), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lattica.llm.common import forget, ship, written
+from lattica.llm.common import forget, lean, ship, written
 from lattica.llm.labelled import remainder, sample
 from lattica.llm.ngram_join import word_hashes
 
@@ -124,7 +124,7 @@ def word_counts(fitted_on: DataFrame) -> DataFrame:
                         found.setdefault(w, [0, 0])[y] += 1
                 yield pa.record_batch([pa.array(found, pa.binary()), pa.array([n[1] for n in found.values()], pa.int64()), pa.array([n[0] for n in found.values()], pa.int64())], names=["word", "toxic", "ordinary"])
 
-    return fitted_on.select("label", "text").mapInArrow(counted, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return fitted_on.select("label", "text").mapInArrow(lean(counted), "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def contexts_of(text: str | None) -> np.ndarray:
@@ -152,7 +152,7 @@ def class_counts(fitted_on: DataFrame, vocabulary) -> DataFrame:
                 found = one_each(np.concatenate([ids | ANY << BITS, pairs(ids)]), np.concatenate([where, where]))
                 yield pa.record_batch([pa.array(np.full(len(found[0]), y, np.int32)), *map(pa.array, found)], names=["label", "pair", "context"])
 
-    different = fitted_on.select("label", "text").mapInArrow(seen, "label int, pair long, context long").distinct()
+    different = fitted_on.select("label", "text").mapInArrow(lean(seen), "label int, pair long, context long").distinct()
     return different.groupBy("pair").agg(F.sum("label").cast("long").alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
@@ -180,7 +180,7 @@ def continuations(docs: DataFrame, vocabulary) -> DataFrame:
                         had = np.zeros(0, np.int64)
         yield pa.record_batch([pa.array(different(had, held))], names=["pair"])
 
-    distinct = docs.select("text").mapInArrow(seen, StructType([StructField("pair", LongType())])).repartition("pair").distinct()  # tasks gave each pair once: nothing to sum before the shuffle
+    distinct = docs.select("text").mapInArrow(lean(seen), StructType([StructField("pair", LongType())])).repartition("pair").distinct()  # tasks gave each pair once: nothing to sum before the shuffle
     return distinct.groupBy(_last_of("pair").alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -298,7 +298,7 @@ def _measured(docs: DataFrame, model, keep: str) -> DataFrame:
             x = [models.measure(numbers(t.as_py(), vocabulary)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(x, pa.float64())], schema=arrow)
 
-    return docs.mapInArrow(take, schema)
+    return docs.mapInArrow(lean(take), schema)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
