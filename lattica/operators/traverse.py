@@ -39,9 +39,10 @@ def _closure(steps: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int
     for depth in range(1, max_depth + 1):
         use = steps if first_steps is None or depth > 1 else steps.unionByName(first_steps)
         moved = frontier.join(use, F.col("node") == F.col("at")).withColumn("node", F.col("to")).select(*keys).distinct()
-        for seen in levels:
-            moved = moved.join(seen.select(*keys), keys, "left_anti")
-        new = cut(moved.withColumn("depth", F.lit(depth)), "level")
+        seen = levels[0].select(*keys)
+        for t in levels[1:]:
+            seen = seen.unionByName(t.select(*keys))
+        new = cut(moved.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)), "level")
         if new.isEmpty():
             release(new)
             break
