@@ -46,7 +46,7 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from lattica.llm.common import raw, ship
 
 #: Runs and pieces that a worker remembers: two generations of so many each, some 400 bytes a pair.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longest run in code points that is remembered.
 SHORT = 64
 #: Code points that the pre-tokenizer looks ahead, and one more.
@@ -302,15 +302,17 @@ class RunCounter:
         counts = self._counts(run)
         return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
-    def prepare(self, texts: list[str]) -> None:
+    def prepare(self, texts: list[list[str]]) -> None:
         """Answers for the short runs of many texts, in an order in which one piece's columns begin like the last one's."""
-        new = {run for t in texts for run in set(_split(t)) if run not in self.runs and len(run) <= SHORT}
-        for run in sorted(new, key=str.lower):
+        new: set[str] = set()
+        for runs in texts:
+            new.update([run for run in set(runs) if run not in self.runs])
+        for run in sorted((r for r in new if len(r) <= SHORT), key=str.lower):
             self.runs[run]  # noqa: B018
 
-    def differences(self, text: str) -> np.ndarray:
-        """What each code point of a text adds to the count."""
-        return np.frombuffer(b"\0\0".join(map(self.runs.__getitem__, _split(text))), np.int16)
+    def differences(self, runs: list[str]) -> np.ndarray:
+        """What each code point of a text, given by its runs, adds to the count."""
+        return np.frombuffer(b"\0\0".join(map(self.runs.__getitem__, runs)), np.int16)
 
 
 _counters: dict[str, RunCounter] = {}
@@ -327,8 +329,11 @@ def counter_of(path: str) -> RunCounter:
 class PrefixTable:
     """Exact token counts at every prefix of one text."""
 
-    def __init__(self, text: str, counter: RunCounter) -> None:
-        self.counts = np.concatenate([[0], np.cumsum(counter.differences(text), dtype=np.int64)])
+    def __init__(self, text: str | list[str], counter: RunCounter) -> None:
+        """Of a text, or of the runs that it was split into."""
+        found = counter.differences(_split(text) if isinstance(text, str) else text)
+        self.counts = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(found, dtype=np.int64, out=self.counts[1:])
 
     def at(self, chars: int) -> int:
         """Tokens of the first `chars` code points."""
@@ -344,19 +349,6 @@ class PrefixTable:
         return self.at(end) - self.at(start)
 
 
-def _together(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in groups of so many bytes, or one batch."""
-    group, held = [], 0
-    for b in batches:
-        group.append(b)
-        held += b.nbytes
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens, over_limit and fit_chars, the code points of the longest prefix within the limit.
 
@@ -372,15 +364,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(tokenizer_path)
-        for group in _together(batches):
-            counter.prepare([x.decode() for b in group for x in raw(b.column(text))])
-            for b in group:
-                n_bytes, tokens, fits = [], [], []
-                for data in raw(b.column(text)):
-                    table = PrefixTable(data.decode(), counter)
-                    n_bytes.append(len(data))
-                    tokens.append(table.at(len(data)))
-                    fits.append(table.fit(limit))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
+        for b in batches:
+            texts = raw(b.column(text))
+            runs = [_split(x.decode()) for x in texts]
+            counter.prepare(runs)
+            tokens, fits = [], []
+            for r in runs:
+                table = PrefixTable(r, counter)
+                tokens.append(int(table.counts[-1]))
+                fits.append(table.fit(limit))
+            n_bytes = [len(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
 
     return docs.select(*(docs[f"`{c}`"] for c in keep), docs[f"`{text}`"]).mapInArrow(counted, schema)
