@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontaminate, line_dedup, ngram_join, packing, quality, tiff, token_counts, toxicity, url_filter
+from lattica.llm import chat, decontaminate, line_dedup, ngram_join, packing, periodic_runs, quality, quality_rules, tiff, token_counts, toxicity, url_filter, vector_codes
 from lattica.llm.common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -62,8 +62,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_best_fit_packing, op4_tiff_media, op5_ngram_join, op6_chat_format, op7_quality, op8_toxicity, op9_decontamination, op10_token_counts, media_pages)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_best_fit_packing, op4_tiff_media, op5_ngram_join, op6_chat_format, op7_quality, op8_toxicity, op9_decontamination, op10_token_counts, op11_vector_codes, op12_quality_rules, op13_periodic_runs, media_pages)}
 
 
 ORACLE = {
@@ -129,5 +141,53 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and floor means, one after the other; whole numbers all along."""
+    near = lambda books, more="": f"""
+  SELECT row, part, arg_min(entry, far * {entries} + entry) AS entry, min(far) AS far{more} FROM (
+    SELECT row, part, entry, v, list_sum([(x - y) * (x - y) for x, y in list_zip(v, c)])::BIGINT AS far FROM parts JOIN {books} USING (part)) GROUP BY row, part"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""
+near{k} AS ({near(f"books{k}", ", any_value(v) AS v")}),
+means{k} AS (
+  SELECT part, entry, list(m ORDER BY place) AS c FROM (
+    SELECT part, entry, place, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+    FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{k}) GROUP BY part, entry, place) GROUP BY part, entry),
+books{k + 1} AS (SELECT part, entry, coalesce(means{k}.c, books{k}.c)::BIGINT[] AS c FROM books{k} LEFT JOIN means{k} USING (part, entry)),""")
+    return f"""
+WITH usable AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, part, w[part * len(w) // {parts} + 1:(part + 1) * len(w) // {parts}] AS v FROM usable, range({parts}) AS t(part)),
+books0 AS (SELECT part, row - 1 AS entry, v AS c FROM parts WHERE row <= {entries}),{"".join(steps).replace(" AS (", " AS MATERIALIZED (")}
+last AS MATERIALIZED ({near(f"books{rounds}")}),
+coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM last GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS d FROM books{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, d AS codebooks_sha256 FROM usable JOIN coded USING (row), digest"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+ORACLE["op12_quality_rules"] = """
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS passage FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
+again AS (SELECT row, i FROM windows SEMI JOIN (SELECT row, passage FROM windows GROUP BY ALL HAVING count(*) > 1) USING (row, passage)),
+covered AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS place FROM again) GROUP BY row),
+lines AS (SELECT row, line, count(*) - 1 AS more FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+duplicates AS (SELECT row, sum(more)::BIGINT AS n FROM lines GROUP BY row),
+counts AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(duplicates.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM split LEFT JOIN covered USING (row) LEFT JOIN duplicates USING (row)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+pooled AS (SELECT sum(n) AS docs, count(*) AS hosts, sum(f) / sum(n) AS m, sum(n * (f / n - sum_f / sum_n) ** 2) AS spread FROM hosts, (SELECT sum(f) AS sum_f, sum(n) AS sum_n FROM hosts)),
+prior AS (SELECT m, greatest((docs - hosts) / (spread / (m * (1 - m)) - hosts) - 1, 0) AS s FROM pooled WHERE m > 0 AND m < 1 AND docs > hosts AND spread / (m * (1 - m)) > hosts),
+rates AS (SELECT source, m, n + s AS strength, (f + m * s) / (n + s) AS rate FROM hosts, prior),
+refused AS (SELECT source AS bad FROM rates WHERE rate - 3 * sqrt(rate * (1 - rate) / (strength + 1)) > greatest(0.5, m))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bad IS NULL AND NOT base_failed AS kept, bad IS NOT NULL AS host_refused
+FROM judged LEFT JOIN refused ON source = bad"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
