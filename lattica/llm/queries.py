@@ -145,7 +145,7 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """Rounds of assignment and floor means, one after the other; whole numbers all along."""
     near = lambda books, more="": f"""
   SELECT row, part, arg_min(entry, far * {entries} + entry) AS entry, min(far) AS far{more} FROM (
-    SELECT row, part, entry, v, list_sum([(x - y) * (x - y) for x, y in list_zip(v, c)])::BIGINT AS far FROM parts JOIN {books} USING (part)) GROUP BY row, part"""
+    SELECT row, part, entry, v, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far FROM parts JOIN {books} USING (part)) GROUP BY row, part"""
     steps = []
     for k in range(rounds):
         steps.append(f"""
