@@ -17,9 +17,13 @@ more to come, and `end`, the prefix as a whole word, whose last token follows an
 
 Runs between white space add up, as white space is in no token. For a run the differences of the
 counts at each code point are remembered as two-byte numbers; a text's store is its runs' differences
-one after the other, and its running sum is the count at each prefix. Where a prefix reads otherwise
-than the run does up to there (composed characters, special strings, contractions), the part after the
-last piece that can't change is cut into pieces anew, and these are counted in the same way.
+one after the other, and its running sum is the count at each prefix. `stored` gives it as a binary column, and `answered` reads
+answers for any limits and places from that column alone.
+
+Where characters compose, a text is cut before each that composes with nothing before it. A prefix is the normal form up to
+the last such place and the little behind it: where that reads on as the whole text does, its count is the whole text's at that
+place, else the columns are continued by these few characters. So every text takes time in proportion to its length, but
+for a base letter with a very long row of marks of changing classes, which is normalised anew for each of them.
 
 The file must be a byte-pair model whose pieces hold no white space; others are refused. Special
 strings count one each, as the library's default has it. Null is the empty text and has no tokens;
@@ -33,7 +37,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, pairwise
 from operator import sub
 
@@ -41,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from lattica.llm.common import raw, ship
 
@@ -51,6 +56,8 @@ REMEMBERED = 400_000
 SHORT = 64
 #: Code points that the pre-tokenizer looks ahead, and one more.
 AHEAD = 4
+#: Code points of a part of a text between places where nothing composes, beyond which marks in a row are cut by themselves.
+LONG_PART = 8
 
 _SIGNS = ".,;:!?"
 _WORD = re.compile(rf"([A-Za-z]+)([{_SIGNS}]?)\Z")
@@ -103,6 +110,7 @@ class Merges:
             self.begins[text] = self.begins.get(text, 0) | flag
             for k in range(1, len(text)):
                 self.begins.setdefault(text[:k], 0)
+        self.longest = max(map(len, self.begins), default=1)
         self.edges = Remembered(self._edges)
         #: by token, whether another one may follow it
         self.goes: dict[str, dict[str, bool]] = {}
@@ -157,24 +165,38 @@ class Merges:
 
     def table(self, piece: str) -> list[int]:
         """Tokens of piece[:i] as a whole word, for every i."""
-        size, (had, count, last, end) = len(piece), self.held
+        return self.columns(piece)[2]
+
+    def columns(self, piece: str) -> tuple[list[int], list[str], list[int]]:
+        """For every i: tokens of piece[:i] with more to come, the last of them, and tokens of piece[:i] as a whole word."""
+        had, count, last, end = self.held
         same = 0
         for x, y in zip(piece, had, strict=False):
             if x != y:
                 break
             same += 1
-        rest = size - same
+        rest = len(piece) - same
         count, last, end = count[: same + 1] + [0] * rest, last[: same + 1] + [""] * rest, end[: same + 1] + [0] * rest
-        begins, goes, suffix = self.begins, self.goes, self.suffix
-        for k in range(size):
+        if rest:
+            self._fill(piece, count, last, end, same, True)
+        if not all(end[1:]):
+            raise ValueError(f"no token of the vocabulary ends {piece[:50]!r} or a beginning of it")
+        self.held = (piece, count, last, end)
+        return count, last, end
+
+    def _fill(self, piece: str, count: list[int], last: list[str], end: list[int], same: int, whole: bool) -> None:
+        """The columns behind place `same`, up to which they are known; whole: place 0 is the piece's beginning."""
+        begins, goes, suffix, size = self.begins, self.goes, self.suffix, len(piece)
+        for k in range(max(0, same + 1 - self.longest), size):
             if k < same:
-                if piece[k : same + 1] not in begins or not rest:
+                if piece[k : same + 1] not in begins:
                     continue
                 i = same
             else:
                 i = k
+            opens = whole and not k
             before, n = last[k], count[k] + 1
-            if not before and k:
+            if not before and not opens:
                 raise ValueError(f"no token of the vocabulary ends {piece[:k]!r}")
             after = goes.get(before) or {}
             while i < size:
@@ -184,22 +206,28 @@ class Merges:
                 if flags is None:
                     break
                 if flags & 1 and not last[i]:
-                    may = True if not k else after.get(part)
+                    may = True if opens else after.get(part)
                     if may is None:
                         may = self._follows(before, part)
                     if may:
                         last[i], count[i] = part, n
                 if flags & 2 and not end[i]:
-                    whole = part + suffix
-                    may = True if not k else after.get(whole)
+                    text = part + suffix
+                    may = True if opens else after.get(text)
                     if may is None:
-                        may = self._follows(before, whole)
+                        may = self._follows(before, text)
                     if may:
                         end[i] = n
-        if not all(end[1:]):
-            raise ValueError(f"no token of the vocabulary ends {piece!r} or a beginning of it")
-        self.held = (piece, count, last, end)
-        return end
+
+    def extended(self, piece: str, count: list[int], last: list[str], at: int, more: str) -> int:
+        """Tokens of piece[:at] + more as a whole word, out of the piece's columns: only tokens that end in `more` are looked for."""
+        low = max(0, at - self.longest)
+        text, same, rest = piece[low:at] + more, at - low, len(more)
+        own, ends = count[low : at + 1] + [0] * rest, [0] * (same + 1 + rest)
+        self._fill(text, own, last[low : at + 1] + [""] * rest, ends, same, not low)
+        if not ends[-1]:
+            raise ValueError(f"no token of the vocabulary ends {text[-50:]!r}")
+        return ends[-1]
 
 
 class RunCounter:
@@ -218,13 +246,16 @@ class RunCounter:
         if [p for p, _ in self._cut("a b c.  d")] != [p for x in ("a", "b", "c.", "d") for p, _ in self._cut(x)]:
             raise ValueError("pieces of this file hold white space")
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.openings = tuple({s[0] for s in special})
         letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
         self.plain = self._normal(letters) == letters.lower() and all([p for p, _ in self._cut(letters.lower() + c)] == [letters.lower(), c] and self._normal(c) == c for c in _SIGNS) and not any(s[0] in _SIGNS or s[0].isalpha() for s in special)
         self.simple = Remembered(self._simple)
         self.mapped = Remembered(self._map)
         self.pieces = Remembered(self._piece)
         self.runs = Remembered(self._run)
+        self.normals = Remembered(self._normal)
+        self.wholes = Remembered(self._whole, longest=2 * SHORT)
+        if any(x != y and (x in y or any(x.endswith(y[:k]) for k in range(1, min(len(x), len(y))))) for x in special for y in special):
+            raise ValueError("special strings that share signs aren't counted")
 
     def _cut(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         return self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.pre_tokenizer else [(text, (0, len(text)))]
@@ -248,7 +279,7 @@ class RunCounter:
         parts = [self.mapped[c] for c in piece]
         end = self.merges.table("".join(parts))
         counts = end[1:] if len(end) == len(piece) + 1 else [end[k] for k in accumulate(map(len, parts))]
-        if len(piece) > 1 and not piece.isalpha() and any(c.isalnum() for c in piece):  # a contraction, whose beginning reads otherwise
+        if 1 < len(piece) <= AHEAD and not piece.isalpha() and any(c.isalnum() for c in piece):  # a contraction, whose beginning reads otherwise
             counts = [n if k == len(piece) or len(cut := self._cut(piece[:k])) == 1 else sum(self.merges.table(p)[-1] for p, _ in cut) for k, n in enumerate(counts, 1)]
         return bytes(counts) if max(counts, default=0) < 256 else tuple(counts)
 
@@ -272,32 +303,81 @@ class RunCounter:
             before = out[-1]
         return out + [before] * (len(text) - len(out))
 
-    def total(self, text: str) -> int:
-        """Tokens of a text without white space at which it could be cut."""
-        n, at = 0, 0
-        for m in self.special.finditer(text) if self.special else ():
-            n += self._whole(self._normal(text[at : m.start()])) + 1
-            at = m.end()
-        return n + self._whole(self._normal(text[at:]))
-
     def _uneven(self, run: str) -> list[int]:
-        """As _counts, where characters compose or special strings occur: each prefix from the last place that it leaves as it is."""
-        stable = [0]  # places where a piece of simple characters begins whatever follows AHEAD characters later
-        kinds = ["?" if self.simple[c] is None else "a" if c.isalpha() else "0" if c.isnumeric() else "." for c in run]
-        inside = np.zeros(len(run) + 1, bool)
+        """As _counts, where characters compose or special strings occur: between special strings by _composed, and 1 for each of them."""
+        out, base, at = [], 0, 0
         for m in self.special.finditer(run) if self.special else ():
-            inside[m.start() : m.end()] = True
-        for k in range(1, len(run)):
-            if kinds[k - 1] == "a" and kinds[k] == "." and run[k] not in self.openings and not inside[k] and not inside[k - 1]:
-                stable.append(k)
-        base, place, out = 0, 0, []
-        for n in range(1, len(run) + 1):
-            while place + 1 < len(stable) and stable[place + 1] <= n - AHEAD:
-                base += self.total(run[stable[place] : stable[place + 1]])
-                place += 1
-            out.append(base + self.total(run[stable[place] : n]))
+            counts = self._composed(run[at : m.end() - 1])  # a special string's beginning is ordinary text
+            out += [base + n for n in counts]
+            base += (counts[m.start() - at - 1] if m.start() > at else 0) + 1
+            out.append(base)
+            at = m.end()
+        return out + [base + n for n in self._composed(run[at:])]
+
+    def _places(self, text: str) -> list[int]:
+        """Where a text can be cut so that its parts' normal forms follow each other: before what composes with nothing before it.
+
+        Of many marks in a row, all of one class, those after one that stays as it is stay, too, and are cut, so that a part is short.
+        """
+        places = [k for k, c in enumerate(text) if not k or not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff")]
+        more = []
+        for a, b in pairwise([*places, len(text)]):
+            if b - a <= LONG_PART:
+                continue
+            kind, k = unicodedata.combining(text[b - 1]), b
+            while kind and k > a + 1 and unicodedata.combining(text[k - 1]) == kind and self._normal(text[k - 1]) == text[k - 1]:
+                k -= 1
+            if b - k > 3 and self._normal(text[a : k + 2])[-1:] == text[k + 1] and self._normal(text[a : k + 3])[-2:] == text[k + 1 : k + 3]:
+                more += range(k + 2, b)
+        return sorted([*places, *more]) if more else places
+
+    def _composed(self, text: str) -> list[int]:
+        """Counts at each code point of ordinary text: a prefix is the normal form up to the last place before it, and the little behind that."""
+        if not text:
+            return []
+        places = [*self._places(text), len(text)]
+        parts = [self.normals[text[a:b]] for a, b in pairwise(places)]
+        norm = "".join(parts)
+        if re.sub(" +", " ", norm) != self._normal(text):
+            raise ValueError(f"a text whose parts compose: {text[:50]!r}")
+        cuts = [span for _, span in self._cut(norm)]
+        at, before = [0], 0
+        for a, b in cuts:
+            at += [before] * (a + 1 - len(at))
+            at += [before + n for n in self.pieces[norm[a:b]]]
+            before = at[-1]
+        at += [before] * (len(norm) + 1 - len(at))
+        ends, wide, out, x = [b for _, b in cuts], {}, [], 0
+        for (a, b), part in zip(pairwise(places), parts, strict=True):
+            for n in range(a + 1, b):
+                tail = self.normals[text[a:n]]
+                out.append(at[x + len(tail)] if part.startswith(tail) else self._spliced(norm, x, tail, cuts, ends, at, wide))
+            x += len(part)
+            out.append(at[x])
         return out
 
+    def _spliced(self, norm: str, x: int, tail: str, cuts: list[tuple[int, int]], ends: list[int], at: list[int], wide: dict) -> int:
+        """Tokens of norm[:x] + tail: pieces that end AHEAD before x stay, a long one that doesn't is continued from its columns."""
+        k = bisect_right(ends, x - AHEAD)
+        start = min(cuts[k][0], x) if k < len(cuts) else x
+        if x - start <= SHORT:
+            return at[start] + self.wholes[norm[start:x] + tail]
+        near = x - SHORT // 2
+        while near > start and norm[near] == "'":  # else it might begin a contraction
+            near -= 1
+        context = norm[near:x] + tail
+        (_, (_, stop)), *rest = self._cut(context)
+        behind = sum(self.pieces[context[a:b]][-1] for _, (a, b) in rest)
+        if near + stop <= x:
+            return at[near + stop] + behind
+        if k not in wide:
+            maps = [self.mapped[c] for c in norm[start : cuts[k][1]]]
+            piece = "".join(maps)
+            count, last, _ = self.merges.columns(piece)
+            wide[k] = piece, count, last, [0, *accumulate(map(len, maps))]
+        piece, count, last, offset = wide[k]
+        return at[start] + self.merges.extended(piece, count, last, offset[x - start], "".join(self.mapped[c] for c in context[x - near : stop])) + behind
+
     def _run(self, run: str) -> bytes:
         counts = self._counts(run)
         return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
@@ -331,9 +411,18 @@ class PrefixTable:
 
     def __init__(self, text: str | list[str], counter: RunCounter) -> None:
         """Of a text, or of the runs that it was split into."""
-        found = counter.differences(_split(text) if isinstance(text, str) else text)
-        self.counts = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(found, dtype=np.int64, out=self.counts[1:])
+        self._sum(counter.differences(_split(text) if isinstance(text, str) else text))
+
+    def _sum(self, differences: np.ndarray) -> None:
+        self.counts = np.zeros(len(differences) + 1, np.int64)
+        np.cumsum(differences, dtype=np.int64, out=self.counts[1:])
+
+    @classmethod
+    def of_store(cls, store: bytes) -> PrefixTable:
+        """Of a text's stored differences."""
+        out = cls.__new__(cls)
+        out._sum(np.frombuffer(store, "<i2"))
+        return out
 
     def at(self, chars: int) -> int:
         """Tokens of the first `chars` code points."""
@@ -377,3 +466,41 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int32())], schema=arrow)
 
     return docs.select(*(docs[f"`{c}`"] for c in keep), docs[f"`{text}`"]).mapInArrow(counted, schema)
+
+
+def stored(docs: DataFrame, tokenizer_path: str, text: str = "text", store: str = "prefix_counts") -> DataFrame:
+    """Adds the store: a binary column of two bytes a code point, what each adds to the count (little-endian, signed). `text` and the other columns stay."""
+    ship(docs.sparkSession)
+    keep = [c for c in docs.columns if c.lower() != store.lower()]
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(store, BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(tokenizer_path)
+        for b in batches:
+            runs = [_split(x.decode()) for x in raw(b.column(text))]
+            counter.prepare(runs)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([counter.differences(r).astype("<i2").tobytes() for r in runs], pa.binary())], schema=arrow)
+
+    return docs.select(*(docs[f"`{c}`"] for c in keep)).mapInArrow(counted, schema)
+
+
+def answered(counts: DataFrame, limits: Sequence[int] = (), places: Sequence[int] = (), spans: Sequence[tuple[int, int]] = (), store: str = "prefix_counts") -> DataFrame:
+    """Answers read from the store alone, for any limits and places; neither text nor tokenizer is needed.
+
+    Adds n_tokens; fit_<limit>, the code points of the longest prefix of at most so many tokens; at_<place>, the tokens of so many
+    code points; between_<start>_<end>, the tokens that the code points from start to end add. A null store is that of an empty text.
+    """
+    ship(counts.sparkSession)
+    new = ["n_tokens", *(f"fit_{n}" for n in limits), *(f"at_{n}" for n in places), *(f"between_{a}_{b}" for a, b in spans)]
+    keep = [c for c in counts.columns if c.lower() not in new]
+    schema = StructType([counts.schema[c] for c in keep] + [StructField(c, LongType()) for c in new])
+    arrow = to_arrow_schema(schema)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tables = [PrefixTable.of_store(x or b"") for x in b.column(store).to_pylist()]
+            columns = [[int(t.counts[-1]) for t in tables], *([t.fit(n) for t in tables] for n in limits), *([t.at(n) for t in tables] for n in places), *([t.between(*s) for t in tables] for s in spans)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in columns)], schema=arrow)
+
+    return counts.select(*(counts[f"`{c}`"] for c in dict.fromkeys([*keep, store]))).mapInArrow(answer, schema)

@@ -49,13 +49,15 @@ def folder(spark, tmp_path_factory):
     put([(k, u, "<p>") for k, u in enumerate(urls)] + [(0, urls[0], "<p>"), (None, urls[1], None)], "page_id bigint, url string, html string", "pages")
     talk = [(c, t, ("user", "assistant")[t % 2], r.choice(["hello", "a<|im_end|>b", "\\n \\ <|", "", None, "line\nline"])) for c in range(6) for t in range(r.randint(1, 6))]
     put(talk + [(9, 0, None, "x"), (9, None, "sys\ntem", "y")], "conv_id bigint, turn bigint, role string, text string", "conversations")
+    vector = lambda k: [r.gauss(0, 0.3) for _ in range(16)]
+    put([(k * 3, None if k == 4 else [None, *vector(k)[1:]] if k == 5 else [float("nan"), *vector(k)[1:]] if k == 6 else vector(k), k % 5 or None) for k in range(80)], "vec_id bigint, embedding array<float>, label int", "embeddings")
     return str(at)
 
 
 @pytest.fixture(scope="session")
 def oracle(folder):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "labels", "pages", "conversations"):
+    for name in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
 
     def run(sql: str) -> list[tuple]:

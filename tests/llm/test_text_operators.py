@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -99,6 +100,44 @@ def test_prefixes_of_random_texts_have_the_library_counts():
         assert [table.at(k) for k in range(len(t) + 1)] == [len(counter.tokenizer.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], t
 
 
+UNSPACED = {"thai": "กินข้าวแล้วหรือยังครับ", "devanagari": "क़िताबेंहिन्दीमें", "marks": "e\u0301a\u0308x\u0323\u0307", "kana": "日本か\u3099語", "one base": "\u0301"}
+
+
+@pytest.mark.parametrize("name", sorted(UNSPACED))
+def test_unspaced_texts_have_the_library_counts_in_linear_time(name):
+    counter = C.RunCounter(public_tokenizers.path("word_bpe_49k.json"))
+    text = lambda n: "a" + (UNSPACED[name] * (n // len(UNSPACED[name]) + 1))[:n]
+    t = text(700)
+    table = C.PrefixTable(t, counter)
+    assert [table.at(k) for k in range(len(t) + 1)] == [len(x.ids) for x in counter.tokenizer.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+    t = text(100_000)
+    began = time.process_time()
+    table = C.PrefixTable(t, counter)
+    assert time.process_time() - began < 10  # about half a second; by the square it would be minutes
+    assert table.at(len(t)) == len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+def test_one_mark_behind_a_long_piece_and_special_strings_within():
+    counter = C.RunCounter(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ("日" * 300 + "か\u3099", "ab" * 150 + "e\u0301'll" + "x" * 90 + "\u0301<|endoftext|>é<|endoftext", "'" * 120 + "e\u0301s", "12" * 80 + "\u0301"):
+        table = C.PrefixTable(t, counter)
+        assert [table.at(k) for k in range(len(t) + 1)] == [len(counter.tokenizer.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], t
+
+
+def test_the_stored_column_answers_any_limit(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k, t, "x", 5) for k, t in enumerate([*TEXTS, None, "one two three " * 20])]
+    kept = C.stored(spark.createDataFrame(rows, "doc_id int, text string, PREFIX_COUNTS string, n_tokens int"), path)
+    assert kept.columns == ["doc_id", "text", "n_tokens", "prefix_counts"]
+    counter = C.RunCounter(path)
+    for r in C.answered(kept.drop("text"), limits=(0, 7, 10_000), places=(3,), spans=((2, 9),)).collect():
+        table = C.PrefixTable(rows[r["doc_id"]][1] or "", counter)
+        assert (r["n_tokens"], r["fit_0"], r["fit_7"], r["fit_10000"], r["at_3"], r["between_2_9"]) == (table.at(1 << 40), table.fit(0), table.fit(7), table.fit(10_000), table.at(3), table.between(2, 9))
+    assert C.answered(C.stored(spark.createDataFrame([], "doc_id int, text string"), path), limits=(3,)).collect() == []
+    assert C.count_tokens(spark.createDataFrame([], "doc_id int, text string"), path).collect() == []
+    assert C.answered(spark.createDataFrame([(None,)], "prefix_counts binary"), places=(2,)).select("n_tokens", "at_2").first() == (0, 0)
+
+
 def test_the_store_answers_without_the_library():
     counter = C.RunCounter(public_tokenizers.path("word_bpe_49k.json"))
     table = C.PrefixTable("one anthlyredhe two " * 50, counter)
