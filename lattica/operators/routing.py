@@ -80,10 +80,18 @@ def _some(expression: Column) -> Column:
     return F.when(expression == "", F.lit('""')).otherwise(expression)
 
 
-def _named(tree: Tree, rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
-    """rows (path, ...) with scope_of: the key of the scope that the name in `column` leads to; rows without one fall away. Names lead through imports and default exports."""
-    led = S.resolve(rows.select("path", F.col(column).alias("name")), known, tree.bound)
-    return rows.join(led.withColumnRenamed("name", column), ["path", column]).withColumn("scope_of", _key("to_path", "to_name")).drop("to_path", "to_name")
+def _leads(tree: Tree, known: DataFrame, *asked: tuple[DataFrame, str]) -> DataFrame:
+    """path, name, scope_of: the keys of the known scopes (path, name) that the names in columns of frames lead to, through imports and default exports; all in one walk."""
+    names = None
+    for df, column in asked:
+        own = df.select("path", F.col(column).alias("name"))
+        names = own if names is None else names.unionByName(own)
+    return cut(S.resolve(names, known, tree.bound).select("path", "name", _key("to_path", "to_name").alias("scope_of")), "scope-names")
+
+
+def _named(led: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """rows (path, ...) with scope_of, the scope that the name in `column` leads to; rows without one fall away."""
+    return rows.join(led.withColumnRenamed("name", column), ["path", column])
 
 
 def _following(tree: Tree, rows: DataFrame, kind: str) -> DataFrame:
@@ -103,12 +111,14 @@ def python_web(tree: Tree) -> Layout:
     calls = lines.where(F.col("s").rlike(put)).withColumn("outer_name", _got(put)).withColumn("how", _got(put, 2)).withColumn("args", _got(put, 3))
     calls = calls.withColumn("inner_name", F.when(F.col("how") == "mount", _got(rf",\s*(?:app\s*=\s*)?({S.DOTTED})", c="args")).otherwise(_got(rf"^(?:router\s*=\s*|blueprint\s*=\s*)?({S.DOTTED})", c="args")))
     calls = calls.withColumn("given", F.when(F.col("how") == "mount", _got(rf"^{_E}", c="args")).otherwise(_got(rf"\b(?:url_)?prefix\s*=\s*{_E}", c="args")))
-    met = _named(tree, calls.select("path", "outer_name", "inner_name", "how", "given"), known, "outer_name").withColumnRenamed("scope_of", "outer")
-    met = _named(tree, met, known, "inner_name").withColumnRenamed("scope_of", "inner")
-    mounts = _shape(met, MOUNTS, outer="outer", inner="inner", path="path", expression=_some(F.col("given")), replaces=(F.col("how") == "register_blueprint") & (F.col("given") != ""))
     deco = rf"^@({S.DOTTED})\.({_VERB}|route|websocket|api_route)\(\s*(?:path\s*=\s*|rule\s*=\s*)?{_E}(.*)\)$"
-    found = _following(tree, lines.where(F.col("s").rlike(deco)).withColumn("name", _got(deco)), "function")
-    found = _named(tree, found.withColumn("verb", F.upper(_got(deco, 2))).withColumn("expression", _got(deco, 3)).withColumn("rest", _got(deco, 4)), known, "name")
+    decorated = lines.where(F.col("s").rlike(deco)).withColumn("name", _got(deco))
+    led = _leads(tree, known, (calls, "outer_name"), (calls, "inner_name"), (decorated, "name"))
+    met = _named(led, calls.select("path", "outer_name", "inner_name", "how", "given"), "outer_name").withColumnRenamed("scope_of", "outer")
+    met = _named(led, met, "inner_name").withColumnRenamed("scope_of", "inner")
+    mounts = _shape(met, MOUNTS, outer="outer", inner="inner", path="path", expression=_some(F.col("given")), replaces=(F.col("how") == "register_blueprint") & (F.col("given") != ""))
+    found = _following(tree, decorated, "function")
+    found = _named(led, found.withColumn("verb", F.upper(_got(deco, 2))).withColumn("expression", _got(deco, 3)).withColumn("rest", _got(deco, 4)), "name")
     listed = F.transform(F.regexp_extract_all("rest", F.lit(r"""["'](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)["']""")), lambda x: x)
     verbs = F.when(~F.col("verb").isin("ROUTE", "API_ROUTE", "WEBSOCKET"), F.array("verb")).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
     found = found.withColumn("one", F.explode(verbs))
@@ -136,18 +146,20 @@ def django(tree: Tree) -> Layout:
     by_file = F.regexp_replace(F.regexp_replace("path", r"^(?:src|lib)/", ""), r"(/__init__)?\.py$", "")
     files = tree.sources.where(S.language(F.col("path")) == "python").select(F.regexp_replace(by_file, "/", ".").alias("module"), F.col("path").alias("to_path"))
     by_module = inside.withColumn("module", text).where("module <> ''").join(files, "module").withColumn("inner", _key("to_path", F.lit("urlpatterns")))
-    by_name = _named(tree, inside.withColumn("name", F.regexp_replace(_got(r"^include\(\s*\(?\s*([\w.]+)$", c="target"), r"\.urls$", "")).where("name <> ''"), known, "name").withColumnRenamed("scope_of", "inner")
-    patterns_of = S.resolve(inside.select("path", F.concat(_got(r"^include\(\s*\(?\s*([\w.]+)$", c="target"), F.lit(".urlpatterns")).alias("name")).where("name <> '.urlpatterns'"), known, tree.bound)
-    by_import = inside.withColumn("name", F.concat(_got(r"^include\(\s*\(?\s*([\w.]+)$", c="target"), F.lit(".urlpatterns"))).join(patterns_of, ["path", "name"]).withColumn("inner", _key("to_path", "to_name"))
+    bare = _got(r"^include\(\s*\(?\s*([\w.]+)$", c="target")
+    # a name is a list, a router's `urls`, or an imported module whose list is meant
+    wanted = inside.where(bare != "").withColumn("name", F.explode(F.array(F.regexp_replace(bare, r"\.urls$", ""), F.concat(bare, F.lit(".urlpatterns")))))
+    register = rf"^({N})\.register\(\s*{_E}\s*,\s*({S.DOTTED})"
+    sets = lines.where(F.col("s").rlike(register)).withColumn("name", _got(register)).withColumn("given", _got(register, 2)).withColumn("handler", _got(register, 3))
+    led = _leads(tree, known, (wanted, "name"), (sets, "name"))
+    by_name = _named(led, wanted, "name").withColumnRenamed("scope_of", "inner")
     columns = ["path", "scope_name", "expression", "inner"]
-    included = by_module.select(*columns).unionByName(by_name.select(*columns)).unionByName(by_import.select(*columns)).distinct()
+    included = by_module.select(*columns).unionByName(by_name.select(*columns)).distinct()
     mounts = _shape(included, MOUNTS, outer=_key("path", "scope_name"), inner="inner", path="path", expression="expression", replaces=F.lit(False))
     views = each.where(~F.col("target").startswith("include(")).withColumn("handler", F.regexp_replace("target", r"\.as_view$", ""))
     plain_routes = _shape(views, ROUTES, scope=_key("path", "scope_name"), framework=F.lit("django"), verb=F.lit("ANY"), path="path", line="line", expression="expression", handler="handler")
-    register = rf"^({N})\.register\(\s*{_E}\s*,\s*({S.DOTTED})"
-    sets = lines.where(F.col("s").rlike(register)).withColumn("name", _got(register)).withColumn("given", _got(register, 2)).withColumn("handler", _got(register, 3))
     verbs = F.explode(F.array(*(F.struct(F.lit(v).alias("verb"), F.lit(tail).alias("tail"), F.lit(action).alias("action")) for v, tail, action in (("GET", "", "list"), ("POST", "", "create"), ("GET", "/{pk}", "retrieve"), ("PUT", "/{pk}", "update"), ("PATCH", "/{pk}", "partial_update"), ("DELETE", "/{pk}", "destroy")))))
-    sets = _named(tree, sets, made.select("path", "name").distinct(), "name").withColumn("v", verbs)
+    sets = _named(led, sets, "name").withColumn("v", verbs)
     expression = F.when(F.col("v.tail") == "", F.col("given")).otherwise(F.concat("given", F.lit(' + "'), "v.tail", F.lit('"')))
     drf = _shape(sets, ROUTES, scope="scope_of", framework=F.lit("drf"), verb=F.col("v.verb"), path="path", line="line", expression=expression, handler=F.concat_ws(".", "handler", "v.action"))
     return Layout(scopes, mounts, plain_routes.unionByName(drf))
@@ -167,19 +179,21 @@ def express(tree: Tree) -> Layout:
     last = F.element_at(F.split("args", r",\s*(?![^(\[{]*[)\]}])"), -1)
     inline = calls.where(last.rlike(rf"^{required}$")).withColumn("module", S._module(S._folded(F.concat(_got(r"^(.*/)?[^/]+$", c="path"), F.regexp_extract(last, required, 1)))))
     named = calls.where(last.rlike(rf"^{S.DOTTED}$")).withColumn("inner_name", last)
-    by_name = _named(tree, named.select("path", "outer_name", "given", "inner_name"), known, "inner_name").withColumnRenamed("scope_of", "inner")
     files = tree.sources.where(S.language(F.col("path")) == "typescript").select(S._module(F.col("path")).alias("module"), F.col("path").alias("its_path"))
-    led = inline.join(files, "module").select(F.col("path").alias("from"), "outer_name", "given", F.col("its_path").alias("path"), F.lit("default").alias("inner_name"))
-    by_file = _named(tree, led, known, "inner_name").withColumnRenamed("scope_of", "inner").drop("path").withColumnRenamed("from", "path")
-    both = _named(tree, by_name.select("path", "outer_name", "given", "inner").unionByName(by_file.select("path", "outer_name", "given", "inner")), known, "outer_name").where("scope_of <> inner")
-    mounts = _shape(both, MOUNTS, outer="scope_of", inner="inner", path="path", expression=_some(F.col("given")), replaces=F.lit(False))
+    of_file = inline.join(files, "module").select(F.col("path").alias("from"), "outer_name", "given", F.col("its_path").alias("path"), F.lit("default").alias("inner_name"))
     call = rf"^({N})\.({_VERB}|all|del)\(\s*{_E}\s*,\s*(.*)$"
     plain = lines.where(F.col("s").rlike(call)).withColumn("name", _got(call)).withColumn("verb", _got(call, 2)).withColumn("expression", _got(call, 3)).withColumn("handler", _got(rf"({S.DOTTED})\s*\)\s*;?$", c="s"))
     chained = rf"^({N})\.route\(\s*{_E}\s*\)((?:\s*\.(?:{_VERB}|all)\(.*)+)$"
     several = lines.where(F.col("s").rlike(chained)).withColumn("name", _got(chained)).withColumn("expression", _got(chained, 2)).withColumn("one", F.explode(F.regexp_extract_all(_got(chained, 3), F.lit(rf"(\.(?:{_VERB}|all)\([^()]*)"), F.lit(1))))
     several = several.withColumn("verb", _got(r"^\.(\w+)", c="one")).withColumn("handler", _got(rf"({S.DOTTED})\s*$", c="one"))
     columns = ["path", "line", "name", "verb", "expression", "handler"]
-    found = _named(tree, plain.select(*columns).unionByName(several.select(*columns)), known, "name")
+    direct = plain.select(*columns).unionByName(several.select(*columns))
+    led = _leads(tree, known, (named, "inner_name"), (of_file, "inner_name"), (calls, "outer_name"), (direct, "name"))
+    by_name = _named(led, named, "inner_name").withColumnRenamed("scope_of", "inner")
+    by_file = _named(led, of_file, "inner_name").withColumnRenamed("scope_of", "inner").drop("path").withColumnRenamed("from", "path")
+    both = _named(led, by_name.select("path", "outer_name", "given", "inner").unionByName(by_file.select("path", "outer_name", "given", "inner")), "outer_name").where("scope_of <> inner")
+    mounts = _shape(both, MOUNTS, outer="scope_of", inner="inner", path="path", expression=_some(F.col("given")), replaces=F.lit(False))
+    found = _named(led, direct, "name")
     verb = F.when(F.col("verb") == "all", "ANY").when(F.col("verb") == "del", "DELETE").otherwise(F.upper("verb"))
     return Layout(scopes, mounts, _shape(found, ROUTES, scope="scope_of", framework=F.lit("express"), verb=verb, path="path", line="line", expression="expression", handler=F.when(F.col("handler") != "", F.col("handler"))))
 
@@ -198,7 +212,7 @@ def nest(tree: Tree) -> Layout:
     module = _following(tree, lines.where(F.col("s").rlike(r"^@Module\(")), "class").where("qualified is not null")
     held = module.withColumn("name", F.explode(F.split(F.regexp_replace(_got(r"\bcontrollers\s*:\s*\[([^\]]*)\]"), r"\s", ""), ","))).where("name <> ''").select("path", F.col("qualified").alias("module"), "name")
     known = own.select("path", F.col("qualified").alias("name")).distinct()
-    inside = _named(tree, held, known, "name").select(_key("path", "module").alias("module"), F.col("scope_of").alias("inner"), "path")
+    inside = _named(_leads(tree, known, (held, "name")), held, "name").select(_key("path", "module").alias("module"), F.col("scope_of").alias("inner"), "path")
     # the nested objects of RouterModule.register: tokens in order, an object for each opening brace
     token = rf"(\bpath\s*:\s*{_E}|\bmodule\s*:\s*{N}|[{{}}])"
     tokens = lines.where(F.col("s").rlike(r"\bRouterModule\.register\(")).select("path", "line", F.posexplode(F.regexp_extract_all("s", F.lit(token), F.lit(1))).alias("pos", "t"))
@@ -214,7 +228,8 @@ def nest(tree: Tree) -> Layout:
     nested = _shape(objects, SCOPES, scope=at("object"), framework=F.lit("nestjs"), path="path", expression=F.lit('""'), app=F.lit(False))
     down = _shape(objects, MOUNTS, outer=F.when(F.col("parent").isNull(), root).otherwise(at("parent")), inner=at("object"), path="path", expression=_some(F.coalesce("given", F.lit(""))), replaces=F.lit(False))
     modules = module.select("path", F.col("qualified").alias("name")).distinct()
-    placed = _named(tree, objects.where("module is not null").withColumn("scope", at("object")), modules, "module").select("path", "scope", F.col("scope_of").alias("module"))
+    with_module = objects.where("module is not null").withColumn("scope", at("object"))
+    placed = _named(_leads(tree, modules, (with_module, "module")), with_module, "module").select("path", "scope", F.col("scope_of").alias("module"))
     of_modules = placed.select("path", "scope", "module").join(inside.select("module", "inner"), "module")
     put = _shape(of_modules, MOUNTS, outer="scope", inner="inner", path="path", expression=F.lit('""'), replaces=F.lit(False))
     free = controllers.select(F.col("scope").alias("inner"), "path").distinct().join(put.select("inner").distinct(), "inner", "left_anti")
