@@ -143,8 +143,7 @@ def django(tree: Tree) -> Layout:
     each = each.withColumn("expression", F.when(F.col("how") == "path", F.col("given")).otherwise(plain))
     inside = each.where(F.col("target").startswith("include("))
     text = _got(r"""^include\(\s*\(?\s*["']([^"']+)["']""", c="target")
-    by_file = F.regexp_replace(F.regexp_replace("path", r"^(?:src|lib)/", ""), r"(/__init__)?\.py$", "")
-    files = tree.sources.where(S.language(F.col("path")) == "python").select(F.regexp_replace(by_file, "/", ".").alias("module"), F.col("path").alias("to_path"))
+    files = tree.sources.where(S.language(F.col("path")) == "python").select(F.explode(S.python_modules(F.col("path"))).alias("module"), F.col("path").alias("to_path"))
     by_module = inside.withColumn("module", text).where("module <> ''").join(files, "module").withColumn("inner", _key("to_path", F.lit("urlpatterns")))
     bare = _got(r"^include\(\s*\(?\s*([\w.]+)$", c="target")
     # a name is a list, a router's `urls`, or an imported module whose list is meant

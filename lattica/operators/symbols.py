@@ -67,6 +67,12 @@ def _module(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), r"/(__init__|index|mod)$", "")
 
 
+def python_modules(path: Column) -> Column:
+    """The dotted names of a Python file: from the tree's root, and from a source folder at its top."""
+    whole = F.regexp_replace(_module(path), "/", ".")
+    return F.array_distinct(F.array(whole, F.regexp_replace(whole, r"^(?:src|lib)\.", "")))
+
+
 def definitions(sources: DataFrame) -> DataFrame:
     """id, path, lang, kind, name, qualified, owner, start, indent of classes and functions.
 
@@ -135,11 +141,11 @@ def bindings(lines: DataFrame, sources: DataFrame) -> DataFrame:
     Alias `*` passes on all names of the other file. Targets are files of the tree; what is imported from elsewhere has no row.
     """
     files = sources.withColumn("lang", language(F.col("path"))).where("lang is not null")
-    module = F.when(F.col("lang") == "python", F.regexp_replace(F.regexp_replace(_module(F.col("path")), r"^(?:src|lib)/", ""), "/", ".")).otherwise(_module(F.col("path")))
+    module = F.explode(F.when(F.col("lang") == "python", python_modules(F.col("path"))).otherwise(F.array(_module(F.col("path")))))
     package = F.regexp_extract("text", r"(?m)^\s*(?:package|namespace)\s+([\w.\\]+)", 1)
     by_package = files.where(F.col("lang").isin("java", "kotlin", "php")).select(F.col("path").alias("to_path"), F.concat_ws(".", F.when(package != "", F.translate(package, "\\", ".")), F.regexp_extract("path", r"([^/]+)\.\w+$", 1)).alias("key"))
     known = files.where("lang in ('python', 'typescript')").select(F.col("path").alias("to_path"), module.alias("key")).unionByName(by_package).groupBy("key").agg(F.min("to_path").alias("to_path"))
-    here = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^(?:src|lib)/", ""), r"/?[^/]+$", ""), "/", ".")
+    here = F.regexp_replace(F.regexp_replace("path", r"/?[^/]+$", ""), "/", ".")
     got = lambda p, k=1: F.regexp_extract("s", p, k)
     python = lines.where("lang = 'python'")
     from_ = r"^from\s+([\w.]+)\s+import\s+(.+)$"
