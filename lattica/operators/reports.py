@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lattica.model import CONFIDENCE, PROPAGATING
 from lattica.operators.rules import is_auth_guard, public_reason
 from lattica.operators.traverse import forward_closure, group_closures, walkable
+from lattica.storage import cut
 
 
 def access(edges: DataFrame, targets: DataFrame, writers: bool = False) -> DataFrame:
@@ -160,17 +161,26 @@ def no_callers(nodes: DataFrame, edges: DataFrame, targets: DataFrame, min_conf:
     return found.where("callers = 0").select("id", reason.alias("reason"), n.alias("n"))
 
 
-def budgeted(items: DataFrame, group: str, order: Column, size: str, budget: int, most: int = 200) -> DataFrame:
+def budgeted(items: DataFrame, group: str, order: Column, size: str, budget: int) -> DataFrame:
     """Items that fit a budget of tokens: in order, each that still has room is taken, one that hasn't is left out and the next tried.
 
-    A group's `most` first items are looked at: the feature is a short answer.
+    A round takes the items up to the first that has no room; all that are larger than what is then left can never
+    be taken and fall away at once. Each round takes one item of a group at least, so as many rounds as items fit are enough; few are needed.
     """
-    ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= most)
-    lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(size).cast("long").alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    fold = lambda acc, x: F.when(acc["used"] + x["n"] <= budget, F.struct((acc["used"] + x["n"]).alias("used"), F.concat(acc["kept"], F.array(x["_r"])).alias("kept"))).otherwise(acc)
-    kept = lists.select(group, F.explode(F.aggregate("l", start, fold)["kept"]).alias("_r"))
-    return ranked.join(kept, [group, "_r"]).withColumnRenamed("_r", "place")
+    ranked = cut(items.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))), "budget-items")
+    left = ranked.select(group, "place", F.col(size).cast("long").alias("n"), F.lit(0).cast("long").alias("used"))
+    taken = None
+    while True:
+        room = left.where(F.col("used") + F.col("n") <= budget).withColumn("sum", F.col("used") + F.sum("n").over(Window.partitionBy(group).orderBy("place")))
+        # places behind the first one without room wait for the next round
+        full = room.withColumn("stop", F.min(F.when(F.col("sum") > budget, F.col("place"))).over(Window.partitionBy(group)))
+        now = cut(full.select(group, "place", "n", "sum", (F.col("stop").isNull() | (F.col("place") < F.col("stop"))).alias("fits")), "budget-round")
+        fits = now.where("fits").select(group, "place")
+        taken = fits if taken is None else taken.unionByName(fits)
+        used = now.where("fits").groupBy(group).agg(F.max("sum").alias("used"))
+        left = now.where("not fits").select(group, "place", "n").join(used, group)
+        if now.where("not fits").isEmpty():
+            return ranked.join(taken, [group, "place"])
 
 
 def route_clients(edges: DataFrame, limit: int = 3) -> DataFrame:

@@ -155,7 +155,7 @@ def without_callers(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {facts_sql('sources')}, o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, id) AS r FROM sources),
-f(p_brand, r, used, took) AS (SELECT DISTINCT p_brand, 0::BIGINT, 0::BIGINT, false FROM o UNION ALL SELECT o.p_brand, o.r, CASE WHEN f.used + o.tokens <= 900 THEN f.used + o.tokens ELSE f.used END, f.used + o.tokens <= 900 FROM f JOIN o ON o.p_brand = f.p_brand AND o.r = f.r + 1 WHERE o.r <= 200)
+f(p_brand, r, used, took) AS (SELECT DISTINCT p_brand, 0::BIGINT, 0::BIGINT, false FROM o UNION ALL SELECT o.p_brand, o.r, CASE WHEN f.used + o.tokens <= 900 THEN f.used + o.tokens ELSE f.used END, f.used + o.tokens <= 900 FROM f JOIN o ON o.p_brand = f.p_brand AND o.r = f.r + 1)
 SELECT o.p_brand, o.id, o.tokens::BIGINT AS tokens, o.r AS place FROM f JOIN o USING (p_brand, r) WHERE took""")
 def budgeted_sources(spark, sf_dir):
     """Sources of each brand that fit a budget of tokens, best first."""

@@ -52,6 +52,11 @@ def test_redaction_is_keyed(spark):
     assert mark(b"a") == mark(b"a") != mark(b"b")
     assert value(spark, X.redact_url(F.lit("db://u:pw@h/x"), b"a")).startswith("db://u:redacted:hmac:")
     assert value(spark, X.redact_url(F.lit("db://h/x"), b"a")) == "db://h/x"
+    both = value(spark, X.redact_url(F.lit("a://u:x1@h b://v:y2@k c://u:x1@m"), b"a"))
+    assert "x1" not in both and "y2" not in both and both.count("redacted:hmac:") == 3 and both.startswith("a://u:redacted") and both.endswith("@m")
+    for kept in ("db://u:${PW}@h", "db://u:redacted:hmac:0a1b@h", "", "no address"):
+        assert value(spark, X.redact_url(F.lit(kept), b"a")) == kept
+    assert value(spark, X.redact_url(F.lit(None).cast("string"), b"a")) is None
 
 
 @pytest.mark.parametrize("column,want", [
