@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import calls, channels, routing, taint
+from lattica.operators import calls, channels, lints, routing, taint
 from lattica.plans.registry import query
 from lattica.sources.fixture import read
 
@@ -149,3 +149,23 @@ def tainted_requests(spark, sf_dir):
     bad = surface.findings(surface.Facts(requests=found)).select(F.col("node").alias("id"), F.col("file").alias("f_file"), F.col("line").alias("f_line"), "finding").distinct()
     met = found.join(bad, (found["id"] == bad["id"]) & (found["file"] == bad["f_file"]) & (found["line"] == bad["f_line"]), "left")
     return met.select(found["id"], "source", "key", "part", "via", "checked", F.when(F.col("part").isin("url", "host") & ~F.col("checked"), F.col("finding")).alias("finding"))
+
+
+def cached(spark, sf_dir) -> DataFrame:
+    """path, text: a class for each supplier whose methods store values in a cache."""
+    _, _, supplier = _tables(spark, sf_dir)
+    k = F.col("s_suppkey") % 4
+    body = (
+        F.when(k == 0, F.lit("    def load(self, url, size):\n        a = size\n        b = render(url, a)\n        self.cache[url] = b\n"))
+        .when(k == 1, F.lit('    def load(self, url, size):\n        key = f"{url}:{size}"\n        self.cache[key] = render(url, size)\n'))
+        .when(k == 2, F.lit("    def load(self, url):\n        self.cache.set(url, self.paint(url))\n    def paint(self, url):\n        return self.inner(url)\n    def inner(self, url):\n        return url * self.scale\n"))
+        .otherwise(F.lit("    def load(self, url):\n        got = self.client.get(url)\n        self.cache[url] = got + self.theme\n"))
+    )
+    return _file(supplier, _text("src/k", S, ".py"), _text("class K", S, ":\n"), body)
+
+
+@query(f"""SELECT 'function:src/k' || s_suppkey || '.py#K' || s_suppkey || '.load' AS id, ['size', '', 'self.scale', 'self.theme'][(s_suppkey % 4 + 1)::INT] AS missing, CASE s_suppkey % 4 WHEN 2 THEN 'call' ELSE 'value' END AS via
+FROM {PLACES} WHERE s_suppkey % 4 <> 1""")
+def incomplete_cache_keys(spark, sf_dir):
+    """Cached values whose key leaves out a parameter or field that they depend on, through assignments and methods."""
+    return lints.incomplete_cache_keys(cached(spark, sf_dir)).select("id", "missing", "via")
