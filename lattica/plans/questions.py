@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.operators import renames
 from lattica.operators.explore import explore
 from lattica.plans.registry import on_graph, query
 from lattica.plans.traversal import CALLS, PROPAGATES, up, walk_sql
-from lattica.sources.fixture import edges, nodes
+from lattica.sources.fixture import edges, nodes, read
 
 QUESTION = "Where does the code handle small widgets and red plates?"
 
@@ -32,3 +33,34 @@ def explored(spark, sf_dir):
     """An answer to a question in words: best symbols, callers, entries, tables below and shortest ways; sources and texts of paths are left to tests."""
     found = explore(nodes(spark, sf_dir), edges(spark, sf_dir), QUESTION)
     return found.where("section <> 'source'").select("symbol", "section", F.col("place").cast("int").alias("place"), "item", "n")
+
+
+_NAMES = """l AS (SELECT c_custkey AS k, c_mktsegment AS kind, 'Item' || c_custkey || CASE c_custkey % 4 WHEN 3 THEN 'Model' ELSE 'Screen' END AS name FROM customer),
+r AS (SELECT c_custkey AS k, c_mktsegment AS kind, 'item' || c_custkey || '_' || CASE WHEN c_custkey % 4 = 3 THEN 'entity' || (c_custkey % 8) WHEN c_custkey % 50 = 0 THEN 'dialog' ELSE 'page' END AS name FROM customer WHERE c_custkey % 7 <> 0),
+given AS (SELECT l.k AS a, r.k AS b FROM l JOIN r USING (k) WHERE k % 5 = 0),
+said AS (SELECT CASE WHEN a % 4 = 3 THEN 'model' ELSE 'screen' END AS was, CASE WHEN a % 4 = 3 THEN 'entity' || (a % 8) WHEN a % 50 = 0 THEN 'dialog' ELSE 'page' END AS now FROM given),
+counted AS (SELECT was, now, count(*) AS support, sum(count(*)) OVER (PARTITION BY was) AS total FROM said GROUP BY was, now),
+rules AS (SELECT was, now FROM counted WHERE support >= 2 AND support * 3 >= total * 2)"""
+
+
+def _two_sides(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    left = c.select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.concat(F.lit("Item"), text, F.when(k % 4 == 3, "Model").otherwise("Screen")).alias("name"))
+    end = F.when(k % 4 == 3, F.concat(F.lit("entity"), (k % 8).cast("string"))).when(k % 50 == 0, "dialog").otherwise("page")
+    right = c.where("c_custkey % 7 <> 0").select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.concat(F.lit("item"), text, F.lit("_"), end).alias("name"))
+    pairs = left.select(F.col("id").alias("a")).join(right.select(F.col("id").alias("b")), F.col("a") == F.col("b")).where("a % 5 = 0")
+    return pairs, left, right
+
+
+@query(f"""WITH {_NAMES} SELECT a, b, 'given' AS how FROM given
+UNION ALL SELECT l.k, r.k, 'learned' FROM l JOIN r ON r.k = l.k JOIN rules ON ends_with(l.name, upper(was[1]) || was[2:]) AND ends_with(r.name, '_' || now) WHERE l.k NOT IN (SELECT a FROM given)""")
+def learned_renames(spark, sf_dir):
+    """Rename rules learned from known pairs match the rest; what rare pairs say isn't learned."""
+    return renames.matched(*_two_sides(spark, sf_dir))[0]
+
+
+@query(f"WITH {_NAMES} SELECT 'tail' AS at, was, now FROM rules")
+def rename_rules(spark, sf_dir):
+    """The rules themselves, after what they matched was learned from, too."""
+    return renames.matched(*_two_sides(spark, sf_dir))[1].select("at", "was", "now")
