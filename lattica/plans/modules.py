@@ -5,18 +5,27 @@ Names, prefixes and topics lead through imports, re-exports, constants and base
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import calls, channels, lints, routing, taint
 from lattica.plans.registry import query
 from lattica.sources.fixture import read
 
-R, N, S = (F.col(c).cast("string") for c in ("r_regionkey", "n_nationkey", "s_suppkey"))
+@dataclass(frozen=True)
+class Key:
+    """A key column of the tables, within a text."""
+
+    column: str
+
+
+R, N, S = Key("r_regionkey"), Key("n_nationkey"), Key("s_suppkey")
 
 
-def _text(*parts):
-    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+def _text(*parts: str | Key | Column) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else F.col(x.column).cast("string") if isinstance(x, Key) else x for x in parts))
 
 
 def _tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
