@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import calls, channels, lints, routing, taint
+from lattica.operators import calls, channels, lints, routing, taint, variants
 from lattica.plans.registry import query
 from lattica.sources.fixture import read
 
@@ -178,3 +178,32 @@ FROM {PLACES} WHERE s_suppkey % 4 <> 1""")
 def incomplete_cache_keys(spark, sf_dir):
     """Cached values whose key leaves out a parameter or field that they depend on, through assignments and methods."""
     return lints.incomplete_cache_keys(cached(spark, sf_dir)).select("id", "missing", "via")
+
+
+def native(spark, sf_dir) -> DataFrame:
+    """path, text: a C file for each supplier with a function a platform, and script files by platform."""
+    _, _, supplier = _tables(spark, sf_dir)
+    c = _file(supplier, _text("src/s", S, ".c"), "#ifdef _WIN32\n", _text("int load_", S, "(int x)\n{\n  win_", S, "(x);\n  log_it(x);\n}\n#elif defined(__APPLE__)\nint load_", S, "(int x)\n{\n  mac_", S, "(x);\n  log_it(x);\n}\n#else\n#if HAVE_X\nint maybe(int x)\n{\n}\n#endif\n#endif\nint common(int x)\n{\n}\n"))
+    ios = _file(supplier, _text("app/s", S, ".ios.ts"), "export function save(x) {\n", _text("  keychain_", S, "(x)\n}\n"))
+    android = _file(supplier.where("s_suppkey % 2 = 0"), _text("app/s", S, ".android.ts"), "export function save(x) {\n", _text("  keystore_", S, "(x)\n}\n"))
+    return c.unionByName(ios).unionByName(android)
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS s FROM {PLACES})
+SELECT 'function:src/s' || s || '.c#load_' || s AS id, 2 AS start, 'windows' AS targets, '' AS unknown FROM s UNION ALL SELECT 'function:src/s' || s || '.c#load_' || s, 8, 'macos,ios', '' FROM s
+UNION ALL SELECT 'function:src/s' || s || '.c#maybe', 15, 'linux,android,web', 'linux,android,web' FROM s UNION ALL SELECT 'function:src/s' || s || '.c#common', 20, 'windows,linux,android,macos,ios,web', '' FROM s
+UNION ALL SELECT 'function:app/s' || s || '.ios.ts#save', 1, 'ios', '' FROM s UNION ALL SELECT 'function:app/s' || s || '.android.ts#save', 1, 'android', '' FROM s WHERE s % 2 = 0""")
+def platform_tags(spark, sf_dir):
+    """SP4, B42, B43: targets of definitions by preprocessor branches and file names, unknown conditions kept live."""
+    found = variants.placed(native(spark, sf_dir))
+    return found.select("id", "start", F.array_join("targets", ",").alias("targets"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS s FROM {PLACES}), t(target) AS (VALUES ('linux'), ('android'), ('web'), ('windows'), ('macos'), ('ios'))
+SELECT 'function:src/s' || s || '.c#load_' || s AS grp, 'own-calls' AS kind, w || s AS what FROM s, (VALUES ('win_'), ('mac_')) v(w)
+UNION ALL SELECT 'function:src/s' || s || '.c#load_' || s, 'missing-target', 'android' FROM s
+UNION ALL SELECT 'function:app/s' || s || '.ts#save', 'own-calls', w || s FROM s, (VALUES ('keychain_'), ('keystore_')) v(w) WHERE s % 2 = 0
+UNION ALL SELECT 'function:app/s' || s || '.ts#save', 'missing-target', target FROM s, t WHERE s % 2 = 0 AND target IN ('windows', 'macos')""")
+def platform_divergences(spark, sf_dir):
+    """Variants of one symbol that lack a target or call what no other variant calls."""
+    return variants.divergences(native(spark, sf_dir)).select("grp", "kind", "what")
