@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.operators import calls as C
 from lattica.operators import symbols as S
@@ -107,3 +108,55 @@ def incomplete_cache_keys(sources: DataFrame, tree: Tree | None = None) -> DataF
     by_key = stores.select("key", "fn").join(picks, "fn").join(keys.withColumnRenamed("bare", "by"), ["key", "by"]).select("key", "bare").distinct()
     found = missing.join(by_key, ["key", "bare"], "left_anti").join(keys.select("key").distinct(), "key", "left_semi")
     return found.join(stores, "key").select(F.col("fn").alias("id"), F.col("path").alias("file"), "line", "cache", F.regexp_replace("var", "^self_", "self.").alias("missing"), "via").distinct()
+
+
+# Names of fields that guard programmatic writes, and values that lift a guard.
+ECHO_GUARD = r"(?i)^(?:last(?:written|sent|saved|synced|applied|pushed|emitted|published|local)\w*|isupdating(?:from|programmatic|internal|selection|text|value)\w*|is(?:applying|programmatic|syncing|internal|setting|restoring)\w*|(?:suppress|ignorenext|skipnext|mutenext|ignoring|suppressing)\w*)$"
+LIFTED = r"=\s*(?:false|False|nil|None|null|undefined|0)\s*;?$"
+_EARLY = r"\b(?:return|continue|break)\b"
+_FIELD = r"(?:\bself\.|\bthis\.|\$this->)"
+#: Lines between a guard's set and the write that it covers.
+NEAR = 4
+
+
+def _fields(rows: DataFrame, pattern: str, name: str) -> DataFrame:
+    return rows.withColumn(name, F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(pattern), F.lit(1)))))
+
+
+def unguarded_echoes(sources: DataFrame, tree: Tree | None = None) -> DataFrame:
+    """guard, state, id, file, line: asynchronous writes of a class's state that reach its observer without the guard that other writes set.
+
+    A guard is a field that some method checks to leave early (the observer) and that others set close to a write of the
+    state. A write elsewhere is asynchronous where its method is, waits before it, or is a callback. It is covered where on every
+    path to it a caller set the guard before: uncovered are the methods that can be reached from one without callers over calls that no set precedes (what holds on
+    all paths is what no such path breaks).
+    """
+    tree = tree or Tree.of(sources)
+    _, placed = C.sites(tree)
+    body = cut(placed.where(F.col("fn").isNotNull() & F.col("owner").isNotNull() & ~F.col("path").rlike(TEST_PATH)).select("path", "fn", "owner", "line", "s"), "echo-lines")
+    is_guard = lambda c: F.regexp_replace(c, "_", "").rlike(ECHO_GUARD)
+    nxt = F.lead("s").over(Window.partitionBy("fn").orderBy("line"))
+    checks = _fields(body.withColumn("after", nxt).where(F.col("s").rlike(r"\b(?:if|guard|unless|when)\b") & (F.col("s").rlike(_EARLY) | F.col("after").rlike(_EARLY))), rf"{_FIELD}(\w+)", "guard").where(is_guard("guard")).select("path", "owner", "guard", "fn").distinct()
+    written = cut(_fields(body, rf"{_FIELD}(\w+)\s*=(?!=)", "field"), "echo-writes")
+    sets = cut(written.where(is_guard("field") & ~F.col("s").rlike(LIFTED)).select("path", "owner", F.col("field").alias("guard"), "fn", F.col("line").alias("set_line")).join(checks.select("path", "owner", "guard").distinct(), ["path", "owner", "guard"], "left_semi"), "echo-sets")
+    state = written.where(~is_guard("field")).select("path", "owner", F.col("field").alias("state"), "fn", "line")
+    guarded = sets.join(state, ["path", "owner", "fn"]).where(F.abs(F.col("line") - F.col("set_line")) <= NEAR).select("path", "owner", "guard", "state").distinct()
+    # calls among a class's methods, and for each guard the methods that a call without it reaches
+    edges = C.resolved(tree).where(F.col("how").isin("self", "base")).select("src", "dst", "line").distinct()
+    guards = guarded.select("path", "owner", "guard").distinct()
+    methods = tree.defs.where("kind = 'function' and owner is not null").select("path", "owner", "id").join(guards, ["path", "owner"])
+    first = sets.groupBy("guard", "fn").agg(F.min("set_line").alias("set_line"))
+    within = cut(edges.join(methods.select(F.col("id").alias("src"), "guard"), "src").join(first.withColumnRenamed("fn", "src"), ["src", "guard"], "left"), "echo-calls")
+    open_calls = within.where("set_line is null or set_line > line").select("guard", "src", "dst").distinct()
+    reached = cut(methods.select("guard", "id").join(within.select("guard", F.col("dst").alias("id")).distinct(), ["guard", "id"], "left_anti"), "echo-open")
+    fresh = reached
+    for _ in range(S.DEEPEST):
+        fresh = cut(fresh.join(open_calls, (fresh["id"] == open_calls["src"]) & (fresh["guard"] == open_calls["guard"])).select(open_calls["guard"], F.col("dst").alias("id")).distinct().join(reached, ["guard", "id"], "left_anti"), "echo-open")
+        if fresh.isEmpty():
+            break
+        reached = reached.unionByName(fresh)
+    heads = tree.lines.join(tree.defs.where("kind = 'function'").select("path", F.col("start").alias("line"), F.col("id").alias("fn")), ["path", "line"]).select("fn", F.col("s").rlike(r"\basync\b|\bsuspend\b").alias("is_async"))
+    waits = body.where(F.col("s").rlike(r"\bawait\b|\.then\(|\b(?:setTimeout|setInterval|requestAnimationFrame)\(|\b(?:addListener|addEventListener|subscribe|on[A-Z]\w*)\(")).groupBy("fn").agg(F.min("line").alias("waits"))
+    late = state.join(guarded, ["path", "owner", "state"]).join(heads, "fn").join(waits, "fn", "left").where("is_async or waits <= line")
+    others = late.join(sets.select("guard", "fn").distinct(), ["guard", "fn"], "left_anti").join(checks.select("guard", "fn").distinct(), ["guard", "fn"], "left_anti")
+    return others.join(reached.withColumnRenamed("id", "fn"), ["guard", "fn"], "left_semi").select("guard", "state", F.col("fn").alias("id"), F.col("path").alias("file"), "line").distinct()

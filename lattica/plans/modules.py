@@ -207,3 +207,19 @@ UNION ALL SELECT 'function:app/s' || s || '.ts#save', 'missing-target', target F
 def platform_divergences(spark, sf_dir):
     """Variants of one symbol that lack a target or call what no other variant calls."""
     return variants.divergences(native(spark, sf_dir)).select("grp", "kind", "what")
+
+
+def echoing(spark, sf_dir) -> DataFrame:
+    """path, text: an editor for each supplier: an observer with a guard, guarded writes, and asynchronous ones of which some are covered by their callers."""
+    _, _, supplier = _tables(spark, sf_dir)
+    k = F.col("s_suppkey") % 3
+    head = "    def changed(self, x):\n        if self.isApplyingRemote:\n            return\n        self.send(x)\n    def apply(self, x):\n        self.isApplyingRemote = True\n        self.text = x\n        self.isApplyingRemote = False\n"
+    guarded, bare = "        self.isApplyingRemote = True\n        self.late()\n", "        self.late()\n"
+    body = F.when(k == 0, F.lit(head + "    async def late(self):\n        self.text = await self.load()\n")).when(k == 1, F.lit(head + "    async def late(self):\n        self.text = await self.load()\n    def one(self):\n" + guarded)).otherwise(F.lit(head + "    async def late(self):\n        self.text = await self.load()\n    def one(self):\n" + guarded + "    def two(self):\n" + bare))
+    return _file(supplier, _text("src/e", S, ".py"), _text("class Editor", S, ":\n"), body)
+
+
+@query(f"""SELECT 'function:src/e' || s_suppkey || '.py#Editor' || s_suppkey || '.late' AS id, 'isApplyingRemote' AS guard, 'text' AS state, 11 AS line FROM {PLACES} WHERE s_suppkey % 3 <> 1""")
+def unguarded_echoes(spark, sf_dir):
+    """Asynchronous writes that no guard covers on some path to them; one that every caller covers isn't found."""
+    return lints.unguarded_echoes(echoing(spark, sf_dir)).select("id", "guard", "state", "line")

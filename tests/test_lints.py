@@ -32,3 +32,27 @@ def test_missing_parts_of_keys(spark):
 
 def test_an_empty_tree(spark):
     assert L.incomplete_cache_keys(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+ECHO = "\n".join([
+    "class Editor:",
+    "    def changed(self, text):", "        if self.isApplyingRemote:", "            return", "        self.send(text)",
+    "    def apply(self, text):", "        self.isApplyingRemote = True", "        self.text = text", "        self.isApplyingRemote = False",
+    "    async def refresh(self):", "        got = await self.load()", "        self.text = got",  # 12: not covered
+    "    async def covered(self):", "        self.text = await self.load()",  # 14: its only caller sets the guard
+    "    def outer(self):", "        self.isApplyingRemote = True", "        self.middle()",
+    "    def middle(self):", "        self.covered()",
+    "    async def both(self):", "        self.text = await self.load()",  # 21: one caller doesn't set it
+    "    def with_guard(self):", "        self.isApplyingRemote = True", "        self.both()",
+    "    def without(self):", "        self.both()",
+    "    def plain(self):", "        self.text = ''",
+    "    async def other(self):", "        self.title = await self.load()",
+    "    async def load(self):", "        return 1",
+])
+
+
+def test_writes_that_no_guard_covers(spark):
+    df = spark.createDataFrame([("src/e.py", ECHO), ("tests/test_e.py", ECHO)], "path string, text string")
+    got = {(r["guard"], r["state"], r["id"].split("#")[1], r["line"]) for r in L.unguarded_echoes(df).collect()}
+    assert got == {("isApplyingRemote", "text", "Editor.refresh", 12), ("isApplyingRemote", "text", "Editor.both", 21)}, got
+    assert L.unguarded_echoes(df.limit(0)).collect() == []
