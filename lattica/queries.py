@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.plans import access, aggregates, joins, modules, more, projects, questions, registry, reports, scalars, surface, traversal, truths
+from lattica.plans import access, aggregates, indexes, joins, modules, more, projects, questions, registry, reports, scalars, surface, traversal, truths
 
-FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface, access, projects, modules, questions, truths)
+FAMILIES = (traversal, aggregates, joins, scalars, reports, more, surface, access, projects, modules, questions, indexes, truths)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
