@@ -172,13 +172,13 @@ def tainted(sources: DataFrame, tree: Tree | None = None) -> DataFrame:
     combine = F.when(F.col("held") == "url", F.col("part")).when(F.col("part") == "url", F.col("held")).otherwise(F.col("part"))
     direct = uses.where("source is not null")
     columns = ["fn", "line", "what", "name", "key", "source", "input_key", "part", "via", "caller", "names"]
-    none = F.lit(None).cast("string")
-    state = direct.select("fn", "line", "what", "name", "key", "source", "input_key", "part", F.lit("direct").alias("via"), none.alias("caller"), F.array().cast("array<struct<var:string,since:int>>").alias("names"))
-    heads = filled.select("fn", "line", F.lit("assign").alias("what"), "name", F.xxhash64("fn", "name").alias("key"), "source", "input_key", F.lit("url").alias("part"), F.lit("direct").alias("via"), none.alias("caller"), F.array().cast("array<struct<var:string,since:int>>").alias("names"))
+    none = F.lit("")  # no key and no caller: never null here, so that states can be compared
+    state = direct.select("fn", "line", "what", "name", "key", "source", F.coalesce("input_key", F.lit("")).alias("input_key"), "part", F.lit("direct").alias("via"), none.alias("caller"), F.array().cast("array<struct<var:string,since:int>>").alias("names"))
+    heads = filled.select("fn", "line", F.lit("assign").alias("what"), "name", F.xxhash64("fn", "name").alias("key"), "source", F.coalesce("input_key", F.lit("")).alias("input_key"), F.lit("url").alias("part"), F.lit("direct").alias("via"), none.alias("caller"), F.array().cast("array<struct<var:string,since:int>>").alias("names"))
     state = cut(state.unionByName(heads), "tainted")
     edges = cut(C.resolved(tree).select(F.col("src").alias("fn"), "line", F.col("dst").alias("callee"), F.regexp_extract("dst", r"([^.#]+)$", 1).alias("last")), "taint-calls")
     done = seen = state
-    identity = ["fn", "line", "what", "name", "key", "source", "part", "via"]
+    identity = ["fn", "line", "what", "name", "key", "source", "input_key", "part", "via", "caller"]
     for _ in range(S.DEEPEST):
         held = state.where("what = 'assign'").select("fn", F.col("name").alias("var"), F.col("line").alias("def_line"), "source", "input_key", F.col("part").alias("held"), "via", "caller", "names")
         onward = chains.join(held, ["fn", "var", "def_line"]).select("fn", "line", "what", "name", "key", "source", "input_key", combine.alias("part"), "via", "caller", F.array_append("names", F.struct("var", F.col("def_line").alias("since"))).alias("names"))
@@ -186,7 +186,7 @@ def tainted(sources: DataFrame, tree: Tree | None = None) -> DataFrame:
         at = passed.join(edges, ["fn", "line", "last"]).select(F.col("fn").alias("from"), "callee", "which", "source", "input_key", F.col("part").alias("held"))
         into = at.join(params.select(F.col("fn").alias("callee"), F.col("name").alias("param"), "pos", F.col("line").alias("head")), "callee").where("which = param or which = cast(pos as string)")
         helper = into.select(F.col("callee").alias("fn"), F.col("head").alias("line"), F.lit("assign").alias("what"), F.col("param").alias("name"), F.xxhash64("callee", "param").alias("key"), "source", "input_key", F.col("held").alias("part"), F.lit("helper").alias("via"), F.col("from").alias("caller"), F.array().cast("array<struct<var:string,since:int>>").alias("names"))
-        fresh = onward.select(*columns).unionByName(helper.select(*columns)).groupBy(*identity).agg(F.min_by("input_key", F.size("names")).alias("input_key"), F.min("caller").alias("caller"), F.min_by("names", F.size("names")).alias("names")).select(*columns)
+        fresh = onward.select(*columns).unionByName(helper.select(*columns)).groupBy(*identity).agg(F.min_by("names", F.size("names")).alias("names")).select(*columns)
         state = cut(fresh.join(seen.select(*identity), identity, "left_anti"), "tainted")
         if state.isEmpty():
             break
@@ -198,4 +198,4 @@ def tainted(sources: DataFrame, tree: Tree | None = None) -> DataFrame:
     checked = on_chain.join(guards, ["fn", "var"]).where("guard > since and guard <= line").select("fn", "line", "key", F.lit(True).alias("is_checked")).distinct()
     found = sinks.join(checked, ["fn", "line", "key"], "left")
     path = F.regexp_extract("fn", r"^\w+:(.*)#", 1)
-    return found.select(F.col("fn").alias("id"), F.col("name").alias("kind"), "source", F.col("input_key").alias("key"), "part", "via", "caller", F.coalesce("is_checked", F.lit(False)).alias("checked"), path.alias("file"), "line").distinct()
+    return found.select(F.col("fn").alias("id"), F.col("name").alias("kind"), "source", F.nullif("input_key", F.lit("")).alias("key"), "part", "via", F.nullif("caller", F.lit("")).alias("caller"), F.coalesce("is_checked", F.lit(False)).alias("checked"), path.alias("file"), "line").distinct()
