@@ -194,8 +194,9 @@ def tainted(sources: DataFrame, tree: Tree | None = None) -> DataFrame:
     sinks = done.where("what = 'sink'")
     # comparisons that mention a name of the chain after it was set and before the request
     guards = placed.where(F.col("fn").isNotNull() & F.col("s").rlike(GUARD) & F.col("s").rlike(r"\b(?:if|elif|assert|unless|while)\b|\?|&&|\|\|")).select("fn", F.col("line").alias("guard"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("s", r"""["'][^"']*["']""", ""), F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))).alias("var"))
-    on_chain = sinks.select("fn", "line", "key", F.explode("names").alias("n")).select("fn", "line", "key", "n.var", "n.since").distinct()
-    checked = on_chain.join(guards, ["fn", "var"]).where("guard > since and guard <= line").select("fn", "line", "key", F.lit(True).alias("is_checked")).distinct()
-    found = sinks.join(checked, ["fn", "line", "key"], "left")
+    own = ["fn", "line", "key", "source", "input_key", "part", "via", "caller"]
+    on_chain = sinks.select(*own, F.explode("names").alias("n")).select(*own, "n.var", "n.since").distinct()
+    checked = on_chain.join(guards, ["fn", "var"]).where("guard > since and guard <= line").select(*own, F.lit(True).alias("is_checked")).distinct()
+    found = sinks.join(checked, own, "left")
     path = F.regexp_extract("fn", r"^\w+:(.*)#", 1)
     return found.select(F.col("fn").alias("id"), F.col("name").alias("kind"), "source", F.nullif("input_key", F.lit("")).alias("key"), "part", "via", F.nullif("caller", F.lit("")).alias("caller"), F.coalesce("is_checked", F.lit(False)).alias("checked"), path.alias("file"), "line").distinct()
