@@ -27,3 +27,11 @@ def test_touched_spans_without_pairs(spark):
     changes = n.select(F.lit("f").alias("file"), F.lit(5).alias("lo"), F.lit(9).alias("hi"))
     spans = n.select("id", F.lit("f").alias("file"), F.when(F.col("id") % 3 == 0, 9).otherwise(10).alias("start"), F.lit(20).alias("end"))
     assert in_time(spark, lambda: J.touched(changes, spans, ["file"]).count()) == MANY // 3
+
+
+def test_innermost_without_pairs(spark):
+    n = spark.range(MANY)
+    changes = n.select(F.col("id").alias("item"), F.lit("f").alias("file"), F.lit(5).alias("lo"), F.when(F.col("id") == 0, 1).otherwise(9).alias("hi"))
+    spans = n.select("id", F.lit("f").alias("file"), F.when(F.col("id") % 3 == 0, 9).otherwise(8).alias("start"), F.lit(20).alias("end"))
+    found = in_time(spark, lambda: J.innermost_each(changes, spans.where("id > 3"), ["item"], ["file"]).groupBy("id", "start").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert [tuple(r) for r in found] == [(6, 9, MANY - 1)]
