@@ -46,3 +46,18 @@ def test_entries_of_equal_the_tags(spark):
     asked = lambda df: sorted(tuple(x) for x in df.join(wanted.withColumnRenamed("id", "node_id").distinct(), "node_id", "left_semi").select("node_id", "entry_kind", "entry_count", "sample_entry").collect())
     got = asked(G.entries_of(edges, nodes, wanted))
     assert got == asked(G.tag_entries(edges, nodes)) and len(got) > 3
+
+
+def test_round_trips_of_alike_sites(spark):
+    n = spark.range(MANY)
+    writes = n.select(F.lit("s").alias("state"), F.lit("a").alias("file"), F.lit(5).alias("line"), F.when(F.col("id") % 2 == 0, 7).otherwise(9).alias("end_line"), F.lit("clamp").alias("lossy"))
+    reads = n.select(F.lit("s").alias("state"), F.lit("a").alias("file"), (F.col("id") % 3 + 6).cast("int").alias("line"), F.lit("slider").alias("seeds"))
+    found = in_time(spark, lambda: R.round_trips(writes, reads).collect())
+    assert [tuple(r) for r in found] == [("s", "a:5", "clamp", "a:8", "slider")]  # apart from the shorter of the two writes
+
+
+def test_round_trips_of_places_that_read_alike(spark):
+    writes = spark.createDataFrame([("s", "a:5", None, None, "clamp"), ("s", "a", 5, 9, "clamp")], "state string, file string, line int, end_line int, lossy string")
+    reads = spark.createDataFrame([("s", "a", 7, "slider"), ("s", "b", None, "field")], "state string, file string, line int, seeds string")
+    found = sorted(tuple(r) for r in R.round_trips(writes, reads).collect())
+    assert found == [("s", "a:5", "clamp", "a:7", "slider"), ("s", "a:5", "clamp", "b", "field")]
