@@ -61,3 +61,15 @@ def test_round_trips_of_places_that_read_alike(spark):
     reads = spark.createDataFrame([("s", "a", 7, "slider"), ("s", "b", None, "field")], "state string, file string, line int, seeds string")
     found = sorted(tuple(r) for r in R.round_trips(writes, reads).collect())
     assert found == [("s", "a:5", "clamp", "a:7", "slider"), ("s", "a:5", "clamp", "b", "field")]
+
+
+def test_forbidden_walks_from_the_fewer_ends(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}", "CALLS", 3) for i in range(6)], "src string, dst string, kind string, conf_rank int")
+    groups = []
+    walk = R.group_closures
+    monkeypatch.setattr(R, "group_closures", lambda e, t, **k: groups.append(t.select("grp").distinct().count()) or walk(e, t, **k))
+    for flip in (False, True):
+        rows = [(f"r{i}", "path", *((f"f{i}", "f4") if not flip else ("f4", f"f{i}")), None) for i in range(7)]
+        got = {r["rule"]: r["present"] for r in R.forbidden(edges, spark.createDataFrame(rows, "rule string, type string, src string, dst string, edge_kind string")).collect()}
+        assert got == {f"r{i}": i >= 4 if flip else i <= 4 for i in range(7)}
+    assert groups == [1, 1]
