@@ -73,3 +73,19 @@ def test_forbidden_walks_from_the_fewer_ends(spark, monkeypatch):
         got = {r["rule"]: r["present"] for r in R.forbidden(edges, spark.createDataFrame(rows, "rule string, type string, src string, dst string, edge_kind string")).collect()}
         assert got == {f"r{i}": i >= 4 if flip else i <= 4 for i in range(7)}
     assert groups == [1, 1]
+
+
+def test_suffixes_meet_by_equal_segments(spark):
+    n = spark.range(MANY)
+    calls = n.select("id", F.concat(F.lit("/orders/x"), "id").alias("name"))
+    routes = n.select("id", F.concat(F.lit("/api/v2/orders/x"), "id").alias("name"))
+    assert in_time(spark, lambda: rules.suffix_match(calls, routes).where("sender = receiver").count()) == MANY
+
+
+def test_suffixes_with_parameters_on_either_side(spark):
+    names = ["/orders/7", "/orders/{id}", "/orders/v{n}", "/orders/v3", "/{x}/7", "/{x}/{y}", "/orders/7/lines", "/items/7"]
+    calls = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    routes = spark.createDataFrame([(i, f"/api{x}") for i, x in enumerate(names)], "id int, name string")
+    m = rules.match_path(F.col("s"), F.col("t"))
+    every = calls.select(F.col("id").alias("a"), F.col("name").alias("s")).crossJoin(calls.select(F.col("id").alias("b"), F.col("name").alias("t"))).where(m["ok"] & (m["lit"] > 0) & (F.size(rules.segments(F.col("s"))) == F.size(rules.segments(F.col("t")))))
+    assert {tuple(r) for r in rules.suffix_match(calls, routes).collect()} == {(r["a"], r["b"]) for r in every.collect()}
