@@ -89,3 +89,11 @@ def test_suffixes_with_parameters_on_either_side(spark):
     m = rules.match_path(F.col("s"), F.col("t"))
     every = calls.select(F.col("id").alias("a"), F.col("name").alias("s")).crossJoin(calls.select(F.col("id").alias("b"), F.col("name").alias("t"))).where(m["ok"] & (m["lit"] > 0) & (F.size(rules.segments(F.col("s"))) == F.size(rules.segments(F.col("t")))))
     assert {tuple(r) for r in rules.suffix_match(calls, routes).collect()} == {(r["a"], r["b"]) for r in every.collect()}
+
+
+def test_first_clients_without_pairs(spark):
+    n = spark.range(MANY)
+    matched = n.select(F.lit("call").alias("src"), F.concat(F.lit("route"), F.col("id") % 2).alias("dst"), F.lit("MATCHES_ROUTE").alias("kind"))
+    callers = n.select(F.concat(F.lit("c"), F.col("id") + 100_000).alias("src"), F.lit("call").alias("dst"), F.lit("HTTP_CALLS").alias("kind"))
+    found = in_time(spark, lambda: R.route_clients(matched.unionByName(callers)).collect())
+    assert sorted(tuple(r) for r in found) == [(f"route{k}", f"c{100_000 + i}", i + 1) for k in (0, 1) for i in range(3)]
