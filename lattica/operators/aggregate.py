@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.operators.build import number_rows
+
+#: Numbers of targets in one block: two to this power.
+BLOCK_BITS = 16
+
 
 def users_by_target(edges: DataFrame, kinds: list[str], limit: int | None = None) -> DataFrame:
     """dst, users: distinct sources by target, most used first; ties by id. A top-k report with `limit`."""
@@ -42,6 +47,19 @@ def co_callers(edges: DataFrame, target: DataFrame, kinds: list[str], limit: int
     return out.orderBy(F.desc("shared"), "id").limit(limit)
 
 
+def distinct_beyond(calls: DataFrame, uses: DataFrame) -> DataFrame:
+    """id, n: distinct targets (to) that each id's functions (id, fn; distinct) use (fn, to; distinct); ids that reach none are left out.
+
+    Targets get numbers, and a function's numbers travel as an array, not as a row for each; an array holds the
+    numbers of one block, so that none grows with the graph.
+    """
+    numbered = number_rows(uses.select("to").distinct(), ["to"], "n").select("to", F.col("n").cast("int").alias("n"), F.shiftright("n", BLOCK_BITS).cast("int").alias("block"))
+    sets = uses.join(numbered, "to").groupBy("fn", "block").agg(F.collect_list("n").alias("ns"))
+    met = calls.join(sets, "fn").select("id", "block", "ns").repartition("id")
+    counted = met.groupBy("id", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ns")))).alias("n"))
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+
+
 def first_per_pair(rows: DataFrame, pair: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy(*order))).where("_n = 1").drop("_n")
 

@@ -97,3 +97,15 @@ def test_first_clients_without_pairs(spark):
     callers = n.select(F.concat(F.lit("c"), F.col("id") + 100_000).alias("src"), F.lit("call").alias("dst"), F.lit("HTTP_CALLS").alias("kind"))
     found = in_time(spark, lambda: R.route_clients(matched.unionByName(callers)).collect())
     assert sorted(tuple(r) for r in found) == [(f"route{k}", f"c{100_000 + i}", i + 1) for k in (0, 1) for i in range(3)]
+
+
+def test_distinct_beyond_counts_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BITS", 2)
+    r = random.Random(9)
+    calls = {(f"r{r.randrange(20)}", f"f{r.randrange(15)}") for _ in range(60)}
+    uses = {(f"f{r.randrange(12)}", f"t{r.randrange(30)}") for _ in range(90)}
+    want = {}
+    for a, f in calls:
+        want.setdefault(a, set()).update(t for g, t in uses if g == f)
+    found = A.distinct_beyond(spark.createDataFrame(sorted(calls), "id string, fn string"), spark.createDataFrame(sorted(uses), "fn string, to string"))
+    assert {x["id"]: x["n"] for x in found.collect()} == {a: len(t) for a, t in want.items() if t}
