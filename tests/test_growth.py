@@ -109,3 +109,12 @@ def test_distinct_beyond_counts_across_blocks(spark, monkeypatch):
         want.setdefault(a, set()).update(t for g, t in uses if g == f)
     found = A.distinct_beyond(spark.createDataFrame(sorted(calls), "id string, fn string"), spark.createDataFrame(sorted(uses), "fn string, to string"))
     assert {x["id"]: x["n"] for x in found.collect()} == {a: len(t) for a, t in want.items() if t}
+
+
+def test_graph_is_distinct_before_it_is_text(spark):
+    """No shuffle of the derived edges holds text of ends: each moves numbers, and none follows the union."""
+    from lattica.sources import fixture
+
+    plan = fixture.derive_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(src" not in fixture.derive_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Union")]
