@@ -118,3 +118,20 @@ def test_graph_is_distinct_before_it_is_text(spark):
     plan = fixture.derive_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "hashpartitioning(src" not in fixture.derive_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Union")]
+
+
+def plans_of(monkeypatch, module):
+    """Physical plans of the tables that a module writes, by name."""
+    plans = {}
+    write = module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    return plans
+
+
+def test_distinct_edges_are_numbered_as_they_are(spark, monkeypatch):
+    from lattica.operators import build
+    from lattica.plans.traversal import graph_edges
+
+    plans = plans_of(monkeypatch, build)
+    assert graph_edges(spark, "/root/testdata/sf0.001").agg(F.max("id") == F.count("id")).first()[0]
+    assert "hashpartitioning" not in plans["numbered"]
