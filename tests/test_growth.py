@@ -135,3 +135,11 @@ def test_distinct_edges_are_numbered_as_they_are(spark, monkeypatch):
     plans = plans_of(monkeypatch, build)
     assert graph_edges(spark, "/root/testdata/sf0.001").agg(F.max("id") == F.count("id")).first()[0]
     assert "hashpartitioning" not in plans["numbered"]
+
+
+def test_steps_of_a_closure_are_not_shuffled(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("x", "c", 1)], "src string, dst string, line int")
+    plans = plans_of(monkeypatch, G)
+    found = G.reverse_closure(edges, spark.createDataFrame([("c",)], "id string")).collect()
+    assert sorted(tuple(r) for r in found) == [("a", 2), ("b", 1), ("c", 0), ("x", 1)]
+    assert "Exchange" not in plans["steps"]
