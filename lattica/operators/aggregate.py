@@ -39,10 +39,10 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def co_callers(edges: DataFrame, target: DataFrame, kinds: list[str], limit: int = 40) -> DataFrame:
     """id, shared, containment: sources that share targets with `target` (id), by how much of its own targets; a top-k report."""
-    used = edges.where(F.col("kind").isin(kinds)).select("src", "dst").distinct()
+    used = edges.where(F.col("kind").isin(kinds)).select("src", "dst")
     own = used.join(target.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
     total = own.agg(F.count(F.lit(1)).alias("total"))
-    shared = used.join(own, "dst").join(target.select(F.col("id").alias("src")), "src", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("shared"))
+    shared = used.join(own, "dst", "left_semi").distinct().join(target.select(F.col("id").alias("src")), "src", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("shared"))
     out = shared.join(F.broadcast(total)).select("id", "shared", F.round(F.col("shared") / F.col("total"), 2).alias("containment"))  # one row
     return out.orderBy(F.desc("shared"), "id").limit(limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -143,3 +144,13 @@ def test_steps_of_a_closure_are_not_shuffled(spark, monkeypatch):
     found = G.reverse_closure(edges, spark.createDataFrame([("c",)], "id string")).collect()
     assert sorted(tuple(r) for r in found) == [("a", 2), ("b", 1), ("c", 0), ("x", 1)]
     assert "Exchange" not in plans["steps"]
+
+
+def test_co_callers_make_only_shared_targets_distinct(spark):
+    rows = [("a", "t1", "READS_TABLE"), ("a", "t2", "READS_TABLE"), ("b", "t1", "READS_TABLE"), ("b", "t1", "WRITES_TABLE"), ("c", "t3", "READS_TABLE"), ("d", "t2", "READS_TABLE"), ("d", "t1", "READS_TABLE")]
+    found = A.co_callers(spark.createDataFrame(rows, "src string, dst string, kind string"), spark.createDataFrame([("a",)], "id string"), ["READS_TABLE", "WRITES_TABLE"])
+    assert [tuple(r) for r in found.collect()] == [("d", 2, 1.0), ("b", 1, 0.5)]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    pairs = [i for i, line in enumerate(lines) if re.search(r"Aggregate \[(src|dst)#\d+, (src|dst)#\d+\]", line)]
+    assert pairs and all(i < semi for i in pairs)  # the pairs are made distinct above the semi join, not below
