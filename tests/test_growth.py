@@ -154,3 +154,24 @@ def test_co_callers_make_only_shared_targets_distinct(spark):
     semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
     pairs = [i for i, line in enumerate(lines) if re.search(r"Aggregate \[(src|dst)#\d+, (src|dst)#\d+\]", line)]
     assert pairs and all(i < semi for i in pairs)  # the pairs are made distinct above the semi join, not below
+
+
+def test_groups_that_move_together_move_in_one_row(spark, monkeypatch):
+    rows = []
+    write = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: (rows.append((name, (out := write(df, name)).count())), out)[1])
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("x", "b"), ("c", "c")], "src string, dst string")
+    targets = spark.createDataFrame([("c", i) for i in range(130)] + [("x", 7)], "id string, grp int")
+    found = sorted(tuple(r) for r in G.group_closures(edges, targets).collect())
+    assert found == sorted([("c", i, 0) for i in range(130)] + [(n, i, d) for n, d in (("b", 1), ("a", 2), ("x", 2)) for i in range(130) if (n, i) != ("x", 7)] + [("x", 7, 0)])
+    assert [n for name, n in rows if name == "level"] == [4, 3, 6, 0]  # 130 groups are three rows a node
+
+
+def test_steps_near_few_nodes_are_found_by_numbers(spark, monkeypatch):
+    steps = spark.createDataFrame([(f"n{i % 500}", i) for i in range(2_000)], "at string, to int")
+    ids = spark.createDataFrame([("n3",), ("n7",), ("n3",), ("none",)], "node string")
+    near = G.nearby(steps, "at", ids, 4)
+    assert sorted(r["at"] for r in near.collect()) == ["n3"] * 4 + ["n7"] * 4
+    assert "BroadcastHashJoin [_mark" in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(G, "FEW", 3)
+    assert G.nearby(steps, "at", ids, 4) is steps
