@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.operators.build import number_rows
+from lattica.storage import cut, release
 
 #: Numbers of targets in one block: two to this power.
 BLOCK_BITS = 16
+#: Items of a feature in one array, about, and rows whose pairs one task sums.
+PAIR_BLOCK, ROWS_A_TASK = 4_096, 100_000
 
 
 def users_by_target(edges: DataFrame, kinds: list[str], limit: int | None = None) -> DataFrame:
@@ -60,6 +63,19 @@ def distinct_beyond(calls: DataFrame, uses: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def shared_pairs(left: DataFrame, right: DataFrame, weight: Column, tasks: int, same: bool = False) -> DataFrame:
+    """a, b, sum: pairs of items (item, feature; distinct) with a feature in common and the sum of the features' weights; of one side (`same`) each pair once, a before b.
+
+    `weight` is an expression over the right side's columns. A feature's items travel as arrays of PAIR_BLOCK at most to the task of
+    `a`, where pairs are made and summed: no row of a pair moves.
+    """
+    block = F.pmod(F.hash("item"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("feature")) / PAIR_BLOCK))
+    sets = right.select("feature", "item", weight.alias("w"), block.alias("block")).groupBy("feature", "block").agg(F.first("w").alias("w"), F.collect_list("item").alias("bs"))
+    met = left.select(F.col("item").alias("a"), "feature").join(sets, "feature")
+    met = met.select("a", "w", F.expr("filter(bs, b -> b > a)").alias("bs") if same else "bs").where(F.size("bs") > 0)
+    return met.repartition(tasks, "a").select("a", "w", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.sum("w").alias("sum"))
+
+
 def first_per_pair(rows: DataFrame, pair: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy(*order))).where("_n = 1").drop("_n")
 
@@ -98,13 +114,12 @@ def idf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
 
     `left` and `right` have item, feature. Features shared by more than half of all items say nothing and weigh 0.
     """
-    both = left.select(F.concat(F.lit("l"), "item").alias("k"), "feature").unionByName(right.select(F.concat(F.lit("r"), "item").alias("k"), "feature")).distinct()
-    n = both.select("k").distinct().count()
-    weight = both.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).select("feature", F.greatest(F.log(F.lit(float(n)) / (2.0 * F.col("df"))) + F.lit(0.0), F.lit(0.0)).alias("w")).where("w > 0")
-
-    def side(df, name):
-        x = df.select(F.col("item").alias(name), "feature").distinct().join(weight, "feature")
-        norms = x.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return x.join(norms, name).select(name, "feature", (F.col("w") / F.col("norm")).alias(f"w{name}"))
-
-    return side(left, "a").join(side(right, "b"), "feature").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    sides = cut(left.select(F.lit(0).alias("side"), "item", "feature").unionByName(right.select(F.lit(1).alias("side"), "item", "feature")).distinct(), "features")
+    n = sides.select("side", "item").distinct().count()
+    df = F.count(F.lit(1)).over(Window.partitionBy("feature"))
+    weighed = cut(sides.withColumn("w", F.greatest(F.log(F.lit(float(n)) / (2.0 * df)), F.lit(0.0))).where("w > 0 and feature is not null"), "features")
+    release(sides)
+    norms = weighed.groupBy("side", "item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = lambda side, name: norms.where(F.col("side") == side).select(F.col("item").alias(name), F.col("norm").alias(f"n{name}"))
+    pairs = shared_pairs(weighed.where("side = 0"), weighed.where("side = 1"), F.col("w") * F.col("w"), weighed.count() // ROWS_A_TASK + 1)
+    return pairs.join(norm(0, "a"), "a").join(norm(1, "b"), "b").select("a", "b", (F.col("sum") / (F.col("na") * F.col("nb"))).alias("score"))

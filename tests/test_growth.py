@@ -175,3 +175,16 @@ def test_steps_near_few_nodes_are_found_by_numbers(spark, monkeypatch):
     assert "BroadcastHashJoin [_mark" in near._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(G, "FEW", 3)
     assert G.nearby(steps, "at", ids, 4) is steps
+
+
+def test_pairs_are_summed_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(A, "PAIR_BLOCK", 3)  # more items of a feature than one array holds
+    r = random.Random(3)
+    rows = sorted({(r.randrange(12), r.randrange(9)) for _ in range(70)})
+    u = spark.createDataFrame(rows, "item int, feature int")
+    found = A.shared_pairs(u, u, F.lit(1), 5, same=True)
+    have = {i: {f for k, f in rows if k == i} for i, _ in rows}
+    assert {(x["a"], x["b"]): x["sum"] for x in found.collect()} == {(a, b): len(have[a] & have[b]) for a in have for b in have if a < b and have[a] & have[b]}
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert not any("Exchange" in line for line in lines[:made])  # no pair moves
