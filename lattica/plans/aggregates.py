@@ -96,9 +96,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS na,
 SELECT a, b, round(score, 6) AS score FROM r WHERE na = 1 AND nb = 1 AND coalesce(ra < score * 0.95, true) AND coalesce(rb < score * 0.95, true)""")
 def structural_parity(spark, sf_dir):
     """Suppliers of two sides matched by the rare parts they share: cosine, mutual best, a margin."""
-    item = read(spark, sf_dir, "lineitem").select("l_suppkey", F.concat(F.lit("s"), "l_suppkey").alias("item"), F.concat(F.lit("p"), "l_partkey").alias("feature"))
-    scores = A.idf_cosine(item.where("l_suppkey % 2 = 0").select("item", "feature"), item.where("l_suppkey % 2 = 1").select("item", "feature"))
-    return A.mutual_best(scores, margin=0.95).withColumn("score", F.round("score", 6))
+    item = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("feature"))
+    scores = A.idf_cosine(item.where("item % 2 = 0"), item.where("item % 2 = 1"))
+    named = lambda c: F.concat(F.lit("s"), c).alias(c)
+    return A.mutual_best(scores, margin=0.95).select(named("a"), named("b"), F.round("score", 6).alias("score"))
 
 
 @query("""SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY event_type, user_id) WHERE r <= 3""")
