@@ -114,12 +114,13 @@ def idf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
 
     `left` and `right` have item, feature. Features shared by more than half of all items say nothing and weigh 0.
     """
-    sides = cut(left.select(F.lit(0).alias("side"), "item", "feature").unionByName(right.select(F.lit(1).alias("side"), "item", "feature")).distinct(), "features")
+    tasks = (left.count() + right.count()) // ROWS_A_TASK + 1
+    sides = cut(left.select(F.lit(0).alias("side"), "item", "feature").unionByName(right.select(F.lit(1).alias("side"), "item", "feature")).repartition(tasks, "feature").distinct(), "features")  # rows move first: nearly all differ
     n = sides.select("side", "item").distinct().count()
     df = F.count(F.lit(1)).over(Window.partitionBy("feature"))
     weighed = cut(sides.withColumn("w", F.greatest(F.log(F.lit(float(n)) / (2.0 * df)), F.lit(0.0))).where("w > 0 and feature is not null"), "features")
     release(sides)
     norms = weighed.groupBy("side", "item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     norm = lambda side, name: norms.where(F.col("side") == side).select(F.col("item").alias(name), F.col("norm").alias(f"n{name}"))
-    pairs = shared_pairs(weighed.where("side = 0"), weighed.where("side = 1"), F.col("w") * F.col("w"), weighed.count() // ROWS_A_TASK + 1)
+    pairs = shared_pairs(weighed.where("side = 0"), weighed.where("side = 1"), F.col("w") * F.col("w"), tasks)
     return pairs.join(norm(0, "a"), "a").join(norm(1, "b"), "b").select("a", "b", (F.col("sum") / (F.col("na") * F.col("nb"))).alias("score"))
