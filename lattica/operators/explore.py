@@ -77,7 +77,8 @@ def explore(nodes: DataFrame, edges: DataFrame, question: str, budget: int = 300
     counts = owners.join(of_functions.groupBy("grp").agg(F.count_if(~known).alias("callers"), F.count_if(known).alias("entries")), "grp", "left").na.fill(0, ["callers", "entries"])
     first = of_functions.where(known).withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("entry_kind", "name", "id"))).where(F.col("place") <= entries)
     down = cut(G.group_closures(every.where(~F.col("kind").isin(WRITES + READS)), groups, reverse=False), "explored-down")
-    touched = down.join(edges.where(F.col("kind").isin(WRITES + READS)).select(F.col("src").alias("id"), F.col("dst").alias("item"), "kind"), "id").select("grp", "item", F.when(F.col("kind").isin(WRITES), "writes").otherwise("reads").alias("section")).distinct()
+    held = down.groupBy("id").agg(F.array_sort(F.collect_set("grp")).alias("grps"))  # at most `most` of them
+    touched = held.join(edges.where(F.col("kind").isin(WRITES + READS)).select(F.col("src").alias("id"), F.col("dst").alias("item"), "kind"), "id").select("grps", "item", F.when(F.col("kind").isin(WRITES), "writes").otherwise("reads").alias("section")).distinct().select(F.explode("grps").alias("grp"), "item", "section").distinct()
     nearest = of_functions.where(known).groupBy("grp").agg(F.min(F.struct("depth", "id"))["id"].alias("id"))
     between = up.join(walked.select("id"), "id", "left_semi").where("id <> grp").select("id", "grp")
     ways = G.group_paths(calls, up, nearest.withColumn("section", F.lit("path")).unionByName(between.withColumn("section", F.lit("between"))).select("id", "grp").distinct())
