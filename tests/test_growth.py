@@ -188,3 +188,16 @@ def test_pairs_are_summed_where_they_are_made(spark, monkeypatch):
     lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
     made = next(i for i, line in enumerate(lines) if "Generate explode" in line)
     assert not any("Exchange" in line for line in lines[:made])  # no pair moves
+
+
+def test_entries_walk_over_parts_not_nodes(spark, monkeypatch):
+    """A chain of cycles with tables beside them: marks are kept for each cycle, not for each of its nodes and tables."""
+    rows = {"marks": 0}
+    write = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: (out := write(df, name), rows.update({name: rows.get(name, 0) + out.count()}))[0])
+    edges = [(f"f:{c * 10 + i}", f"f:{c * 10 + (i + 1) % 10}") for c in range(6) for i in range(10)] + [(f"f:{c * 10 + 9}", f"f:{c * 10 + 10}") for c in range(5)]
+    edges += [(f"f:{c * 10 + i}", f"t:{c}") for c in range(6) for i in range(3)] + [(f"r:{c}", f"f:{c * 10 + 4}") for c in range(6)]
+    nodes = spark.createDataFrame([(f"r:{c}", "route") for c in range(6)] + [("f:1", None)], "id string, entry_kind string")
+    found = {r["node_id"]: (r["entry_count"], r["sample_entry"]) for r in G.tag_entries(spark.createDataFrame(edges, "src string, dst string"), nodes).collect()}
+    assert found == {f"f:{k}": (k // 10 + 1, "r:0") for k in range(60)} | {f"t:{c}": (c + 1, "r:0") for c in range(6)} | {f"r:{c}": (1, f"r:{c}") for c in range(6)}
+    assert 0 < rows["marks"] <= 24
