@@ -30,6 +30,22 @@ def test_touched_spans_without_pairs(spark):
     assert in_time(spark, lambda: J.touched(changes, spans, ["file"]).count()) == MANY // 3
 
 
+def test_changes_of_one_range_meet_the_spans_once(spark, monkeypatch):
+    from lattica.plans import joins as P
+
+    n = spark.range(3_000)
+    changes = n.select(F.col("id").alias("event_id"), F.lit("f").alias("file"), F.lit(60).alias("lo"), (F.col("id") % 2 + 70).cast("int").alias("hi"))
+    spans = spark.createDataFrame([(f"s{i}", "f", i, i + 40) for i in range(0, 200, 10)] + [("s60", "f", 71, 300), ("x", "g", 60, 70)], "id string, file string, start int, end int")
+    monkeypatch.setattr(P, "changes", lambda *a: changes)
+    monkeypatch.setattr(P, "spans", lambda *a: spans)
+    monkeypatch.setattr(J, "IDS_A_LIST", 4, raising=False)
+    found = P.changed_symbols(spark, "")
+    want = J.overlapping(changes, spans, ["file"]).select("event_id", "id")
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty() and found.count() == 3_000 * 6 + 1_500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_ids" in plan and "collect_list(id" in plan[plan.index("Generate explode(_ids") :]
+
+
 def test_innermost_without_pairs(spark):
     n = spark.range(MANY)
     changes = n.select(F.col("id").alias("item"), F.lit("f").alias("file"), F.lit(5).alias("lo"), F.when(F.col("id") == 0, 1).otherwise(9).alias("hi"))
