@@ -13,7 +13,7 @@ from lattica.operators import traverse as G
 from lattica.plans.registry import on_graph, query
 from lattica.plans.traversal import PROPAGATES, ids, up, walk_sql
 from lattica.sources import graph
-from lattica.sources.fixture import edges, nodes, read
+from lattica.sources.fixture import edges, nodes, read, to_save
 from lattica.storage import shared_dir
 
 #: matcher, what is sent, what is received, whether they match.
@@ -72,7 +72,8 @@ def name_truths(spark, sf_dir):
 
 def saved(spark, sf_dir) -> str:
     path = f"{shared_dir(spark)}/lattica-saved-graph"
-    graph.save(nodes(spark, sf_dir), edges(spark, sf_dir), path, {"source": sf_dir, "version": 2})
+    n, e, tasks = to_save(spark, sf_dir)
+    graph.save(n, e, path, {"source": sf_dir, "version": 2}, tasks)
     return path
 
 

@@ -7,6 +7,7 @@ checkpointed sink, and ends. A later run goes on where it stopped. Windows close
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,9 +82,11 @@ def tree_mark(files: DataFrame) -> DataFrame:
 CURRENT = "current"
 
 
-def publish(tables: DataFrame | dict[str, DataFrame], path: str) -> bool:
+def publish(tables: DataFrame | dict[str, DataFrame | Callable[[DataFrame], DataFrame]], path: str) -> bool:
     """Write a new version of a table, or of several that belong together, beside the last one, then point to it.
 
+    A table may be given as a function of the one before it, as that was written.
+
     The pointer is a file that is replaced by one rename: readers see all of the old version or all of the
     new one, and a crash before the rename leaves the old one. If the (first) table is empty, nothing is
     published. The version before the last is removed.
@@ -95,9 +98,12 @@ def publish(tables: DataFrame | dict[str, DataFrame], path: str) -> bool:
     jvm = spark._jvm
     hadoop = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     fs = hadoop(version).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = None
     for name, table in tables.items():
+        table = table(written) if callable(table) else table
         table.write.parquet(f"{path}/{version}/{name}")
-        if name == first and spark.read.parquet(f"{path}/{version}/{name}").isEmpty():
+        written = spark.read.schema(table.schema).parquet(f"{path}/{version}/{name}")
+        if name == first and written.isEmpty():
             fs.delete(hadoop(version), True)
             return False
     last = _versions(spark, path)

@@ -30,6 +30,43 @@ def test_graph_round_trip_and_refused_publish(spark, tmp_path):
     assert graph.sql(spark, at, "SELECT count(*) AS n FROM edges JOIN edge_kinds USING (kind) WHERE propagates").first()["n"] == 1
 
 
+def test_a_saved_graph_is_worked_out_once(spark, tmp_path):
+    runs = {name: spark.sparkContext.accumulator(0) for name in ("nodes", "edges")}
+
+    def counted(name, n):
+        return F.udf(lambda x: runs[name].add(1) or f"n{x * 7 % n}", "string").asNondeterministic()("id")
+
+    nodes = spark.range(50).select(counted("nodes", 50).alias("id"))
+    edges = spark.range(2_000).select(counted("edges", 50).alias("src"), F.concat(F.lit("n"), F.col("id") * 7 % 31).alias("dst"), F.lit("CALLS").alias("kind"))
+    graph.save(nodes, edges, f"file://{tmp_path}/g")
+    assert {name: n.value for name, n in runs.items()} == {"nodes": 50, "edges": 2_000}
+    (n, by_src), (_, by_dst) = (graph.load(spark, f"file://{tmp_path}/g", end) for end in ("src", "dst"))
+    assert n.count() == 50 and by_src.count() == 2_000 and by_src.exceptAll(by_dst).isEmpty() and by_dst.exceptAll(by_src).isEmpty()
+
+
+def test_files_of_a_saved_graph_are_sorted(spark, tmp_path):
+    edges = spark.range(2_000).select(F.concat(F.lit("n"), F.col("id") * 7 % 50).alias("src"), F.concat(F.lit("n"), F.col("id") * 7 % 31).alias("dst"), F.lit("CALLS").alias("kind"))
+    graph.save(edges.select(F.col("src").alias("id")).distinct(), edges, f"file://{tmp_path}/g", tasks=3)
+    for end in ("src", "dst"):
+        files = graph.load(spark, f"file://{tmp_path}/g", end)[1].inputFiles()
+        held = [[r[end] for r in spark.read.parquet(f).collect()] for f in files]
+        assert 1 < len(files) <= 3 and all(h == sorted(h) for h in held) and sum(len(set(h)) for h in held) == (50 if end == "src" else 31)
+
+
+def test_a_graph_to_save_is_not_written_before(spark, monkeypatch):
+    from lattica.plans import truths
+    from lattica.sources import fixture
+
+    monkeypatch.setattr(fixture, "_saved", {})
+    monkeypatch.setattr(fixture, "cut", lambda *a: pytest.fail("written twice"))
+    sf_dir = "/root/testdata/sf0.001"
+    path = truths.saved(spark, sf_dir)
+    monkeypatch.undo()
+    found = graph.load(spark, path)
+    for got, want in zip(found, (fixture.nodes(spark, sf_dir), fixture.edges(spark, sf_dir)), strict=True):
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
 def test_registry_goes_by_the_longest_folder(spark):
     r = graph.Registry(spark, {"a": "x", "b": "y"}, {"a": "/w", "b": "/w/b"}, "a")
     assert [r.name_of(p) for p in ("/w/c.py", "/w/b/c.py", "/w/bc.py", "/z", None)] == ["a", "b", "a", "a", "a"]
