@@ -46,6 +46,20 @@ def test_changes_of_one_range_meet_the_spans_once(spark, monkeypatch):
     assert "Generate explode(_ids" in plan and "collect_list(id" in plan[plan.index("Generate explode(_ids") :]
 
 
+def test_pairs_of_one_range_go_to_several_tasks_a_few_at_once(spark, monkeypatch):
+    n = spark.range(2_000)
+    changes = n.select(F.col("id").alias("event_id"), F.lit("f").alias("file"), F.lit(60).alias("lo"), F.lit(70).alias("hi")).unionByName(spark.sql("SELECT 9999L AS event_id, 'g' AS file, 1 AS lo, 200 AS hi"))
+    spans = spark.createDataFrame([(f"s{i}", "f", 50 + i, 90) for i in range(10)] + [("x", "g", 60, 70), ("y", "h", 60, 70)], "id string, file string, start int, end int")
+    for name, value in (("IDS_A_LIST", 4), ("PAIRS_A_TASK", 1_000), ("PAIRS_AT_ONCE", 200)):
+        monkeypatch.setattr(J, name, value, raising=False)
+    found = J.overlapping_each(changes, spans, ["event_id"], ["file"])
+    want = J.overlapping(changes, spans, ["file"]).select("event_id", "id")
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty() and found.count() == 20_001
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 20_001 / 2
+    assert J.overlapping_each(changes, spans.where("file = 'h'"), ["event_id"], ["file"]).isEmpty()
+
+
 def test_innermost_without_pairs(spark):
     n = spark.range(MANY)
     changes = n.select(F.col("id").alias("item"), F.lit("f").alias("file"), F.lit(5).alias("lo"), F.when(F.col("id") == 0, 1).otherwise(9).alias("hi"))
