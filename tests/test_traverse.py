@@ -6,6 +6,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import build
 from lattica.operators import traverse as G
@@ -100,6 +101,24 @@ def test_entries_impact_and_dispatch(spark):
     assert {r["id"] for r in G.only_by_dispatch(edges, spark.createDataFrame([("g",)], "id string")).collect()} == {"f", "route:1"}
 
 
+@pytest.mark.parametrize("few", [G.FEW, 0])
+def test_reaches_walks_once_over_numbers(spark, monkeypatch, few):
+    rows = graph(11) + [(f"route:{i}", f"function:{i % 9}", "ROUTES_TO", "f.py", i, "exact", 3, "flag_off" if i % 4 == 0 else None) for i in range(12)] + [("route:7", "table:2", "READS_TABLE", None, None, "exact", 3, "flag_off")]
+    entries = {f"route:{i}": "http_route" for i in range(12)} | {"table:2": "test", "alone": "test"}
+    nodes = spark.createDataFrame(list(entries.items()), "id string, entry_kind string")
+    walks, numbers, levels, number = [], [], G._levels, G._number
+    monkeypatch.setattr(G, "_levels", lambda steps, *a: walks.append(dict(steps.dtypes)) or levels(steps, *a))
+    monkeypatch.setattr(G, "_number", lambda c, seed: numbers.append(seed) or (number(c, seed) if seed else F.length(c).cast("long")))
+    monkeypatch.setattr(G, "FEW", few)
+    found = {r["id"]: (r["depth"], r["status"], len(r["path"])) for r in G.reaches(nodes, frame(spark, rows), spark.createDataFrame([("table:2",), ("table:2",)], "id string"), "flag_off").collect()}
+    near, live = search(rows, ["table:2"]), search([e for e in rows if e[7] != "flag_off"], ["table:2"])
+    assert found == {k: (near[k], "live" if k in live else "gated", near[k]) for k in entries if k in near} and len({s for _, s, _ in found.values()}) == 2
+    assert set(numbers) == {0, 1}  # ids of one length had one number
+    assert len(walks) == 2 and all(w["at"] == w["to"] == "bigint" for w in walks)
+    cut_off = {r["id"]: r["status"] for r in G.reaches(nodes, frame(spark, rows), spark.createDataFrame([("table:2",)], "id string"), "flag_off", max_depth=2).collect()}
+    assert cut_off == {k: "live" if live.get(k, 9) <= 2 else "gated" for k in entries if near.get(k, 9) <= 2}
+
+
 def test_building_a_graph(spark):
     rows = [("a", "b", "CALLS", "f", 1, "heuristic", 1, None), ("a", "b", "CALLS", "f", 1, "exact", 3, None), ("a", "a", "CALLS", "f", 2, "exact", 3, None), ("a", "b", "CALLS", "f", 1, "exact", 3, "g"), ("x:y", "b", "CALLS", None, None, "exact", 3, None)]
     got = build.with_edge_ids(frame(spark, rows)).orderBy("id").collect()
